@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +30,15 @@ def aa_class(c: Column) -> Column:
     return F.try_element_at(literal_map(K.RESIDUE_CLASS), c)
 
 
+def _inline_table(spark: SparkSession, rows, names: Sequence[str]) -> DataFrame:
+    """Small constant table as a local relation of the plan."""
+    cells = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}D" for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {cells} AS t({', '.join(f'`{n}`' for n in names)})")
+
+
 def property_table(spark: SparkSession) -> DataFrame:
     """20 rows, one per residue."""
-    schema = "residue string, " + ", ".join(f"`{p}` double" for p in K.PROPERTY_NAMES)
-    return spark.createDataFrame(list(K.RESIDUE_PROPERTIES), schema)
+    return _inline_table(spark, K.RESIDUE_PROPERTIES, ("residue", *K.PROPERTY_NAMES))
 
 
 def matrix_table(spark: SparkSession) -> DataFrame:
@@ -39,7 +46,7 @@ def matrix_table(spark: SparkSession) -> DataFrame:
     blosum = K.triangle_pairs(K.BLOSUM62_TRIANGLE)
     grantham = K.triangle_pairs(K.GRANTHAM_TRIANGLE, diagonal=0)
     rows = [(r, a, float(blosum[r, a]), float(grantham[r, a])) for r, a in sorted(blosum)]
-    return spark.createDataFrame(rows, "m_ref string, m_alt string, blosum double, grantham double")
+    return _inline_table(spark, rows, ("m_ref", "m_alt", "blosum", "grantham"))
 
 
 def add_aa_properties(df: DataFrame, ref: str = "ref_aa", alt: str = "alt_aa") -> DataFrame:
@@ -110,11 +117,12 @@ def residue_pair(amino_acids: Column) -> tuple[Column, Column]:
 
 def consequence_features(df: DataFrame, records: str = "transcript_consequences") -> DataFrame:
     """Chosen missense record -> residues, conservation, matrices, properties, defaults, flags."""
-    chosen = df.select("variant_key", pick_any_missense(F.col(records)).alias("t"))
-    ref, alt = residue_pair(F.col("t.amino_acids"))
+    # inline() emits the chosen record as plain columns, so the nested text is parsed only once
+    chosen = df.select("variant_key", F.inline(F.slice(F.filter(F.col(records), _is_missense), 1, 1)))
+    ref, alt = residue_pair(F.col("amino_acids"))
     fields = {}
     for source, target in K.CONSEQUENCE_FIELDS:
-        number = F.col("t")[source].cast("string").try_cast("double")
+        number = F.col(f"`{source}`").cast("string").try_cast("double")
         fields[target] = F.when(~F.isnan(number), number)
     rows = chosen.select(
         "variant_key",

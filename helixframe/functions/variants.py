@@ -80,46 +80,68 @@ def is_common(af: Column) -> Column:
 
 
 def info_map(info: Column) -> Column:
-    """INFO cell to map<string,string>; flags map to NULL and the first of repeated keys wins."""
-    entries = F.transform(F.split(info, ";"), lambda e: F.split(e, "=", 2))
-    names = F.transform(entries, lambda e: e[0])
-    firsts = F.filter(entries, lambda e, i: F.array_position(names, e[0]) == i + 1)
-    return F.map_from_entries(
-        F.transform(firsts, lambda e: F.struct(e[0].alias("key"), F.get(e, F.lit(1)).alias("value")))
+    """INFO cell to map<string,string>; flags map to NULL and the first of repeated keys wins.
+
+    Keys are unique in a well-formed record, which takes the plain `str_to_map` branch.
+    """
+    entries = F.split(info, ";")
+    names = F.transform(entries, lambda e: F.split(e, "=", 2)[0])
+    firsts = F.filter(entries, lambda e, i: F.array_position(names, F.split(e, "=", 2)[0]) == i + 1)
+    repaired = F.map_from_entries(
+        F.transform(
+            firsts,
+            lambda e: F.struct(
+                F.split(e, "=", 2)[0].alias("key"), F.get(F.split(e, "=", 2), F.lit(1)).alias("value")
+            ),
+        )
     )
+    unique = F.size(F.array_distinct(names)) == F.size(names)
+    return F.when(unique, F.str_to_map(info, F.lit(";"), F.lit("="))).otherwise(repaired)
+
 
+def info_values(info: Column, key) -> Column:
+    """List of an INFO field, NULL for an absent, empty or '.' cell. `key` is a name or column."""
+    raw = F.trim(F.try_element_at(info, F.lit(key) if isinstance(key, str) else key))
+    return F.when(~raw.isin("", "."), F.split(raw, ","))
 
-def info_values(info: Column, key: str) -> Column:
-    raw = F.try_element_at(info, F.lit(key))
-    return F.when(~F.trim(raw).isin("", "."), F.split(F.trim(raw), ","))
 
+def _number(c: Column) -> Column:
+    return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
 
-def info_alt_value(info: Column, key: str, index: Column) -> Column:
+
+def info_alt_value(info: Column, key, index: Column) -> Column:
     """Element of a per-allele INFO list; a one-element list serves every allele."""
     values = info_values(info, key)
-    picked = F.when(index < F.size(values), F.get(values, index.cast("int"))).when(
-        F.size(values) == 1, F.get(values, F.lit(0))
-    )
-    number = picked.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    single = F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+    return _number(F.when(index < F.size(values), F.get(values, index.cast("int"))).otherwise(single))
 
 
-def info_scalar(info: Column, key: str) -> Column:
-    number = F.get(info_values(info, key), F.lit(0)).try_cast("double")
-    return F.when(~F.isnan(number), number)
+def info_scalar(info: Column, key) -> Column:
+    return _number(F.get(info_values(info, key), F.lit(0)))
 
 
 def af_popmax(info: Column, index: Column) -> Column:
-    """Stated popmax, else the largest population AF, taking AC/AN where AF is absent."""
-    per_population = []
-    for pop in POPULATIONS:
-        names = (pop, pop.lower())
-        af = F.coalesce(*[info_alt_value(info, f"AF_{n}", index) for n in names])
-        ac = F.coalesce(*[info_alt_value(info, f"AC_{n}", index) for n in names])
-        an = F.coalesce(*[info_scalar(info, f"AN_{n}") for n in names])
-        per_population.append(F.coalesce(af, F.when(an > 0, F.try_divide(ac, an))))
+    """Stated popmax, else the largest population AF, taking AC/AN where AF is absent.
+
+    The populations are an array that one lambda runs over, which keeps the generated code small.
+    """
+    names = F.array(*[F.lit(p) for p in POPULATIONS])
+
+    def either(field, read):
+        return lambda pop: F.coalesce(
+            read(F.concat(F.lit(field), pop)), read(F.concat(F.lit(field), F.lower(pop)))
+        )
+
+    af = either("AF_", lambda k: info_alt_value(info, k, index))
+    ac = either("AC_", lambda k: info_alt_value(info, k, index))
+    an = either("AN_", lambda k: info_scalar(info, k))
+
+    def best(pop):
+        total = an(pop)
+        return F.coalesce(af(pop), F.when(total > 0, F.try_divide(ac(pop), total)))
+
     return F.coalesce(
         info_alt_value(info, "AF_popmax", index),
         info_alt_value(info, "popmax_AF", index),
-        F.greatest(*per_population),
+        F.array_max(F.transform(names, best)),
     )

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from helixframe.constants import CLASS_NAMES, Z_95
 from helixframe.functions.residues import aa_class
@@ -17,7 +18,7 @@ from helixframe.operators.ordered import exact_quantiles, mid_ranks, ordinal_ran
 from helixframe.operators.resampling import bootstrap_metrics
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_normal(z: pd.Series) -> pd.Series:
     """Two-sided normal tail; only ever applied to a handful of test rows."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if v == v else None)
@@ -267,8 +268,9 @@ def errors_by_class_pair(df, ref="ref_aa", alt="alt_aa", y="y", p="p", threshold
     stats = cells.groupBy("ref_class", "alt_class").agg(
         F.count(F.lit(1)).alias("n"), F.avg("is_fn").alias("fn_rate")
     )
-    grid = df.sparkSession.createDataFrame(
-        [(a, b) for a in CLASS_NAMES for b in CLASS_NAMES], "ref_class string, alt_class string"
+    names = F.array(*[F.lit(c) for c in CLASS_NAMES])
+    grid = df.sparkSession.range(1).select(F.explode(names).alias("ref_class")).select(
+        "ref_class", F.explode(names).alias("alt_class")
     )
     return grid.join(stats, ["ref_class", "alt_class"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 

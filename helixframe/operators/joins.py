@@ -186,41 +186,49 @@ def gene_lookup_from_rows(train, columns: Sequence[str], order: Sequence[str], g
 def count_within_radius(points, radius=5.0, structure="structure_id", key="pos") -> DataFrame:
     """Neighbours of every point within `radius`, per structure.
 
-    Points sharing a coordinate are collapsed first. Cells have the side radius / sqrt(3), so
-    two points of one cell are always neighbours and are counted from the cell total; only
-    points of *different* cells at most two steps apart are compared.
+    Points sharing a coordinate collapse first. Cells have the side radius / sqrt(3): two points
+    of one cell are always neighbours, so they are counted from the cell total and never paired.
+    Points of different cells meet through an equality join on a packed cell number, each pair of
+    cells once (half of the offsets), and a matching pair counts for both ends.
     """
     side = radius / math.sqrt(3.0)
-    cell = [F.floor(F.col(c) / side).alias(f"c{c}") for c in "xyz"]
+    stride = 1 << 20
+
+    def cell(c):
+        return F.floor(F.col(c) / side) + stride // 2
+
+    packed = (cell("x") * stride + cell("y")) * stride + cell("z")
     spots = points.groupBy(structure, "x", "y", "z").agg(F.count(F.lit(1)).alias("k"))
-    spots = spots.select(structure, "x", "y", "z", "k", *cell)
-    totals = spots.groupBy(structure, "cx", "cy", "cz").agg(F.sum("k").alias("same"))
-    near = [
-        (i, j, k)
+    spots = spots.withColumn("cell", packed)
+    totals = spots.groupBy(structure, "cell").agg(F.sum("k").alias("same"))
+    steps = [
+        (i * stride + j) * stride + k
         for i in range(-2, 3)
         for j in range(-2, 3)
         for k in range(-2, 3)
-        if (i, j, k) != (0, 0, 0)
+        if (i, j, k) > (0, 0, 0) and not abs(i) == abs(j) == abs(k) == 2
     ]
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in near])
-    probes = spots.select(structure, "x", "y", "z", "cx", "cy", "cz", F.explode(steps).alias("s")).select(
-        structure, "x", "y", "z",
-        (F.col("cx") + F.col("s.i")).alias("cx"),
-        (F.col("cy") + F.col("s.j")).alias("cy"),
-        (F.col("cz") + F.col("s.k")).alias("cz"),
+    offsets = F.explode(F.array(*[F.lit(s).cast("bigint") for s in steps]))
+    probes = spots.select(structure, "x", "y", "z", "k", "cell", offsets.alias("step")).select(
+        structure, "x", "y", "z", "k", (F.col("cell") + F.col("step")).alias("cell")
     )
     other = spots.select(
-        structure, "cx", "cy", "cz", "k", *[F.col(c).alias(f"o{c}") for c in "xyz"]
+        structure, "cell", F.col("k").alias("ok"), *[F.col(c).alias(f"o{c}") for c in "xyz"]
     )
     distance = sum(((F.col(c) - F.col(f"o{c}")) ** 2 for c in "xyz"), F.lit(0.0))
+    ends = F.array(
+        F.struct(*[F.col(c).alias(c) for c in "xyz"], F.col("ok").alias("n")),
+        F.struct(*[F.col(f"o{c}").alias(c) for c in "xyz"], F.col("k").alias("n")),
+    )
     across = (
-        probes.join(other, [structure, "cx", "cy", "cz"])
+        probes.join(other, [structure, "cell"])
         .filter(distance <= radius * radius)
+        .select(structure, F.inline(ends))
         .groupBy(structure, "x", "y", "z")
-        .agg(F.sum("k").alias("across"))
+        .agg(F.sum("n").alias("across"))
     )
     per_spot = (
-        spots.join(totals, [structure, "cx", "cy", "cz"])
+        spots.join(totals, [structure, "cell"])
         .join(across, [structure, "x", "y", "z"], "left")
         .select(structure, "x", "y", "z", (F.col("same") + F.coalesce("across", F.lit(0))).alias("n"))
     )

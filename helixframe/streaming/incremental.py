@@ -12,7 +12,7 @@ from helixframe.operators.profiling import af_summary
 
 def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The stored result, or an empty table before the first run."""
-    reader = spark.read.schema(schema)
+    reader = spark.read.schema(schema).option("recursiveFileLookup", True)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     return reader.parquet(path) if exists else spark.createDataFrame([], schema)
@@ -36,7 +36,7 @@ def incremental_enrich(
     if batch is None:
         fresh.write.mode("append").parquet(path)
     else:
-        fresh.write.mode("overwrite").parquet(f"{path}/_b={batch}".replace("/_b=", "/batch_"))
+        fresh.write.mode("overwrite").parquet(f"{path}/batch_{batch}")
     found = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
     return wanted.join(found, key, "left")
 
