@@ -1 +1,55 @@
-"""Pending."""
+"""Incremental enrichment and streaming ingestion."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from helixframe.catalog.base import R, query, rounded
+from helixframe.session import scratch_path
+from helixframe.sources.readers import standardize_af_table
+from helixframe.streaming import incremental
+
+C = F.col
+SCHEMA = "k bigint, status string, value double"
+
+
+def resolver(t):
+    """Answers from orders: every tenth key fails, customers divisible by seven resolve to nothing."""
+    table = t.orders.selectExpr("o_orderkey as k", "o_custkey", "o_orderstatus", "o_totalprice")
+
+    def resolve(misses):
+        hit = misses.join(table, "k").filter("k % 10 <> 3")
+        nothing = C("o_custkey") % 7 == 0
+        return hit.select("k", F.when(~nothing, C("o_orderstatus")).alias("status"), F.when(~nothing, C("o_totalprice")).alias("value"))
+
+    return resolve
+
+
+@query("incremental_enrich", """SELECT w.k, CASE WHEN o.k % 10 <> 3 AND o.c % 7 <> 0 THEN o.s END status, CASE WHEN o.k % 10 <> 3 AND o.c % 7 <> 0 THEN o.v END AS value, o.k IS NOT NULL AND o.k % 10 <> 3 stored
+    FROM (SELECT DISTINCT l_orderkey k FROM lineitem) w LEFT JOIN (SELECT o_orderkey k, o_custkey c, o_orderstatus s, o_totalprice v FROM orders) o USING (k)""")
+def _(t):
+    path = scratch_path(t.spark, "store")
+    wanted = t.lineitem.select(C("l_orderkey").alias("k")).distinct()
+    incremental.incremental_enrich(wanted.filter("k % 3 = 0"), path, SCHEMA, resolver(t), "k")
+    out = incremental.incremental_enrich(wanted, path, SCHEMA, resolver(t), "k")
+    stored = incremental.read_store(t.spark, path, SCHEMA).select("k", F.lit(True).alias("stored"))
+    return out.join(stored, "k", "left").select("k", "status", "value", F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
+@query("stream_enrich", """SELECT count(*) n, count(DISTINCT o_orderkey) n_keys FROM orders WHERE o_orderkey % 10 <> 3 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def _(t):
+    path, source = scratch_path(t.spark, "store"), scratch_path(t.spark, "keys")
+    t.lineitem.select(C("l_orderkey").alias("k")).repartition(4).write.parquet(source)
+    stream = t.spark.readStream.schema("k bigint").option("maxFilesPerTrigger", 2).parquet(source)
+    incremental.stream_enrich(stream, path, SCHEMA, resolver(t), scratch_path(t.spark, "progress"), "k")
+    return incremental.read_store(t.spark, path, SCHEMA).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("n_keys"))
+
+
+@query("stream_ingest_stats", f"""SELECT cast(count(*) AS BIGINT) total, count(*) FILTER ("AF" > 1e-2) common, count(*) FILTER ("AF" <= 1e-2) rare, {R('avg("AF")')} mean_af FROM @af""")
+def _(t):
+    source, out, stats = (scratch_path(t.spark, n) for n in ("afin", "afout", "afstats"))
+    raw = t.af.select("variant_key", "AF", "AN", "AC")
+    raw.repartition(4).write.parquet(source)
+    stream = t.spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    incremental.stream_ingest(stream, out, stats, scratch_path(t.spark, "progress"), standardize_af_table)
+    return rounded(incremental.ingest_totals(t.spark, stats))

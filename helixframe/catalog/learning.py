@@ -1 +1,127 @@
-"""Pending."""
+"""Model training, scoring, calibration and retraining studies."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from helixframe.catalog.base import R, query, rounded
+from helixframe.operators import metrics
+from helixframe.operators.ordered import running_sums
+from helixframe.plans import training
+from helixframe.session import cut_lineage
+
+C = F.col
+PARAMS = {"max_iter": 4, "max_depth": 3}
+
+
+@query("one_hot_min_frequency", """SELECT coalesce(gene, 'MISSING') AS level, count(*) n, CASE WHEN count(*) >= 25 THEN coalesce(gene, 'MISSING') ELSE '__infrequent__' END encoded
+    FROM (SELECT case when l_suppkey % 7 = 0 then null else cast(l_partkey as string) end AS gene FROM lineitem) GROUP BY 1""")
+def _(t):
+    rows = t.lineitem.selectExpr("case when l_suppkey % 7 = 0 then null else cast(l_partkey as string) end as gene")
+    return training.one_hot_levels(rows, "gene")
+
+
+@query("class_weight", f"SELECT count(*) FILTER (label = 1) n_pos, count(*) FILTER (label = 0) n_neg, {R('count(*) FILTER (label = 0) / count(*) FILTER (label = 1)')} weight FROM @var")
+def _(t):
+    return rounded(training.class_weight(t.var))
+
+
+def modelling(t):
+    """Learnable rows: measures of the line, two categories, group split by part."""
+    return t.lineitem.selectExpr(
+        "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as variant_key",
+        "case when l_returnflag = 'R' then 1 else 0 end as label",
+        "case when l_partkey % 20 < 14 then 'train' when l_partkey % 20 < 17 then 'val' else 'test' end as split",
+        "'part' || (l_partkey % 400) as family",
+        "l_quantity + case when l_returnflag = 'R' then 6e0 else 0e0 end as quantity",
+        "case when l_suppkey % 11 = 0 then null else l_extendedprice end as price",
+        "l_discount as discount", "l_tax > 4e-2 as high_tax",
+        "case when l_suppkey % 6 = 0 then null else 'c' || (l_suppkey % 8) end as category", "l_linestatus as status",
+    )
+
+
+@query("feature_pipeline", None)
+def _(t):
+    data = modelling(t)
+    train = data.filter("split = 'train'")
+    numeric, text = training.model_columns(data, {"split", "family"})
+    model = training.fit_features(train, numeric, text)
+    from pyspark.ml.functions import vector_to_array
+
+    v = vector_to_array("features")
+    return model.transform(data).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.size(v)).alias("width"), F.count_if(F.exists(v, F.isnan)).alias("n_nan"))
+
+
+@query("train_boosted_trees", None)
+def _(t):
+    return rounded(metrics.ranking_metrics(training.train_and_score(modelling(t), params=PARAMS, keep=["family"]), "y_true", "p_raw", ["split"]))
+
+
+@query("param_search", None)
+def _(t):
+    return training.param_search(modelling(t), trials=2, max_iter=2, keep=["family"])[1]
+
+
+@query("score_predictions", None)
+def _(t):
+    return training.train_and_score(modelling(t), params=PARAMS, keep=["family"])
+
+
+@query("isotonic_calibration", None)
+def _(t):
+    model = training.fit_isotonic(t.pred.filter("split = 'val'"))
+    return training.apply_isotonic(model, t.pred.filter("split = 'test'").select("key", "y", "p"))
+
+
+# violations of monotonicity over the distinct scores: there must be none
+@query("isotonic_monotone", "SELECT 0::BIGINT n_decreasing, 0::BIGINT n_outside, count(DISTINCT p) n_scores FROM @pred")
+def _(t):
+    model = training.fit_isotonic(t.pred.filter("split = 'val'"))
+    out = training.apply_isotonic(model, t.pred.select("p").distinct())
+    run = running_sums(out.withColumn("one", F.lit(1)), "p", ["one"]).select(
+        (C("one_before")).alias("i"), "p_calibrated")
+    prev = run.select((C("i") + 1).alias("i"), C("p_calibrated").alias("before"))
+    both = run.join(prev, "i", "left")
+    return both.agg(F.count_if(C("p_calibrated") < C("before") - 1e-12).alias("n_decreasing"),
+                    F.count_if(~C("p_calibrated").between(0, 1)).alias("n_outside"), F.count(F.lit(1)).alias("n_scores"))
+
+
+@query("platt_calibration", None)
+def _(t):
+    model = training.fit_platt(t.pred.filter("split = 'val'"))
+    return training.apply_platt(model, t.pred.filter("split = 'test'").select("key", "y", "p"))
+
+
+@query("decomposition_table", None)
+def _(t):
+    return training.decomposition_table(t.pred.filter("split = 'val'").select("y", "p"), t.pred.filter("split = 'test'").select("y", "p"))
+
+
+GROUPS = {"measures": ("quantity", "price", "discount"), "categories": ("category", "status")}
+
+
+@query("feature_ablation", None)
+def _(t):
+    return training.feature_ablation(cut_lineage(modelling(t)), GROUPS, replicates=40, params=PARAMS, keep=["family"])
+
+
+@query("single_group_models", None)
+def _(t):
+    return training.single_group_models(cut_lineage(modelling(t)), GROUPS, params=PARAMS, keep=["family"])
+
+
+@query("learning_curve", None)
+def _(t):
+    return training.learning_curve(cut_lineage(modelling(t)), (0.10, 1.00), params=PARAMS, keep=["family"])
+
+
+@query("strict_vs_balanced", None)
+def _(t):
+    data = cut_lineage(modelling(t))
+    train = data.filter("split = 'train'")
+    numeric, text = training.model_columns(data, {"split", "family"})
+    features = training.fit_features(train, numeric, text)
+    model = training.train_boosted_trees(features.transform(train), features.transform(data.filter("split = 'val'")), params=PARAMS)
+    test = data.filter("split = 'test'")
+    return training.score_versions(model, features, {"strict": test.filter("price is not null and category is not null"), "balanced": test})

@@ -15,7 +15,7 @@ from helixframe.constants import CLASS_NAMES, Z_95
 from helixframe.functions.residues import aa_class
 from helixframe.operators.metrics import guarded_ranking, ranking_metrics, rate
 from helixframe.operators.ordered import exact_quantiles, mid_ranks, ordinal_ranks, running_sums
-from helixframe.operators.resampling import bootstrap_metrics
+from helixframe.operators.resampling import bootstrap_metrics, paired_bootstrap_delta
 
 
 @F.pandas_udf(DoubleType())
@@ -108,6 +108,41 @@ def holm_adjust(df: DataFrame, p="p_value", metric="metric", order: Sequence[str
     )
 
 
+def pairwise_tests(
+    df, pairs: Sequence[tuple[str, str]], y="y", replicates=1000, seed=42, placeholders: Sequence[tuple[str, str, str]] = ()
+) -> DataFrame:
+    """One DeLong row and one paired-bootstrap row per score pair, Holm-adjusted per metric.
+
+    Rows must carry every score of a pair. `placeholders` are (a, b, reason) pairs that cannot be
+    run and are kept as rows with a status.
+    """
+    rows = F.array(
+        *[
+            F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"),
+                     F.col(a).cast("double").alias("p_a"), F.col(b).cast("double").alias("p_b"))
+            for a, b in pairs
+        ]
+    )
+    long = df.select(y, F.explode(rows).alias("r")).select(y, "r.*")
+    keys = ["model_a", "model_b"]
+    roc = delong_test(long, y, groups=keys).select(
+        *keys, F.lit("roc_auc").alias("metric"), F.col("auc1").alias("estimate_a"), F.col("auc2").alias("estimate_b"),
+        "delta", F.col("delta_ci_lo").alias("ci_lo"), F.col("delta_ci_hi").alias("ci_hi"), "p_value",
+    )
+    pr = paired_bootstrap_delta(
+        long, y, groups=keys, replicates=replicates, seed=seed, metrics=("pr_auc",), alternative="two-sided-complement"
+    ).select(*keys, "metric", "estimate_a", "estimate_b", "delta", "ci_lo", "ci_hi", "p_value")
+    out = holm_adjust(roc.unionByName(pr), order=keys).withColumn("status", F.lit("computed"))
+    if placeholders:
+        missing = df.sparkSession.createDataFrame(list(placeholders), "model_a string, model_b string, status string")
+        names = F.explode(F.array(F.lit("roc_auc"), F.lit("pr_auc"))).alias("metric")
+        out = out.unionByName(
+            missing.select("model_a", "model_b", names, F.concat(F.lit("not-computed: "), "status").alias("status")),
+            allowMissingColumns=True,
+        )
+    return out
+
+
 def rank_pct(df: DataFrame, score: str, out: str, groups=()) -> DataFrame:
     """Average rank divided by the number of scored rows; NULL stays NULL."""
     ranked = mid_ranks(df, score, groups, "_rk")
@@ -135,7 +170,7 @@ def fusion_sweep(ranked: DataFrame, y="y", first="r1", second="r2", alphas=None)
     alphas = alpha_grid() if alphas is None else alphas
     grid = F.explode(F.array(*[F.lit(a) for a in alphas])).alias("alpha")
     rows = ranked.select(y, first, second, grid).select(
-        "alpha", y, F.round(fuse(F.col(first), F.col(second), F.col("alpha")), 12).alias("fused")
+        "alpha", y, fuse(F.col(first), F.col(second), F.col("alpha")).alias("fused")
     )
     return ranking_metrics(rows, y, "fused", ["alpha"])
 
@@ -156,8 +191,8 @@ def rank_fusion(df, key, y="y", first="p", second="s", second_higher_is_positive
     models = F.array(
         F.struct(F.lit("first").alias("model"), F.col(first).cast("double").alias("v"), F.lit(None).cast("double").alias("alpha")),
         F.struct(F.lit("second").alias("model"), F.coalesce(F.col("_s2"), F.lit(middle)).cast("double").alias("v"), F.lit(None).cast("double").alias("alpha")),
-        F.struct(F.lit("fusion_uniform").alias("model"), F.round(fuse(F.col("r1"), F.col("r2"), 0.5), 12).alias("v"), F.lit(0.5).alias("alpha")),
-        F.struct(F.lit("fusion_tuned").alias("model"), F.round(fuse(F.col("r1"), F.col("r2"), alpha), 12).alias("v"), F.lit(alpha).alias("alpha")),
+        F.struct(F.lit("fusion_uniform").alias("model"), fuse(F.col("r1"), F.col("r2"), 0.5).alias("v"), F.lit(0.5).alias("alpha")),
+        F.struct(F.lit("fusion_tuned").alias("model"), fuse(F.col("r1"), F.col("r2"), alpha).alias("v"), F.lit(alpha).alias("alpha")),
     )
     long = held.select(y, F.explode(models).alias("m")).select(y, "m.model", "m.v", "m.alpha")
     scored = ranking_metrics(long, y, "v", ["model"])

@@ -102,10 +102,12 @@ def stratified_sample(df: DataFrame, k: int, key: str, label="label", seed=42) -
 
 
 def group_subsample(df: DataFrame, group: str, fraction: float, seed=42) -> DataFrame:
-    """All rows of a seeded share of the groups (at least one group)."""
+    """All rows of a seeded share of the groups (at least one group, counts rounded half-even)."""
+    if fraction >= 1.0:
+        return df
     ranked = hash_ranks(df.select(group).distinct(), group, seed)
     kept = ranked.filter(
-        F.col("hash_rank") <= F.greatest(F.lit(1), F.floor(F.lit(fraction) * F.col("hash_rank_n")))
+        F.col("hash_rank") <= F.greatest(F.lit(1.0), F.bround(F.lit(float(fraction)) * F.col("hash_rank_n")))
     )
     return df.join(kept.select(group), group, "left_semi")
 
