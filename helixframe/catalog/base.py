@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe import constants as K
+from helixframe.session import spread
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
@@ -142,6 +143,11 @@ def role_sql(name: str) -> str:
     return f"(SELECT {cols} FROM {table}" + (f" WHERE {where})" if where else ")")
 
 
+SPREAD_KEYS = {
+    "lineitem": ("l_orderkey", "l_partkey", "l_linenumber"), "orders": ("o_orderkey",), "events": ("event_id",), "documents": ("doc_id",),
+}
+
+
 class Tables:
     """Given tables and derived roles of one scale-factor folder, read lazily by name."""
 
@@ -154,7 +160,8 @@ class Tables:
             df = getattr(self, table)
             df = df.filter(where) if where else df
             return df.selectExpr(*[f"{e} as `{c}`" for c, e in exprs.items()])
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
 
 
 def expand(sql: str) -> str:

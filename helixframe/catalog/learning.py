@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.catalog.base import R, query, rounded
+from helixframe.catalog.evaluation import CLIP, brier_sql
 from helixframe.operators import metrics
 from helixframe.operators.ordered import running_sums
 from helixframe.plans import training
@@ -68,10 +69,27 @@ def _(t):
     return training.train_and_score(modelling(t), params=PARAMS, keep=["family"])
 
 
-@query("isotonic_calibration", None)
+# Isotonic fit by the max-min formula over all runs of distinct validation scores.
+ISO = """iso_c AS MATERIALIZED (SELECT p x, row_number() OVER (ORDER BY p) i, sum(sum(y)) OVER (ORDER BY p) cy, sum(count(*)) OVER (ORDER BY p) cn, sum(y) sy, count(*) sn FROM @pred WHERE split = 'val' GROUP BY p),
+      iso_m AS (SELECT j.i j, k.i k, min((k.cy - j.cy + j.sy) / (k.cn - j.cn + j.sn)) OVER (PARTITION BY j.i ORDER BY k.i DESC) m FROM iso_c j JOIN iso_c k ON k.i >= j.i),
+      iso AS MATERIALIZED (SELECT c.x, max(m) g FROM iso_c c JOIN (SELECT k, max(m) OVER (PARTITION BY k) m FROM iso_m) q ON q.k = c.i GROUP BY c.x)"""
+ISO_AT = "CASE WHEN lo.x IS NULL THEN hi.g WHEN hi.x IS NULL OR hi.x = lo.x THEN lo.g ELSE lo.g + (hi.g - lo.g) * (s.p - lo.x) / (hi.x - lo.x) END"
+ISO_JOIN = "ASOF LEFT JOIN iso lo ON s.p >= lo.x ASOF LEFT JOIN iso hi ON s.p <= hi.x"
+
+
+@query("fit_isotonic", f"WITH {ISO} SELECT x AS score, {R('g', 6)} fitted FROM iso")
+def _(t):
+    val = t.pred.filter("split = 'val'")
+    model = training.fit_isotonic(val)
+    fitted = training.apply_isotonic(model, val.select("p").distinct(), out="fitted")
+    return fitted.select(C("p").alias("score"), (F.round("fitted", 6) + F.lit(0.0)).alias("fitted"))
+
+
+@query("apply_isotonic", f"WITH {ISO} SELECT s.key, s.y, {R(ISO_AT, 6)} p_calibrated FROM (SELECT * FROM @pred WHERE split = 'test') s {ISO_JOIN}")
 def _(t):
     model = training.fit_isotonic(t.pred.filter("split = 'val'"))
-    return training.apply_isotonic(model, t.pred.filter("split = 'test'").select("key", "y", "p"))
+    out = training.apply_isotonic(model, t.pred.filter("split = 'test'").select("key", "y", "p"))
+    return rounded(out.drop("p"), 6)
 
 
 # violations of monotonicity over the distinct scores: there must be none
@@ -87,15 +105,39 @@ def _(t):
                     F.count_if(~C("p_calibrated").between(0, 1)).alias("n_outside"), F.count(F.lit(1)).alias("n_scores"))
 
 
-@query("platt_calibration", None)
+# Newton steps for the two coefficients; the slope carries the unit L2 term.
+PLATT = """WITH RECURSIVE pc AS MATERIALIZED (SELECT p x, cast(y AS DOUBLE) y, cast(count(*) AS DOUBLE) n FROM @pred WHERE split = 'val' GROUP BY ALL),
+      st AS (SELECT 0 i, cast(0 AS DOUBLE) a, cast(0 AS DOUBLE) b UNION ALL
+        SELECT i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+          SELECT any_value(i) i, any_value(a) a, any_value(b) b, any_value(a) + sum(n * (q - y) * x) ga, sum(n * (q - y)) gb, 1 + sum(n * q * (1 - q) * x * x) haa, sum(n * q * (1 - q) * x) hab, sum(n * q * (1 - q)) hbb
+          FROM (SELECT st.i, st.a, st.b, pc.*, 1 / (1 + exp(-(st.a * pc.x + st.b))) q FROM st, pc WHERE st.i < 12)) WHERE i IS NOT NULL),
+      coef AS MATERIALIZED (SELECT a, b FROM st ORDER BY i DESC LIMIT 1)"""
+
+
+@query("fit_platt", f"{PLATT} SELECT {R('a', 4)} slope, {R('b', 4)} intercept FROM coef")
 def _(t):
     model = training.fit_platt(t.pred.filter("split = 'val'"))
-    return training.apply_platt(model, t.pred.filter("split = 'test'").select("key", "y", "p"))
+    n = t.pred.filter("split = 'val'").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(n.select(F.lit(float(model.coefficients[0])).alias("slope"), F.lit(float(model.intercept)).alias("intercept")), 4)
+
+
+@query("apply_platt", f"{PLATT} SELECT y, count(*) n, {R('avg(1 / (1 + exp(-(a * p + b))))', 5)} mean_p, {R('max(1 / (1 + exp(-(a * p + b))))', 5)} max_p FROM @pred, coef WHERE split = 'test' GROUP BY y")
+def _(t):
+    model = training.fit_platt(t.pred.filter("split = 'val'"))
+    out = training.apply_platt(model, t.pred.filter("split = 'test'").select("key", "y", "p"))
+    return rounded(out.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.avg("p_platt").alias("mean_p"), F.max("p_platt").alias("max_p")), 5)
+
+
+CAL_LONG = f"(SELECT split, y, calibrator, split || calibrator sc, CASE calibrator WHEN 'raw' THEN s.p WHEN 'platt' THEN 1 / (1 + exp(-(a * s.p + b))) ELSE {ISO_AT} END pv FROM (SELECT * FROM @pred WHERE split <> 'train') s {ISO_JOIN}, coef, (SELECT unnest(['raw', 'platt', 'isotonic']) calibrator))"
+CAL_OUT = ", ".join(f"{R(c, 4)} {c}" for c in ("brier", "reliability", "resolution", "uncertainty", "ece", "mce"))
 
 
-@query("decomposition_table", None)
+@query("decomposition_table", f"""{PLATT}, {ISO}, cl AS MATERIALIZED (SELECT * FROM {CAL_LONG})
+    SELECT l.calibrator, l.split, b.n, {CAL_OUT}, {R('l.loss', 4)} log_loss FROM {brier_sql('cl', 'y', 'pv', 'sc')} b
+    JOIN (SELECT sc, any_value(split) split, any_value(calibrator) calibrator, avg(CASE WHEN y = 1 THEN -ln({CLIP.format(p='pv')}) ELSE -ln(1 - {CLIP.format(p='pv')}) END) loss FROM cl GROUP BY sc) l USING (sc)""")
 def _(t):
-    return training.decomposition_table(t.pred.filter("split = 'val'").select("y", "p"), t.pred.filter("split = 'test'").select("y", "p"))
+    out = training.decomposition_table(t.pred.filter("split = 'val'").select("y", "p"), t.pred.filter("split = 'test'").select("y", "p"))
+    return rounded(out.drop("residual"), 4)
 
 
 GROUPS = {"measures": ("quantity", "price", "discount"), "categories": ("category", "status")}

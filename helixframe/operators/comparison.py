@@ -16,6 +16,7 @@ from helixframe.functions.residues import aa_class
 from helixframe.operators.metrics import guarded_ranking, ranking_metrics, rate
 from helixframe.operators.ordered import exact_quantiles, mid_ranks, ordinal_ranks, running_sums
 from helixframe.operators.resampling import bootstrap_metrics, paired_bootstrap_delta
+from helixframe.session import cut_lineage
 
 
 @F.pandas_udf(DoubleType())
@@ -184,6 +185,8 @@ def rank_fusion(df, key, y="y", first="p", second="s", second_higher_is_positive
     sign = F.col(second) if second_higher_is_positive else -F.col(second)
     rows = df.filter(F.col("split").isin(tune, test)).withColumn("_s2", sign)
     ranked = rank_neutral(rank_neutral(rows, first, key, "r1", ["split"]), "_s2", key, "r2", ["split"])
+    # ranks feed the sweep, the tuned model and the median: compute them once
+    ranked = cut_lineage(ranked.select("split", y, first, "_s2", "r1", "r2"))
     sweep = fusion_sweep(ranked.filter(F.col("split") == tune), y)
     alpha = float(best_alpha(sweep).first()[0])
     held = ranked.filter(F.col("split") == test)

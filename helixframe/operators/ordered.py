@@ -18,6 +18,12 @@ from pyspark.sql import functions as F
 
 CELLS_PER_WINDOW = 1_000_000
 MAX_BLOCKS = 20_000
+SMALL_PLAN_BYTES = 32 * 1024 * 1024
+
+
+def _planned_bytes(df: DataFrame) -> int:
+    """Size estimate of the plan; it lets small inputs skip the counting job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def value_splits(cells: DataFrame, value: str, limit: int | None = None) -> list[float]:
@@ -27,6 +33,8 @@ def value_splits(cells: DataFrame, value: str, limit: int | None = None) -> list
     as literals makes every later pass agree on the blocks, also after task retries.
     """
     limit = CELLS_PER_WINDOW if limit is None else limit
+    if limit >= CELLS_PER_WINDOW and _planned_bytes(cells) <= SMALL_PLAN_BYTES:
+        return []
     distinct = cells.agg(F.approx_count_distinct(value)).first()[0]
     if distinct <= limit:
         return []
@@ -201,24 +209,51 @@ def hash_ranks(df: DataFrame, key: str, seed: int, groups=(), out: str = "hash_r
     )
 
 
-def ordinal_ranks(df: DataFrame, value: str, key: str, groups=(), out: str = "rank_ordinal") -> DataFrame:
-    """0-based ordinal rank; ties follow the md5 of the key. NULL values get NULL.
+def block_cuts(rows: DataFrame, value: str, limit: int) -> tuple[list[float], list[float]]:
+    """(cut points, hot values) for about `limit` rows per block.
+
+    A value that fills more than a block by itself is isolated between two cut points, so that
+    callers can spread it by a hash. Only bounded lists of numbers reach the driver.
+    """
+    total = rows.count()
+    if total <= limit:
+        return [], []
+    n_blocks = min(MAX_BLOCKS, math.ceil(2 * total / limit))
+    wanted = [i / n_blocks for i in range(1, n_blocks)]
+    cuts = rows.agg(F.percentile_approx(F.col(value).cast("double"), wanted, 10 * n_blocks)).first()[0]
+    hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    return sorted({float(c) for c in cuts} | {math.nextafter(h, math.inf) for h in hot}), hot
+
+
+def ordinal_ranks(
+    df: DataFrame, value: str, key: str, groups=(), out: str = "rank_ordinal", limit: int = CELLS_PER_WINDOW
+) -> DataFrame:
+    """0-based ordinal rank of non-null values, plus `<out>_n` their count; ties follow the md5 of
+    the key and NULL values get NULL.
 
-    A hot value is spread over 4096 hash blocks, so its tie-break never runs in one task.
+    Rows are ordered inside value blocks and shifted by the counts of earlier blocks. A hot value
+    is further cut into 4096 hash blocks, so no task sorts more than a block.
     """
     groups = list(groups)
-    present = df.filter(F.col(value).isNotNull()).select(*groups, value, key)
-    ranked = running_sums(value_cells(present, value, groups), value, ["n"], groups)
-    ties = hash_ranks(present, key, 0, [*groups, value], "_tie")
-    full = ties.join(
-        ranked.select(*groups, value, "n_before", "n_total"), [*groups, value]
-    ).select(
-        *[F.col(g).alias(f"_{g}") for g in groups],
-        F.col(key).alias("_key"),
-        (F.col("n_before") + F.col("_tie") - 1).alias(out),
-        F.col("n_total").alias(f"{out}_n"),
-    )
-    on = F.col(key) == F.col("_key")
-    for g in groups:
-        on = on & (F.col(g) == F.col(f"_{g}"))
-    return df.join(full, on, "left").drop("_key", *[f"_{g}" for g in groups])
+    shaped = df.withColumns({"_h": hash_order(F.col(key), 0), "_null": F.col(value).isNull()})
+    splits, hot = block_cuts(df.filter(F.col(value).isNotNull()), value, limit)
+    shaped = with_block(shaped, value, splits) if splits else shaped.withColumn("_block", F.lit(0))
+    is_hot = F.coalesce(F.col(value).isin(*hot), F.lit(False)) if hot else F.lit(False)
+    shaped = shaped.withColumn("_part", F.when(is_hot, F.substring("_h", 1, 3)).otherwise(""))
+    keys = [*groups, "_null", "_block", "_part"]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(value, "_h", key)) - 1
+    if not splits:
+        ranked = shaped.withColumns({out: place, f"{out}_n": F.count(value).over(_over([*groups, "_null"]))})
+    else:
+        whole = _over([*groups, "_null"])
+        earlier = whole.orderBy("_block", "_part").rowsBetween(W.unboundedPreceding, -1)
+        offsets = shaped.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).select(
+            *keys,
+            F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_off"),
+            F.sum("_k").over(whole).alias(f"{out}_n"),
+        )
+        ranked = shaped.withColumn("_in", place).join(offsets, keys).withColumn(out, F.col("_in") + F.col("_off"))
+    present = ~F.col("_null")
+    return ranked.withColumns(
+        {c: F.when(present, F.col(c)) for c in (out, f"{out}_n")}
+    ).select(*df.columns, out, f"{out}_n")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -234,55 +236,79 @@ def group_stats_topk(df: DataFrame, group="gene", label="label", k=20) -> DataFr
     )
 
 
+def pairwise_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """n, sums, squares and products of every column pair over rows where both are present.
+
+    One matrix product per Arrow batch: with m the presence mask and x the values (0 where
+    missing), the sums of all pairs are entries of m'm, x'm, (x*x)'m and x'x. Each task returns
+    a single row, a second round adds the task rows up in parallel.
+    """
+    k = len(columns)
+    shaped = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    # any fixed shift keeps r unchanged; the means keep the sums well conditioned
+    centre = [v or 0.0 for v in shaped.agg(*[F.avg(f"v{i}") for i in range(k)]).first()]
+    upper = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    left, right = [i for i, _ in upper], [j for _, j in upper]
+
+    def products(batches):
+        total = np.zeros((6, len(upper)))
+        for pdf in batches:
+            x = pdf.to_numpy(float) - np.array(centre)
+            m = ~np.isnan(x)
+            x = np.where(m, x, 0.0)
+            m = m.astype(float)
+            xm, qm = x.T @ m, (x * x).T @ m
+            total += np.stack([
+                (m.T @ m)[left, right], xm[left, right], xm[right, left],
+                qm[left, right], qm[right, left], (x.T @ x)[left, right],
+            ])
+        yield pd.DataFrame({"sums": [total.ravel()]})
+
+    def add(batches):
+        total = np.zeros(6 * len(upper))
+        for pdf in batches:
+            for row in pdf["sums"]:
+                total += row
+        yield pd.DataFrame({"sums": [total]})
+
+    schema = "sums array<double>"
+    per_task = shaped.mapInPandas(products, schema)
+    added = per_task.repartition(df.sparkSession.sparkContext.defaultParallelism).mapInPandas(add, schema)
+    cells = added.select(F.posexplode("sums").alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value"))
+    pair, which = F.col("at") % len(upper), F.floor(F.col("at") / len(upper))
+    names = ("n", "x", "y", "xx", "yy", "xy")
+    return cells.groupBy(pair.alias("pair")).agg(
+        *[F.max(F.when(which == s, F.col("value"))).alias(n) for s, n in enumerate(names)]
+    )
+
+
 def correlation_pairs(
     df: DataFrame, columns: Sequence[str], threshold: float | None = 0.95
 ) -> DataFrame:
     """Pearson r of every column pair over rows where both are present.
 
-    All sums of all pairs come from one aggregate; values are centred on the column means first
-    so that the sums stay well conditioned. Constant columns give NULL. `suggest_drop` names the
-    column with more missing values, else the later name.
+    Constant columns give no row. `suggest_drop` names the column with more missing values, else
+    the later name.
     """
     columns = list(columns)
-    shaped = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    k = len(columns)
-    centre = shaped.agg(*[F.avg(f"v{i}").alias(f"m{i}") for i in range(k)])
-    rows = shaped.join(F.broadcast(centre), F.lit(True)).select(
-        *[(F.col(f"v{i}") - F.col(f"m{i}")).alias(f"v{i}") for i in range(k)]
-    )
-    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    aggs = [F.count(F.lit(1)).alias("_n")] + [F.count(f"v{i}").alias(f"_c{i}") for i in range(k)]
-    for i, j in pairs:
-        x, y = F.col(f"v{i}"), F.col(f"v{j}")
-        both = x.isNotNull() & y.isNotNull()
-        aggs += [
-            F.count_if(both).alias(f"n_{i}_{j}"),
-            F.sum(F.when(both, x)).alias(f"x_{i}_{j}"),
-            F.sum(F.when(both, y)).alias(f"y_{i}_{j}"),
-            F.sum(F.when(both, x * x)).alias(f"xx_{i}_{j}"),
-            F.sum(F.when(both, y * y)).alias(f"yy_{i}_{j}"),
-            F.sum(F.when(both, x * y)).alias(f"xy_{i}_{j}"),
-        ]
-    wide = rows.agg(*aggs)
-    cells = []
-    for i, j in pairs:
-        g = {s: F.col(f"{s}_{i}_{j}") for s in ("n", "x", "y", "xx", "yy", "xy")}
-        miss = [(F.col("_n") - F.col(f"_c{c}")) * 100.0 / F.col("_n") for c in (i, j)]
-        later = max(columns[i], columns[j])
-        cells.append(
-            F.struct(
-                F.lit(columns[i]).alias("feature_1"),
-                F.lit(columns[j]).alias("feature_2"),
-                pearson(g["n"], g["x"], g["y"], g["xx"], g["yy"], g["xy"]).alias("correlation"),
-                F.round(miss[0], 4).alias("feature_1_missing_pct"),
-                F.round(miss[1], 4).alias("feature_2_missing_pct"),
-                F.when(miss[0] > miss[1], columns[i]).when(miss[1] > miss[0], columns[j])
-                .otherwise(later).alias("suggest_drop"),
-            )
-        )
-    out = wide.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
-    out = out.filter(F.col("correlation").isNotNull())
-    return out if threshold is None else out.filter(F.abs("correlation") > threshold)
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    names = F.array(*[F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2")) for a, b in pairs])
+    r = pearson(*[F.col(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    out = pairwise_sums(df, columns).select(
+        F.get(names, F.col("pair").cast("int")).alias("p"), r.alias("correlation")
+    ).select("p.*", "correlation").filter(F.col("correlation").isNotNull())
+    if threshold is not None:
+        out = out.filter(F.abs("correlation") > threshold)
+    miss = missing_pct(df, columns).select("column", F.round("missing_pct", 4).alias("m"))
+    for i in ("1", "2"):
+        named = miss.select(F.col("column").alias(f"feature_{i}"), F.col("m").alias(f"feature_{i}_missing_pct"))
+        out = out.join(F.broadcast(named), f"feature_{i}")
+    m1, m2 = F.col("feature_1_missing_pct"), F.col("feature_2_missing_pct")
+    later = F.greatest("feature_1", "feature_2")
+    return out.select(
+        "feature_1", "feature_2", "correlation", m1, m2,
+        F.when(m1 > m2, F.col("feature_1")).when(m2 > m1, F.col("feature_2")).otherwise(later).alias("suggest_drop"),
+    )
 
 
 def pearson(n, sx, sy, sxx, syy, sxy) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.scores import clip_prob
 from helixframe.operators.metrics import matthews, ranking_metrics, rate
-from helixframe.operators.ordered import MAX_BLOCKS, mid_ranks, with_block
+from helixframe.operators.ordered import block_cuts, mid_ranks, with_block
 
 PRIME = 2**31 - 1
 BLOCK_CELLS = 50_000
@@ -110,19 +110,6 @@ def _weights(pdf: pd.DataFrame, coef: np.ndarray) -> np.ndarray:
 
 # ---- cells and blocks -----------------------------------------------------------------------
 
-def _block_cuts(tracks: DataFrame, limit: int) -> tuple[list[float], list[float]]:
-    """(cut points, hot scores): blocks of about `limit` cells; a score that fills more than a
-    block by itself is isolated so that it can be salted."""
-    total = tracks.count()
-    if total <= limit:
-        return [], []
-    n_blocks = min(MAX_BLOCKS, math.ceil(2 * total / limit))
-    wanted = [i / n_blocks for i in range(1, n_blocks)]
-    cuts = tracks.agg(F.percentile_approx("score", wanted, 10 * n_blocks)).first()[0]
-    hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
-    return sorted({float(c) for c in cuts} | {float(np.nextafter(h, np.inf)) for h in hot}), hot
-
-
 def _tracks(df: DataFrame, y: str, scores: dict[str, str], groups: Sequence[str]) -> DataFrame:
     """Long cells (groups, track, score, y, n, h1, h2); every track of a cell shares h1, h2."""
     present = F.col(y).isNotNull()
@@ -203,7 +190,7 @@ def replicate_metrics(
     keys = [*groups, "track"]
     coef = coefficients(seed, replicates)
     tracks = _tracks(df, y, scores, groups)
-    splits, hot = _block_cuts(tracks, block_cells)
+    splits, hot = block_cuts(tracks, "score", block_cells)
     tracks = with_block(tracks, "score", splits)
     is_hot = F.col("score").isin(*hot) if hot else F.lit(False)
     tracks = tracks.withColumns(

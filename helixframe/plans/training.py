@@ -87,6 +87,8 @@ def clean_model_inputs(df: DataFrame, numeric, categorical, medians: dict[str, f
 
 def train_medians(df: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
     """Exact medians of finite values; one row per column reaches the driver."""
+    if not numeric:
+        return {}
     shaped = df.select(*[finite(F.col(f"`{c}`").cast("double")).alias(c) for c in numeric])
     return {r["column"]: r["q0"] for r in column_quantiles(shaped, list(numeric), [0.5]).collect()}
 
@@ -229,13 +231,12 @@ def train_and_score(data: DataFrame, drop: Sequence[str] = (), key="variant_key"
 
     `data` carries `split`. Columns in `drop` are left out of the model.
     """
-    train = data.filter(F.col("split") == "train")
-    val = data.filter(F.col("split") == "val")
     numeric, text = model_columns(data, {"split", "family", key, label, *drop, *keep})
-    features = fit_features(train, numeric, text)
-    model = train_boosted_trees(features.transform(train), features.transform(val), label, params, seed)
-    held = data.filter(F.col("split").isin("val", "test"))
-    raw = score_rows(model, features.transform(held)).select(
+    features = fit_features(data.filter(F.col("split") == "train"), numeric, text)
+    ready = cut_lineage(features.transform(data).select(key, "split", *keep, label, "features"))
+    rows = {s: ready.filter(F.col("split") == s) for s in ("train", "val")}
+    model = train_boosted_trees(rows["train"], rows["val"], label, params, seed)
+    raw = score_rows(model, ready.filter(F.col("split").isin("val", "test"))).select(
         key, "split", *keep, F.col(label).alias("y_true"), "p_raw"
     )
     raw = cut_lineage(raw)

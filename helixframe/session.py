@@ -39,3 +39,13 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint only after counting; a larger table is left to the shuffle join."""
     over = df.select(F.lit(1)).limit(max_rows + 1).count() > max_rows
     return df if over else F.broadcast(df)
+
+
+def spread(df: DataFrame, keys) -> DataFrame:
+    """Redistribute an input of fewer files than cores (one gzip file, one row group).
+
+    Such a file is a single task however large the cluster is. Inputs with enough files are
+    returned unchanged, so a large table is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
