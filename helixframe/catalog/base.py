@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe import constants as K
-from helixframe.session import spread
+from helixframe.session import spread, tune
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
@@ -152,7 +152,7 @@ class Tables:
     """Given tables and derived roles of one scale-factor folder, read lazily by name."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = tune(spark), sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in ROLES:

@@ -93,22 +93,20 @@ def review_stars(c: Column) -> Column:
     )
 
 
+def _lookup(c: Column, pairs) -> Column:
+    """Literal-map lookup: the input expression is evaluated once, however many keys there are."""
+    cells = [F.lit(x) for pair in pairs for x in pair]
+    return F.try_element_at(F.create_map(*cells), c)
+
+
 def canonical_label(c: Column, labels=POSITIVE_LABELS + NEGATIVE_LABELS) -> Column:
     """Kept significance in its canonical spelling, NULL for anything else."""
-    t = norm_text(c)
-    out = F.lit(None).cast("string")
-    for name in reversed(labels):
-        out = F.when(t == name.lower(), F.lit(name)).otherwise(out)
-    return out
+    return _lookup(norm_text(c), [(name.lower(), name) for name in labels])
 
 
 def binary_label(c: Column, positive=POSITIVE_LABELS, negative=NEGATIVE_LABELS) -> Column:
-    t = norm_text(c)
-    return (
-        F.when(t.isin(*[p.lower() for p in positive]), 1)
-        .when(t.isin(*[n.lower() for n in negative]), 0)
-        .cast("tinyint")
-    )
+    pairs = [(n.lower(), 1) for n in positive] + [(n.lower(), 0) for n in negative]
+    return _lookup(norm_text(c), pairs).cast("tinyint")
 
 
 def has_consequence(c: Column, target: str = CONSEQUENCE) -> Column:

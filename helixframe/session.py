@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_MAX_ROWS = 2_000_000
+HOTSPOT_METHOD_BYTES = "8000"
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings that suit wide cleaning expressions.
+
+    HotSpot never compiles methods above 8000 bytes of bytecode, so a larger generated stage
+    would run interpreted; below the limit Spark keeps whole-stage code, above it falls back to
+    per-expression code that is compiled.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", HOTSPOT_METHOD_BYTES)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
