@@ -87,7 +87,7 @@ def _(t):
 
 def bins_sql(src: str, y: str, p: str, groups: str, n_bins=15, uniform=False) -> str:
     """Cells of `src` with bin statistics; `groups` is a comma list."""
-    inner = "[" + ", ".join(f"{i}e0 / {n_bins}" for i in range(1, n_bins)) + "]"
+    inner = "[" + ", ".join(f"{e!r}e0" for e in metrics.even_grid(n_bins)[1:-1]) + "]"
     edges = f"SELECT {groups}, {inner} inner_edges FROM {src} GROUP BY ALL" if uniform else f"SELECT {groups}, quantile_cont({CLIP.format(p=p)}, {inner}) inner_edges FROM {src} GROUP BY {groups}"
     return f"""(SELECT {groups}, bin, any_value(inner_edges) inner_edges, count(*) n, avg(c) mp, avg(yy) my FROM (
         SELECT {groups}, {y} yy, {CLIP.format(p=p)} c, inner_edges, cast(len(list_filter(inner_edges, lambda e: e <= {CLIP.format(p=p)})) AS INTEGER) bin FROM {src} JOIN ({edges}) USING ({groups})) GROUP BY {groups}, bin)"""

@@ -216,6 +216,12 @@ def operating_points(df, y="y", score="p", targets=OPERATING_TARGETS, groups=())
     )
 
 
+def even_grid(n_bins: int) -> list[float]:
+    """0, 1/n, ..., 1 as multiples of the step (the usual floating-point linear grid)."""
+    step = 1.0 / n_bins
+    return [i * step for i in range(n_bins)] + [1.0]
+
+
 def probability_cells(df, y, score, groups) -> DataFrame:
     cells = score_cells(df.withColumn("_p", clip_prob(F.col(score))), y, "_p", groups)
     return cells.withColumn("n", F.col("pos") + F.col("neg"))
@@ -232,14 +238,14 @@ def reliability_bins(df, y="y", score="p", n_bins=N_BINS, strategy="quantile", g
         return reliability_bins(keyed, y, score, n_bins, strategy, ["_all"]).drop("_all")
     cells = probability_cells(df, y, score, groups)
     if strategy == "quantile":
-        inner = [i / n_bins for i in range(1, n_bins)]
+        inner = even_grid(n_bins)[1:-1]
         edges = exact_quantiles(cells, "score", inner, groups, cells=cells).select(
             *groups,
             F.array(F.lit(0.0), *[F.col(f"q{i}") for i in range(n_bins - 1)], F.lit(1.0)).alias("edges"),
         )
         cells = cells.join(edges, groups)
     else:
-        cells = cells.withColumn("edges", F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)]))
+        cells = cells.withColumn("edges", F.array(*[F.lit(e) for e in even_grid(n_bins)]))
     inside = F.slice("edges", 2, n_bins - 1)
     binned = cells.withColumn("bin", F.size(F.filter(inside, lambda e: e <= F.col("score"))))
     bins = binned.groupBy(*groups, "bin").agg(

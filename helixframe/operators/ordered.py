@@ -46,7 +46,7 @@ def value_splits(cells: DataFrame, value: str, limit: int | None = None) -> list
 
 
 def with_block(df: DataFrame, value: str, splits: Sequence[float], block: str = "_block") -> DataFrame:
-    """Block number of a value: how many cut points are <= value."""
+    """Block number of a value: how many cut points are <= value; -1 for NULL."""
     if not splits:
         return df.withColumn(block, F.lit(0))
     bounds = [-math.inf, *splits, math.inf]
@@ -54,7 +54,7 @@ def with_block(df: DataFrame, value: str, splits: Sequence[float], block: str =
     shaped = df.withColumn(f"{block}_in", F.col(value).cast("double"))
     return (
         cut.transform(shaped)
-        .withColumn(block, F.col(f"{block}_out").cast("int"))
+        .withColumn(block, F.coalesce(F.col(f"{block}_out").cast("int"), F.lit(-1)))
         .drop(f"{block}_in", f"{block}_out")
     )
 
