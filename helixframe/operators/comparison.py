@@ -222,6 +222,8 @@ def grouped_scores(long: DataFrame, groups: Sequence[str], y="y", score="score",
     """Guarded AUC/AP and coverage per group of a long score table, with bootstrap intervals
     when `replicates` > 0."""
     groups = list(groups)
+    if replicates:
+        long = cut_lineage(long.select(*groups, y, score))
     cover = long.groupBy(*groups).agg(F.avg(F.col(score).isNotNull().cast("double")).alias("coverage"))
     out = guarded_ranking(long, y, score, groups).join(cover, groups, "right")
     out = out.withColumns(

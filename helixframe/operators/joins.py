@@ -186,35 +186,43 @@ def gene_lookup_from_rows(train, columns: Sequence[str], order: Sequence[str], g
 def count_within_radius(points, radius=5.0, structure="structure_id", key="pos") -> DataFrame:
     """Neighbours of every point within `radius`, per structure.
 
-    The probe side is 58 rows per point, which size estimates do not see; the merge hint keeps
-    the planner from broadcasting it. Points sharing a coordinate collapse first. Cells have the side radius / sqrt(3): two points
-    of one cell are always neighbours, so they are counted from the cell total and never paired.
-    Points of different cells meet through an equality join on a packed cell number, each pair of
-    cells once (half of the offsets), and a matching pair counts for both ends.
+    Points sharing a coordinate collapse first. Space is cut into cells of side `radius`, each
+    made of eight octants of half that side. Two points of one octant are always neighbours, so
+    they are counted from the octant total and never paired. Other pairs meet once: a point
+    probes the later octants of its own cell and half of the adjacent cells, by equality on a
+    packed cell number, and a match counts for both ends.
+
+    A point sends about 16 probes, which size estimates do not see; the hint keeps the planner
+    from broadcasting or sorting them and hashes the points themselves.
     """
-    side = radius / math.sqrt(3.0)
-    stride = 1 << 20
-
-    def cell(c):
-        return F.floor(F.col(c) / side) + stride // 2
-
-    packed = (cell("x") * stride + cell("y")) * stride + cell("z")
-    spots = points.groupBy(structure, "x", "y", "z").agg(F.count(F.lit(1)).alias("k"))
-    spots = spots.withColumn("cell", packed)
-    totals = spots.groupBy(structure, "cell").agg(F.sum("k").alias("same"))
+    stride, half = 1 << 20, 1 << 19
+    place = {c: F.floor(F.col(c) / radius) for c in "xyz"}
+    cell = sum_packed([place[c] + half for c in "xyz"], stride)
+    upper = [((F.col(c) - place[c] * radius) >= radius / 2).cast("int") for c in "xyz"]
+    spots = (
+        points.groupBy(structure, "x", "y", "z").agg(F.count(F.lit(1)).alias("k"))
+        .withColumns({"cell": cell, "octant": upper[0] * 4 + upper[1] * 2 + upper[2]})
+    )
+    totals = spots.groupBy(structure, "cell", "octant").agg(F.sum("k").alias("same"))
+    whole = 8  # slot under which a point is found by its neighbouring cells
     steps = [
         (i * stride + j) * stride + k
-        for i in range(-2, 3)
-        for j in range(-2, 3)
-        for k in range(-2, 3)
-        if (i, j, k) > (0, 0, 0) and not abs(i) == abs(j) == abs(k) == 2
+        for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)
     ]
-    offsets = F.explode(F.array(*[F.lit(s).cast("bigint") for s in steps]))
-    probes = spots.select(structure, "x", "y", "z", "k", "cell", offsets.alias("step")).select(
-        structure, "x", "y", "z", "k", (F.col("cell") + F.col("step")).alias("cell")
+
+    def probe(step, slot):
+        return F.struct(F.lit(step).cast("bigint").alias("step"), slot.alias("slot"))
+
+    outside = F.array(*[probe(s, F.lit(whole)) for s in steps])
+    inside = F.transform(
+        F.filter(F.array(*[F.lit(o) for o in range(8)]), lambda o: o > F.col("octant")), lambda o: probe(0, o)
     )
-    other = spots.select(
-        structure, "cell", F.col("k").alias("ok"), *[F.col(c).alias(f"o{c}") for c in "xyz"]
+    probes = spots.select(
+        structure, "x", "y", "z", "k", "cell", F.inline(F.concat(outside, inside))
+    ).select(structure, "x", "y", "z", "k", (F.col("cell") + F.col("step")).alias("cell"), "slot")
+    found = spots.select(
+        structure, "cell", F.col("k").alias("ok"), *[F.col(c).alias(f"o{c}") for c in "xyz"],
+        F.explode(F.array(F.col("octant"), F.lit(whole))).alias("slot"),
     )
     distance = sum(((F.col(c) - F.col(f"o{c}")) ** 2 for c in "xyz"), F.lit(0.0))
     ends = F.array(
@@ -222,17 +230,25 @@ def count_within_radius(points, radius=5.0, structure="structure_id", key="pos")
         F.struct(*[F.col(f"o{c}").alias(c) for c in "xyz"], F.col("k").alias("n")),
     )
     across = (
-        probes.join(other.hint("merge"), [structure, "cell"])
+        probes.join(found.hint("shuffle_hash"), [structure, "cell", "slot"])
         .filter(distance <= radius * radius)
         .select(structure, F.inline(ends))
         .groupBy(structure, "x", "y", "z")
         .agg(F.sum("n").alias("across"))
     )
     per_spot = (
-        spots.join(totals, [structure, "cell"])
+        spots.join(totals, [structure, "cell", "octant"])
         .join(across, [structure, "x", "y", "z"], "left")
         .select(structure, "x", "y", "z", (F.col("same") + F.coalesce("across", F.lit(0))).alias("n"))
     )
     return points.join(per_spot, [structure, "x", "y", "z"]).select(
         structure, key, (F.col("n") - 1).alias("neighbors")
     )
+
+
+def sum_packed(parts, stride: int):
+    """Digits in base `stride` as one bigint."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out * stride + p
+    return out

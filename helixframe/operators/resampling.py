@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from helixframe.functions.scores import clip_prob
 from helixframe.operators.metrics import matthews, ranking_metrics, rate
 from helixframe.operators.ordered import block_cuts, mid_ranks, with_block
+from helixframe.session import cut_lineage
 
 PRIME = 2**31 - 1
-BLOCK_CELLS = 50_000
+BLOCK_CELLS = 250_000
 DRAWS_AT_ONCE = 4_000_000
 EXACT_POISSON = 100_000
 METRICS = ("roc_auc", "pr_auc", "f1", "brier_loss", "mcc", "precision", "recall")
@@ -189,7 +190,8 @@ def replicate_metrics(
     groups = list(groups)
     keys = [*groups, "track"]
     coef = coefficients(seed, replicates)
-    tracks = _tracks(df, y, scores, groups)
+    # the cells are counted, cut into blocks and drawn from twice: write them once
+    tracks = cut_lineage(_tracks(df, y, scores, groups))
     splits, hot = block_cuts(tracks, "score", block_cells)
     tracks = with_block(tracks, "score", splits)
     is_hot = F.col("score").isin(*hot) if hot else F.lit(False)
