@@ -41,7 +41,14 @@ def modelling(t):
     )
 
 
-@query("feature_pipeline", None)
+MODEL_SQL = """(SELECT split, quantity, discount, coalesce(price, med) price FROM (SELECT case when l_partkey % 20 < 14 then 'train' when l_partkey % 20 < 17 then 'val' else 'test' end AS split,
+      l_quantity + case when l_returnflag = 'R' then 6e0 else 0e0 end AS quantity, l_discount AS discount, case when l_suppkey % 11 = 0 then null else l_extendedprice end AS price FROM lineitem),
+      (SELECT quantile_cont(l_extendedprice, 0.5) med FROM lineitem WHERE l_suppkey % 11 <> 0 AND l_partkey % 20 < 14))"""
+LEVELS_SQL = """(SELECT (SELECT count(DISTINCT e) FROM (SELECT CASE WHEN count(*) >= 25 THEN c ELSE '__infrequent__' END e FROM (SELECT case when l_suppkey % 6 = 0 then 'MISSING' else 'c' || cast(l_suppkey % 8 AS VARCHAR) end c FROM lineitem WHERE l_partkey % 20 < 14) GROUP BY c))
+      + (SELECT count(DISTINCT l_linestatus) FROM lineitem WHERE l_partkey % 20 < 14) lv)"""
+
+
+@query("feature_pipeline", f"SELECT split, count(*) n, cast(4 + any_value(lv) AS INTEGER) width, 0::BIGINT n_nan, {R('avg(quantity)', 4)} mean_quantity, {R('avg(price)', 0)} mean_price, {R('avg(discount)', 5)} mean_discount FROM {MODEL_SQL}, {LEVELS_SQL} GROUP BY split")
 def _(t):
     data = modelling(t)
     train = data.filter("split = 'train'")
@@ -49,9 +56,11 @@ def _(t):
     model = training.fit_features(train, numeric, text)
     from pyspark.ml.functions import vector_to_array
 
+    at = {c: F.get(vector_to_array("features"), F.lit(i)) for i, c in enumerate(numeric)}
     v = vector_to_array("features")
     return model.transform(data).groupBy("split").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.size(v)).alias("width"), F.count_if(F.exists(v, F.isnan)).alias("n_nan"))
+        F.count(F.lit(1)).alias("n"), F.min(F.size(v)).alias("width"), F.count_if(F.exists(v, F.isnan)).alias("n_nan"),
+        *[(F.round(F.avg(at[c]), d) + F.lit(0.0)).alias(f"mean_{c}") for c, d in (("quantity", 4), ("price", 0), ("discount", 5))])
 
 
 @query("train_boosted_trees", None)

@@ -103,7 +103,8 @@ def _(t):
     path = scratch_path(t.spark, "denovo")
     body = denovo(t).select(F.concat_ws("\t", *[F.coalesce(C(c), F.lit("")) for c in DENOVO]).alias("value"))
     head = t.spark.range(1).select(F.lit("##version=1.6.1").alias("value")).union(t.spark.range(1).select(F.lit("#" + "\t".join(DENOVO))))
-    head.union(body).coalesce(1).write.text(path)
+    head.coalesce(1).write.text(path)
+    body.write.mode("append").text(path)
     rows = cleaning.label_external(readers.read_denovo_table(t.spark, path))
     return rows.groupBy("variant_key").agg(F.count(F.lit(1)).alias("n"), F.min("gene").alias("gene"), F.max("label").alias("label"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixframe import constants as K
 from helixframe.functions.text import first_token
+from helixframe.session import small_side
 
 
 def literal_map(pairs) -> Column:
@@ -76,9 +77,9 @@ def fill_matrices(
     matrix: DataFrame | None = None,
 ) -> DataFrame:
     """Fill missing substitution scores from the 400-cell table; stated values are kept."""
-    table = matrix_table(df.sparkSession) if matrix is None else matrix
+    table = F.broadcast(matrix_table(df.sparkSession)) if matrix is None else small_side(matrix)
     out = df.join(
-        F.broadcast(table), (df[ref] == table["m_ref"]) & (df[alt] == table["m_alt"]), "left"
+        table, (df[ref] == table["m_ref"]) & (df[alt] == table["m_alt"]), "left"
     )
     current = {c: F.col(c) if c in df.columns else F.lit(None) for c in (blosum, grantham)}
     return out.withColumns(

@@ -205,7 +205,7 @@ def rank_fusion(df, key, y="y", first="p", second="s", second_higher_is_positive
 def scale01(df: DataFrame, score: str, groups=(), out="scaled") -> DataFrame:
     """Min-max scaling inside each group; a constant group becomes 0."""
     span = df.groupBy(*groups).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    joined = df.join(F.broadcast(span), list(groups) if groups else F.lit(True))
+    joined = df.join(span, list(groups) if groups else F.lit(True))
     value = F.try_divide(F.col(score) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     return joined.withColumn(
         out, F.when(F.col(score).isNotNull(), F.coalesce(value, F.lit(0.0)))

@@ -471,7 +471,7 @@ def class_histogram(df: DataFrame, value: str, label="label", bins=60) -> DataFr
     )
     width = (F.col("high") - F.col("low")) / bins
     at = F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(bins - 1)).cast("int")
-    placed = rows.join(F.broadcast(span), label).withColumn("bin", F.when(width > 0, at).otherwise(bins // 2))
+    placed = rows.join(span, label).withColumn("bin", F.when(width > 0, at).otherwise(bins // 2))
     return placed.groupBy(label, "bin").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("low").alias("low"), F.max("high").alias("high"), F.max("total").alias("total"),

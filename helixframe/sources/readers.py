@@ -203,9 +203,11 @@ def read_gene_constraint(spark, path, sep="\t") -> DataFrame:
 def read_denovo_table(spark, path) -> DataFrame:
     """External TSV with an optional `##` line and a `#`-prefixed header, all strings."""
     lines = spark.read.text(path).filter(~F.col("value").startswith("##"))
-    names = [n.lstrip("#") for n in lines.first()[0].split("\t")]
+    marked = lines.filter(F.col("value").startswith("#")).first()
+    header = (marked or lines.first())[0]
+    names = [n.lstrip("#") for n in header.split("\t")]
     cells = F.split(F.col("value"), "\t", -1)
-    body = lines.filter(~F.col("value").startswith("#"))
+    body = lines.filter(F.col("value") != header)
     return body.select(*[F.nullif(F.get(cells, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 

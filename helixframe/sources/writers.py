@@ -18,8 +18,9 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), so
 
 
 def write_metrics_csv(df: DataFrame, path: str, mode="overwrite") -> None:
-    """Metric tables are bounded by slices and metrics, so one file is fine."""
-    df.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    """Metric tables are bounded by slices and metrics, so one file is fine. The shuffle keeps the
+    stage that computes them parallel."""
+    df.repartition(1).write.mode(mode).option("header", True).csv(path)
 
 
 def af_stat_columns():
