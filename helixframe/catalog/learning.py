@@ -48,7 +48,7 @@ LEVELS_SQL = """(SELECT (SELECT count(DISTINCT e) FROM (SELECT CASE WHEN count(*
       + (SELECT count(DISTINCT l_linestatus) FROM lineitem WHERE l_partkey % 20 < 14) lv)"""
 
 
-@query("feature_pipeline", f"SELECT split, count(*) n, cast(4 + any_value(lv) AS INTEGER) width, 0::BIGINT n_nan, {R('avg(quantity)', 4)} mean_quantity, {R('avg(price)', 0)} mean_price, {R('avg(discount)', 5)} mean_discount FROM {MODEL_SQL}, {LEVELS_SQL} GROUP BY split")
+@query("feature_vectors", f"SELECT split, count(*) n, cast(4 + any_value(lv) AS INTEGER) width, 0::BIGINT n_nan, {R('avg(quantity)', 4)} mean_quantity, {R('avg(price)', 0)} mean_price, {R('avg(discount)', 5)} mean_discount FROM {MODEL_SQL}, {LEVELS_SQL} GROUP BY split")
 def _(t):
     data = modelling(t)
     train = data.filter("split = 'train'")
