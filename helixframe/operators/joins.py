@@ -130,15 +130,19 @@ def join_multi_left(base, *tables, key="variant_key") -> DataFrame:
 
 
 def join_best_match(left, right, on: Sequence[str], prefer, order: Sequence[str], key="variant_key"):
-    """Left join, then one right row per key: rows meeting `prefer` first, then `order`.
+    """One right row per left row: rows meeting `prefer` first, then `order`; NULLs if none.
 
-    `prefer` is a boolean column over the joined rows.
+    `left` holds one row per key and `prefer` is a boolean column over the joined rows. The
+    candidates come from an inner join, where skewed keys may be split on either side, and
+    combine map-side before the outer join sees one row per key.
     """
-    joined = left.join(right, list(on), "left")
+    extra = [c for c in right.columns if c not in on]
     place = F.struct((~F.coalesce(prefer, F.lit(False))).alias("o"), *[F.col(c) for c in order])
-    rest = [c for c in joined.columns if c != key]
-    picked = joined.groupBy(key).agg(F.min_by(F.struct(*rest), place).alias("_row"))
-    return picked.select(key, "_row.*")
+    best = (
+        left.join(right, list(on)).groupBy(key)
+        .agg(F.min_by(F.struct(*extra), place).alias("_row"))
+    )
+    return left.join(best, key, "left").select(*left.columns, "_row.*")
 
 
 def join_holdout_flag(df, train, family_of, gene="gene") -> DataFrame:
