@@ -126,12 +126,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     The sample is fitted by one task, as it is bounded; only non-zero weights come back. Without
     labelled documents every score is near 0.
     """
-    from pyspark.sql.window import Window
-
-    picked = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-              .withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
-              .where(F.col("_n") <= sample).select("doc_id", "toxic"))
+    known = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+             .groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic")))
+    of = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for label in (0, 1)]
+    picked = of[0].union(of[1])
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
     rows = rows.dropDuplicates(["text", "toxic"])
 
