@@ -27,7 +27,7 @@ SAMPLE_QUERIES = 400
 LIST_ROWS = 512
 #: Share of the sample's true neighbours that the probed lists must hold.
 TARGET = 0.985
-GROUP_ROWS = 8192
+GROUP_ROWS = 2048
 GROUP_QUERIES = 2048
 BLOCK = 16
 #: Width of the test, in standard deviations of the partial distance.
