@@ -43,7 +43,7 @@ CLASSES = 256
 SLICE = 256
 #: Shingles that a task gathers before it sends packed blocks.
 GATHER = 1 << 21
-#: Rows of (id, node) that may be broadcast to pick texts (about 40 bytes each).
+#: Rows of two numbers that may be broadcast to pick documents (about 100 bytes each).
 PICK_ROWS = 500_000
 
 
@@ -236,21 +236,23 @@ def _index(texts: DataFrame, order, buckets: int) -> DataFrame:
 
 
 def _facts(docs: DataFrame, order) -> DataFrame:
-    """doc_id, n_shingles, node, grp, classes (counts of hashed shingle classes; null if one exceeds a byte)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("grp", pa.int64()), ("classes", pa.binary())])
+    """doc_id, tid (hash of the text), n, node, grp, classes (counts of hashed shingle classes; null if
+    one exceeds a byte)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("grp", pa.int64()), ("classes", pa.binary())])
 
     def run(batches):
         for part, sets in _sets(batches, 1):
             rows = []
-            for key, s in zip(part.column(0).to_pylist(), sets):
+            for key, tid, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), sets):
                 if not s.size:
-                    rows.append((key, 0, None, None, None))
+                    rows.append((key, tid, 0, None, None, None))
                     continue
                 counts = np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
-                rows.append((key, s.size, node_of(s), group_of(order.value.prefix(s)[0], s.size), counts.astype(np.uint8).tobytes() if counts.max() < 256 else None))
+                rows.append((key, tid, s.size, node_of(s), group_of(order.value.prefix(s)[0], s.size), counts.astype(np.uint8).tobytes() if counts.max() < 256 else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, node bigint, grp bigint, classes binary")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(
+        run, "doc_id bigint, tid bigint, n bigint, node bigint, grp bigint, classes binary")
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -347,7 +349,7 @@ def _hot_pairs(rows: DataFrame) -> DataFrame:
 
 
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(facts, roots): doc_id, n, node of every document, and (node, root) of all nodes with a link
+    """(facts, roots): doc_id, tid, n_shingles, node of every document, and (node, root) of all nodes with a link
     to another node (None if there is none).
 
     `docs` is read four times (three passes over the texts, one for the texts of candidates).
@@ -393,7 +395,7 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     more = cut_lineage(_open_pairs(found, groups, members, roots))
     if not more.isEmpty():
         connect(_bounded(more, nodes).select("a", "b"))
-    return facts.select("doc_id", F.col("n").alias("n_shingles"), "node"), roots
+    return facts.select("doc_id", "tid", F.col("n").alias("n_shingles"), "node"), roots
 
 
 def _open_pairs(found: DataFrame, groups: DataFrame, members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -423,17 +425,47 @@ def _open_pairs(found: DataFrame, groups: DataFrame, members: DataFrame, roots:
     return _ordered(pairs.select("a", "b"))
 
 
+def _rooted(docs: DataFrame) -> DataFrame:
+    facts, roots = jaccard_links(docs)
+    if roots is None:
+        return facts.withColumn("root", F.col("node"))
+    return facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) of every document.
 
     A text without words has no shingles and is alone. Null ids: the component's smallest id that
     is not null, or null. Rows that repeat an id with other texts are documents of their own.
     """
-    facts, roots = jaccard_links(docs)
-    if roots is None:
-        placed = facts.withColumn("root", F.col("node"))
-    else:
-        placed = facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = _rooted(docs)
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "root", "left").select(
         "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id (null ids last).
+
+    Texts without words are alone, so all of them stay. Of repeated rows (equal id and text) one
+    stays. The rows to drop are found by id and text hash; documents move only if there are more of
+    those than may be broadcast, and the few repeated ones to drop repetitions.
+    """
+    placed = cut_lineage(_rooted(docs).where("root is not null").select("doc_id", "tid", "root"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
+    keepers = placed.groupBy("root").agg(F.min(key).alias("k"))
+    other = (F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("tid") == F.col("k.tid")))
+    dropped = cut_lineage(placed.join(keepers, "root").where(~other).select("doc_id", "tid").distinct())
+    twice = cut_lineage(placed.groupBy("doc_id", "tid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "tid"))
+
+    def matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        side = keys.select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"))
+        if keys.count() <= PICK_ROWS:
+            side = F.broadcast(side)
+        text_hash = F.xxhash64(rows["text"].cast("string"))
+        return rows.join(side, rows["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (text_hash == F.col("_tid")), how)
+
+    kept = matching(docs, dropped, "left_anti")
+    if twice.isEmpty():
+        return kept
+    return matching(kept, twice, "left_anti").union(matching(kept, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
