@@ -9,7 +9,8 @@ from helixframe.operators import metrics, resampling
 from helixframe.plans import evaluation as plan
 
 C = F.col
-REPS = 100
+REPS = 1000
+PERMUTATIONS = 10_000
 CLIP = "least(greatest({p}, 1e-12), 1e0 - 1e-12)"
 
 
@@ -144,7 +145,7 @@ def boot_sql(src: str, y: str, scores: dict[str, str], groups: str = "", reps: i
     names = ", ".join(f"s_{k}" for k in scores)
     defs = ", ".join(f"{e} AS s_{k}" for k, e in scores.items())
     present = " AND ".join(f"{e} IS NOT NULL" for e in scores.values())
-    key = "concat_ws(':', cast(yy AS VARCHAR), " + ", ".join(f"cast(cast(round(s_{k} * 1e9) AS BIGINT) AS VARCHAR)" for k in scores) + ")"
+    key = "concat_ws(':', cast(yy AS VARCHAR), " + ", ".join(f"cast(cast(round(s_{k} * 1e9) AS HUGEINT) AS VARCHAR) || '.' || cast(cast(round((s_{k} * 1e9 - round(s_{k} * 1e9)) * 1e7) AS BIGINT) AS VARCHAR)" for k in scores) + ")"
 
     def hexed(expr, start):
         return f"cast(('0x' || substr({expr}, {start}, 8)) AS BIGINT) % {prime}"
@@ -199,10 +200,10 @@ def _(t):
     return rounded(resampling.paired_bootstrap_delta(t.pred.filter("split = 'test'"), score_a="p", score_b="s", replicates=REPS), 7)
 
 
-@query("paired_bootstrap_one_sided", delta_sql("(SELECT * FROM @pred WHERE split <> 'train')", "y", "p", "p2", "split", "greater", 50))
+@query("paired_bootstrap_one_sided", delta_sql("(SELECT * FROM @pred WHERE split <> 'train')", "y", "p", "p2", "split", "greater"))
 def _(t):
     rows = t.pred.filter("split <> 'train'")
-    return rounded(resampling.paired_bootstrap_delta(rows, score_a="p", score_b="p2", groups=["split"], replicates=50, alternative="greater"), 7)
+    return rounded(resampling.paired_bootstrap_delta(rows, score_a="p", score_b="p2", groups=["split"], replicates=REPS, alternative="greater"), 7)
 
 
 def permutation_sql(src: str, y: str, p: str, key: str, reps: int, seed=42) -> str:
@@ -215,8 +216,11 @@ def permutation_sql(src: str, y: str, p: str, key: str, reps: int, seed=42) -> s
     return f"""WITH r AS MATERIALIZED (SELECT {y} yy, rank() OVER (ORDER BY {p}) + (count(*) OVER (PARTITION BY {p}) - 1) / 2e0 rk, {hexed(f'md5({key})', 1)} h1, {hexed(f'md5({key})', 9)} h2 FROM {src} WHERE {p} IS NOT NULL),
       tot AS (SELECT count(*) n, cast(sum(yy) AS BIGINT) m, sum(rk) FILTER (yy = 1) obs FROM r),
       coef AS (SELECT rep, {coef} FROM (SELECT rep, '{seed}:' || cast(rep AS VARCHAR) k FROM (SELECT unnest(range({reps})) rep))),
-      d AS (SELECT rep, rk, row_number() OVER (PARTITION BY rep ORDER BY ((((((c0 * h1 + c1) % {prime}) * h1 + c2) % {prime}) * h1 + c3) % {prime} + (c4 * h2) % {prime}) % {prime}, h1, h2) pl FROM r, coef),
-      s AS (SELECT rep, sum(rk) rs FROM d, tot WHERE pl <= m GROUP BY rep)
+      lim AS (SELECT greatest(0, m / n - 6 * sqrt(m / n * (1 - m / n) / n)) * {prime} lo, least(1, m / n + 6 * sqrt(m / n * (1 - m / n) / n)) * {prime} hi FROM (SELECT cast(n AS DOUBLE) n, cast(m AS DOUBLE) m FROM tot)),
+      v AS (SELECT rep, rk, h1, h2, ((((((c0 * h1 + c1) % {prime}) * h1 + c2) % {prime}) * h1 + c3) % {prime} + (c4 * h2) % {prime}) % {prime} u FROM r, coef),
+      far AS (SELECT rep, sum(rk) rs, count(*) k FROM v, lim WHERE u < lo GROUP BY rep),
+      near AS (SELECT rep, rk, row_number() OVER (PARTITION BY rep ORDER BY u, h1, h2) pl FROM v, lim WHERE u BETWEEN lo AND hi),
+      s AS (SELECT near.rep, any_value(far.rs) + coalesce(sum(near.rk) FILTER (pl <= m - k), 0) rs FROM near JOIN far USING (rep), tot GROUP BY near.rep)
     SELECT {R('any_value((obs - m * (m + 1) / 2e0) / (m * (n - m)))')} auc, {R('avg((rs - m * (m + 1) / 2e0) / (m * (n - m)))')} null_mean, {R('avg(CASE WHEN rs >= obs THEN 1 ELSE 0 END)')} p_value, count(*) n_permutations, any_value(n) n, any_value(m) n_pos FROM s, tot"""
 
 
@@ -225,7 +229,7 @@ WEAK = "(SELECT *, cast((l_partkey * 7 + l_orderkey * 13) % 501 as double) + (CA
 from helixframe.catalog.base import RID, Y  # noqa: E402
 
 
-@query("permutation_auc_test", permutation_sql(WEAK.format(rid=RID, y=Y), "yv", "weak", "rk_key", 60))
+@query("permutation_auc_test", permutation_sql(WEAK.format(rid=RID, y=Y), "yv", "weak", "rk_key", PERMUTATIONS))
 def _(t):
     rows = t.lineitem.selectExpr(f"{RID} as key", f"{Y} as y", "cast((l_partkey * 7 + l_orderkey * 13) % 501 as double) + (case when l_returnflag = 'R' and l_suppkey % 50 = 0 then 60 else 0 end) as p")
-    return rounded(resampling.permutation_auc_test(rows, replicates=60))
+    return rounded(resampling.permutation_auc_test(rows, replicates=PERMUTATIONS))

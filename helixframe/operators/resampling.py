@@ -28,7 +28,6 @@ from helixframe.session import cut_lineage
 PRIME = 2**31 - 1
 BLOCK_CELLS = 250_000
 DRAWS_AT_ONCE = 4_000_000
-EXACT_POISSON = 100_000
 METRICS = ("roc_auc", "pr_auc", "f1", "brier_loss", "mcc", "precision", "recall")
 
 
@@ -45,8 +44,10 @@ def cell_hash(*parts: Column) -> dict[str, Column]:
 
 
 def score_text(c: Column) -> Column:
-    """Engine-neutral text of a score: nine decimals as an integer."""
-    return F.round(c * 1e9).cast("bigint").cast("string")
+    """Engine-neutral text of a score: nine decimals as an integer, then seven more of the rest, so
+    that scores that differ within double precision draw on their own."""
+    whole = F.round(c * 1e9)
+    return F.concat_ws(".", whole.try_cast("decimal(38,0)").cast("string"), F.round((c * 1e9 - whole) * 1e7).cast("bigint").cast("string"))
 
 
 def coefficients(seed: int, replicates: int) -> np.ndarray:
@@ -71,35 +72,25 @@ def uniform_ints(h1: np.ndarray, h2: np.ndarray, coef: np.ndarray) -> np.ndarray
     return (v + (e * z) % PRIME) % PRIME
 
 
-def _normal_quantile(u: np.ndarray) -> np.ndarray:
-    from statistics import NormalDist
+_LOG_FACTORIALS = np.array([math.lgamma(k + 1.0) for k in range(257)])
 
-    inv = NormalDist().inv_cdf
-    grid = np.linspace(1e-6, 1 - 1e-6, 20_001)
-    table = np.array([inv(float(g)) for g in grid])
-    out = np.interp(u, grid, table)
-    tails = (u < 1e-3) | (u > 1 - 1e-3)
-    if tails.any():
-        out[tails] = [inv(float(x)) for x in u[tails]]
-    return out
+
+def log_factorial(k: np.ndarray) -> np.ndarray:
+    """ln k!, from a table for small k and Stirling's series (error below 1e-15) beyond."""
+    x = np.maximum(k, 256).astype(np.float64)
+    series = x * np.log(x) - x + 0.5 * np.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3)
+    return np.where(k <= 256, _LOG_FACTORIALS[np.minimum(k, 256)], series)
 
 
 def poisson_draws(counts: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Inverse-CDF Poisson(count) per row of `u`. Very large counts use the normal limit with
-    its skewness term."""
+    """Inverse-CDF Poisson(count) per row of `u`, at any count: the mass beyond 12 standard
+    deviations is below double precision."""
     out = np.empty(u.shape, dtype=np.float64)
-    top = int(min(counts.max(initial=1), EXACT_POISSON))
-    size = top + int(12 * math.sqrt(top)) + 41
-    log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, size + 1)))])
     for n in np.unique(counts):
         rows = counts == n
-        if n > EXACT_POISSON:
-            z = _normal_quantile(u[rows])
-            out[rows] = np.maximum(0.0, np.floor(n + math.sqrt(n) * z + (z * z - 1) / 6 + 0.5))
-            continue
         reach = int(12 * math.sqrt(n)) + 40
         k = np.arange(max(0, int(n) - reach), int(n) + reach + 1)
-        cdf = np.cumsum(np.exp(k * math.log(n) - n - log_fact[k]))
+        cdf = np.cumsum(np.exp(k * math.log(n) - n - log_factorial(k)))
         out[rows] = k[0] + np.searchsorted(cdf, u[rows], side="left")
     return out
 
@@ -350,32 +341,9 @@ def paired_bootstrap_delta(
 
 # ---- permutation ----------------------------------------------------------------------------
 
-def permutation_auc_test(
-    df, y="y", score="p", key="key", replicates=1000, seed=42, sigmas=8.0
-) -> DataFrame:
-    """One-sided label-permutation test of AUC > 0.5, one row.
-
-    In every replicate the rows are put in a hash order and the first n_pos become the positives.
-    Rows are never replicated: each task returns, per replicate, the count and rank sum safely
-    below the expected cut and only the few rows inside a narrow window around it; the exact cut
-    is then found inside that window. Replicates whose cut falls outside the window are not
-    counted in `n_permutations`.
-    """
-    present = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull())
-    ranked = mid_ranks(present.select(key, y, score), score, out="rk")
-    stats = ranked.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.col(y).cast("bigint")), F.lit(0)).alias("m"),
-        F.sum(F.when(F.col(y) == 1, F.col("rk"))).alias("s"),
-    ).first()
-    n, m, observed = stats["n"], stats["m"], stats["s"]
-    q = m / n if n else 0.0
-    half = sigmas * math.sqrt(max(n * q * (1 - q), 1.0)) / max(n, 1)
-    low, high = int(max(0.0, q - half) * PRIME), int(min(1.0, q + half) * PRIME) + 1
-    coef = coefficients(seed, replicates)
-    rows = ranked.select(F.col("rk").cast("double").alias("rk"), F.col(key).cast("string").alias("k")).withColumns(
-        cell_hash(F.col("k"))
-    ).select("rk", "h1", "h2")
+def _rank_sums(rows: DataFrame, coef: np.ndarray, names: np.ndarray, m: int, low: int, high: int) -> DataFrame:
+    """Rank sum of the first m rows in each replicate's hash order; replicates whose m-th row is not
+    between `low` and `high` are left out."""
     schema = "rep int, u bigint, h1 bigint, h2 bigint, cnt bigint, rk double"
 
     def scan(batches):
@@ -389,14 +357,12 @@ def permutation_auc_test(
                 v = uniform_ints(h1, h2, coef[lo : lo + step])
                 sure = v < low
                 count[lo : lo + step] += sure.sum(0)
-                total[lo : lo + step] += (sure * rk[:, None]).sum(0)
+                total[lo : lo + step] += rk @ sure
                 i, r = np.nonzero((v >= low) & (v <= high))
                 yield pd.DataFrame(
-                    {"rep": r + lo, "u": v[i, r], "h1": h1[i], "h2": h2[i], "cnt": 1, "rk": rk[i]}
+                    {"rep": names[r + lo], "u": v[i, r], "h1": h1[i], "h2": h2[i], "cnt": 1, "rk": rk[i]}
                 )
-        yield pd.DataFrame(
-            {"rep": np.arange(len(coef)), "u": -1, "h1": -1, "h2": -1, "cnt": count, "rk": total}
-        )
+        yield pd.DataFrame({"rep": names, "u": -1, "h1": -1, "h2": -1, "cnt": count, "rk": total})
 
     parts = rows.mapInPandas(scan, schema)
     sure = F.col("u") < 0
@@ -407,10 +373,43 @@ def permutation_auc_test(
          "place": F.sum(F.when(sure, 0).otherwise(1)).over(order)}
     )
     taken = sure | (F.col("place") <= F.lit(m) - F.col("below"))
-    per_rep = marked.groupBy("rep").agg(
+    return marked.groupBy("rep").agg(
         F.sum(F.when(taken, F.col("cnt"))).alias("positives"),
         F.sum(F.when(taken, F.col("rk"))).alias("rank_sum"),
     ).filter(F.col("positives") == m)
+
+
+def permutation_auc_test(
+    df, y="y", score="p", key="key", replicates=10_000, seed=42, sigmas=4.5
+) -> DataFrame:
+    """One-sided label-permutation test of AUC > 0.5, one row.
+
+    In every replicate the rows are put in a hash order and the first n_pos become the positives.
+    Rows are never replicated: each task returns, per replicate, the count and rank sum safely
+    below the expected cut and only the few rows inside a narrow window around it; the exact cut
+    is then found inside that window. The few replicates whose cut falls outside the window are
+    run again without one, so `n_permutations` always equals `replicates`.
+    """
+    present = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull())
+    ranked = mid_ranks(present.select(key, y, score), score, out="rk")
+    stats = ranked.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.col(y).cast("bigint")), F.lit(0)).alias("m"),
+        F.sum(F.when(F.col(y) == 1, F.col("rk"))).alias("s"),
+    ).first()
+    n, m, observed = stats["n"], stats["m"], stats["s"]
+    q = m / n if n else 0.0
+    coef = coefficients(seed, replicates)
+    rows = cut_lineage(ranked.select(F.col("rk").cast("double").alias("rk"), F.col(key).cast("string").alias("k")).withColumns(
+        cell_hash(F.col("k"))
+    ).select("rk", "h1", "h2"))
+    half = sigmas * math.sqrt(max(n * q * (1 - q), 1.0)) / max(n, 1)
+    low, high = int(max(0.0, q - half) * PRIME), int(min(1.0, q + half) * PRIME) + 1
+    per_rep = cut_lineage(_rank_sums(rows, coef, np.arange(replicates), m, low, high))
+    done = {r["rep"] for r in per_rep.select("rep").collect()}  # one number per replicate
+    again = np.array([r for r in range(replicates) if r not in done])
+    if again.size and n:
+        per_rep = per_rep.unionByName(_rank_sums(rows, coef[again], again, m, 0, PRIME))
     scale = float(m) * float(n - m)
     shift = m * (m + 1) / 2.0
     auc = (observed - shift) / scale if scale else None

@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
+SPREAD_MAX_BYTES = 64 << 20
 HOTSPOT_METHOD_BYTES = "8000"
 
 
@@ -23,14 +24,23 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Driver and tasks in one process, so that they see the same files."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables.
 
-    A cluster names it in `spark.checkpoint.dir`. Only where that is unset (local tests) a
-    temporary folder is used, and remembered in the session so that it is made once.
+    A cluster names it in `spark.checkpoint.dir`; without that setting a cluster has no folder that
+    all executors see, and this raises. Only local sessions get a temporary folder, remembered in
+    the session so that it is made once.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -47,17 +57,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after counting; a larger table is left to the shuffle join."""
-    over = df.select(F.lit(1)).limit(max_rows + 1).count() > max_rows
-    return df if over else F.broadcast(df)
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's size of a frame; of a written table, that of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def small_side(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """The written side of a join, with a broadcast hint if its rows fit.
+
+    Rows are counted after writing; a row is taken as its schema's width or its share of the files
+    times four, whichever is larger. A larger table is left to the shuffle join.
+    """
+    written = cut_lineage(df)
+    rows = written.count()
+    width = sum(8 if f.dataType.typeName() not in ("string", "binary") else 24 for f in written.schema.fields) + 16
+    return F.broadcast(written) if max(rows * width, 4 * plan_bytes(written)) <= max_bytes else written
 
 
 def spread(df: DataFrame, keys) -> DataFrame:
-    """Redistribute an input of fewer files than cores (one gzip file, one row group).
+    """Redistribute a small table of fewer partitions than cores (one file of one row group).
 
-    Such a file is a single task however large the cluster is. Inputs with enough files are
-    returned unchanged, so a large table is never shuffled here.
+    Only tables of at most SPREAD_MAX_BYTES are moved; larger ones are split by the reader.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+    if plan_bytes(df) > SPREAD_MAX_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

@@ -26,26 +26,27 @@ def incremental_enrich(
 
     `resolve` returns one row per key it could answer, with NULL fields when the answer is
     "nothing"; those rows are stored and not asked for again. Keys it does not return count as
-    failed and are retried by the next call. A named batch is overwritten as a whole, so a
-    retried batch leaves no duplicates.
+    failed and are retried by the next call. Nothing stored is ever overwritten: a call appends
+    the rows of missing keys only, so a repeated batch changes nothing. A named batch has a folder
+    of its own.
     """
     spark = wanted.sparkSession
     store = read_store(spark, path, schema)
     misses = wanted.select(key).distinct().join(store.select(key), key, "left_anti")
     fresh = resolve(misses).select(*store.columns)
-    if batch is None:
-        fresh.write.mode("append").parquet(path)
-    else:
-        fresh.write.mode("overwrite").parquet(f"{path}/batch_{batch}")
+    fresh.write.mode("append").parquet(path if batch is None else f"{path}/batch_{batch}")
     found = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
     return wanted.join(found, key, "left")
 
 
 def stream_enrich(source: DataFrame, path: str, schema: str, resolve, checkpoint: str, key="variant_key"):
-    """The same work over a stream of keys, draining what is available."""
+    """The same work over a stream of keys, draining what is available.
+
+    Each micro-batch appends to its own folder; a replayed one finds its keys stored.
+    """
 
     def each(frame: DataFrame, batch_id: int) -> None:
-        incremental_enrich(frame, path, schema, resolve, key)
+        incremental_enrich(frame, path, schema, resolve, key, str(batch_id))
 
     query = (
         source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
