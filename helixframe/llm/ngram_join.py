@@ -10,7 +10,8 @@ Two documents link if 100 * intersection >= 75 * union of their distinct five-wo
    Only groups enter the index; an index row is (shingle, group, size).
 3. Groups that share a prefix shingle and fit in size are candidates. A shingle of many groups gives
    no all-pairs list: every group is paired with a few pivots of the shingle, and what these pairs
-   leave unconnected is compared component against component in the end, so that no link is lost.
+   leave unconnected is compared with all other groups of the shingle in the end, in blocks, so that
+   no link is lost.
 4. Group pairs are expanded to nodes, filtered by an upper bound of the intersection (from counts of
    hashed shingle classes) and verified on the full sets. Pairs inside a component are skipped.
 
@@ -40,9 +41,10 @@ HOT_ROWS = 4096
 SALTS = 64
 PIVOTS = 8
 CLASSES = 256
+BLOCK_NODES = 512
 SLICE = 256
 #: Shingles that a task gathers before it sends packed blocks.
-GATHER = 1 << 21
+GATHER = 1 << 19
 #: Rows of two numbers that may be broadcast to pick documents (about 100 bytes each).
 PICK_ROWS = 500_000
 
@@ -390,39 +392,68 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     best = both.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
     connect(_ordered(best))
     connect(_apart(bounded.select("a", "b"), roots))
-    # what pivots could not tell: components that share a shingle of many groups, or a group pair
-    # with further members; each distinct pair of components once, all their nodes compared
-    more = cut_lineage(_open_pairs(found, groups, members, roots))
-    if not more.isEmpty():
-        connect(_bounded(more, nodes).select("a", "b"))
+    # what pivots could not tell, among nodes that are still apart
+    connect(_open_pairs(found, groups, nodes, roots))
     return facts.select("doc_id", "tid", F.col("n").alias("n_shingles"), "node"), roots
 
 
-def _open_pairs(found: DataFrame, groups: DataFrame, members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Node pairs of components that share a wide shingle or a candidate group pair."""
-    if roots is None:
-        placed = members.withColumn("root", F.col("node"))
-    else:
-        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = cut_lineage(placed.select("grp", "node", "n", "root"))
-    wide = found.where("kind > 0").select(F.col("a").alias("shingle"), F.col("b").alias("grp"))
-    held = wide.join(placed.select("grp", "root").distinct(), "grp").groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
-    held = cut_lineage(held)
-    # one component of a shingle, the largest, is compared with the others, these among themselves
-    main = held.groupBy("shingle").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    others = held.join(main, "shingle").where("root <> main").select("shingle", F.col("root").alias("ra"), "main")
-    second = others.select("shingle", F.col("ra").alias("rb"))
-    paired = others.select("ra", F.col("main").alias("rb")).union(others.join(second, "shingle").where("ra < rb").select("ra", "rb"))
-    # groups of several nodes, whose further members the heads did not speak for
-    several = members.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
+def _bound_matrix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Upper bound of the intersection of every left set with every right one."""
+    out = np.empty((len(left), len(right)), dtype=np.int64)
+    for i, row in enumerate(left):
+        out[i] = np.minimum(row[None, :], right).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _open_pairs(found: DataFrame, groups: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Node pairs that may link, of different components that share a wide shingle, or a group of
+    several nodes, or such a group and a candidate partner of it.
+
+    In each of these sets the nodes outside its largest component are compared with all others, in
+    blocks of BLOCK_NODES each side, by their bounds in one matrix; only the pairs that the bound
+    leaves become rows. A set whose nodes are all connected costs nothing.
+    """
+    placed = nodes.select("grp", "node", "n", "classes")
+    placed = placed.withColumn("root", F.col("node")) if roots is None else placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = cut_lineage(placed)
+    several = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
     flat = groups.union(groups.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    touched = flat.join(several, F.col("a") == F.col("grp"), "left_semi").union(several.select(F.col("grp").alias("a"), F.col("grp").alias("b")))
-    of = lambda c: placed.select(F.col("grp").alias(c), F.col("root").alias(f"r{c}")).distinct()
-    further = touched.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select("ra", "rb")
-    apart = cut_lineage(paired.union(further).select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).distinct())
-    of = lambda c: placed.select(F.col("root").alias(f"r{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"))
-    pairs = apart.join(of("a"), "ra").join(of("b"), "rb").where(fits(F.least("na", "nb"), F.greatest("na", "nb")))
-    return _ordered(pairs.select("a", "b"))
+    shared = found.where("kind > 0").select(F.col("a").alias("of"), F.col("b").alias("grp")).union(
+        flat.join(several, F.col("a") == F.col("grp"), "left_semi").select(F.xxhash64("a").alias("of"), F.col("b").alias("grp"))).union(
+        several.select(F.xxhash64("grp").alias("of"), "grp"))
+    held = cut_lineage(shared.distinct().join(placed.select("grp", "node", "root"), "grp").select("of", "node", "root"))
+    sizes = held.groupBy("of", "root").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x")).groupBy("of").agg(
+        F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("all"),
+        F.max("c").alias("most"), F.bit_xor("x").alias("x")).where("k > 1")
+    # sets of the same nodes once
+    sizes = cut_lineage(sizes.groupBy("x", "all").agg(F.min(F.struct("of", "main", "most")).alias("s")).select(
+        "s.of", "s.main", F.ceil(F.col("all") / BLOCK_NODES).cast("long").alias("tall"),
+        F.ceil((F.col("all") - F.col("s.most")) / BLOCK_NODES).cast("long").alias("wide")))
+    rows = held.join(sizes, "of").withColumn("out", F.col("root") != F.col("main")).join(placed.select("node", "n", "classes"), "node")
+    columns = ["of", "row", "col", "node", "root", "out", "n", "classes"]
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = rows.where("out").withColumn("row", F.pmod(F.xxhash64("node"), "wide")).withColumn("col", every("tall"))
+    right = rows.withColumn("col", F.pmod(F.xxhash64("node"), "tall")).withColumn("row", every("wide"))
+    left, right = (side.select(*[F.col(c).alias(c) for c in columns]) for side in (left, right))
+
+    def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        if not len(a) or not len(b):
+            return out
+        na, nb = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
+        full = b"\xff" * CLASSES  # unknown counts bound nothing
+        x, y = (np.stack([np.frombuffer(c or full, np.uint8) for c in t["classes"]]) for t in (a, b))
+        unknown = a["classes"].isna().to_numpy()[:, None] | b["classes"].isna().to_numpy()[None, :]
+        most = np.minimum(np.minimum(na, nb), np.where(unknown, 1 << 62, _bound_matrix(x, y)))
+        keep = fits(np.minimum(na, nb), np.maximum(na, nb)) & linked(most, na, nb)
+        keep &= a["root"].to_numpy()[:, None] != b["root"].to_numpy()[None, :]
+        ids, others = a["node"].to_numpy(), b["node"].to_numpy()
+        keep &= ~b["out"].to_numpy()[None, :] | (ids[:, None] < others[None, :])
+        i, j = np.nonzero(keep)
+        return pd.DataFrame({"a": ids[i], "b": others[j]})
+
+    pairs = left.groupBy("of", "row", "col").cogroup(right.groupBy("of", "row", "col")).applyInPandas(compare, "a bigint, b bigint")
+    return _ordered(pairs)
 
 
 def _rooted(docs: DataFrame) -> DataFrame:

@@ -76,6 +76,7 @@ ODD = [(1000, None), (1001, ""), (1002, "one"), (1003, "ONE"), (1004, "a b c d")
 def test_equals_brute_force(spark, monkeypatch, seed, hot, pivots):
     monkeypatch.setattr(ngram_join, "HOT_ROWS", hot)
     monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 7)
     docs = corpus(seed) + ODD
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as node", "2 as n", "3 as component_id").repartition(3)
     got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.link_components(df).collect())
