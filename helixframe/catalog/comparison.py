@@ -63,7 +63,7 @@ def _(t):
     return rounded(comparison.rank_fusion(t.pred, "key"))
 
 
-REPS = 40
+REPS = 1000
 
 
 def grouped_sql(src: str, groups: str, extra: str = "") -> str:

@@ -57,7 +57,7 @@ def main():
     spark = spark_session()
     bad = 0
     for name, fn in queries.items():
-        module = REGISTRY[name][0].__module__.rsplit(".", 1)[-1]
+        module = (REGISTRY[name][0] if name in REGISTRY else fn).__module__.rsplit(".", 1)[-1]
         if wanted and not any(name == w or module == w or (w.endswith("*") and name.startswith(w[:-1])) for w in wanted):
             continue
         t0 = time.time()
