@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from helixframe import constants as K
@@ -10,6 +12,7 @@ from helixframe.catalog.evaluation import CLIP, boot_sql, brier_sql, delta_sql
 from helixframe.catalog.ranking import FEATURES, LONG_ATTR
 from helixframe.catalog.scalars import CLASS_CASE
 from helixframe.functions.families import strata_family
+from helixframe.functions.scores import ERFC_STEP, ERFC_TERMS
 from helixframe.operators import attributions, comparison, metrics, resampling, splitting
 
 C = F.col
@@ -123,10 +126,37 @@ PAIRS = [("p", "p2"), ("p", "s"), ("p2", "s")]
 PAIR_ROWS = "(" + " UNION ALL ".join(f"SELECT '{a}' model_a, '{b}' model_b, y, {a} pa, {b} pb FROM @pred WHERE split = 'test' AND s IS NOT NULL" for a, b in PAIRS) + ")"
 
 
-@query("pairwise_tests", None)
+def tail_sql(z: str) -> str:
+    """Two-sided normal tail of an expression, by the rule of `functions.scores.erfc`."""
+    x, h = f"(abs({z}) / {math.sqrt(2.0)!r})", ERFC_STEP
+    terms = " + ".join(f"{math.exp(-((k + 0.5) * h) ** 2)!r} / ({x} * {x} + {((k + 0.5) * h) ** 2!r})" for k in range(ERFC_TERMS))
+    return f"({2.0 * h / math.pi!r} * {x} * exp(-{x} * {x}) * ({terms}) + CASE WHEN {x} < {math.pi / h!r} THEN 2e0 / (1 + exp({2.0 * math.pi / h!r} * {x})) ELSE 0 END)"
+
+
+def pairwise_sql(rows: str, pairs: int) -> str:
+    """DeLong and paired bootstrap rows with Holm adjustment per metric."""
+    both = f"""SELECT model_a, model_b, 'roc_auc' metric, auc1 estimate_a, auc2 estimate_b, delta, delta - 1.959964e0 * se ci_lo, delta + 1.959964e0 * se ci_hi, {tail_sql('delta / se')} p_value FROM {delong_sql(rows, 'y', 'pa', 'pb', 'model_a, model_b')}
+      UNION ALL BY NAME SELECT model_a, model_b, metric, estimate_a, estimate_b, delta, ci_lo, ci_hi, p_value FROM ({delta_sql(rows, 'y', 'pa', 'pb', 'model_a, model_b', 'two-sided-complement', REPS, ('pr_auc',))})"""
+    numbers = ", ".join(f"{R(c, 7)} {c}" for c in ("estimate_a", "estimate_b", "delta", "ci_lo", "ci_hi", "p_value"))
+    return f"""SELECT model_a, model_b, metric, {numbers}, {R('least(1.0, max(step) OVER (PARTITION BY metric ORDER BY p_value, model_a, model_b ROWS UNBOUNDED PRECEDING))', 7)} p_holm, 'computed' AS status
+      FROM (SELECT *, ({pairs + 1} - row_number() OVER (PARTITION BY metric ORDER BY p_value, model_a, model_b)) * p_value step FROM ({both}))"""
+
+
+@query("pairwise_tests", f"""{pairwise_sql(PAIR_ROWS, 3)} UNION ALL BY NAME
+    SELECT 'p' model_a, 'external' model_b, unnest(['roc_auc', 'pr_auc']) metric, 'not-computed: no scores for this table' AS status""")
 def _(t):
     rows = t.pred.filter("split = 'test' and s is not null")
-    return comparison.pairwise_tests(rows, PAIRS, replicates=REPS, placeholders=[("p", "external", "no scores for this table")])
+    return rounded(comparison.pairwise_tests(rows, PAIRS, replicates=REPS, placeholders=[("p", "external", "no scores for this table")]), 7)
+
+
+def pair_rows(pairs) -> str:
+    return "(" + " UNION ALL ".join(f"SELECT '{a}' model_a, '{b}' model_b, y, {a} pa, {b} pb FROM @pred WHERE split = 'test' AND s IS NOT NULL" for a, b in pairs) + ")"
+
+
+# the reference score against the others on the rows that one of them covers
+@query("matched_coverage_tests", pairwise_sql(pair_rows([("p", "p2"), ("p", "s")]), 2))
+def _(t):
+    return rounded(comparison.matched_coverage_tests(t.pred.filter("split = 'test'"), "p", ["p2", "s"], "s", replicates=REPS), 7)
 
 
 # the same table without the normal-tail p-values of the DeLong rows

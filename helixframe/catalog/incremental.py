@@ -45,10 +45,10 @@ def _(t):
     return incremental.read_store(t.spark, path, SCHEMA).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("n_keys"))
 
 
-@query("stream_ingest_stats", f"""SELECT cast(count(*) AS BIGINT) total, count(*) FILTER ("AF" > 1e-2) common, count(*) FILTER ("AF" <= 1e-2) rare, {R('avg("AF")')} mean_af FROM @af""")
+@query("stream_ingest_stats", f"""SELECT cast(count(*) AS BIGINT) total, count(*) FILTER ("AF" > 1e-2) common, count(*) FILTER ("AF" <= 1e-2) rare, {R('avg("AF")')} mean_af FROM @afall""")
 def _(t):
     source, out, stats = (scratch_path(t.spark, n) for n in ("afin", "afout", "afstats"))
-    raw = t.af.select("variant_key", "AF", "AN", "AC")
+    raw = t.afall.select("variant_key", "AF", "AN", "AC")
     raw.repartition(4).write.parquet(source)
     stream = t.spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(source)
     incremental.stream_ingest(stream, out, stats, scratch_path(t.spark, "progress"), standardize_af_table)

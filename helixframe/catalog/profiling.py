@@ -226,9 +226,9 @@ def _(t):
     return profiling.dataset_summary(t.var.select("rid", "label", "sparse", "domain"))
 
 
-@query("af_summary", f"""SELECT count(*) total, count(*) FILTER ("AF" > 1e-2) common, count(*) FILTER ("AF" <= 1e-2) rare, {R('avg("AF")')} mean_af FROM @af""")
+@query("af_summary", f"""SELECT count(*) total, count(*) FILTER ("AF" > 1e-2) common, count(*) FILTER ("AF" <= 1e-2) rare, {R('avg("AF")')} mean_af FROM @afall""")
 def _(t):
-    return rounded(profiling.af_summary(t.af))
+    return rounded(profiling.af_summary(t.afall))
 
 
 @query("value_counts_sorted", "SELECT chr, n, cast(coalesce(try_cast(chr AS INT), CASE chr WHEN 'X' THEN 23 WHEN 'Y' THEN 24 END, 25) AS INT) AS position FROM (SELECT case when pos % 5 = 0 then 'X' when pos % 7 = 0 then 'MT' else chr end chr, count(*) n FROM @var GROUP BY 1)")
@@ -250,9 +250,10 @@ def _(t):
     return rounded(profiling.class_feature_means(t.var, NUMS), 6)
 
 
-@query("class_histogram_density", f"""SELECT label, bin, count(*) n, {R('any_value(lo) + bin * any_value(w)', 6)} edge_low, {R('count(*) / (any_value(tot) * any_value(w))')} density FROM (
-      SELECT label, lo, w, tot, cast(CASE WHEN w > 0 THEN least(floor((x - lo) / w), 59) ELSE 30 END AS INTEGER) bin FROM (SELECT label, quantity * 1.01e0 x FROM @var)
-      JOIN (SELECT label, min(quantity * 1.01e0) lo, (max(quantity * 1.01e0) - min(quantity * 1.01e0)) / 60 w, count(*) tot FROM @var GROUP BY label) USING (label)) GROUP BY label, bin""")
+@query("class_histogram_density", f"""SELECT r.label, bin, coalesce(n, 0) n, {R('lo + bin * w', 6)} edge_low, {R('coalesce(n, 0) / (tot * w)')} density FROM
+      (SELECT *, unnest(range(60))::INTEGER bin FROM (SELECT label, min(quantity * 1.01e0) lo, (max(quantity * 1.01e0) - min(quantity * 1.01e0)) / 60 w, count(*) tot FROM @var GROUP BY label)) r
+      LEFT JOIN (SELECT label, bin, count(*) n FROM (SELECT label, cast(CASE WHEN w > 0 THEN least(floor((x - lo) / w), 59) ELSE 30 END AS INTEGER) bin FROM (SELECT label, quantity * 1.01e0 x FROM @var)
+        JOIN (SELECT label, min(quantity * 1.01e0) lo, (max(quantity * 1.01e0) - min(quantity * 1.01e0)) / 60 w FROM @var GROUP BY label) USING (label)) GROUP BY label, bin) c USING (label, bin)""")
 def _(t):
     out = profiling.class_histogram(t.var.selectExpr("label", "quantity * 1.01e0 as x"), "x")
     return rounded(out.withColumn("edge_low", F.round("edge_low", 6)))

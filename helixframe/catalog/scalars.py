@@ -101,15 +101,15 @@ def token_sql(c: str) -> str:
     return f"CASE WHEN trim({c}) IN {NULLS} OR {head} IN {NULLS} THEN NULL ELSE {head} END"
 
 
-@query("first_token", f"SELECT rid, {token_sql('cons_text')} cons, {token_sql('packed')} packed, {token_sql('domain_text')} domain_token FROM @ann")
+@query("first_token", f"SELECT rid, {token_sql('cons_text')} cons, {token_sql('packed')} packed, {token_sql('domain_text')} domain_token FROM @annall")
 def _(t):
-    return t.ann.select("rid", text.first_token(C("cons_text")).alias("cons"), text.first_token(C("packed")).alias("packed"),
+    return t.annall.select("rid", text.first_token(C("cons_text")).alias("cons"), text.first_token(C("packed")).alias("packed"),
                         text.first_token(C("domain_text")).alias("domain_token"))
 
 
-@query("as_numeric", f"SELECT rid, try_cast({token_sql('cons_text')} AS DOUBLE) cons, try_cast({token_sql('packed')} AS DOUBLE) packed FROM @ann")
+@query("as_numeric", f"SELECT rid, try_cast({token_sql('cons_text')} AS DOUBLE) cons, try_cast({token_sql('packed')} AS DOUBLE) packed FROM @annall")
 def _(t):
-    return t.ann.select("rid", text.as_numeric(C("cons_text")).alias("cons"), text.as_numeric(C("packed")).alias("packed"))
+    return t.annall.select("rid", text.as_numeric(C("cons_text")).alias("cons"), text.as_numeric(C("packed")).alias("packed"))
 
 
 THREE_SQL = "CASE x " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in K.THREE_LETTER) + " END"
@@ -119,9 +119,9 @@ def aa_sql(c: str) -> str:
     return f"(SELECT CASE WHEN x IN {in_list(K.RESIDUES)} THEN x ELSE {THREE_SQL} END FROM (SELECT replace(upper({token_sql(c)}), '*', '') x))"
 
 
-@query("norm_aa", f"SELECT rid, {aa_sql('aaref')} ref_aa, {aa_sql('aaalt')} alt_aa FROM @ann")
+@query("norm_aa", f"SELECT rid, {aa_sql('aaref')} ref_aa, {aa_sql('aaalt')} alt_aa FROM @annall")
 def _(t):
-    return t.ann.select("rid", residues.norm_aa(C("aaref")).alias("ref_aa"), residues.norm_aa(C("aaalt")).alias("alt_aa"))
+    return t.annall.select("rid", residues.norm_aa(C("aaref")).alias("ref_aa"), residues.norm_aa(C("aaalt")).alias("alt_aa"))
 
 
 PROP_COLS = ", ".join(f'r."{p}" AS "{p}_ref", a."{p}" AS "{p}_alt"' for p in K.PROPERTY_NAMES)
@@ -148,24 +148,24 @@ def _(t):
         "rid", "BLOSUM62_score", "Grantham_distance")
 
 
-@query("ss_code_extract", f"SELECT rid, nullif(regexp_extract(upper({token_sql('ss_text')}), '([HEC])', 1), '') ss FROM @ann")
+@query("ss_code_extract", f"SELECT rid, nullif(regexp_extract(upper({token_sql('ss_text')}), '([HEC])', 1), '') ss FROM @annall")
 def _(t):
-    return t.ann.select("rid", text.secondary_structure(C("ss_text")).alias("ss"))
+    return t.annall.select("rid", text.secondary_structure(C("ss_text")).alias("ss"))
 
 
-@query("domain_present", f"SELECT rid, coalesce({token_sql('domain_text')} <> '', false) present FROM @ann")
+@query("domain_present", f"SELECT rid, coalesce({token_sql('domain_text')} <> '', false) present FROM @annall")
 def _(t):
-    return t.ann.select("rid", text.domain_present(C("domain_text")).alias("present"))
+    return t.annall.select("rid", text.domain_present(C("domain_text")).alias("present"))
 
 
-@query("log_af", f'SELECT rid, {R("""log10(coalesce("AF", 0e0) + 1e-8)""")} log_af FROM @af')
+@query("log_af", f'SELECT rid, {R("""log10(coalesce("AF", 0e0) + 1e-8)""")} log_af FROM @afall')
 def _(t):
-    return rounded(t.af.select("rid", variants.log_af(C("AF")).alias("log_af")))
+    return rounded(t.afall.select("rid", variants.log_af(C("AF")).alias("log_af")))
 
 
-@query("is_common", 'SELECT rid, coalesce("AF" > 1e-2, false) common FROM @af')
+@query("is_common", 'SELECT rid, coalesce("AF" > 1e-2, false) common FROM @afall')
 def _(t):
-    return t.af.select("rid", variants.is_common(C("AF")).alias("common"))
+    return t.afall.select("rid", variants.is_common(C("AF")).alias("common"))
 
 
 # INFO text derived from orders: per-allele lists, single values, flags, '.', repeated keys
@@ -217,9 +217,9 @@ def _(t):
     return rounded(m.select("o_orderkey", "allele", variants.af_popmax(C("m"), C("allele")).alias("popmax")))
 
 
-@query("af_popmax_table", 'SELECT rid, greatest("AF_AFR", "AF_EAS") popmax FROM @af')
+@query("af_popmax_table", 'SELECT rid, greatest("AF_AFR", "AF_EAS") popmax FROM @afall')
 def _(t):
-    return t.af.select("rid", readers.af_popmax_table(t.af).alias("popmax"))
+    return t.afall.select("rid", readers.af_popmax_table(t.afall).alias("popmax"))
 
 
 CHANGE = "case l_linenumber when 1 then 'G>A' when 2 then ' c > t ' when 3 then 'A>AT' when 4 then null when 5 then 'G-A' when 6 then 'T>t' else substr('ACGT', cast(l_partkey % 4 as int) + 1, 1) || '>' || substr('ACGT', cast(l_suppkey % 4 as int) + 1, 1) end"
@@ -270,9 +270,9 @@ def packed_sql(fn: str) -> str:
     return f"CASE WHEN len({parts}) = len(list_filter({parts}, lambda x: try_cast(x AS DOUBLE) IS NOT NULL)) THEN list_{fn}(list_transform({parts}, lambda x: try_cast(x AS DOUBLE))) END"
 
 
-@query("packed_score_reduce", f"SELECT rid, {packed_sql('max')} score_max, {packed_sql('min')} score_min FROM @ann")
+@query("packed_score_reduce", f"SELECT rid, {packed_sql('max')} score_max, {packed_sql('min')} score_min FROM @annall")
 def _(t):
-    return t.ann.select("rid", text.packed_scores(C("packed")).alias("score_max"), text.packed_scores(C("packed"), smallest=True).alias("score_min"))
+    return t.annall.select("rid", text.packed_scores(C("packed")).alias("score_max"), text.packed_scores(C("packed"), smallest=True).alias("score_min"))
 
 
 # Nested consequence text derived from lineitem: up to three records per row
@@ -357,9 +357,9 @@ START_SQL = "greatest(0, least(n, greatest(0, pos - 1 - 511) + 1022) - 1022)"
 
 
 @query("sequence_window", f"""SELECT doc_id, CASE WHEN n <= 1022 THEN seq ELSE substr(seq, {START_SQL} + 1, 1022) END AS "window",
-      cast(CASE WHEN n <= 1022 THEN pos ELSE pos - {START_SQL} END AS BIGINT) AS window_pos FROM {SEQ_SQL} WHERE pos BETWEEN 1 AND n""")
+      cast(CASE WHEN n <= 1022 THEN pos ELSE pos - {START_SQL} END AS BIGINT) AS window_pos FROM {SEQ_SQL}""")
 def _(t):
-    rows = sequences(t).filter("pos between 1 and n")
+    rows = sequences(t)
     return rows.select("doc_id", *[e.alias(n) for n, e in residues.sequence_window(C("seq"), C("pos")).items()])
 
 

@@ -48,10 +48,10 @@ def _(t):
 AF_OUT = f'SELECT variant_key, rid, "AF", greatest("AF_AFR", "AF_EAS") AS "AF_popmax", "AN", "AC", {R("""log10(coalesce("AF", 0e0) + 1e-8)""")} log_af, coalesce("AF" > 1e-2, false) is_common FROM @af'
 
 
-@query("scan_af_table", AF_OUT.replace(" rid,", "").replace("FROM @af", "FROM (SELECT * FROM @af)"))
+@query("scan_af_table", AF_OUT.replace(" rid,", "").replace("FROM @af", "FROM @afall"))
 def _(t):
     path = scratch_path(t.spark, "af")
-    t.af.select("variant_key", "AF", "AF_AFR", "AF_EAS", "AN", "AC").write.parquet(path)
+    t.afall.select("variant_key", "AF", "AF_AFR", "AF_EAS", "AN", "AC").write.parquet(path)
     out = readers.read_af_table(t.spark, path)
     return out.withColumn("log_af", F.round("log_AF", 8) + F.lit(0.0)).select("variant_key", "AF", "AF_popmax", "AN", "AC", "log_af", "is_common")
 
@@ -171,13 +171,13 @@ def _(t):
     return t.spark.read.schema("split string, n bigint, mean_p double").option("header", True).csv(path)
 
 
-STATS = f"""SELECT count(*) total, count(*) FILTER ("AF" > 1e-2) common, count(*) FILTER ("AF" <= 1e-2) rare, {R('coalesce(avg("AF"), 0)')} mean_af FROM @af"""
+STATS = f"""SELECT count(*) total, count(*) FILTER ("AF" > 1e-2) common, count(*) FILTER ("AF" <= 1e-2) rare, {R('coalesce(avg("AF"), 0)')} mean_af FROM @afall"""
 
 
 @query("sink_with_running_stats", STATS)
 def _(t):
     path = scratch_path(t.spark, "afsink")
-    rows = t.af.select("variant_key", "AF", "AN", "AC", log_af(C("AF")).alias("log_AF"), is_common(C("AF")).alias("is_common"))
+    rows = t.afall.select("variant_key", "AF", "AN", "AC", log_af(C("AF")).alias("log_AF"), is_common(C("AF")).alias("is_common"))
     stats = writers.write_with_stats(rows, path)
     counted = t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("total"))
     return rounded(counted.select("total", *[F.lit(stats[k]).cast("bigint" if k != "mean_af" else "double").alias(k) for k in ("common", "rare", "mean_af")]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +30,31 @@ def missing_flag(c: Column) -> Column:
 def finite(c: Column) -> Column:
     """Infinities and NaN to NULL."""
     return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+
+
+#: Step and terms of the midpoint rule below; with them the error is below 1e-13.
+ERFC_STEP = 0.5
+ERFC_TERMS = 13
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function of a column of non-negative numbers.
+
+    erfc(x) = (2 x exp(-x^2) / pi) * integral of exp(-t^2) / (x^2 + t^2) over t > 0, by the midpoint
+    rule, whose only notable error, from the pole at t = ix, has a closed form.
+    """
+    h = ERFC_STEP
+    square = x * x
+    total = F.lit(0.0)
+    for k in range(ERFC_TERMS):
+        t = (k + 0.5) * h
+        total = total + F.lit(math.exp(-t * t)) / (square + F.lit(t * t))
+    body = F.lit(2.0 * h / math.pi) * x * F.exp(-square) * total
+    pole = F.when(x < F.lit(math.pi / h), F.lit(2.0) / (F.lit(1.0) + F.exp(F.lit(2.0 * math.pi / h) * x))).otherwise(0.0)
+    return body + pole
+
+
+def two_sided_normal(z: Column) -> Column:
+    """Two-sided tail of a standard normal statistic; null for null and NaN."""
+    usable = F.nanvl(z.cast("double"), F.lit(None).cast("double"))
+    return erfc(F.abs(usable) / F.lit(math.sqrt(2.0)))

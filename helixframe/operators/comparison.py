@@ -5,26 +5,19 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from helixframe.constants import CLASS_NAMES, Z_95
 from helixframe.functions.residues import aa_class
+from helixframe.functions.scores import two_sided_normal
 from helixframe.operators.metrics import guarded_ranking, ranking_metrics, rate
 from helixframe.operators.ordered import exact_quantiles, mid_ranks, ordinal_ranks, running_sums
 from helixframe.operators.resampling import bootstrap_metrics, paired_bootstrap_delta
 from helixframe.session import cut_lineage
 
 
-@F.pandas_udf(DoubleType())
-def two_sided_normal(z: pd.Series) -> pd.Series:
-    """Two-sided normal tail; only ever applied to a handful of test rows."""
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if v == v else None)
-
-
 def _placements(cells: DataFrame, score: str, name: str, groups) -> DataFrame:
     """Per distinct score: share of negatives below (for positives) and positives below."""
     per = cells.groupBy(*groups, F.col(score).alias(f"_{name}")).agg(
@@ -90,7 +83,7 @@ def delong_test(df, y="y", score_a="p_a", score_b="p_b", groups=(), with_pvalue=
             "z": F.when(ok, F.try_divide(F.col("delta"), F.col("delta_se"))),
         }
     ).drop("_v")
-    return out.withColumn("p_value", two_sided_normal("z")) if with_pvalue else out
+    return out.withColumn("p_value", two_sided_normal(F.col("z"))) if with_pvalue else out
 
 
 def holm_adjust(df: DataFrame, p="p_value", metric="metric", order: Sequence[str] = (), out="p_holm") -> DataFrame:
@@ -254,6 +247,12 @@ def matched_coverage(df: DataFrame, y: str, scores: Sequence[str], anchor: str,
     return grouped_scores(long_scores(rows, [y], scores), ["score_name"], y, **more)
 
 
+def matched_coverage_tests(df: DataFrame, reference: str, others: Sequence[str], anchor: str, **more) -> DataFrame:
+    """The reference score against each other one, paired (DeLong, bootstrap of the average
+    precision, Holm), on the rows that `anchor` covers."""
+    return pairwise_tests(df.filter(F.col(anchor).isNotNull()), [(reference, o) for o in others], **more)
+
+
 def intersection_subset(df: DataFrame, y: str, scores: Sequence[str], **more) -> DataFrame:
     """All scores on the rows every score covers, with coverage before the cut."""
     rows = df

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from helixframe import constants as K
 from helixframe.operators.ordered import column_quantiles, exact_quantiles, to_long
+from helixframe.session import cut_lineage
 
 NUMERIC = {"byte", "tinyint", "short", "smallint", "integer", "int", "long", "bigint", "float", "double", "decimal"}
 
@@ -133,10 +134,21 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, approxi
 
 
 def dead_columns(df: DataFrame, columns=None) -> list[str]:
-    """All-null and constant columns. At most one row per column reaches the driver."""
-    rows = profile_columns(df, columns).filter("zero_variance").select("column").collect()
-    found = {r[0] for r in rows}
-    return [c for c in (columns or df.columns) if c in found]
+    """All-null and constant columns, by one aggregate of minima and maxima; one row reaches the
+    driver. Columns without an order are compared by their text."""
+    columns = list(columns or df.columns)
+    if not columns:
+        return []
+    plain = ("array", "map", "struct", "variant")
+
+    def shaped(c):
+        col = F.col(f"`{c}`")
+        return F.to_json(F.struct(col)) if df.schema[c].dataType.typeName() in plain else col
+
+    row = df.agg(*[
+        (F.min(shaped(c)).isNull() | (F.min(shaped(c)) == F.max(shaped(c)))).alias(str(i)) for i, c in enumerate(columns)
+    ]).first()
+    return [c for i, c in enumerate(columns) if row[i]]
 
 
 def drop_dead_columns(df: DataFrame, columns=None) -> DataFrame:
@@ -169,20 +181,20 @@ def profile_outliers(df: DataFrame, columns: Sequence[str], spread=5.0, groups=(
     """Moments, quartiles, and the share outside quartile -/+ spread * IQR, per column."""
     long = to_long(df, columns, groups).filter(F.col("value").isNotNull())
     keys = [*groups, "column"]
-    cells = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    cells = cut_lineage(long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")))
     quart = exact_quantiles(cells, "value", [0.25, 0.75], keys, cells=cells).select(
         *keys, F.col("q0").alias("q1"), F.col("q1").alias("q3")
     )
     bounded = cells.join(quart, keys).withColumn("iqr", F.col("q3") - F.col("q1"))
     low, high = F.col("q1") - spread * F.col("iqr"), F.col("q3") + spread * F.col("iqr")
     outside = (F.col("value") < low) | (F.col("value") > high)
-    moments = long.groupBy(*keys).agg(
-        F.count("value").alias("count_non_null"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    n, v = F.col("n").cast("double"), F.col("value")
+    moments = cells.groupBy(*keys).agg(
+        F.sum("n").alias("count_non_null"), (F.sum(n * v) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
     )
+    spreads = cells.join(moments.select(*keys, "mean"), keys).groupBy(*keys).agg(
+        F.sqrt(F.try_divide(F.sum(n * (v - F.col("mean")) ** 2), F.sum(n) - 1)).alias("std"))
+    moments = moments.join(spreads, keys)
     out = bounded.groupBy(*keys).agg(
         F.max("q1").alias("q1"), F.max("q3").alias("q3"), F.max("iqr").alias("iqr"),
         F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outlier_count"),
@@ -464,7 +476,8 @@ def class_feature_means(df: DataFrame, columns: Sequence[str], label="label") ->
 
 
 def class_histogram(df: DataFrame, value: str, label="label", bins=60) -> DataFrame:
-    """Density histogram per class over that class's own range; the last bin is closed."""
+    """Density histogram per class over that class's own range, empty bins included; the last bin is
+    closed. A class of one value has bins of no width, and all its rows in the middle one."""
     rows = df.filter(F.col(value).isNotNull()).select(label, F.col(value).cast("double").alias("v"))
     span = rows.groupBy(label).agg(
         F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("total")
@@ -472,10 +485,9 @@ def class_histogram(df: DataFrame, value: str, label="label", bins=60) -> DataFr
     width = (F.col("high") - F.col("low")) / bins
     at = F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(bins - 1)).cast("int")
     placed = rows.join(span, label).withColumn("bin", F.when(width > 0, at).otherwise(bins // 2))
-    return placed.groupBy(label, "bin").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max("low").alias("low"), F.max("high").alias("high"), F.max("total").alias("total"),
-    ).select(
+    counts = placed.groupBy(label, "bin").agg(F.count(F.lit(1)).alias("n"))
+    every = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return every.join(counts, [label, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0))).select(
         label, "bin", "n",
         (F.col("low") + F.col("bin") * width).alias("edge_low"),
         F.try_divide(F.col("n"), F.col("total") * width).alias("density"),
