@@ -183,14 +183,23 @@ def hash_order(key, seed: int):
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
 
 
+HASH_BLOCK_ROWS = 65_536
+
+
+def hash_digits(rows: int) -> int:
+    """Hex digits that cut so many rows into blocks of at most about HASH_BLOCK_ROWS."""
+    return max(1, math.ceil(math.log(max(rows, 1) / HASH_BLOCK_ROWS, 16))) if rows > HASH_BLOCK_ROWS else 1
+
+
 def hash_ranks(df: DataFrame, key: str, seed: int, groups=(), out: str = "hash_rank") -> DataFrame:
     """1-based position of each key in the seeded order, without one global sort.
 
-    The first three md5 digits give 4096 even blocks, so each window sees 1/4096 of a group.
+    Leading md5 digits cut a group into even blocks; their number follows from the counted rows, so
+    that a window sees about HASH_BLOCK_ROWS rows at any size.
     """
     groups = list(groups)
     shaped = df.withColumn("_h", hash_order(F.col(key), seed)).withColumn(
-        "_b", F.substring("_h", 1, 3)
+        "_b", F.substring("_h", 1, hash_digits(df.count()))
     )
     earlier = _over(groups).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -232,14 +241,15 @@ def ordinal_ranks(
     the key and NULL values get NULL.
 
     Rows are ordered inside value blocks and shifted by the counts of earlier blocks. A hot value
-    is further cut into 4096 hash blocks, so no task sorts more than a block.
+    is further cut into hash blocks by the number of rows, so no task sorts more than a block.
     """
     groups = list(groups)
     shaped = df.withColumns({"_h": hash_order(F.col(key), 0), "_null": F.col(value).isNull()})
     splits, hot = block_cuts(df.filter(F.col(value).isNotNull()), value, limit)
+    digits = hash_digits(df.count()) if hot else 1
     shaped = with_block(shaped, value, splits) if splits else shaped.withColumn("_block", F.lit(0))
     is_hot = F.coalesce(F.col(value).isin(*hot), F.lit(False)) if hot else F.lit(False)
-    shaped = shaped.withColumn("_part", F.when(is_hot, F.substring("_h", 1, 3)).otherwise(""))
+    shaped = shaped.withColumn("_part", F.when(is_hot, F.substring("_h", 1, digits)).otherwise(""))
     keys = [*groups, "_null", "_block", "_part"]
     place = F.row_number().over(W.partitionBy(*keys).orderBy(value, "_h", key)) - 1
     if not splits:

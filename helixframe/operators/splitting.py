@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe import constants as K
-from helixframe.operators.ordered import hash_ranks
+from helixframe.operators.ordered import hash_order, hash_ranks
+from helixframe.session import cut_lineage
 
 
 def assign_groups(df: DataFrame, group: str, train=0.70, val=0.15, test=0.15, seed=42) -> DataFrame:
@@ -17,7 +19,8 @@ def assign_groups(df: DataFrame, group: str, train=0.70, val=0.15, test=0.15, se
     for validation and test."""
     if abs(train + val + test - 1.0) > 1e-6 or min(train, val, test) <= 0:
         raise ValueError("split ratios must be positive and sum to 1")
-    ranked = hash_ranks(df.select(group).distinct(), group, seed)
+    # the distinct groups are ranked from a written table, so what made `df` runs once for them
+    ranked = hash_ranks(cut_lineage(df.select(group).distinct()), group, seed)
     n, r = F.col("hash_rank_n"), F.col("hash_rank")
     n_train = F.floor(F.lit(train) * n)
     n_val = F.floor(F.lit(val / (val + test)) * (n - n_train))
@@ -46,59 +49,76 @@ def split_summary(df: DataFrame, group: str, label="label") -> DataFrame:
     )
 
 
-def _check(name: str, table: DataFrame, n: str = "n") -> DataFrame:
-    return table.select(
-        F.lit(name).alias("check"),
-        F.col(n).cast("bigint").alias("n"),
-        F.when(F.col(n) == 0, "pass").otherwise("fail").alias("status"),
-    )
-
-
 def _union(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables)
 
 
-def shared_groups(df: DataFrame, group: str) -> DataFrame:
-    """Groups seen in each split, then the groups seen in a pair of splits; one row."""
-    flags = df.groupBy(group).agg(
-        *[F.bool_or(F.col("split") == s).alias(s) for s in ("train", "val", "test")]
-    )
-    return flags.agg(
-        F.count_if(F.col("train") & F.col("val")).alias("train_val"),
-        F.count_if(F.col("train") & F.col("test")).alias("train_test"),
-        F.count_if(F.col("val") & F.col("test")).alias("val_test"),
-    )
+SPLITS = ("train", "val", "test")
 
 
-def label_gaps(df: DataFrame, label="label") -> DataFrame:
-    """Positive share per split and overall, one row."""
+def group_facts(df: DataFrame, group: str, label="label", **more) -> DataFrame:
+    """One written row per group: in which splits it is, rows and label sums of each split, and the
+    aggregates in `more`. Every check below is derived from it, so `df` is read once."""
     y = F.col(label).cast("double")
-    return df.agg(
-        F.avg(y).alias("all"),
-        *[F.avg(F.when(F.col("split") == s, y)).alias(s) for s in ("train", "val", "test")],
-    )
+    return cut_lineage(df.groupBy(group).agg(
+        *[F.bool_or(F.col("split") == s).alias(s) for s in SPLITS],
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(F.when(F.col("split") == s, y)).alias(f"y_{s}") for s in SPLITS],
+        *[F.count(F.when(F.col("split") == s, y)).alias(f"n_{s}") for s in SPLITS],
+        F.sum(y).alias("y_all"), F.count(y).alias("n_all"),
+        *[e.alias(name) for name, e in more.items()],
+    ))
+
+
+def overlaps() -> list:
+    """Counts of groups seen in both of each pair of splits."""
+    return [F.count_if(F.col(a) & F.col(b)).alias(f"{a}_{b}") for a, b in (("train", "val"), ("train", "test"), ("val", "test"))]
+
+
+def label_shares() -> list:
+    """Positive share per split and overall, from group facts."""
+    return [F.try_divide(F.sum(f"y_{s}"), F.sum(f"n_{s}")).alias(f"share_{s}") for s in (*SPLITS, "all")]
+
+
+def _checks(row: DataFrame, checks: dict) -> DataFrame:
+    """Check table from one row of facts."""
+    each = F.array(*[F.struct(F.lit(name).alias("check"), n.cast("bigint").alias("n")) for name, n in checks.items()])
+    return row.select(F.explode(each).alias("c")).select(
+        "c.check", "c.n", F.when(F.col("c.n") == 0, "pass").otherwise("fail").alias("status"))
 
 
 def validate_split(original: DataFrame, split: DataFrame, group: str, label="label") -> DataFrame:
     """Check table: zero group overlap, rows preserved, label share within the limit."""
-    pairs = shared_groups(split, group)
-    overlap = [_check(f"{p}_overlap", pairs.select(F.col(p).alias("n"))) for p in ("train_val", "train_test", "val_test")]
-    lost = original.agg(F.count(F.lit(1)).alias("a")).join(split.agg(F.count(F.lit(1)).alias("b")), F.lit(True))
-    rows = _check("row_total", lost.select(F.abs(F.col("a") - F.col("b")).alias("n")))
-    gaps = label_gaps(split, label)
-    far = [
-        _check(
-            f"{s}_label_ratio",
-            gaps.select((F.abs(F.coalesce(F.col(s), F.lit(0.0)) - F.col("all")) > K.LABEL_GAP_LIMIT).cast("int").alias("n")),
-        )
-        for s in ("train", "val", "test")
-    ]
-    return _union([*overlap, rows, *far])
+    facts = group_facts(split, group, label)
+    row = facts.agg(*overlaps(), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), *label_shares()).join(
+        original.agg(F.count(F.lit(1)).alias("before")), F.lit(True))
+    far = {
+        f"{s}_label_ratio": F.coalesce(
+            (F.abs(F.coalesce(F.col(f"share_{s}"), F.lit(0.0)) - F.col("share_all")) > K.LABEL_GAP_LIMIT).cast("int"), F.lit(0))
+        for s in SPLITS
+    }
+    pairs = {f"{p}_overlap": F.col(p) for p in ("train_val", "train_test", "val_test")}
+    return _checks(row, pairs | {"row_total": F.abs(F.col("before") - F.col("rows"))} | far)
 
 
 def stratified_sample(df: DataFrame, k: int, key: str, label="label", seed=42) -> DataFrame:
-    """k rows per label in seeded hash order."""
-    return hash_ranks(df, key, seed, [label]).filter(F.col("hash_rank") <= k).drop("hash_rank", "hash_rank_n")
+    """k rows per label in seeded hash order.
+
+    Labels are counted first; the rows whose hash lies below a bound that leaves a little more
+    than k of a label are the only ones that move and are ranked. Where chance leaves fewer than
+    k, all rows are ranked.
+    """
+    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    share = F.lit(0.0)
+    for value, n in sizes.items():
+        share = F.when(F.col(label).eqNullSafe(F.lit(value)), min(1.0, (k + 6 * k**0.5 + 20) / n)).otherwise(share)
+    place = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 2.0**32
+    near = cut_lineage(df.withColumn("_h", hash_order(F.col(key), seed)).filter(place < share))
+    kept = {r[0]: r[1] for r in near.groupBy(label).count().collect()}
+    if any(kept.get(value, 0) < min(k, n) for value, n in sizes.items()):
+        return hash_ranks(df, key, seed, [label]).filter(F.col("hash_rank") <= k).drop("hash_rank", "hash_rank_n")
+    order = W.partitionBy(label).orderBy("_h", key)
+    return near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_h", "_r")
 
 
 def group_subsample(df: DataFrame, group: str, fraction: float, seed=42) -> DataFrame:
@@ -187,42 +207,29 @@ def leakage_gate(
 ) -> DataFrame:
     """Check table (check, n, status) over a split table and the encoded feature names."""
     name = F.col("feature")
-    checks = [
-        _check("banned_features", manifest.agg(F.count_if(name.isin(*BANNED_MODEL_COLUMNS)).alias("n"))),
-        _check(
-            "banned_one_hot",
-            manifest.agg(F.count_if(name.startswith("chr_") | name.startswith("is_common_")).alias("n")),
-        ),
-        _check(
-            "missense_only",
-            split.filter(F.col("split") == "train").agg(
-                F.count_if(F.col("ref_aa").isNull() | F.col("alt_aa").isNull()).alias("n")
-            ),
-        ),
-        _check("gene_overlap", shared_groups(split, gene).select(F.col("train_test").alias("n"))),
-        _check(
-            "family_overlap",
-            shared_groups(
-                split.select("split", family_of(F.col(gene).cast("string")).alias("_family")), "_family"
-            ).select(F.col("train_test").alias("n")),
-        ),
-    ]
-    g = label_gaps(split, label)
-    worst = F.greatest(
-        F.abs(F.col("train") - F.col("val")),
-        F.abs(F.col("train") - F.col("test")),
-        F.abs(F.col("val") - F.col("test")),
+    have = F.count_distinct(F.when(name.isin(*required), name)) if required else F.lit(0)
+    names = manifest.agg(
+        F.count_if(name.isin(*BANNED_MODEL_COLUMNS)).alias("banned"),
+        F.count_if(name.startswith("chr_") | name.startswith("is_common_")).alias("banned_hot"),
+        have.alias("have"),
     )
-    checks.append(_check("label_balance", g.select((worst > K.LABEL_GAP_LIMIT).cast("int").alias("n"))))
+    unknown = F.count_if((F.col("split") == "train") & (F.col("ref_aa").isNull() | F.col("alt_aa").isNull()))
+    genes = group_facts(split, gene, label, unknown=unknown)
+    families = genes.withColumn("_family", family_of(F.col(gene).cast("string"))).groupBy("_family").agg(
+        F.bool_or("train").alias("train"), F.bool_or("test").alias("test"))
+    row = genes.agg(F.sum("unknown").alias("unknown"), *overlaps(), *label_shares()).join(
+        families.agg(F.count_if(F.col("train") & F.col("test")).alias("families")), F.lit(True)).join(names, F.lit(True))
+    a, b, c = (F.col(f"share_{s}") for s in SPLITS)
+    worst = F.greatest(F.abs(a - b), F.abs(a - c), F.abs(b - c))
+    checks = {
+        "banned_features": F.col("banned"), "banned_one_hot": F.col("banned_hot"),
+        "missense_only": F.coalesce("unknown", F.lit(0)), "gene_overlap": F.col("train_test"),
+        "family_overlap": F.col("families"), "label_balance": (worst > K.LABEL_GAP_LIMIT).cast("int"),
+    }
     if required:
-        present = manifest.agg(F.count_distinct(F.when(name.isin(*required), name)).alias("have"))
-        checks.append(
-            _check("required_features", present.select((F.lit(len(required)) - F.col("have")).alias("n")))
-        )
+        checks["required_features"] = F.lit(len(required)) - F.col("have")
     if scores is not None:
-        s = score_split_integrity(split, scores, key).agg(
-            F.sum("n_outside").alias("outside"), F.sum("n_cross_split").alias("crossed")
-        )
-        checks.append(_check("score_keys_outside", s.select(F.col("outside").alias("n"))))
-        checks.append(_check("score_keys_crossed", s.select(F.col("crossed").alias("n"))))
-    return _union(checks)
+        row = row.join(score_split_integrity(split, scores, key).agg(
+            F.sum("n_outside").alias("outside"), F.sum("n_cross_split").alias("crossed")), F.lit(True))
+        checks |= {"score_keys_outside": F.col("outside"), "score_keys_crossed": F.col("crossed")}
+    return _checks(row, checks)
