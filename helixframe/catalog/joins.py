@@ -32,6 +32,14 @@ def _(t):
     return out.select("variant_key", "label", "gene", "cons", "flag")
 
 
+@query("join_inner_report", f"""SELECT sum(l)::BIGINT n_left, sum(r)::BIGINT n_right, count(*) FILTER (l > 1) n_left_repeated, count(*) FILTER (r > 1) n_right_repeated,
+      sum(CASE WHEN l > 0 AND r > 0 THEN l ELSE 0 END)::BIGINT n_matched, sum(CASE WHEN r = 0 THEN l ELSE 0 END)::BIGINT n_filtered
+    FROM (SELECT k, sum(l) l, sum(r) r FROM (SELECT variant_key k, 1 l, 0 r FROM @var UNION ALL SELECT variant_key, 0, 1 FROM @ann) GROUP BY k)""")
+def _(t):
+    return joins.join_report(t.var, t.ann)
+
+
+
 @query("join_left_defaults", f"""SELECT v.variant_key, CASE WHEN a.variant_key IS NULL THEN 0 ELSE {R('a."AF"')} END AS "AF", CASE WHEN a.variant_key IS NULL THEN -8 ELSE {R('log10(coalesce(a."AF", 0) + 1e-8)')} END log_af,
       coalesce(a."AF" > 1e-2, false) is_common, coalesce(a."AN", 0) AS "AN", coalesce(a."AC", 0) AS "AC" FROM {UVAR} v LEFT JOIN {UAF} a USING (variant_key)""")
 def _(t):

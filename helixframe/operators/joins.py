@@ -16,10 +16,21 @@ from helixframe.operators.ordered import medians_wide
 AF_DEFAULTS = {"AF": 0.0, "AF_popmax": 0.0, "log_AF": math.log10(AF_EPSILON), "is_common": False}
 
 
-def join_inner_validated(left, right, key="variant_key", order: Sequence = (), drop: Sequence[str] = ()):
-    """Inner join one-to-one on the key: right duplicates collapse to the first row, and right
-    columns that the left side owns are dropped."""
+def join_inner_validated(left, right, key="variant_key", order: Sequence = (), drop: Sequence[str] = (), validate: bool = True):
+    """Inner join one-to-one on the key; right columns that the left side owns are dropped.
+
+    Keys that repeat on the left raise, and so does a join without any row. On the right, `order`
+    declares which of several rows of a key is meant (the first); without it repeated keys raise
+    there too. The keys of both sides are aggregated once for these checks; `validate=False` leaves
+    them out where the caller has made the keys unique. `join_report` has the counts.
+    """
     owned = set(left.columns) | set(drop)
+    if validate:
+        report = join_report(left, right, key).first()
+        if report["n_left_repeated"] or (report["n_right_repeated"] and not order):
+            raise ValueError(f"repeated keys: {report['n_left_repeated']} left, {report['n_right_repeated']} right")
+        if not report["n_matched"]:
+            raise ValueError(f"no key of {report['n_left']} rows matches")
     right = right.select(key, *[c for c in right.columns if c != key and c not in owned])
     order = [o for o in order if not isinstance(o, str) or o in right.columns] or [
         c for c in right.columns if c != key
@@ -27,6 +38,24 @@ def join_inner_validated(left, right, key="variant_key", order: Sequence = (), d
     return left.join(keep_first(right, [key], order), key)
 
 
+def join_report(left, right, key="variant_key") -> DataFrame:
+    """One row: rows and keys of both sides, repeated keys, matched and filtered (unmatched) left rows."""
+    sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r"))
+    ).filter(F.col(key).isNotNull())
+    per_key = sides.groupBy(key).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    both = (F.col("l") > 0) & (F.col("r") > 0)
+
+    def total(c):
+        return F.coalesce(F.sum(c), F.lit(0))
+
+    return per_key.agg(
+        total("l").alias("n_left"), total("r").alias("n_right"),
+        F.count_if(F.col("l") > 1).alias("n_left_repeated"), F.count_if(F.col("r") > 1).alias("n_right_repeated"),
+        total(F.when(both, F.col("l"))).alias("n_matched"), total(F.when(F.col("r") == 0, F.col("l"))).alias("n_filtered"),
+    )
+
+
 def assert_one_to_one(df: DataFrame, key: str, table: str) -> DataFrame:
     """Fail on repeated keys or an empty table; one aggregate."""
     repeated, rows = (

@@ -10,21 +10,26 @@ from pyspark.sql import functions as F
 from helixframe import constants as K
 from helixframe.functions.families import gene_family
 from helixframe.operators import cleaning, dedup, joins, profiling, splitting
+from helixframe.session import cut_lineage
 
 
 def merge_sources(labels, annotation, freq, order: Sequence, annotation_order: Sequence = (), freq_order: Sequence = ()) -> DataFrame:
     """Conflict-free labelled rows, inner-joined to annotation, left-joined to frequencies.
 
     Labels are resolved in one aggregate; the side tables are reduced to one row per key by the
-    same kind of aggregate, so every join is one-to-one.
+    same kind of aggregate, so every join is one-to-one. The result is written once for the steps
+    that follow; a merge without any row raises.
     """
     resolved = dedup.resolve_keys(labels, order)
-    merged = joins.join_inner_validated(resolved, annotation, order=annotation_order, drop=K.ID_COLUMNS[1:8])
+    merged = joins.join_inner_validated(resolved, annotation, order=annotation_order, drop=K.ID_COLUMNS[1:8], validate=False)
     keep = [c for c in ("variant_key", "AF", "AF_popmax", "AN", "AC", "log_AF", "is_common") if c in freq.columns]
     table = freq.select(*keep)
     table = dedup.keep_first(table, ["variant_key"], freq_order or [c for c in keep if c != "variant_key"])
     out = joins.join_left_defaults(merged, table)
-    return out.withColumn("has_annotation", F.lit(True))
+    out = cut_lineage(out.withColumn("has_annotation", F.lit(True)))
+    if out.isEmpty():
+        raise ValueError("no labelled key is annotated")
+    return out
 
 
 def split_by_family(df: DataFrame, gene="gene", seed=42, **ratios) -> DataFrame:

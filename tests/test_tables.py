@@ -186,3 +186,28 @@ def test_top_features_and_report(spark):
     boot = cal.select("phase", "eval_set", F.lit(0.9).alias("roc_auc"))
     out = {r.phase: r.verdict for r in attributions.metric_report_merge(cal, boot).collect()}
     assert out == {"phase1": "ok", "phase2": "worse"}
+
+
+def test_validated_join_raises(spark):
+    left = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, x int")
+    right = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 3.0), ("z", 4.0)], "k string, v double")
+    one = left.dropDuplicates(["k"])
+    with pytest.raises(ValueError, match="repeated"):
+        joins.join_inner_validated(left, right, "k", ["v"])
+    with pytest.raises(ValueError, match="repeated"):
+        joins.join_inner_validated(one, right, "k")
+    with pytest.raises(ValueError, match="matches"):
+        joins.join_inner_validated(one.filter("k = 'a'"), right.filter("k = 'z'"), "k")
+    assert rows(joins.join_inner_validated(one, right, "k", ["v"]).select("k", "v"), "k", "v") == [("a", 1.0), ("b", 2.0)]
+    report = joins.join_report(left, right, "k").first()
+    assert tuple(report) == (3, 4, 1, 1, 3, 0)
+    assert joins.join_report(left, right.filter("k = 'b'"), "k").first()["n_filtered"] == 2
+
+
+def test_dead_columns_and_stratified_fallback(spark):
+    df = spark.createDataFrame([(1, None, "x", [1], i) for i in range(40)], "a int, b string, c string, d array<int>, e int")
+    assert profiling.dead_columns(df) == ["a", "b", "c", "d"]
+    few = spark.createDataFrame([(str(i), i % 2) for i in range(500)], "key string, label int")
+    for k in (1, 5, 100, 250, 900):
+        got = splitting.stratified_sample(few, k, "key").groupBy("label").count().collect()
+        assert {r[0]: r[1] for r in got} == {0: min(k, 250), 1: min(k, 250)}
