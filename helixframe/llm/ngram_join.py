@@ -42,9 +42,9 @@ SALTS = 64
 PIVOTS = 8
 CLASSES = 256
 BLOCK_NODES = 512
-SLICE = 256
+SLICE = 64
 #: Shingles that a task gathers before it sends packed blocks.
-GATHER = 1 << 19
+GATHER = 1 << 18
 #: Rows of two numbers that may be broadcast to pick documents (about 100 bytes each).
 PICK_ROWS = 500_000
 
@@ -429,8 +429,12 @@ def _open_pairs(found: DataFrame, groups: DataFrame, nodes: DataFrame, roots: Da
     sizes = cut_lineage(sizes.groupBy("x", "all").agg(F.min(F.struct("of", "main", "most")).alias("s")).select(
         "s.of", "s.main", F.ceil(F.col("all") / BLOCK_NODES).cast("long").alias("tall"),
         F.ceil((F.col("all") - F.col("s.most")) / BLOCK_NODES).cast("long").alias("wide")))
-    rows = held.join(sizes, "of").withColumn("out", F.col("root") != F.col("main")).join(placed.select("node", "n", "classes"), "node")
-    columns = ["of", "row", "col", "node", "root", "out", "n", "classes"]
+    # a pair that shares several sets is compared in the first of them only
+    chosen = held.join(sizes, "of")
+    lists = chosen.groupBy("node").agg(F.collect_set("of").alias("sets"))  # no longer than a prefix
+    rows = chosen.withColumn("out", F.col("root") != F.col("main")).join(lists, "node").join(placed.select("node", "n", "classes"), "node")
+    rows = rows.withColumn("sets", F.filter("sets", lambda x: x < F.col("of")))
+    columns = ["of", "row", "col", "node", "root", "out", "n", "classes", "sets"]
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     left = rows.where("out").withColumn("row", F.pmod(F.xxhash64("node"), "wide")).withColumn("col", every("tall"))
     right = rows.withColumn("col", F.pmod(F.xxhash64("node"), "tall")).withColumn("row", every("wide"))
@@ -450,7 +454,9 @@ def _open_pairs(found: DataFrame, groups: DataFrame, nodes: DataFrame, roots: Da
         ids, others = a["node"].to_numpy(), b["node"].to_numpy()
         keep &= ~b["out"].to_numpy()[None, :] | (ids[:, None] < others[None, :])
         i, j = np.nonzero(keep)
-        return pd.DataFrame({"a": ids[i], "b": others[j]})
+        before, earlier = ([frozenset(x.tolist()) for x in t["sets"]] for t in (a, b))
+        new = np.array([before[x].isdisjoint(earlier[y]) for x, y in zip(i.tolist(), j.tolist())], dtype=bool)
+        return pd.DataFrame({"a": ids[i[new]], "b": others[j[new]]})
 
     pairs = left.groupBy("of", "row", "col").cogroup(right.groupBy("of", "row", "col")).applyInPandas(compare, "a bigint, b bigint")
     return _ordered(pairs)
