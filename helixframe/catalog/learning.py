@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helixframe.catalog.base import R, query, rounded
@@ -12,7 +13,13 @@ from helixframe.plans import training
 from helixframe.session import cut_lineage
 
 C = F.col
-PARAMS = {"max_iter": 4, "max_depth": 3}
+#: AUC and average precision of the stand-in labels: a shift of six units of a measure is all that
+#: tells them apart, so a sound fit lands inside these bounds.
+SOUND_AUC = (0.58, 0.68)
+
+
+def sound(auc: str = "roc_auc"):
+    return F.coalesce(C(auc).between(*SOUND_AUC), F.lit(False))
 
 
 @query("one_hot_min_frequency", """SELECT coalesce(gene, 'MISSING') AS level, count(*) n, CASE WHEN count(*) >= 25 THEN coalesce(gene, 'MISSING') ELSE '__infrequent__' END encoded
@@ -63,19 +70,44 @@ def _(t):
         *[(F.round(F.avg(at[c]), d) + F.lit(0.0)).alias(f"mean_{c}") for c, d in (("quantity", 4), ("price", 0), ("discount", 5))])
 
 
-@query("train_boosted_trees", None)
+MODEL_ROWS = """(SELECT cast(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS variant_key, case when l_returnflag = 'R' then 1 else 0 end AS label,
+      case when l_partkey % 20 < 14 then 'train' when l_partkey % 20 < 17 then 'val' else 'test' end AS split, l_partkey % 400 AS family, l_suppkey FROM lineitem)"""
+
+
+# metrics of a fit depend on the library's random draws; what must hold of any sound fit is checked
+@query("train_boosted_trees", f"""SELECT split, count(*) n, cast(sum(label) AS BIGINT) n_pos, true AS auc_sound, true AS ap_above_chance, true AS calibrated_monotone, true AS in_range
+    FROM {MODEL_ROWS} WHERE split <> 'train' GROUP BY split""")
 def _(t):
-    return rounded(metrics.ranking_metrics(training.train_and_score(modelling(t), params=PARAMS, keep=["family"]), "y_true", "p_raw", ["split"]))
+    preds = cut_lineage(training.train_and_score(modelling(t), keep=["family"]))
+    scores = metrics.ranking_metrics(preds, "y_true", "p_raw", ["split"]).select(
+        "split", "n", "n_pos", sound().alias("auc_sound"), (C("pr_auc") > C("n_pos") / C("n")).alias("ap_above_chance"))
+    steps = preds.groupBy("split", "p_raw").agg(F.min("p_calibrated").alias("low"), F.max("p_calibrated").alias("high"))
+    before = F.lag("high").over(Window.partitionBy("split").orderBy("p_raw"))
+    monotone = steps.withColumn("ok", (C("low") == C("high")) & (F.coalesce(before, C("low")) <= C("low"))).groupBy("split").agg(
+        F.bool_and("ok").alias("calibrated_monotone"),
+        F.bool_and(C("p_raw").between(0, 1) & C("low").between(0, 1)).alias("in_range"))
+    return scores.join(monotone, "split")
 
 
-@query("param_search", None)
+def hexed(at: int) -> str:
+    return f"(('0x' || substr(md5('42:' || cast(trial AS VARCHAR)), {4 * at + 1}, 4))::BIGINT / 65535e0)"
+
+
+@query("param_search", f"""SELECT cast(trial AS INTEGER) trial, cast(3 + floor({hexed(0)} * 4.999e0) AS INTEGER) max_depth, round(2.5e-2 + {hexed(1)} * (12e-2 - 2.5e-2), 6) step_size,
+      cast(1 + floor({hexed(2)} * 7.999e0) AS INTEGER) min_instances, round(72e-2 + {hexed(3)} * 28e-2, 6) subsample, round(65e-2 + {hexed(4)} * 35e-2, 6) feature_share, true AS auc_sound, true AS ap_above_chance
+    FROM (SELECT unnest(range(40)) trial), (SELECT count(*) n FROM {MODEL_ROWS} WHERE split = 'val') WHERE n > 0""")
 def _(t):
-    return training.param_search(modelling(t), trials=2, max_iter=2, keep=["family"])[1]
+    history = training.param_search(modelling(t), trials=40, keep=["family"])[1]
+    chance = modelling(t).filter("split = 'val'").agg(F.avg("label").alias("chance"))
+    numbers = [F.round(c, 6).alias(c) for c in ("step_size", "subsample", "feature_share")]
+    return history.join(F.broadcast(chance), F.lit(True)).select(
+        "trial", "max_depth", "min_instances", *numbers, sound("val_roc").alias("auc_sound"), (C("val_pr") > C("chance")).alias("ap_above_chance"))
 
 
-@query("score_predictions", None)
+@query("score_predictions", f"""SELECT variant_key, split, 'part' || family AS family, label AS y_true, true AS in_range FROM {MODEL_ROWS} WHERE split <> 'train'""")
 def _(t):
-    return training.train_and_score(modelling(t), params=PARAMS, keep=["family"])
+    out = training.train_and_score(modelling(t), keep=["family"])
+    return out.select("variant_key", "split", "family", "y_true", (C("p_raw").between(0, 1) & C("p_calibrated").between(0, 1)).alias("in_range"))
 
 
 # Isotonic fit by the max-min formula over all runs of distinct validation scores.
@@ -149,30 +181,48 @@ def _(t):
     return rounded(out.drop("residual"), 4)
 
 
-GROUPS = {"measures": ("quantity", "price", "discount"), "categories": ("category", "status")}
+GROUPS = {
+    "quantity": ("quantity",), "price": ("price",), "discount": ("discount",), "tax_flag": ("high_tax",),
+    "category": ("category",), "status": ("status",),
+}
+#: The one group that the labels depend on.
+TELLING = "quantity"
+GROUP_ROWS = "(SELECT unnest([" + ", ".join(f"'{g}'" for g in GROUPS) + "]) feature_group)"
 
 
-@query("feature_ablation", None)
+@query("feature_ablation", f"""SELECT feature_group AS removed, 1 AS n_removed, metric, true AS full_sound, true AS interval_holds_delta, feature_group = '{TELLING}' AS loses
+    FROM {GROUP_ROWS}, (SELECT unnest(['roc_auc', 'pr_auc']) metric), (SELECT count(*) n FROM {MODEL_ROWS} WHERE split = 'test') WHERE n > 0""")
 def _(t):
-    return training.feature_ablation(cut_lineage(modelling(t)), GROUPS, replicates=40, params=PARAMS, keep=["family"])
+    out = training.feature_ablation(cut_lineage(modelling(t)), GROUPS, replicates=1000, keep=["family"])
+    return out.select(
+        "removed", "n_removed", "metric", ((C("metric") == "pr_auc") | sound("full")).alias("full_sound"),
+        ((C("ci_lo") <= C("delta")) & (C("delta") <= C("ci_hi"))).alias("interval_holds_delta"), (C("delta") > 5e-2).alias("loses"))
 
 
-@query("single_group_models", None)
+@query("single_group_models", f"""SELECT feature_group, count(*) n, cast(sum(label) AS BIGINT) n_pos, feature_group = '{TELLING}' AS tells FROM {MODEL_ROWS}, {GROUP_ROWS} WHERE split = 'test' GROUP BY feature_group""")
 def _(t):
-    return training.single_group_models(cut_lineage(modelling(t)), GROUPS, params=PARAMS, keep=["family"])
+    out = training.single_group_models(cut_lineage(modelling(t)), GROUPS, keep=["family"])
+    return out.select("feature_group", "n", "n_pos", (C("roc_auc") > 0.55).alias("tells"))
+
+
+FRACTIONS = (0.10, 0.25, 0.50, 0.75, 1.00)
 
 
-@query("learning_curve", None)
+@query("learning_curve", f"""SELECT split, fraction::DOUBLE fraction, count(*) n, cast(sum(label) AS BIGINT) n_pos, true AS auc_sound FROM {MODEL_ROWS}, (SELECT unnest([0.1, 0.25, 0.5, 0.75, 1.0]) fraction)
+    WHERE split <> 'train' GROUP BY ALL""")
 def _(t):
-    return training.learning_curve(cut_lineage(modelling(t)), (0.10, 1.00), params=PARAMS, keep=["family"])
+    out = training.learning_curve(cut_lineage(modelling(t)), FRACTIONS, keep=["family"])
+    return out.select("split", "fraction", "n", "n_pos", sound().alias("auc_sound"))
 
 
-@query("strict_vs_balanced", None)
+@query("strict_vs_balanced", f"""SELECT 'balanced' AS version, count(*) n, cast(sum(label) AS BIGINT) n_pos, true AS auc_sound FROM {MODEL_ROWS} WHERE split = 'test'
+    UNION ALL SELECT 'strict', count(*), cast(sum(label) AS BIGINT), true FROM {MODEL_ROWS} WHERE split = 'test' AND l_suppkey % 11 <> 0 AND l_suppkey % 6 <> 0""")
 def _(t):
     data = cut_lineage(modelling(t))
     train = data.filter("split = 'train'")
     numeric, text = training.model_columns(data, {"split", "family"})
     features = training.fit_features(train, numeric, text)
-    model = training.train_boosted_trees(features.transform(train), features.transform(data.filter("split = 'val'")), params=PARAMS)
+    model = training.train_boosted_trees(cut_lineage(features.transform(train)), cut_lineage(features.transform(data.filter("split = 'val'"))))
     test = data.filter("split = 'test'")
-    return training.score_versions(model, features, {"strict": test.filter("price is not null and category is not null"), "balanced": test})
+    out = training.score_versions(model, features, {"strict": test.filter("price is not null and category is not null"), "balanced": test})
+    return out.select("version", "n", "n_pos", sound().alias("auc_sound"))
