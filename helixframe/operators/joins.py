@@ -226,7 +226,7 @@ def count_within_radius(points, radius=5.0, structure="structure_id", key="pos")
     packed cell number, and a match counts for both ends.
 
     A point sends about 16 probes, which size estimates do not see; the hint keeps the planner
-    from broadcasting or sorting them and hashes the points themselves.
+    from broadcasting or hashing them: a sort-merge join spills, and AQE splits its dense cells.
     """
     stride, half = 1 << 20, 1 << 19
     place = {c: F.floor(F.col(c) / radius) for c in "xyz"}
@@ -263,7 +263,7 @@ def count_within_radius(points, radius=5.0, structure="structure_id", key="pos")
         F.struct(*[F.col(f"o{c}").alias(c) for c in "xyz"], F.col("k").alias("n")),
     )
     across = (
-        probes.join(found.hint("shuffle_hash"), [structure, "cell", "slot"])
+        probes.join(found.hint("merge"), [structure, "cell", "slot"])
         .filter(distance <= radius * radius)
         .select(structure, F.inline(ends))
         .groupBy(structure, "x", "y", "z")

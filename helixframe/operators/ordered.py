@@ -2,7 +2,7 @@
 
 Every rank statistic here works on *cells*: rows pre-aggregated per distinct value, so that ties
 (however hot) collapse before the shuffle. Running sums over the cells use one window per group
-while the number of distinct values is proven small; beyond that the value range is cut into
+while the counted number of distinct values is small; beyond that the value range is cut into
 blocks, block totals are summed first, and the window runs inside each block.
 """
 
@@ -16,33 +16,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from helixframe.session import cut_lineage
+
 CELLS_PER_WINDOW = 1_000_000
-MAX_BLOCKS = 20_000
-SMALL_PLAN_BYTES = 32 * 1024 * 1024
+#: Values that are drawn to place each cut point, and in all at most (8 bytes each, on the driver).
+SAMPLE_PER_BLOCK = 20
+SAMPLE_MAX = 2_000_000
+
 
+def cut_points(rows: DataFrame, value: str, total: int, limit: int) -> list[float]:
+    """Cut points for about limit / 2 rows per block, as quantiles of a hash sample of the values.
 
-def _planned_bytes(df: DataFrame) -> int:
-    """Size estimate of the plan; it lets small inputs skip the counting job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    The sample is the rows with the smallest hashes, so it is the same in every run; its size
+    follows from the number of blocks and is bounded.
+    """
+    n_blocks = max(2, math.ceil(2 * total / limit))
+    size = min(SAMPLE_MAX, SAMPLE_PER_BLOCK * n_blocks)
+    share = min(1.0, (size + 6 * size**0.5 + 20) / total)
+    mark = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    near = rows.select(F.col(value).cast("double").alias("v"), mark.alias("m")).filter(
+        F.col("v").isNotNull() & (F.col("m").cast("double") / 2.0**64 + 0.5 < share))
+    drawn = sorted(r[0] for r in near.orderBy("m", "v").limit(size).collect())
+    if not drawn:
+        return []
+    return [drawn[len(drawn) * i // n_blocks] for i in range(1, n_blocks)]
 
 
 def value_splits(cells: DataFrame, value: str, limit: int | None = None) -> list[float]:
     """Cut points that bound the cells per block; empty when one window is small enough.
 
-    The two aggregates return one row whose size is bounded by MAX_BLOCKS. Fixing the cut points
-    as literals makes every later pass agree on the blocks, also after task retries.
+    `cells` is counted and should be a written table. Fixing the cut points as literals makes
+    every later pass agree on the blocks, also after task retries.
     """
     limit = CELLS_PER_WINDOW if limit is None else limit
-    if limit >= CELLS_PER_WINDOW and _planned_bytes(cells) <= SMALL_PLAN_BYTES:
-        return []
-    distinct = cells.agg(F.approx_count_distinct(value)).first()[0]
-    if distinct <= limit:
-        return []
     total = cells.count()
-    n_blocks = min(MAX_BLOCKS, max(2, math.ceil(2 * total / limit)))
-    wanted = [i / n_blocks for i in range(1, n_blocks)]
-    cuts = cells.agg(F.percentile_approx(F.col(value).cast("double"), wanted, 10 * n_blocks)).first()[0]
-    return sorted({float(c) for c in cuts or []})
+    return [] if total <= limit else sorted(set(cut_points(cells, value, total, limit)))
 
 
 def with_block(df: DataFrame, value: str, splits: Sequence[float], block: str = "_block") -> DataFrame:
@@ -76,7 +84,9 @@ def running_sums(
     `cells` must hold one row per (group, value).
     """
     groups = list(groups)
-    splits = value_splits(cells, value) if splits is None else splits
+    if splits is None:  # the cells are counted and used: write them once
+        cells = cut_lineage(cells)
+        splits = value_splits(cells, value)
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
 
     if not splits:
@@ -227,9 +237,7 @@ def block_cuts(rows: DataFrame, value: str, limit: int) -> tuple[list[float], li
     total = rows.count()
     if total <= limit:
         return [], []
-    n_blocks = min(MAX_BLOCKS, math.ceil(2 * total / limit))
-    wanted = [i / n_blocks for i in range(1, n_blocks)]
-    cuts = rows.agg(F.percentile_approx(F.col(value).cast("double"), wanted, 10 * n_blocks)).first()[0]
+    cuts = cut_points(rows, value, total, limit)
     hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
     return sorted({float(c) for c in cuts} | {math.nextafter(h, math.inf) for h in hot}), hot
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_MAX_BYTES = 64 << 20
 SPREAD_MAX_BYTES = 64 << 20
+_local_dirs: dict[str, str] = {}
 HOTSPOT_METHOD_BYTES = "8000"
 
 
@@ -34,15 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables.
 
     A cluster names it in `spark.checkpoint.dir`; without that setting a cluster has no folder that
-    all executors see, and this raises. Only local sessions get a temporary folder, remembered in
-    the session so that it is made once.
+    all executors see, and this raises. Only local sessions get a temporary folder, one for each
+    application.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        configured = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        app = spark.sparkContext.applicationId
+        if app not in _local_dirs:
+            _local_dirs[app] = tempfile.mkdtemp(prefix="spark-")
+        configured = _local_dirs[app]
     return configured.rstrip("/")
 
 

@@ -163,3 +163,41 @@ def test_fusion_ends_of_the_grid(data):
     sweep = {r.alpha: r.roc_auc for r in comparison.fusion_sweep(ranked, alphas=[0.0, 1.0]).collect()}
     only = {c: metrics.roc_auc(ranked, score=c).first().roc_auc for c in ("r1", "r2")}
     assert np.isclose(sweep[0.0], only["r1"]) and np.isclose(sweep[1.0], only["r2"])
+
+
+def test_poisson_of_a_large_tie_is_exact():
+    from math import exp, lgamma, log
+
+    n = 250_000
+    u = np.array([[0.01, 0.3, 0.5, 0.9, 0.999]])
+    k = np.arange(n - 6000, n + 6001)
+    cdf = np.cumsum([exp(i * log(n) - n - lgamma(i + 1)) for i in k.tolist()])
+    want = k[0] + np.searchsorted(cdf, u[0])
+    assert (resampling.poisson_draws(np.array([n]), u)[0] == want).all()
+
+
+@pytest.mark.parametrize("sigmas", [4.5, 0.2, 0.0])
+def test_every_permutation_counts(data, sigmas):
+    df = data[0]
+    row = resampling.permutation_auc_test(df, replicates=200, sigmas=sigmas).first()
+    assert row.n_permutations == 200
+    full = resampling.permutation_auc_test(df, replicates=200, sigmas=50.0).first()
+    assert (row.p_value, round(row.null_mean, 12)) == (full.p_value, round(full.null_mean, 12))
+
+
+def test_close_scores_draw_on_their_own(spark):
+    rows = spark.createDataFrame([(0.1,), (0.1 + 1e-14,), (1e12,), (1e12 + 0.5,)], "p double")
+    assert rows.select(resampling.score_text(F.col("p")).alias("t")).distinct().count() == 4
+
+
+def test_normal_tail(spark):
+    from math import erfc, sqrt
+
+    from helixframe.functions.scores import two_sided_normal
+
+    z = [0.0, 1e-9, 0.1, -1.0, 1.959964, 5.0, -8.8, 9.0, 20.0, 37.0]
+    got = [r[0] for r in spark.createDataFrame([(float(x),) for x in z], "z double").select(two_sided_normal(F.col("z"))).collect()]
+    want = [erfc(abs(x) / sqrt(2)) for x in z]
+    assert np.allclose(got, want, rtol=1e-12, atol=0)
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "z double").select(two_sided_normal(F.col("z"))).collect()
+    assert [r[0] for r in odd] == [None, None]
