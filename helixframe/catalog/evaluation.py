@@ -217,7 +217,7 @@ def permutation_sql(src: str, y: str, p: str, key: str, reps: int, seed=42) -> s
       tot AS (SELECT count(*) n, cast(sum(yy) AS BIGINT) m, sum(rk) FILTER (yy = 1) obs FROM r),
       coef AS (SELECT rep, {coef} FROM (SELECT rep, '{seed}:' || cast(rep AS VARCHAR) k FROM (SELECT unnest(range({reps})) rep))),
       lim AS (SELECT greatest(0, m / n - 6 * sqrt(m / n * (1 - m / n) / n)) * {prime} lo, least(1, m / n + 6 * sqrt(m / n * (1 - m / n) / n)) * {prime} hi FROM (SELECT cast(n AS DOUBLE) n, cast(m AS DOUBLE) m FROM tot)),
-      v AS (SELECT rep, rk, h1, h2, ((((((c0 * h1 + c1) % {prime}) * h1 + c2) % {prime}) * h1 + c3) % {prime} + (c4 * h2) % {prime}) % {prime} u FROM r, coef),
+      v AS NOT MATERIALIZED (SELECT rep, rk, h1, h2, ((((((c0 * h1 + c1) % {prime}) * h1 + c2) % {prime}) * h1 + c3) % {prime} + (c4 * h2) % {prime}) % {prime} u FROM r, coef),
       far AS (SELECT rep, sum(rk) rs, count(*) k FROM v, lim WHERE u < lo GROUP BY rep),
       near AS (SELECT rep, rk, row_number() OVER (PARTITION BY rep ORDER BY u, h1, h2) pl FROM v, lim WHERE u BETWEEN lo AND hi),
       s AS (SELECT near.rep, any_value(far.rs) + coalesce(sum(near.rk) FILTER (pl <= m - k), 0) rs FROM near JOIN far USING (rep), tot GROUP BY near.rep)
@@ -233,3 +233,19 @@ from helixframe.catalog.base import RID, Y  # noqa: E402
 def _(t):
     rows = t.lineitem.selectExpr(f"{RID} as key", f"{Y} as y", "cast((l_partkey * 7 + l_orderkey * 13) % 501 as double) + (case when l_returnflag = 'R' and l_suppkey % 50 = 0 then 60 else 0 end) as p")
     return rounded(resampling.permutation_auc_test(rows, replicates=PERMUTATIONS))
+
+
+def significance_sql(slices: dict[str, str]) -> str:
+    arms = []
+    for name, condition in slices.items():
+        src = f"(SELECT * FROM {WEAK.format(rid=RID, y=Y)} WHERE {condition})"
+        arms.append(f"""SELECT '{name}' AS slice, t.*, b.* FROM ({permutation_sql(src, 'yv', 'weak', 'rk_key', PERMUTATIONS)}) t,
+          (SELECT {R('quantile_cont(roc_auc, 0.025)', 7)} ci_lo, {R('quantile_cont(roc_auc, 0.975)', 7)} ci_hi, count(*) n_boot FROM {boot_sql(src, 'yv', {'p': 'weak'})}) b""")
+    return " UNION ALL ".join(arms)
+
+
+@query("auc_significance", significance_sql({"full": "true", "holdout": "l_partkey % 3 = 0"}))
+def _(t):
+    rows = t.lineitem.selectExpr(f"{RID} as key", f"{Y} as y", "cast((l_partkey * 7 + l_orderkey * 13) % 501 as double) + (case when l_returnflag = 'R' and l_suppkey % 50 = 0 then 60 else 0 end) as p", "l_partkey % 3 = 0 as holdout")
+    out = rounded(resampling.auc_significance(rows, {"full": True, "holdout": C("holdout")}, replicates=PERMUTATIONS, draws=REPS))
+    return out.withColumns({c: F.round(c, 7) + F.lit(0.0) for c in ("ci_lo", "ci_hi")})

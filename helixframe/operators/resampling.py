@@ -421,3 +421,22 @@ def permutation_auc_test(
         F.lit(n).cast("bigint").alias("n"),
         F.lit(m).cast("bigint").alias("n_pos"),
     )
+
+
+def auc_significance(
+    df, slices: dict[str, object], y="y", score="p", key="key", replicates=10_000, draws=1000, seed=42, ci=0.95
+) -> DataFrame:
+    """Permutation test and bootstrap interval of the AUC for each slice (condition, or True for all
+    rows): one row per slice."""
+    out = None
+    for name, condition in slices.items():
+        rows = df if condition is True else df.filter(condition)
+        test = permutation_auc_test(rows, y, score, key, replicates, seed)
+        reps = replicate_metrics(rows, y, {"p": score}, (), draws, seed)
+        low = (1.0 - ci) / 2.0
+        interval = reps.agg(
+            F.percentile("roc_auc", low).alias("ci_lo"), F.percentile("roc_auc", 1.0 - low).alias("ci_hi"), F.count("roc_auc").alias("n_boot")
+        )
+        one = test.join(interval, F.lit(True)).select(F.lit(name).alias("slice"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
