@@ -137,8 +137,8 @@ def _(t):
         "variant_key", F.size(tc).cast("bigint").alias("n_records"), F.get(tc, F.lit(0))["transcript_id"].alias("first_transcript"), F.get(tc, F.lit(1))["protein_start"].alias("second_start"))
 
 
-PDB = "'ATOM  ' || lpad(cast(l_orderkey as string), 5, ' ') || ' ' || case when l_linenumber = 6 then ' CB ' else ' CA ' end || ' ' || case when l_suppkey % 2 = 0 then 'ALA' else 'GLY' end || ' A' || lpad(cast(l_orderkey % 9000 as string), 4, ' ') || '    ' || lpad(cast(l_partkey % 61 as string) || '.500', 8, ' ') || lpad(cast(l_orderkey % 53 as string) || '.000', 8, ' ') || lpad('-' || cast(l_linenumber as string) || '.250', 8, ' ') || '  1.00' || lpad(cast(l_partkey % 90 as string) || '.' || cast(10 + l_suppkey % 89 as string), 6, ' ')"
-PDB_SQL = f"(SELECT *, row_number() OVER (PARTITION BY sid, pos ORDER BY serial) rn FROM (SELECT cast(l_suppkey AS VARCHAR) || '_' || cast(l_linenumber AS VARCHAR) || '_' || cast(l_partkey AS VARCHAR) sid, cast(l_orderkey % 9000 AS INTEGER) pos, l_orderkey serial, l_partkey % 61 + 0.5 x, cast(l_orderkey % 53 AS DOUBLE) y, -(l_linenumber + 0.25) z, cast(cast(l_partkey % 90 AS VARCHAR) || '.' || cast(10 + l_suppkey % 89 AS VARCHAR) AS DOUBLE) bfactor, case when l_suppkey % 2 = 0 then 'ALA' else 'GLY' end residue FROM lineitem WHERE l_linenumber <> 6))"
+PDB = "'ATOM  ' || lpad(cast(l_orderkey % 100000 as string), 5, ' ') || ' ' || case when l_linenumber = 6 then ' CB ' else ' CA ' end || ' ' || case when l_suppkey % 2 = 0 then 'ALA' else 'GLY' end || ' A' || lpad(cast(l_orderkey % 9000 as string), 4, ' ') || '    ' || lpad(cast(l_partkey % 61 as string) || '.500', 8, ' ') || lpad(cast(l_orderkey % 53 as string) || '.000', 8, ' ') || lpad('-' || cast(l_linenumber as string) || '.250', 8, ' ') || '  1.00' || lpad(cast(l_partkey % 90 as string) || '.' || cast(10 + l_suppkey % 89 as string), 6, ' ')"
+PDB_SQL = f"(SELECT *, row_number() OVER (PARTITION BY sid, pos ORDER BY serial) rn FROM (SELECT cast(l_suppkey AS VARCHAR) || '_' || cast(l_linenumber AS VARCHAR) || '_' || cast(l_partkey AS VARCHAR) sid, cast(l_orderkey % 9000 AS INTEGER) pos, l_orderkey % 100000 serial, l_partkey % 61 + 0.5 x, cast(l_orderkey % 53 AS DOUBLE) y, -(l_linenumber + 0.25) z, cast(cast(l_partkey % 90 AS VARCHAR) || '.' || cast(10 + l_suppkey % 89 AS VARCHAR) AS DOUBLE) bfactor, case when l_suppkey % 2 = 0 then 'ALA' else 'GLY' end residue FROM lineitem WHERE l_linenumber <> 6))"
 
 
 @query("scan_pdb_atoms", f"SELECT sid structure_id, pos, residue, cast(x AS DOUBLE) x, y, cast(z AS DOUBLE) z, bfactor FROM {PDB_SQL} WHERE rn = 1")

@@ -30,9 +30,13 @@ def header_of(spark: SparkSession, path: str, sep="\t") -> list[str]:
 
 
 def read_delimited(spark, path, columns: Sequence[str] | None = None, sep="\t", comment=None) -> DataFrame:
-    """Delimited text with a header, all columns as strings, empty cells NULL."""
+    """Delimited text with a header, all columns as strings, empty cells NULL.
+
+    Without `columns` the names come from the first file, and every file's header is compared with
+    them: a folder whose files differ in their columns raises.
+    """
     names = header_of(spark, path, sep) if columns is None else list(columns)
-    reader = spark.read.option("sep", sep).option("header", True).option("enforceSchema", True)
+    reader = spark.read.option("sep", sep).option("header", True).option("enforceSchema", columns is not None)
     if comment:
         reader = reader.option("comment", comment)
     return reader.schema(string_schema(names)).csv(path)

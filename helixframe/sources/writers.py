@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from helixframe.constants import COMMON_AF
+from helixframe.session import cut_lineage
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), mode="overwrite") -> None:
@@ -17,10 +18,17 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), so
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+#: Rows of a report that go into one file.
+REPORT_ROWS = 100_000
+
+
 def write_metrics_csv(df: DataFrame, path: str, mode="overwrite") -> None:
-    """Metric tables are bounded by slices and metrics, so one file is fine. The shuffle keeps the
-    stage that computes them parallel."""
-    df.repartition(1).write.mode(mode).option("header", True).csv(path)
+    """A report of at most REPORT_ROWS rows is one file, a larger one as many as it has partitions.
+    It is written and counted first, so the stage that computes it stays parallel."""
+    report = cut_lineage(df)
+    if report.count() <= REPORT_ROWS:
+        report = report.coalesce(1)
+    report.write.mode(mode).option("header", True).csv(path)
 
 
 def af_stat_columns():

@@ -212,3 +212,12 @@ def test_checks_read_their_input_once(spark, tmp_path):
     for table in (splitting.validate_split(base.limit(0), split, "gene"), splitting.leakage_gate(split, names, lambda c: c)):
         assert scans(table, f"{tmp_path}/rows") <= 1  # facts come from a written table
         assert {r.check: r.status for r in table.collect()}["train_test_overlap" if "train_test_overlap" in {r.check for r in table.collect()} else "gene_overlap"] == "pass"
+
+
+def test_folder_of_different_headers_raises(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("x\ty\n1\t2\n")
+    (tmp_path / "b.tsv").write_text("y\tx\n3\t4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_delimited(spark, str(tmp_path)).collect()
+    (tmp_path / "b.tsv").write_text("x\ty\n3\t4\n")
+    assert readers.read_delimited(spark, str(tmp_path)).count() == 2
