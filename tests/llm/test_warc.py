@@ -27,8 +27,8 @@ def result(df):
 
 def nested():
     inner = warc.VERSION + "WARC-Type: response\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
-    rows = [(i, f"http://h/{i}", "x" * (i * 37 % 400)) for i in range(200)]
-    rows += [(200 + i, None, f"{'é' * i}{inner * (i % 5)}{warc.VERSION}{'y' * 300}{warc.VERSION * 3}") for i in range(60)]
+    rows = [(i, f"http://h/{i}", "x" * (i * 37 % 400)) for i in range(70)]
+    rows += [(200 + i, None, f"{'é' * i}{inner * (i % 5)}{warc.VERSION}{'y' * 300}{warc.VERSION * 3}") for i in range(25)]
     return rows + [(300, "u\r\nWARC-Type: evil", None), (301, "a", ""), (302, "b", "same"), (303, "b", "same"), (None, "c", "same"), (304, "z", "\r\n\r\n")]
 
 
