@@ -19,7 +19,12 @@ def query(fn):
     return fn
 
 
+#: Rows of a batch between Spark and Python. Texts can be long, and a task holds several batches.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.ranks import BUCKET_ROWS, spread_ranks
-from helixframe.llm.tokens import Encoder
+from helixframe.llm.tokens import encoder
 from helixframe.session import cut_lineage
 
 CAPACITY = 1024
@@ -100,7 +100,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
     schema = pa.schema(fields)
 
     def run(batches):
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)

@@ -18,19 +18,17 @@ class Encoder:
 
     The file is loaded by `tokenizers`. Its merges are also given to `tiktoken`, which is about
     four times as fast and gives the same ids; it takes the texts made of long-established
-    characters, and all others go to `tokenizers`.
+    characters, and all others go to `tokenizers`, which is loaded when the first of them comes.
     """
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path, self._slow = path, None
         with open(path, encoding="utf-8") as file:
-            text = file.read()
-        self.slow = Tokenizer.from_str(text)
-        self.slow.encode_special_tokens = True
-        vocab = json.loads(text)["model"]["vocab"]
-        special = {t["content"] for t in json.loads(text).get("added_tokens", [])}
+            model = json.load(file)
+        vocab = model["model"]["vocab"]
+        special = {t["content"] for t in model.get("added_tokens", [])}
         byte_of = {c: b for b, c in enumerate(_byte_letters())}
         ranks = {bytes(byte_of[c] for c in word): i for word, i in vocab.items() if word not in special}
         self.fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -40,6 +38,25 @@ class Encoder:
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
+    @property
+    def slow(self):
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+            self._slow.encode_special_tokens = True
+        return self._slow
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, built once in each process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
 
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable bytes stand for
