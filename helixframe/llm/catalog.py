@@ -20,7 +20,7 @@ def query(fn):
 
 
 #: Rows of a batch between Spark and Python. Texts can be long, and a task holds several batches.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

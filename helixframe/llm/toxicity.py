@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.words import LOWER, NON_WORD, _power_tables, mix, words_of
+from helixframe.session import cut_lineage
 
 BUCKETS = 1 << 18
 #: Labelled rows that a model is fitted on, at most, of each label.
@@ -22,7 +23,7 @@ THRESHOLD = 0.7
 PASSES = 400
 SENTENCE_ENDS = np.zeros(256, dtype=bool)
 SENTENCE_ENDS[[ord(c) for c in ".!?\n"]] = True
-SLICE = 256
+SLICE = 64
 
 
 def beginnings(words, size: int = BEGINNING) -> np.ndarray:
@@ -66,37 +67,31 @@ def noisy_or(logits: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-np.bincount(text, weights=np.logaddexp(0, logits), minlength=n))
 
 
-def telling(features, first, text, labels) -> np.ndarray:
-    """Features whose documents are toxic more often than chance allows.
+def telling(toxic: np.ndarray, clean: np.ndarray, positive: int, n: int) -> np.ndarray:
+    """Features whose documents are toxic more often than chance allows, from the numbers of toxic
+    and clean documents that hold each feature.
 
     The likelihood ratio (G-squared) of document counts must exceed twice the log of the number of
     features, so that about none passes by luck; words of single documents never do.
     """
-    sizes = np.diff(np.append(first, features.size))
-    pairs = np.unique(np.repeat(text, sizes).astype(np.int64) * BUCKETS + features)
-    n, positive = labels.size, int(labels.sum())
-    toxic = labels[pairs // BUCKETS] == 1
-    a = np.bincount(pairs[toxic] % BUCKETS, minlength=BUCKETS).astype(float)
-    b = np.bincount(pairs[~toxic] % BUCKETS, minlength=BUCKETS).astype(float)
     share = positive / max(n, 1)
 
     def part(seen, expected):
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0)
 
+    a, b = toxic.astype(float), clean.astype(float)
     k = a + b
     g = 2 * (part(a, k * share) + part(b, k * (1 - share)) + part(positive - a, (n - k) * share) + part(n - positive - b, (n - k) * (1 - share)))
     bound = 2 * np.log(max(np.count_nonzero(k), 2))
     return np.flatnonzero((g > bound) & (a > k * share))
 
 
-def train(features, first, text, labels, passes: int = PASSES, rate: float = 0.15, decay: float = 0.01):
-    """Weights (none negative) of the telling features and bias, by full-batch Adam on the
-    document log-loss."""
-    used = telling(features, first, text, labels)
-    owner = np.repeat(np.arange(first.size), np.diff(np.append(first, features.size)))
-    keep = np.isin(features, used)
-    owner, features = owner[keep], np.searchsorted(used, features[keep])
-    n, d, sentences = labels.size, used.size, first.size
+def train(owner, features, d: int, text, labels, passes: int = PASSES, rate: float = 0.15, decay: float = 0.01):
+    """Weights (none negative) of d features and bias, by full-batch Adam on the document log-loss.
+
+    `owner` is the sentence of each entry of `features`, `text` the document of each sentence.
+    """
+    n, sentences = labels.size, text.size
     w, b = np.zeros(d), -5.0
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     for step in range(1, passes + 1):
@@ -109,7 +104,7 @@ def train(features, first, text, labels, passes: int = PASSES, rate: float = 0.1
         v = 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
         w, b = np.maximum(w - move[:-1], 0), b - move[-1]
-    return used, w, b
+    return w, b
 
 
 def held_out(key):
@@ -122,45 +117,70 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
     Of each label, the `sample` rows with the smallest hash of their id are taken; rows without
     label, id or document are left out, a document labelled twice is toxic if any label says so;
-    equal texts count once.
-    The sample is fitted by one task, as it is bounded; only non-zero weights come back. Without
-    labelled documents every score is near 0.
+    equal texts count once. Tasks count the documents of each feature; one task fits the weights of
+    the telling features, whose occurrences in the sample are few. Without labelled documents every
+    score is near 0.
     """
     known = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic")))
     of = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for label in (0, 1)]
     picked = of[0].union(of[1])
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = rows.dropDuplicates(["text", "toxic"])
+    rows = cut_lineage(rows.dropDuplicates(["text", "toxic"]).select("text", "toxic"))
 
-    def features_of(batches):
+    def slices(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE):
                 part = batch.slice(low, SLICE)
-                features, first, text, _, _ = sentence_features(part.column(1))
-                stops = np.append(first, features.size)
-                bounds = np.searchsorted(text, np.arange(part.num_rows + 1))
-                lists = [features[stops[a]:stops[z]].astype(np.int32) for a, z in zip(bounds[:-1], bounds[1:])]
-                sizes = [np.diff(stops[a:z + 1]).astype(np.int32) for a, z in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(2), pa.array(lists, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))],
-                    names=["toxic", "features", "sizes"])
+                yield part.column(1).to_numpy(zero_copy_only=False), sentence_features(part.column(0))[:3]
+
+    def count(batches):
+        held, docs_of = np.zeros((2, BUCKETS), dtype=np.int64), np.zeros(2, dtype=np.int64)
+        for labels, (features, first, text) in slices(batches):
+            docs_of += np.bincount(labels, minlength=2)
+            pairs = np.unique(np.repeat(text, np.diff(np.append(first, features.size))) * BUCKETS + features)
+            for label in (0, 1):
+                held[label] += np.bincount(pairs[labels[pairs // BUCKETS] == label] % BUCKETS, minlength=BUCKETS)
+        label, feature = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*label.tolist(), 0, 1], pa.int32()), pa.array([*feature.tolist(), -1, -1], pa.int64()), pa.array([*held[label, feature].tolist(), *docs_of.tolist()], pa.int64())],
+            names=["toxic", "feature", "n"])
+
+    counts = rows.mapInArrow(count, "toxic int, feature bigint, n bigint").groupBy("toxic", "feature").agg(F.sum("n").alias("n")).toPandas()
+    tables = np.zeros((2, BUCKETS + 1), dtype=np.int64)  # the last column counts documents
+    tables[counts["toxic"].to_numpy(), counts["feature"].to_numpy()] = counts["n"].to_numpy()
+    used = telling(tables[1, :-1], tables[0, :-1], int(tables[1, -1]), int(tables[:, -1].sum()))
+
+    def features_of(batches):
+        for labels, (features, first, text) in slices(batches):
+            at = np.minimum(np.searchsorted(used, features), max(used.size - 1, 0))
+            keep = used[at] == features if used.size else np.zeros(features.size, dtype=bool)
+            owner = np.repeat(np.arange(first.size), np.diff(np.append(first, features.size)))[keep]
+            bounds = np.searchsorted(text, np.arange(labels.size + 1))
+            cuts = np.searchsorted(owner, bounds)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(labels, pa.int32()), pa.array(np.diff(bounds), pa.int32()),
+                 pa.array([owner[a:z] - first_of for a, z, first_of in zip(cuts[:-1], cuts[1:], bounds[:-1])], pa.list_(pa.int32())),
+                 pa.array([at[keep][a:z] for a, z in zip(cuts[:-1], cuts[1:])], pa.list_(pa.int32()))],
+                names=["toxic", "sentences", "owner", "features"])
 
     def fit_all(batches):
-        labels, features, sizes, counts = [], [], [], []
+        labels, sizes, owner, features = [], [], [], []
+        before = 0
         for batch in batches:
-            labels += batch.column(0).to_pylist()
-            features.append(batch.column(1).flatten().to_numpy())
-            sizes.append(batch.column(2).flatten().to_numpy())
-            counts += batch.column(2).value_lengths().to_pylist()
+            for label, size, own, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                labels.append(label)
+                sizes.append(size)
+                owner.append(own.values.to_numpy().astype(np.int64) + before)
+                features.append(held.values.to_numpy().astype(np.int64))
+                before += size
         if not labels:
             return
-        size = np.concatenate(sizes).astype(np.int64)
-        first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)[:size.size]
-        used, w, b = train(np.concatenate(features).astype(np.int64), first, np.repeat(np.arange(len(counts)), counts), np.array(labels))
-        yield pa.RecordBatch.from_arrays([pa.array([*used.tolist(), -1]), pa.array([*w.tolist(), b])], names=["feature", "weight"])
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        w, b = train(np.concatenate(owner), np.concatenate(features), used.size, text, np.array(labels))
+        yield pa.RecordBatch.from_arrays([pa.array([*used.tolist(), -1], pa.int64()), pa.array([*w.tolist(), b], pa.float64())], names=["feature", "weight"])
 
-    found = (rows.mapInArrow(features_of, "toxic int, features array<int>, sizes array<int>").coalesce(1)
+    found = (rows.mapInArrow(features_of, "toxic int, sentences int, owner array<int>, features array<int>").coalesce(1)
              .mapInArrow(fit_all, "feature bigint, weight double").toPandas())
     weights, bias = np.zeros(BUCKETS, dtype=np.float32), -20.0
     if len(found):
