@@ -2,11 +2,13 @@
 
 The markup tokens of a page (tags with their class and id, digits masked) and its text runs
 outside the article get an occurrence count per page. Tokens of a host with the same vector of
-counts over its pages form an equivalence class. Vectors are never gathered: a class is known by a
-hash that each page adds to. Classes of tokens that stand once on every page, in one order, are
-the template: what lies between them are its slots. Data inside a slot can neither close a
-template element nor leave one open, text that every page of a host repeats belongs to the
-template, and slots inside menus, forms, adverts and the like are not main text.
+counts over its pages form an equivalence class. Vectors are never gathered: a class is known by
+sums of hashes that each page adds to. A class with enough tokens and pages is valid if its tokens
+stand on every page in one order, round after round, and if each round lies in one slot of the
+class around it (a slot is what lies between two tokens of a class). The valid classes are the
+template. Data inside a slot can neither close a template element nor leave one open, and text
+that belongs to a class is template. Which slots are main text is told by tags and class names:
+the article, or the body without menus, forms, adverts and the like.
 """
 
 from __future__ import annotations
@@ -48,12 +50,20 @@ PAGE_HEADER = frozenset(["header"])
 LEAST_PAGES = 8
 #: Tokens of a class from which on it can be a template.
 LEAST_TOKENS = 3
+#: Share of the pages that hold a class from which on it can be a template.
+LEAST_SHARE = 0.5
+#: Bits of each of the two hashes that a page adds to a vector: sums fit 64 bits up to 33 million pages.
+VECTOR_BITS = 38
 
 
 def _key(label: str) -> int:
     return xxhash.xxh64_intdigest(label) >> 1
 
 
+def _text_key(text: str) -> int:
+    return _key(f"#{' '.join(text.split())}")
+
+
 class Tag:
     __slots__ = ("name", "close", "label", "key", "end", "outside", "header")
 
@@ -84,6 +94,7 @@ class Tag:
 
 
 _tags: dict[tuple, Tag] = {}
+NO_TEMPLATE: dict[int, int] = {}
 
 
 def _tag(name: str, close: str, attributes: str) -> Tag:
@@ -123,11 +134,11 @@ def tokens(html: str):
         yield _tag(name, found[1], found[3])
 
 
-def runs(html: str, template: frozenset = frozenset()):
+def runs(html: str, template: dict[int, int] = NO_TEMPLATE):
     """(tag, text, outside, in article) in page order: one of tag and text is given.
 
-    `template` holds the keys of template tokens; an element whose both tags are such tokens is
-    closed by nothing else.
+    `template` holds the class of each template token; an element whose both tags are tokens of one
+    class is closed by nothing else.
     """
     stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, outside, page header, article, fixed
     outside = article = 0
@@ -144,7 +155,7 @@ def runs(html: str, template: frozenset = frozenset()):
             yield None, token, outside > 0, article > 0
             continue
         name = token.name
-        fixed = token.key in template and token.end in template
+        fixed = token.key in template and template[token.key] == template.get(token.end)
         if token.close:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name and (fixed or not stack[i][4]):
@@ -169,7 +180,7 @@ def runs(html: str, template: frozenset = frozenset()):
         yield token, None, outside > 0, article > 0
 
 
-def main_text(html: str, template: frozenset = frozenset()) -> str:
+def main_text(html: str, template: dict[int, int] = NO_TEMPLATE) -> str:
     """Blocks of the article (of the body, where a page has no article), joined by line ends."""
     chosen = {True: [], False: []}
     current = {True: [], False: []}
@@ -191,24 +202,69 @@ def main_text(html: str, template: frozenset = frozenset()) -> str:
         elif not outside:
             if article:
                 current[True].append(text)
-            elif not (template and text.strip() and _key(f"#{' '.join(text.split())}") in template):
+            elif not (template and text.strip() and _text_key(text) in template):
                 current[False].append(text)
     close()
     return "\n".join(chosen[has_article])
 
 
-def page_tokens(html: str) -> Counter:
-    """Occurrence counts of a page's tokens."""
-    counts: Counter = Counter()
+def page_tokens(html: str):
+    """(key, is markup) of a page's tokens in page order."""
     for tag, text, outside, article in runs(html):
         if tag is not None:
             if tag.name not in INLINE:
-                counts[tag.label] += 1
-        elif not outside and not article:
-            text = " ".join(text.split())
-            if text:
-                counts[f"#{text}"] += 1
-    return counts
+                yield tag.key, True
+        elif not outside and not article and not text.isspace():
+            yield _text_key(text), False
+
+
+def read_classes(keys: list[int], classes: dict[int, int], rank: dict[int, int]) -> dict[int, tuple | None]:
+    """class -> (its tokens in order, token before the slot it lies in, -1 outside all) of one page.
+
+    None marks a class whose rounds differ in order or in their slot, or one that crosses a class
+    of lower rank.
+    """
+    held: dict[int, list] = {}
+    at = [(key, classes[key]) for key in keys if key in classes]
+    for key, cls in at:
+        held.setdefault(cls, []).append(key)
+    found: dict[int, tuple | None] = {}
+    place: dict[int, int] = {}
+    size: dict[int, int] = {}
+    for cls, seen in held.items():
+        n = size[cls] = len(set(seen))
+        if len(seen) % n or seen != seen[:n] * (len(seen) // n):
+            found[cls] = None
+        else:
+            found[cls] = (tuple(seen[:n]), None)
+            place.update((key, i) for i, key in enumerate(seen[:n]))
+    stack: list[list] = []  # class, its last token
+    for key, cls in at:
+        if found[cls] is None:
+            continue
+        if place[key] == 0:
+            slot = stack[-1][1] if stack else -1
+            tokens, known = found[cls]
+            if known is not None and known != slot:
+                found[cls] = None
+                continue
+            found[cls] = (tokens, slot)
+            stack.append([cls, key])
+        else:
+            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == cls), None)
+            if i is None:
+                continue
+            if any(rank[other] < rank[cls] for other, _ in stack[i + 1:]):
+                found[cls] = None
+                del stack[i]
+                continue
+            for other, _ in stack[i + 1:]:
+                found[other] = None
+            del stack[i + 1:]
+            stack[i][1] = key
+        if place[key] == size[cls] - 1:
+            stack.pop()
+    return found
 
 
 def host_of(url):
@@ -216,13 +272,20 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url.cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, template): keys of the template tokens of each host with any.
+def _rows(rows: list, schema: pa.Schema):
+    for low in range(0, len(rows), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows[low:low + 10_000]), schema)], schema=schema)
+
+
+def token_classes(pages: DataFrame) -> DataFrame:
+    """(host, classes): the tokens of each class of equal vectors with enough tokens and pages, the
+    most common class first.
 
-    Tasks send one row per host and token, not one per page. Only tokens that all pages of a host
-    hold are gathered, so a host's template is no larger than one of its pages.
+    Tasks send one row per host and token, not one per page. Only tokens that a large share of a
+    host's pages hold are gathered, so the classes are bounded by the tokens of its pages.
     """
-    schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("pages", pa.int64()), ("once", pa.bool_()), ("vector", pa.int64()), ("markup", pa.bool_())])
+    schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("pages", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("markup", pa.bool_())])
+    mask = (1 << VECTOR_BITS) - 1
 
     def run(batches):
         for batch in batches:
@@ -230,35 +293,75 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
                 html = html.as_py() or ""
                 page = xxhash.xxh64_intdigest(html.encode("utf-8", "replace"))
-                counts = page_tokens(html)
-                counts[""] = 1  # the page itself
-                for label, n in counts.items():
-                    mark = xxhash.xxh64_intdigest(f"{page}:{n}") - (1 << 63)
-                    held = seen.setdefault((host, _key(label) if label else -1), [0, True, 0, not label.startswith("#")])
+                counts = Counter(page_tokens(html))
+                counts[-1, True] = 1  # the page itself
+                marks = {n: xxhash.xxh3_128_intdigest(f"{page}:{n}") for n in set(counts.values())}
+                for (key, markup), n in counts.items():
+                    held = seen.setdefault((host, key), [0, 0, 0, markup])
                     held[0] += 1
-                    held[1] &= n == 1
-                    held[2] ^= mark
-            rows = [(host, token, *held) for (host, token), held in seen.items()]
-            for low in range(0, len(rows), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows[low:low + 10_000]), schema)], schema=schema)
+                    held[1] += marks[n] & mask
+                    held[2] += marks[n] >> VECTOR_BITS & mask
+            yield from _rows([(*unit, *held) for unit, held in seen.items()], schema)
 
-    found = pages.mapInArrow(run, "host string, token bigint, pages bigint, once boolean, vector bigint, markup boolean")
+    found = pages.mapInArrow(run, "host string, token bigint, pages bigint, low bigint, high bigint, markup boolean")
     found = cut_lineage(found.groupBy("host", "token").agg(
-        F.sum("pages").alias("pages"), F.min("once").alias("once"), F.bit_xor("vector").alias("vector"), F.max("markup").alias("markup")))
-    sizes = found.where("token = -1").select(F.col("host"), F.col("pages").alias("all"), F.col("vector").alias("each"))
-    classes = found.where("token >= 0").join(sizes, "host").where("pages = all")
-    # tokens with the vector (1, 1, ..., 1); text counts only where many pages repeat it
-    once = classes.where(F.col("once") & (F.col("vector") == F.col("each")) & (F.col("markup") | (F.col("all") >= LEAST_PAGES)))
-    return once.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("template"), F.count(F.lit(1)).alias("n")).where(
-        F.col("n") >= LEAST_TOKENS).select("host", "template")
+        *(F.sum(c).alias(c) for c in ("pages", "low", "high")), F.max("markup").alias("markup")))
+    sizes = found.where("token = -1").select(F.col("host"), F.col("pages").alias("all"))
+    # text counts only where many pages repeat it
+    common = found.where("token >= 0").join(sizes, "host").where(
+        (F.col("pages") >= LEAST_SHARE * F.col("all")) & (F.col("markup") | (F.col("pages") >= LEAST_PAGES)))
+    classes = common.groupBy("host", "pages", "low", "high").agg(F.sort_array(F.collect_list("token")).alias("tokens")).where(
+        F.size("tokens") >= LEAST_TOKENS)
+    return classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("pages", F.size("tokens").alias("n"), "tokens")), asc=False).alias("classes")).select(
+        "host", F.col("classes.tokens").alias("classes"))
+
+
+def deduce_templates(pages: DataFrame) -> DataFrame:
+    """(host, template): the valid classes of each host with any, tokens in order.
+
+    Tasks send one row per host, class and order.
+    """
+    classes = cut_lineage(token_classes(pages))
+    schema = pa.schema([("host", pa.string()), ("cls", pa.int64()), ("tokens", pa.list_(pa.int64())), ("slot", pa.int64()), ("valid", pa.bool_())])
+
+    def run(batches):
+        for batch in batches:
+            held = _Held()
+            seen = set()
+            for host, html, tokens in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                classes = held(tokens)
+                rank = {cls: i for i, cls in enumerate(dict.fromkeys(classes.values()))}
+                for cls, read in read_classes([key for key, _ in page_tokens(html.as_py() or "")], classes, rank).items():
+                    seen.add((host, cls, *(read or ((), -1)), read is not None))
+            yield from _rows(list(seen), schema)
+
+    read = pages.join(classes, "host").select("host", "html", "classes").mapInArrow(run, "host string, cls bigint, tokens array<bigint>, slot bigint, valid boolean")
+    one = [F.min(c) == F.max(c) for c in ("tokens", "slot")]
+    valid = read.groupBy("host", "cls").agg(F.min("tokens").alias("tokens"), (F.min("valid") & one[0] & one[1]).alias("valid")).where("valid")
+    return valid.groupBy("host").agg(F.sort_array(F.collect_list("tokens")).alias("template"))
+
+
+class _Held:
+    """Lists of classes as token -> class; a class is named by its smallest token."""
+
+    def __init__(self):
+        self.known: dict[tuple, dict] = {}
+
+    def __call__(self, classes) -> dict[int, int]:
+        classes = tuple(map(tuple, classes.as_py() or ()))
+        if classes not in self.known:
+            if len(self.known) > 1000:
+                self.known.clear()
+            self.known[classes] = {key: min(cls) for cls in classes for key in cls}
+        return self.known[classes]
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page. Null or empty html gives an empty text.
 
     The templates are written first, so that the planner knows their size: it broadcasts them if
-    they are small, else joins by host, where it splits a hot host. Equal pages count once each;
-    pages of a host with fewer tokens in common than a template needs are read without one.
+    they are small, else joins by host, where it splits a hot host. Pages of a host with fewer tokens
+    in common than a template needs are read without one.
     """
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"),
                         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"))
@@ -266,16 +369,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches):
-        held: dict[tuple, frozenset] = {}
+        held = _Held()
         for batch in batches:
-            texts = []
-            for html, keys in zip(batch.column(0), batch.column(3)):
-                keys = tuple(keys.as_py() or ())
-                if keys not in held:
-                    if len(held) > 1000:
-                        held.clear()
-                    held[keys] = frozenset(keys)
-                texts.append(main_text(html.as_py() or "", held[keys]))
+            texts = [main_text(html.as_py() or "", held(classes)) for html, classes in zip(batch.column(0), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], schema=schema)
 
     return rows.join(templates, "host", "left").select("html", "page_id", "url", "template").mapInArrow(

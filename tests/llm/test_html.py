@@ -51,3 +51,24 @@ def test_long_page_and_many_open_tags():
     assert main_text("<div>" * 20_000 + "deep") == "deep"
     assert len(main_text("<article>" + "<p>word " * 50_000)) == 50_000 * 5 - 1
     assert main_text("<" * 20_000 + "a") .startswith("<<<")
+
+
+def test_classes_of_repeated_tokens_are_template(spark):
+    def page(i, teasers, odd=""):
+        items = "".join(f"<div class='teaser'><h3>t{i} {k}</h3><p>x{i}{k}</p><h6>Go on reading</h6></div>" for k in range(teasers))
+        return f"<html><body><nav>m</nav><section>{items}</section>{odd}<footer>f</footer></body></html>"
+    def text(i, teasers):
+        return "\n".join(f"t{i} {k}\nx{i}{k}" for k in range(teasers))
+    rows = [(i, "http://h/", page(i, i % 5)) for i in range(30)]
+    got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: text(i, i % 5) for i in range(30)}
+
+
+def test_order_and_nesting_of_classes():
+    cls = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
+    rank = {1: 0, 4: 1}
+    assert html.read_classes([1, 9, 2, 4, 5, 6, 4, 5, 6, 3], cls, rank) == {1: ((1, 2, 3), -1), 4: ((4, 5, 6), 2)}
+    assert html.read_classes([1, 2, 3, 2, 1, 3], cls, rank) == {1: None}
+    assert html.read_classes([1, 4, 5, 6, 2, 4, 5, 6, 3], cls, rank)[4] is None  # in two slots
+    assert html.read_classes([1, 4, 5, 2, 6, 3], cls, rank) == {1: ((1, 2, 3), -1), 4: None}  # across a slot's end
+    assert html.read_classes([4, 1, 5, 2, 6, 3], cls, rank) == {1: ((1, 2, 3), 4), 4: None}
