@@ -2,10 +2,11 @@
 
 The markup tokens of a page (tags with their class and id, digits masked) and its text runs
 outside the article get an occurrence count per page. Tokens of a host with the same vector of
-counts over its pages form an equivalence class. Vectors are never gathered: a class is known by
-sums of hashes that each page adds to. A class with enough tokens and pages is valid if its tokens
-stand on every page in one order, round after round, and if each round lies in one slot of the
-class around it (a slot is what lies between two tokens of a class). The valid classes are the
+counts over its pages of one layout form an equivalence class; pages without tokens do not count.
+Vectors are never gathered: a class is known by
+sums of hashes that each page adds to. A class with enough tokens and pages is valid if on most of
+them its tokens stand in the same order, round after round, and each round lies in the same slot
+of the class around it (a slot is what lies between two tokens of a class). The valid classes are the
 template. Data inside a slot can neither close a template element nor leave one open, and text
 that belongs to a class is template. Which slots are main text is told by tags and class names:
 the article, or the body without menus, forms, adverts and the like.
@@ -46,11 +47,12 @@ OUTSIDE_WORDS = frozenset(
     "pagination pager toolbar contentinfo complementary".split())
 PAGE_HEADER = frozenset(["header"])
 
-#: Pages of a host from which on repeated text counts as template.
+#: Different pages of a layout from which on repeated text counts as template.
 LEAST_PAGES = 8
 #: Tokens of a class from which on it can be a template.
 LEAST_TOKENS = 3
-#: Share of the pages that hold a class from which on it can be a template.
+#: Share of a layout's pages that a class needs to be a template, and share of a class's pages that
+#: its order and slot must exceed.
 LEAST_SHARE = 0.5
 #: Bits of each of the two hashes that a page adds to a vector: sums fit 64 bits up to 33 million pages.
 VECTOR_BITS = 38
@@ -277,68 +279,88 @@ def _rows(rows: list, schema: pa.Schema):
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows[low:low + 10_000]), schema)], schema=schema)
 
 
+def layout_of(html):
+    """Column expression: the body tag with digits masked and the names of the sectioning elements.
+    It only parts a host's pages into groups, so a tag inside a comment does no harm."""
+    body = F.regexp_replace(F.regexp_extract(html, r"(?i)<body\b[^>]*", 0), r"[0-9]+", "0")
+    parts = F.array_sort(F.array_distinct(F.transform(
+        F.regexp_extract_all(html, F.lit(r"(?i)<(article|main|header|nav|aside|footer)\b"), 1), F.lower)))
+    return F.coalesce(F.xxhash64(body, F.array_join(parts, " ")), F.lit(0))
+
+
 def token_classes(pages: DataFrame) -> DataFrame:
-    """(host, classes): the tokens of each class of equal vectors with enough tokens and pages, the
-    most common class first.
+    """(host, layout, classes): the tokens of each class of equal vectors with enough tokens and
+    pages, the most common class first.
 
-    Tasks send one row per host and token, not one per page. Only tokens that a large share of a
-    host's pages hold are gathered, so the classes are bounded by the tokens of its pages.
+    Tasks send one row per host, layout and token, not one per page. Only tokens that a large share
+    of a layout's pages hold are gathered, so the classes are bounded by the tokens of its pages.
+    Copies of a page weigh as much as they occur, but count as one page for text.
     """
-    schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("pages", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("markup", pa.bool_())])
+    schema = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("token", pa.int64()), ("pages", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
+                        ("markup", pa.bool_()), ("some", pa.list_(pa.int64()))])
     mask = (1 << VECTOR_BITS) - 1
 
     def run(batches):
         for batch in batches:
             seen: dict[tuple, list] = {}
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for host, layout, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 html = html.as_py() or ""
-                page = xxhash.xxh64_intdigest(html.encode("utf-8", "replace"))
                 counts = Counter(page_tokens(html))
+                if not counts:
+                    continue
+                page = xxhash.xxh64_intdigest(html.encode("utf-8", "replace")) >> 1
                 counts[-1, True] = 1  # the page itself
                 marks = {n: xxhash.xxh3_128_intdigest(f"{page}:{n}") for n in set(counts.values())}
                 for (key, markup), n in counts.items():
-                    held = seen.setdefault((host, key), [0, 0, 0, markup])
+                    held = seen.setdefault((host, layout, key), [0, 0, 0, markup, []])
                     held[0] += 1
                     held[1] += marks[n] & mask
                     held[2] += marks[n] >> VECTOR_BITS & mask
+                    if len(held[4]) < LEAST_PAGES and page not in held[4]:
+                        held[4].append(page)
             yield from _rows([(*unit, *held) for unit, held in seen.items()], schema)
 
-    found = pages.mapInArrow(run, "host string, token bigint, pages bigint, low bigint, high bigint, markup boolean")
-    found = cut_lineage(found.groupBy("host", "token").agg(
-        *(F.sum(c).alias(c) for c in ("pages", "low", "high")), F.max("markup").alias("markup")))
-    sizes = found.where("token = -1").select(F.col("host"), F.col("pages").alias("all"))
+    found = pages.mapInArrow(run, "host string, layout bigint, token bigint, pages bigint, low bigint, high bigint, markup boolean, some array<bigint>")
+    found = cut_lineage(found.groupBy("host", "layout", "token").agg(
+        *(F.sum(c).alias(c) for c in ("pages", "low", "high")), F.max("markup").alias("markup"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("some")))).alias("different")))
+    sizes = found.where("token = -1").select("host", "layout", F.col("pages").alias("all"))
     # text counts only where many pages repeat it
-    common = found.where("token >= 0").join(sizes, "host").where(
-        (F.col("pages") >= LEAST_SHARE * F.col("all")) & (F.col("markup") | (F.col("pages") >= LEAST_PAGES)))
-    classes = common.groupBy("host", "pages", "low", "high").agg(F.sort_array(F.collect_list("token")).alias("tokens")).where(
+    common = found.where("token >= 0").join(sizes, ["host", "layout"]).where(
+        (F.col("pages") >= LEAST_SHARE * F.col("all")) & (F.col("different") >= F.when(F.col("markup"), 2).otherwise(LEAST_PAGES)))
+    classes = common.groupBy("host", "layout", "pages", "low", "high").agg(F.sort_array(F.collect_list("token")).alias("tokens")).where(
         F.size("tokens") >= LEAST_TOKENS)
-    return classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("pages", F.size("tokens").alias("n"), "tokens")), asc=False).alias("classes")).select(
-        "host", F.col("classes.tokens").alias("classes"))
+    return classes.groupBy("host", "layout").agg(
+        F.sort_array(F.collect_list(F.struct("pages", F.size("tokens").alias("n"), "tokens")), asc=False).alias("classes")).select(
+        "host", "layout", F.col("classes.tokens").alias("classes"))
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the valid classes of each host with any, tokens in order.
+    """(host, layout, template): the valid classes of each layout with any, tokens in order.
 
-    Tasks send one row per host, class and order.
+    Tasks send one row per class and order, with the number of their pages.
     """
     classes = cut_lineage(token_classes(pages))
-    schema = pa.schema([("host", pa.string()), ("cls", pa.int64()), ("tokens", pa.list_(pa.int64())), ("slot", pa.int64()), ("valid", pa.bool_())])
+    schema = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("cls", pa.int64()), ("tokens", pa.list_(pa.int64())), ("slot", pa.int64()), ("pages", pa.int64())])
 
     def run(batches):
         for batch in batches:
             held = _Held()
-            seen = set()
-            for host, html, tokens in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            seen: Counter = Counter()
+            for host, layout, html, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 classes = held(tokens)
                 rank = {cls: i for i, cls in enumerate(dict.fromkeys(classes.values()))}
                 for cls, read in read_classes([key for key, _ in page_tokens(html.as_py() or "")], classes, rank).items():
-                    seen.add((host, cls, *(read or ((), -1)), read is not None))
-            yield from _rows(list(seen), schema)
+                    seen[(host, layout, cls, *(read or ((), -1)))] += 1
+            yield from _rows([(*order, n) for order, n in seen.items()], schema)
 
-    read = pages.join(classes, "host").select("host", "html", "classes").mapInArrow(run, "host string, cls bigint, tokens array<bigint>, slot bigint, valid boolean")
-    one = [F.min(c) == F.max(c) for c in ("tokens", "slot")]
-    valid = read.groupBy("host", "cls").agg(F.min("tokens").alias("tokens"), (F.min("valid") & one[0] & one[1]).alias("valid")).where("valid")
-    return valid.groupBy("host").agg(F.sort_array(F.collect_list("tokens")).alias("template"))
+    read = pages.join(classes, ["host", "layout"]).select("host", "layout", "html", "classes").mapInArrow(
+        run, "host string, layout bigint, cls bigint, tokens array<bigint>, slot bigint, pages bigint")
+    orders = read.groupBy("host", "layout", "cls", "tokens", "slot").agg(F.sum("pages").alias("pages"))
+    valid = orders.groupBy("host", "layout", "cls").agg(
+        F.max_by("tokens", F.struct("pages", "tokens")).alias("tokens"), F.max("pages").alias("most"), F.sum("pages").alias("pages")).where(
+        (F.size("tokens") > 0) & (F.col("most") > LEAST_SHARE * F.col("pages")))
+    return valid.groupBy("host", "layout").agg(F.sort_array(F.collect_list("tokens")).alias("template"))
 
 
 class _Held:
@@ -363,9 +385,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     they are small, else joins by host, where it splits a hot host. Pages of a host with fewer tokens
     in common than a template needs are read without one.
     """
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"),
+    html = F.col("html").cast("string")
+    rows = pages.select(host_of(F.col("url")).alias("host"), layout_of(html).alias("layout"), html.alias("html"),
                         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"))
-    templates = cut_lineage(deduce_templates(rows.select("host", "html")))
+    templates = cut_lineage(deduce_templates(rows.select("host", "layout", "html")))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches):
@@ -374,5 +397,5 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             texts = [main_text(html.as_py() or "", held(classes)) for html, classes in zip(batch.column(0), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], schema=schema)
 
-    return rows.join(templates, "host", "left").select("html", "page_id", "url", "template").mapInArrow(
+    return rows.join(templates, ["host", "layout"], "left").select("html", "page_id", "url", "template").mapInArrow(
         run, "page_id bigint, url string, text string, n_chars bigint")

@@ -72,3 +72,20 @@ def test_order_and_nesting_of_classes():
     assert html.read_classes([1, 4, 5, 6, 2, 4, 5, 6, 3], cls, rank)[4] is None  # in two slots
     assert html.read_classes([1, 4, 5, 2, 6, 3], cls, rank) == {1: ((1, 2, 3), -1), 4: None}  # across a slot's end
     assert html.read_classes([4, 1, 5, 2, 6, 3], cls, rank) == {1: ((1, 2, 3), 4), 4: None}
+
+
+def test_template_outlasts_null_and_odd_pages(spark):
+    notice = "Read more of us"
+    rows = [(i, "http://h/", f"<body><nav>m</nav><section><p>x{i}</p></section><div>{notice}</div><footer>f</footer></body>") for i in range(40)]
+    odd = [None, "", "  ", "<html><body>hello</body></html>", "<body><footer>f</footer><section><p>o4</p></section><nav>m</nav></body>",
+           "<body><nav>m</nav><section><p>o5</p></section></body>", "<body class='error'><nav>m</nav><p>o6</p><footer>f</footer></body>"]
+    rows += [(100 + i, "http://h/", page) for i, page in enumerate(odd)]
+    got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"x{i}" for i in range(40)} | {
+        100: "", 101: "", 102: "", 103: "hello", 104: "o4", 105: "o5", 106: "o6"}
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<body><nav>m</nav><section><p>all of it</p></section><footer>f</footer></body>"
+    got = html.extract_main_text(spark.createDataFrame([(i, "http://h/", page) for i in range(40)], "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {"all of it"}
