@@ -33,12 +33,14 @@ NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 # Fixed values of HTML: elements without content, of raw text, of running text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object canvas".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title template iframe svg select canvas".split())
+INLINE = frozenset("a abbr annotation b bdi bdo big cite code data del dfn em font i ins kbd label maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle "
+                   "msub msubsup msup mtable mtd mtext mtr munder munderover mark noscript object q s samp semantics small span strike strong sub sup time tt u var wbr".split())
 SECTIONING = frozenset("article main".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 
-#: Elements and words in class, id and role that mark what is not main text.
+#: Elements and words that mark what is not main text. A class, id or role marks an element if the
+#: whole name consists of such words, at most with words of PLAIN_WORDS beside them.
 OUTSIDE = frozenset("nav footer aside form button dialog menu head".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
@@ -46,6 +48,11 @@ OUTSIDE_WORDS = frozenset(
     "replies respond disqus discussion share sharing social related recommended newsletter subscribe subscription signup login search "
     "pagination pager toolbar contentinfo complementary".split())
 PAGE_HEADER = frozenset(["header"])
+PLAIN_WORDS = frozenset(
+    "area articles bar block bottom box button buttons container content form global group icons inner item items left link links list main "
+    "media outer page pages panel post posts primary right secondary section site slot stories top unit wrap wrapper".split())
+#: Elements that no name marks: those that hold the main text, headings and paragraphs.
+UNMARKED = frozenset("html body main article h1 h2 h3 h4 h5 h6 p".split())
 
 #: Different pages of a layout from which on repeated text counts as template.
 LEAST_PAGES = 8
@@ -66,12 +73,21 @@ def _text_key(text: str) -> int:
     return _key(f"#{' '.join(text.split())}")
 
 
+def _named(value: str, marking: frozenset) -> bool:
+    for name in value.split():
+        words = {w.lower() for w in NAME_WORD.findall(name)}
+        if words & marking and words <= marking | PLAIN_WORDS:
+            return True
+    return False
+
+
 class Tag:
-    __slots__ = ("name", "close", "label", "key", "end", "outside", "header")
+    __slots__ = ("name", "close", "label", "key", "end", "outside", "named", "anchor", "header")
 
     def __init__(self, name: str, close: bool, attributes: str):
         self.name, self.close = name, close
-        self.label, self.outside, self.header = f"</{name}>" if close else f"<{name}>", False, False
+        self.label, self.header = f"</{name}>" if close else f"<{name}>", False
+        self.outside = self.named = self.anchor = False  # by element, by class or role, by id
         if not close:
             self._read(name, attributes)
         self.key, self.end = _key(self.label), _key(f"</{name}>")
@@ -84,12 +100,14 @@ class Tag:
             for key, *values in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), "".join(values)
                 if key in ("class", "id", "role"):
-                    words = {w.lower() for w in NAME_WORD.findall(value)}
-                    self.outside |= bool(words & OUTSIDE_WORDS)
-                    self.header |= bool(words & PAGE_HEADER)
+                    if name not in UNMARKED:
+                        if _named(value, OUTSIDE_WORDS):
+                            self.anchor |= key == "id"
+                            self.named |= key != "id"
+                        self.header |= _named(value, PAGE_HEADER)
                     marks.append(f"{key}={re.sub(r'[0-9]+', '0', value)}")
-                elif key == "hidden" or (key == "aria-hidden" and value == "true") or (
-                        key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+                elif name not in ("html", "body") and (key == "hidden" or (key == "aria-hidden" and value == "true") or (
+                        key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))):
                     self.outside = True
             if marks:
                 self.label = f"<{name} {' '.join(marks)}>"
@@ -137,33 +155,38 @@ def tokens(html: str):
 
 
 def runs(html: str, template: dict[int, int] = NO_TEMPLATE):
-    """(tag, text, outside, in article) in page order: one of tag and text is given.
+    """(tag, text, outside, in article) in page order: one of tag and text is given. Outside is 2
+    in an element that is no main text, 1 in one that only a name marks, else 0. A name marks
+    nothing around <main>, and inside articles, where ids are anchors, an id only does in the template.
 
     `template` holds the class of each template token; an element whose both tags are tokens of one
     class is closed by nothing else.
     """
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, outside, page header, article, fixed
-    outside = article = 0
+    stack: list[tuple[str, int, bool, bool]] = []  # name, outside, article, fixed
+    outside, article = [0, 0, 0], 0
+
+    def level() -> int:
+        return 2 if outside[2] else 1 if outside[1] else 0
 
     def closed(to: int) -> None:
-        nonlocal outside, article
+        nonlocal article
         while len(stack) > to:
-            _, out, _, art, _ = stack.pop()
-            outside -= out
+            _, out, art, _ = stack.pop()
+            outside[out] -= 1
             article -= art
 
     for token in tokens(html):
         if isinstance(token, str):
-            yield None, token, outside > 0, article > 0
+            yield None, token, level(), article > 0
             continue
         name = token.name
         fixed = token.key in template and template[token.key] == template.get(token.end)
         if token.close:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name and (fixed or not stack[i][4]):
+                if stack[i][0] == name and (fixed or not stack[i][3]):
                     closed(i)
                     break
-                if stack[i][4] and not fixed:
+                if stack[i][3] and not fixed:
                     break
         else:
             if name not in INLINE and name != "br":
@@ -173,13 +196,19 @@ def runs(html: str, template: dict[int, int] = NO_TEMPLATE):
                         break
                     if stack[i][0] not in INLINE:
                         break
-            if name not in VOID and (name not in INLINE or token.outside):
-                out = token.outside or (token.header and not article)
+            if name not in VOID and (name not in INLINE or token.outside or token.named or token.anchor):
+                if name == "main" and outside[1]:
+                    stack[:] = [(n, 0 if out == 1 else out, art, fix) for n, out, art, fix in stack]
+                    outside[1] = 0
+                if token.outside or (token.header and not article and name in PAGE_HEADER):
+                    out = 2
+                else:
+                    out = int(token.named or (token.header and not article) or (token.anchor and (not article or token.key in template)))
                 art = name in SECTIONING
-                stack.append((name, out, token.header, art, fixed))
-                outside += out
+                stack.append((name, out, art, fixed))
+                outside[out] += 1
                 article += art
-        yield token, None, outside > 0, article > 0
+        yield token, None, level(), article > 0
 
 
 def main_text(html: str, template: dict[int, int] = NO_TEMPLATE) -> str:

@@ -89,3 +89,21 @@ def test_copies_of_a_page_are_no_template(spark):
     page = "<body><nav>m</nav><section><p>all of it</p></section><footer>f</footer></body>"
     got = html.extract_main_text(spark.createDataFrame([(i, "http://h/", page) for i in range(40)], "page_id long, url string, html string")).collect()
     assert {r.text for r in got} == {"all of it"}
+
+
+def test_names_mark_whole_and_no_container():
+    for around in ("<body class='single right-sidebar'>%s</body>", "<body class='sidebar'>%s</body>", "<body><div class='content with-sidebar'>%s</div></body>",
+                   "<body class='custom-header'>%s</body>", "<body style='visibility:hidden'>%s</body>", "<body><main class='has-banner banner'>%s</main></body>",
+                   "<body><div class='modal'><main>%s</main></div></body>"):
+        assert main_text(around % "<p>kept</p>") == "kept", around
+    page = "<article><h2 id='related-work'>Related</h2><p id='share'>a</p><section id='discussion'><p>b</p></section><div class='share-buttons'>x</div></article>"
+    assert main_text(page) == "Related\na\nb"
+    assert main_text("<div class='Comments_list'>x</div><div id='sidebar'>x</div><div class='site-header'>x</div><p>a</p>") == "a"
+    assert main_text("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b <object>c</object></p><noscript><p>d</p></noscript>") == "a x=1 b c\nd"
+
+
+def test_template_tells_ids_inside_articles(spark):
+    def page(i):
+        return f"<body><article><p>x{i}</p><div id='share'>s</div><h6>e</h6></article><footer>f</footer></body>"
+    got = html.extract_main_text(spark.createDataFrame([(i, "http://h/", page(i)) for i in range(9)] + [(9, "http://lone/", page(9))], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"x{i}\ne" for i in range(9)} | {9: "x9\ns\ne"}
