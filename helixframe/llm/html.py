@@ -9,7 +9,7 @@ them its tokens stand in the same order, round after round, and each round lies
 of the class around it (a slot is what lies between two tokens of a class). The valid classes are the
 template. Data inside a slot can neither close a template element nor leave one open, and text
 that belongs to a class is template. Which slots are main text is told by tags and class names:
-the article, or the body without menus, forms, adverts and the like.
+the articles, or where they hold no text the body, without menus, forms, adverts and the like.
 """
 
 from __future__ import annotations
@@ -212,13 +212,14 @@ def runs(html: str, template: dict[int, int] = NO_TEMPLATE):
 
 
 def main_text(html: str, template: dict[int, int] = NO_TEMPLATE) -> str:
-    """Blocks of the article (of the body, where a page has no article), joined by line ends."""
-    chosen = {True: [], False: []}
-    current = {True: [], False: []}
-    has_article = False
+    """Blocks of the articles, joined by line ends; of the body, where the articles outside menus,
+    comments and the like hold no text; of articles inside what only a name marks, where all else is empty."""
+    kinds = ("article", "body", "named")
+    chosen = {kind: [] for kind in kinds}
+    current = {kind: [] for kind in kinds}
 
     def close() -> None:
-        for kind in (True, False):
+        for kind in kinds:
             if current[kind]:
                 block = " ".join(unescape("".join(current[kind])).split())
                 if block:
@@ -229,14 +230,16 @@ def main_text(html: str, template: dict[int, int] = NO_TEMPLATE) -> str:
         if tag is not None:
             if tag.name not in INLINE:
                 close()
-            has_article |= tag.name in SECTIONING and not tag.close
-        elif not outside:
+        elif outside:
+            if article and outside == 1:
+                current["named"].append(text)
+        else:
             if article:
-                current[True].append(text)
+                current["article"].append(text)
             elif not (template and text.strip() and _text_key(text) in template):
-                current[False].append(text)
+                current["body"].append(text)
     close()
-    return "\n".join(chosen[has_article])
+    return "\n".join(next(filter(None, chosen.values()), ()))
 
 
 def page_tokens(html: str):

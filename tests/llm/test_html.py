@@ -107,3 +107,12 @@ def test_template_tells_ids_inside_articles(spark):
         return f"<body><article><p>x{i}</p><div id='share'>s</div><h6>e</h6></article><footer>f</footer></body>"
     got = html.extract_main_text(spark.createDataFrame([(i, "http://h/", page(i)) for i in range(9)] + [(9, "http://lone/", page(9))], "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: f"x{i}\ne" for i in range(9)} | {9: "x9\ns\ne"}
+
+
+def test_articles_in_comments_do_not_hide_the_body():
+    comments = "<section class='comments'><article><p>nice</p></article></section>"
+    assert main_text(f"<body><div><h1>t</h1><p>a</p></div>{comments}<aside><article>teaser</article></aside></body>") == "t\na"
+    assert main_text(f"<body><div><p>a</p></div><article> </article>{comments}</body>") == "a"
+    assert main_text(f"<body><p>x</p><article><p>a</p>{comments}</article></body>") == "a"
+    assert main_text("<body><nav>m</nav><div class='modal'><article><p>a</p></article></div></body>") == "a"
+    assert main_text("<body><aside><article>teaser</article></aside></body>") == ""
