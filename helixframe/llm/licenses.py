@@ -25,7 +25,12 @@ BASE = {
     "all rights reserved": "reserved",
 }
 
-#: Notices whose mandatory wording is that of the published licenses.
+_AS_IS = "<<var;as is|“as is”>>"
+_ITEM = "<<beginOptional>><<var;1-1>><<endOptional>>"
+_HOLDER = "<<var;1-12>>"
+
+#: One-line notices, and the whole texts (grant, conditions, disclaimer) of three licenses: mandatory
+#: wording is that of the published licenses, holders' names and list marks are replaceable.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license <<beginOptional>>version<<endOptional>> 2.0",
     "mit": "<<var;released|licensed|distributed|available|provided>> under <<beginOptional>>the terms of<<endOptional>> "
@@ -37,12 +42,34 @@ TEMPLATES = {
     "cc-by-nc": "<<beginOptional>>licensed under <<endOptional>> <<beginOptional>>a<<endOptional>> cc by nc",
     "creative-commons": "licensed under <<var;a|the>> creative commons <<var;1-6>> license",
     "mit-permission": "permission is hereby granted free of charge to any person obtaining a copy of this software "
-                      "<<beginOptional>>and associated documentation files<<endOptional>> <<beginOptional>>the software<<endOptional>> "
-                      "to deal in the software without restriction",
+                      "<<beginOptional>>and associated documentation files<<endOptional>> <<beginOptional>>the <<var;software|“software”>><<endOptional>> "
+                      "to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+                      "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+                      "subject to the following conditions the above copyright notice and this permission notice "
+                      "<<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the "
+                      f"software the software is provided {_AS_IS} without warranty of any kind express or implied including but not limited to the "
+                      "warranties of merchantability fitness for a particular purpose and <<var;noninfringement|non infringement>> in no event shall "
+                      f"{_HOLDER} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from "
+                      "out of or in connection with the software or the use or other dealings in the software",
     "isc-permission": "permission to use copy modify <<var;and|and or>> distribute this software for any purpose with or without fee "
-                      "is hereby granted",
+                      "is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+                      f"the software is provided {_AS_IS} and {_HOLDER} <<var;disclaims|disclaim>> all warranties with regard to this software "
+                      f"including all implied warranties of merchantability and fitness in no event shall {_HOLDER} be liable for any special direct "
+                      "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of "
+                      "contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted "
-                          "provided that the following conditions are met",
+                          f"provided that the following conditions are met {_ITEM} redistributions of source code must retain the above copyright "
+                          "notice this list of conditions and the following disclaimer "
+                          f"{_ITEM} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+                          "disclaimer in the documentation and or other materials provided with the distribution <<beginOptional>>"
+                          f"{_ITEM} neither the <<var;name|names>> of {_HOLDER} nor the names of <<var;its|any|their>> contributors may be used to "
+                          "endorse or promote products derived from this software without specific prior written permission<<endOptional>> "
+                          f"this software is provided by {_HOLDER} {_AS_IS} and any express or implied warranties including but not limited to the "
+                          "implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall "
+                          f"{_HOLDER} be liable for any direct indirect incidental special exemplary or consequential damages including but not "
+                          "limited to procurement of substitute goods or services loss of use data or profits or business interruption however "
+                          "caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+                          "arising in any way out of the use of this software even if advised of the possibility of such damage",
     "copyright-reserved": "copyright <<beginOptional>>c<<endOptional>> <<beginOptional>><<var;1-8>><<endOptional>> all rights reserved",
 }
 _MARK = re.compile(r"<<(.*?)>>", re.DOTALL)
