@@ -13,28 +13,31 @@ PLAIN = regex.compile(r"[\x00-\x84\x86-ʯ̀-ͯΑ-ΡΣ-ϿЀ-ӿ‐-‧‰-⁞€]*
 
 
 class Encoder:
-    """text -> ids as `Tokenizer.encode(text, add_special_tokens=False)` gives them, special
-    strings read as ordinary text.
+    """text -> ids as `Tokenizer.encode(text, add_special_tokens=False)` gives them. With
+    `added`, the strings of added tokens get their one id, as they do by default there; else they
+    are read as ordinary text.
 
     The file is loaded by `tokenizers`. Its merges are also given to `tiktoken`, which is about
     four times as fast and gives the same ids; it takes the texts made of long-established
-    characters, and all others go to `tokenizers`, which is loaded when the first of them comes.
+    characters, and all others, with `added` also those that hold an added token's string, go to
+    `tokenizers`, which is loaded when the first of them comes.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
-        self.path, self._slow = path, None
+        self.path, self.added, self._slow = path, added, None
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         vocab = model["model"]["vocab"]
         special = {t["content"] for t in model.get("added_tokens", [])}
         byte_of = {c: b for b, c in enumerate(_byte_letters())}
         ranks = {bytes(byte_of[c] for c in word): i for word, i in vocab.items() if word not in special}
+        self.strings = sorted(special) if added else []
         self.fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if PLAIN.fullmatch(text):
+        if PLAIN.fullmatch(text) and not any(s in text for s in self.strings):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
@@ -44,7 +47,7 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_file(self.path)
-            self._slow.encode_special_tokens = True
+            self._slow.encode_special_tokens = not self.added
         return self._slow
 
 
@@ -52,9 +55,9 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of a file, built once in each process."""
+    """The encoder of a file, with its added tokens, built once in each process."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, added=True)
     return _encoders[path]
 
 

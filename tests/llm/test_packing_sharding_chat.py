@@ -65,6 +65,17 @@ def test_encoder_equals_tokenizers():
         assert fast(text) == slow.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_get_their_id(spark):
+    from tokenizers import Tokenizer
+
+    default = Tokenizer.from_file(tokenizer_path())
+    texts = ["<|endoftext|>", "a b <|endoftext|> c<|endoftext|>", "é\u4e00 <|endoftext|>", "<|endoftext|", "plain", "\u4e00"]
+    assert 50256 in default.encode(texts[1], add_special_tokens=False).ids
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids[:-1] for r in packing.token_pieces(df, tokenizer_path(), tokens=True).collect()}
+    assert got == {i: default.encode(text, add_special_tokens=False).ids for i, text in enumerate(texts)}
+
+
 DOCS = [(1, "a b c"), (1, "a b c"), (2, None), (3, ""), (None, "x"), (4, "word " * 5000), (5, "word " * 1023), (6, "the cat")]
 
 
