@@ -190,6 +190,8 @@ def item_blocks(benchmark: DataFrame, per_pass: int = ITEMS_PER_PASS):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """doc_id, item_id, first_word, words, distance, similarity of every matching place.
 
+    Matching windows of one item that overlap in a chain are one place, given by the best of them:
+    copies of an item with no or only a few words between them give one row.
     Documents are read whole, once for each block of items, and do not move. Null and empty texts
     match nothing, nor do items without words; an item of fewer than five words matches its exact
     word sequence. Repeated rows are reported as often as they occur.
