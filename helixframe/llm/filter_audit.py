@@ -38,7 +38,7 @@ COPY = "E"
 
 
 #: Texts that are measured together hold at most so many bytes, or are one text.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 19
 #: Word places of a slice are marked in a table of at most so many cells, larger ones are sorted.
 MARKS = 1 << 26
 UPPER = np.zeros(256, dtype=bool)
@@ -77,7 +77,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     if n * width <= MARKS:
         marked = np.zeros((n, width), dtype=bool)
         marked[owner, codes] = True
-        sums["n_distinct"] = marked.sum(axis=1)
+        sums["n_distinct"] = np.count_nonzero(marked, axis=1)
     else:
         sums["n_distinct"] = np.bincount(np.unique(owner * width + codes) // width, minlength=n)
     return sums
