@@ -13,13 +13,21 @@ from helixframe.plans import training
 from helixframe.session import cut_lineage
 
 C = F.col
-#: AUC and average precision of the stand-in labels: a shift of six units of a measure is all that
-#: tells them apart, so a sound fit lands inside these bounds.
-SOUND_AUC = (0.58, 0.68)
+#: The stand-in labels differ by a shift of six units of one measure: rows below 7 are negative, rows above
+#: 50 positive, and between them nothing tells. So the best AUC is that of these three steps, and a sound fit
+#: comes this close to it.
+NEAR = 0.025
+KNOWN = "case when {q} < 7e0 then 0 when {q} > 50e0 then 2 else 1 end"
 
 
-def sound(auc: str = "roc_auc"):
-    return F.coalesce(C(auc).between(*SOUND_AUC), F.lit(False))
+def best_auc(rows, label: str, groups=()):
+    """AUC that the three steps reach, one row for each group."""
+    shaped = rows.withColumn("known", C("known").cast("double"))
+    return metrics.ranking_metrics(shaped, label, "known", list(groups)).select(*groups, C("roc_auc").alias("best_auc"))
+
+
+def near(auc: str = "roc_auc", best: str = "best_auc"):
+    return F.coalesce(F.abs(C(auc) - C(best)) <= NEAR, F.lit(False))
 
 
 @query("one_hot_min_frequency", """SELECT coalesce(gene, 'MISSING') AS level, count(*) n, CASE WHEN count(*) >= 25 THEN coalesce(gene, 'MISSING') ELSE '__infrequent__' END encoded
@@ -45,9 +53,14 @@ def modelling(t):
         "case when l_suppkey % 11 = 0 then null else l_extendedprice end as price",
         "l_discount as discount", "l_tax > 4e-2 as high_tax",
         "case when l_suppkey % 6 = 0 then null else 'c' || (l_suppkey % 8) end as category", "l_linestatus as status",
+        KNOWN.format(q="(l_quantity + case when l_returnflag = 'R' then 6e0 else 0e0 end)") + " as known",
     )
 
 
+#: Columns of `modelling` that are carried along and never model inputs.
+CARRIED = ["family", "known"]
+
+
 MODEL_SQL = """(SELECT split, quantity, discount, coalesce(price, med) price FROM (SELECT case when l_partkey % 20 < 14 then 'train' when l_partkey % 20 < 17 then 'val' else 'test' end AS split,
       l_quantity + case when l_returnflag = 'R' then 6e0 else 0e0 end AS quantity, l_discount AS discount, case when l_suppkey % 11 = 0 then null else l_extendedprice end AS price FROM lineitem),
       (SELECT quantile_cont(l_extendedprice, 0.5) med FROM lineitem WHERE l_suppkey % 11 <> 0 AND l_partkey % 20 < 14))"""
@@ -59,7 +72,7 @@ LEVELS_SQL = """(SELECT (SELECT count(DISTINCT e) FROM (SELECT CASE WHEN count(*
 def _(t):
     data = modelling(t)
     train = data.filter("split = 'train'")
-    numeric, text = training.model_columns(data, {"split", "family"})
+    numeric, text = training.model_columns(data, {"split", *CARRIED})
     model = training.fit_features(train, numeric, text)
     from pyspark.ml.functions import vector_to_array
 
@@ -71,43 +84,72 @@ def _(t):
 
 
 MODEL_ROWS = """(SELECT cast(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS variant_key, case when l_returnflag = 'R' then 1 else 0 end AS label,
-      case when l_partkey % 20 < 14 then 'train' when l_partkey % 20 < 17 then 'val' else 'test' end AS split, l_partkey % 400 AS family, l_suppkey FROM lineitem)"""
+      case when l_partkey % 20 < 14 then 'train' when l_partkey % 20 < 17 then 'val' else 'test' end AS split, l_partkey % 400 AS family, l_suppkey,
+      case when q < 7e0 then 0 when q > 50e0 then 2 else 1 end AS known FROM (SELECT *, l_quantity + case when l_returnflag = 'R' then 6e0 else 0e0 end AS q FROM lineitem))"""
 
 
 # metrics of a fit depend on the library's random draws; what must hold of any sound fit is checked
-@query("train_boosted_trees", f"""SELECT split, count(*) n, cast(sum(label) AS BIGINT) n_pos, true AS auc_sound, true AS ap_above_chance, true AS calibrated_monotone, true AS in_range
+@query("train_boosted_trees", f"""SELECT split, count(*) n, cast(sum(label) AS BIGINT) n_pos, true AS auc_near_best, true AS ap_above_chance, true AS calibrated_monotone, true AS in_range,
+      true AS enough_trees, true AS patience_kept, true AS loss_recomputed
     FROM {MODEL_ROWS} WHERE split <> 'train' GROUP BY split""")
 def _(t):
-    preds = cut_lineage(training.train_and_score(modelling(t), keep=["family"]))
-    scores = metrics.ranking_metrics(preds, "y_true", "p_raw", ["split"]).select(
-        "split", "n", "n_pos", sound().alias("auc_sound"), (C("pr_auc") > C("n_pos") / C("n")).alias("ap_above_chance"))
+    data = modelling(t)
+    fit = training.fit_scorer(data, keep=CARRIED)
+    trees, preds = fit.trees, cut_lineage(fit.predictions)
+    scores = metrics.ranking_metrics(preds, "y_true", "p_raw", ["split"]).join(best_auc(preds, "y_true", ["split"]), "split").select(
+        "split", "n", "n_pos", near().alias("auc_near_best"), (C("pr_auc") > C("n_pos") / C("n")).alias("ap_above_chance"))
     steps = preds.groupBy("split", "p_raw").agg(F.min("p_calibrated").alias("low"), F.max("p_calibrated").alias("high"))
     before = F.lag("high").over(Window.partitionBy("split").orderBy("p_raw"))
     monotone = steps.withColumn("ok", (C("low") == C("high")) & (F.coalesce(before, C("low")) <= C("low"))).groupBy("split").agg(
         F.bool_and("ok").alias("calibrated_monotone"),
         F.bool_and(C("p_raw").between(0, 1) & C("low").between(0, 1)).alias("in_range"))
-    return scores.join(monotone, "split")
+    # the reported loss of the best iteration, from the written scores of the validation rows
+    weight = training.class_weight(data.filter("split = 'train'")).first()["weight"]
+    w = F.when(C("y_true") == 1, weight).otherwise(1.0)
+    loss = -2 * F.log(F.when(C("y_true") == 1, C("p_raw")).otherwise(1 - C("p_raw")))
+    measured = preds.filter("split = 'val'").agg((F.sum(w * loss) / F.sum(w)).alias("loss"))
+    least = trees.loss_table(t.spark).agg(F.min_by("val_loss", "iteration").alias("first"), F.max(F.when(C("is_best"), C("val_loss"))).alias("least"))
+    agrees = measured.join(F.broadcast(least)).select((F.abs(C("loss") - C("least")) < 1e-6).alias("loss_recomputed"))
+    return scores.join(monotone, "split").join(F.broadcast(agrees)).select(
+        "*", F.lit(trees.n_grown >= 100).alias("enough_trees"),
+        F.lit(trees.n_grown - trees.best_iteration >= training.DEFAULT_PARAMS["patience"] or trees.n_grown == training.DEFAULT_PARAMS["max_iter"]).alias("patience_kept"))
 
 
 def hexed(at: int) -> str:
     return f"(('0x' || substr(md5('42:' || cast(trial AS VARCHAR)), {4 * at + 1}, 4))::BIGINT / 65535e0)"
 
 
-@query("param_search", f"""SELECT cast(trial AS INTEGER) trial, cast(3 + floor({hexed(0)} * 4.999e0) AS INTEGER) max_depth, round(2.5e-2 + {hexed(1)} * (12e-2 - 2.5e-2), 6) step_size,
-      cast(1 + floor({hexed(2)} * 7.999e0) AS INTEGER) min_instances, round(72e-2 + {hexed(3)} * 28e-2, 6) subsample, round(65e-2 + {hexed(4)} * 35e-2, 6) feature_share, true AS auc_sound, true AS ap_above_chance
-    FROM (SELECT unnest(range(40)) trial), (SELECT count(*) n FROM {MODEL_ROWS} WHERE split = 'val') WHERE n > 0""")
+@query("param_search", f"""SELECT 'trial' AS kind, cast(trial AS INTEGER) number, cast(3 + floor({hexed(0)} * 4.999e0) AS INTEGER) max_depth, round(2.5e-2 + {hexed(1)} * (12e-2 - 2.5e-2), 6) step_size,
+      cast(1 + floor({hexed(2)} * 7.999e0) AS INTEGER) min_instances, round(72e-2 + {hexed(3)} * 28e-2, 6) subsample, round(65e-2 + {hexed(4)} * 35e-2, 6) feature_share,
+      NULL::BIGINT AS n_trials, NULL::INTEGER AS n_trees, true AS sound
+    FROM (SELECT unnest(range(40)) trial), (SELECT count(*) n FROM {MODEL_ROWS} WHERE split = 'val') WHERE n > 0
+    UNION ALL SELECT 'rung', rung, NULL, NULL, NULL, NULL, NULL, n, trees, true FROM (VALUES (0, 20, 8), (1, 10, 16), (2, 5, 32), (3, 5, 64)) r(rung, n, trees)""")
 def _(t):
-    history = training.param_search(modelling(t), trials=40, keep=["family"])[1]
-    chance = modelling(t).filter("split = 'val'").agg(F.avg("label").alias("chance"))
+    data = modelling(t)
+    history = training.param_search(data, trials=40, keep=CARRIED)[1]
+    val = data.filter("split = 'val'")
+    bounds = val.agg(F.avg("label").alias("chance")).join(best_auc(val, "label"))
     numbers = [F.round(c, 6).alias(c) for c in ("step_size", "subsample", "feature_share")]
-    return history.join(F.broadcast(chance), F.lit(True)).select(
-        "trial", "max_depth", "min_instances", *numbers, sound("val_roc").alias("auc_sound"), (C("val_pr") > C("chance")).alias("ap_above_chance"))
-
-
-@query("score_predictions", f"""SELECT variant_key, split, 'part' || family AS family, label AS y_true, true AS in_range FROM {MODEL_ROWS} WHERE split <> 'train'""")
+    # few shallow trees do not reach the best AUC, but no fit is better than it or worse than half of it
+    fair = C("val_roc").between(0.5 + (C("best_auc") - 0.5) / 2, C("best_auc") + NEAR) & (C("val_pr") > C("chance")) & (C("best_iteration") <= C("n_trees"))
+    trials = history.join(F.broadcast(bounds)).select(
+        F.lit("trial").alias("kind"), C("trial").alias("number"), "max_depth", *numbers, "min_instances",
+        F.lit(None).cast("long").alias("n_trials"), F.lit(None).cast("int").alias("n_trees"), F.coalesce(fair, F.lit(False)).alias("sound"))
+    # trials that a rung dropped are no better in it than those that went on
+    last = history.groupBy("rung").agg(F.count(F.lit(1)).alias("n_trials"), F.max("n_trees").alias("n_trees"), F.min("n_trees").alias("fewest"))
+    ladder = last.select(
+        F.lit("rung").alias("kind"), C("rung").alias("number"), *[F.lit(None).cast(k).alias(c) for c, k in (
+            ("max_depth", "int"), ("step_size", "double"), ("min_instances", "int"), ("subsample", "double"), ("feature_share", "double"))],
+        "n_trials", "n_trees", (C("fewest") == C("n_trees")).alias("sound"))
+    return trials.unionByName(ladder)
+
+
+# rows that the measure decides must be told by the model; the others have no right answer
+@query("score_predictions", f"""SELECT variant_key, split, 'part' || family AS family, label AS y_true, true AS in_range, CASE known WHEN 0 THEN false WHEN 2 THEN true END AS called FROM {MODEL_ROWS} WHERE split <> 'train'""")
 def _(t):
-    out = training.train_and_score(modelling(t), keep=["family"])
-    return out.select("variant_key", "split", "family", "y_true", (C("p_raw").between(0, 1) & C("p_calibrated").between(0, 1)).alias("in_range"))
+    out = training.train_and_score(modelling(t), keep=CARRIED)
+    return out.select("variant_key", "split", "family", "y_true", (C("p_raw").between(0, 1) & C("p_calibrated").between(0, 1)).alias("in_range"),
+                      F.when(C("known") != 1, C("p_raw") > 0.5).alias("called"))
 
 
 # Isotonic fit by the max-min formula over all runs of distinct validation scores.
@@ -190,39 +232,47 @@ TELLING = "quantity"
 GROUP_ROWS = "(SELECT unnest([" + ", ".join(f"'{g}'" for g in GROUPS) + "]) feature_group)"
 
 
-@query("feature_ablation", f"""SELECT feature_group AS removed, 1 AS n_removed, metric, true AS full_sound, true AS interval_holds_delta, feature_group = '{TELLING}' AS loses
+def test_best(data):
+    return best_auc(data.filter("split = 'test'"), "label")
+
+
+@query("feature_ablation", f"""SELECT feature_group AS removed, 1 AS n_removed, metric, true AS full_near_best, true AS interval_holds_delta, feature_group = '{TELLING}' AS loses, true AS kept_near_full
     FROM {GROUP_ROWS}, (SELECT unnest(['roc_auc', 'pr_auc']) metric), (SELECT count(*) n FROM {MODEL_ROWS} WHERE split = 'test') WHERE n > 0""")
 def _(t):
-    out = training.feature_ablation(cut_lineage(modelling(t)), GROUPS, replicates=1000, keep=["family"])
-    return out.select(
-        "removed", "n_removed", "metric", ((C("metric") == "pr_auc") | sound("full")).alias("full_sound"),
-        ((C("ci_lo") <= C("delta")) & (C("delta") <= C("ci_hi"))).alias("interval_holds_delta"), (C("delta") > 5e-2).alias("loses"))
+    data = cut_lineage(modelling(t))
+    out = training.feature_ablation(data, GROUPS, replicates=1000, keep=CARRIED)
+    return out.join(F.broadcast(test_best(data))).select(
+        "removed", "n_removed", "metric", ((C("metric") == "pr_auc") | near("full")).alias("full_near_best"),
+        ((C("ci_lo") <= C("delta")) & (C("delta") <= C("ci_hi"))).alias("interval_holds_delta"), (C("delta") > 5e-2).alias("loses"),
+        ((C("removed") == TELLING) | (F.abs("delta") <= NEAR)).alias("kept_near_full"))
 
 
-@query("single_group_models", f"""SELECT feature_group, count(*) n, cast(sum(label) AS BIGINT) n_pos, feature_group = '{TELLING}' AS tells FROM {MODEL_ROWS}, {GROUP_ROWS} WHERE split = 'test' GROUP BY feature_group""")
+@query("single_group_models", f"""SELECT feature_group, count(*) n, cast(sum(label) AS BIGINT) n_pos, feature_group = '{TELLING}' AS near_best, feature_group <> '{TELLING}' AS near_chance FROM {MODEL_ROWS}, {GROUP_ROWS} WHERE split = 'test' GROUP BY feature_group""")
 def _(t):
-    out = training.single_group_models(cut_lineage(modelling(t)), GROUPS, keep=["family"])
-    return out.select("feature_group", "n", "n_pos", (C("roc_auc") > 0.55).alias("tells"))
+    data = cut_lineage(modelling(t))
+    out = training.single_group_models(data, GROUPS, keep=CARRIED)
+    return out.join(F.broadcast(test_best(data))).select(
+        "feature_group", "n", "n_pos", near().alias("near_best"), (F.abs(C("roc_auc") - 0.5) < 2 * NEAR).alias("near_chance"))
 
 
 FRACTIONS = (0.10, 0.25, 0.50, 0.75, 1.00)
 
 
-@query("learning_curve", f"""SELECT split, fraction::DOUBLE fraction, count(*) n, cast(sum(label) AS BIGINT) n_pos, true AS auc_sound FROM {MODEL_ROWS}, (SELECT unnest([0.1, 0.25, 0.5, 0.75, 1.0]) fraction)
+@query("learning_curve", f"""SELECT split, fraction::DOUBLE fraction, count(*) n, cast(sum(label) AS BIGINT) n_pos, true AS auc_near_best FROM {MODEL_ROWS}, (SELECT unnest([0.1, 0.25, 0.5, 0.75, 1.0]) fraction)
     WHERE split <> 'train' GROUP BY ALL""")
 def _(t):
-    out = training.learning_curve(cut_lineage(modelling(t)), FRACTIONS, keep=["family"])
-    return out.select("split", "fraction", "n", "n_pos", sound().alias("auc_sound"))
+    data = cut_lineage(modelling(t))
+    out = training.learning_curve(data, FRACTIONS, keep=CARRIED)
+    return out.join(F.broadcast(best_auc(data, "label", ["split"])), "split").select("split", "fraction", "n", "n_pos", near().alias("auc_near_best"))
 
 
-@query("strict_vs_balanced", f"""SELECT 'balanced' AS version, count(*) n, cast(sum(label) AS BIGINT) n_pos, true AS auc_sound FROM {MODEL_ROWS} WHERE split = 'test'
+@query("strict_vs_balanced", f"""SELECT 'balanced' AS version, count(*) n, cast(sum(label) AS BIGINT) n_pos, true AS auc_near_best FROM {MODEL_ROWS} WHERE split = 'test'
     UNION ALL SELECT 'strict', count(*), cast(sum(label) AS BIGINT), true FROM {MODEL_ROWS} WHERE split = 'test' AND l_suppkey % 11 <> 0 AND l_suppkey % 6 <> 0""")
 def _(t):
     data = cut_lineage(modelling(t))
-    train = data.filter("split = 'train'")
-    numeric, text = training.model_columns(data, {"split", "family"})
-    features = training.fit_features(train, numeric, text)
-    model = training.train_boosted_trees(cut_lineage(features.transform(train)), cut_lineage(features.transform(data.filter("split = 'val'"))))
+    fit = training.fit_scorer(data, keep=CARRIED)
     test = data.filter("split = 'test'")
-    out = training.score_versions(model, features, {"strict": test.filter("price is not null and category is not null"), "balanced": test})
-    return out.select("version", "n", "n_pos", sound().alias("auc_sound"))
+    versions = {"strict": test.filter("price is not null and category is not null"), "balanced": test}
+    out = training.score_versions(fit.trees, fit.features, versions)
+    best = [best_auc(rows, "label").withColumn("version", F.lit(name)) for name, rows in versions.items()]
+    return out.join(best[0].unionByName(best[1]), "version").select("version", "n", "n_pos", near().alias("auc_near_best"))

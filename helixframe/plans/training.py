@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.constants import NON_MODEL_COLUMNS
@@ -22,7 +23,7 @@ from helixframe.operators.ordered import column_quantiles
 from helixframe.operators.profiling import numeric_columns
 from helixframe.operators.resampling import paired_bootstrap_delta
 from helixframe.operators.splitting import group_subsample
-from helixframe.session import cut_lineage
+from helixframe.session import cut_lineage, scratch_path, shared_dir
 
 MIN_FREQUENCY = 25
 POOLED = "__infrequent__"
@@ -151,28 +152,109 @@ def class_weight(df: DataFrame, label="label") -> DataFrame:
     ).withColumn("weight", F.try_divide(F.col("n_neg").cast("double"), F.col("n_pos")))
 
 
-DEFAULT_PARAMS = {"max_depth": 5, "step_size": 0.1, "subsample": 0.8, "max_iter": 500, "min_instances": 1, "feature_share": "all", "tolerance": 1e-5}
+DEFAULT_PARAMS = {"max_depth": 5, "step_size": 0.1, "subsample": 0.8, "max_iter": 500, "min_instances": 1, "feature_share": "all", "patience": 80}
+#: Trees of the first round of growth, beyond the patience.
+FIRST_TREES = 80
+#: Training rows of a task. Each level of a tree is a job, so a small table is not dealt over many tasks.
+ROWS_PER_TASK = 50_000
 
 
-def train_boosted_trees(train: DataFrame, val: DataFrame, label="label", params=None, seed=42):
-    """Gradient-boosted trees with class weights, at most `max_iter` of them: boosting stops when a
-    tree no longer lowers the error of the validation rows.
+def stopped_at(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """(number of trees of the best prefix, whether `patience` trees after it brought no better one).
 
-    Both inputs carry `features`.
+    Later trees than that do not count, even where the loss falls again: growth would have stopped.
+    """
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+@dataclass
+class BoostedTrees:
+    """The best prefix of a grown ensemble. `losses` holds the validation loss after each grown tree."""
+
+    model: GBTClassificationModel = field(repr=False)
+    losses: list[float] = field(repr=False)
+    best_iteration: int
+    stopped: bool
+
+    @property
+    def n_grown(self) -> int:
+        return len(self.losses)
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.model.transform(rows)
+
+    def loss_table(self, spark: SparkSession) -> DataFrame:
+        """iteration (from 1), val_loss and is_best; one row for each grown tree."""
+        rows = [(i, float(v), i == self.best_iteration) for i, v in enumerate(self.losses, 1)]
+        return spark.createDataFrame(rows, "iteration int, val_loss double, is_best boolean")
+
+
+def prefix(model: GBTClassificationModel, n_trees: int) -> GBTClassificationModel:
+    """The ensemble of the first trees, through the public constructor of Spark's model class."""
+    java, context = model._java_obj, SparkSession.active().sparkContext
+    jvm, gateway = context._jvm, context._gateway
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n_trees)
+    weights = gateway.new_array(jvm.double, n_trees)
+    all_trees, all_weights = java.trees(), java.treeWeights()
+    for i in range(n_trees):
+        trees[i], weights[i] = all_trees[i], all_weights[i]
+    cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights)
+    return GBTClassificationModel(java.copyValues(cut, jvm.org.apache.spark.ml.param.ParamMap()))
+
+
+def boosting_rows(rows: DataFrame, label: str, weight: float) -> DataFrame:
+    """features, _label and _w in tasks of about ROWS_PER_TASK rows."""
+    shaped = rows.select(
+        "features", F.col(label).cast("double").alias("_label"), F.when(F.col(label) == 1, weight).otherwise(1.0).alias("_w"))
+    tasks = max(1, -(-rows.count() // ROWS_PER_TASK))
+    return shaped.coalesce(tasks) if tasks < shaped.rdd.getNumPartitions() else shaped
+
+
+def grow_trees(rows: DataFrame, params: dict, n_trees: int, seed: int) -> GBTClassificationModel:
+    """An ensemble of exactly so many trees. Each tree depends on the seed and the trees before it, so a
+    longer ensemble begins with the shorter one."""
+    return GBTClassifier(
+        featuresCol="features", labelCol="_label", weightCol="_w", maxIter=n_trees, maxDepth=params["max_depth"], stepSize=params["step_size"],
+        subsamplingRate=params["subsample"], minInstancesPerNode=params["min_instances"], featureSubsetStrategy=str(params["feature_share"]),
+        seed=seed, cacheNodeIds=False).fit(rows)
+
+
+def best_prefix(model: GBTClassificationModel, val: DataFrame, patience: int) -> BoostedTrees:
+    """Loss of every prefix on the validation rows in one pass; the model is cut to the best."""
+    losses = list(model.evaluateEachIteration(val))
+    best, stopped = stopped_at(losses, patience)
+    return BoostedTrees(prefix(model, best), losses, best, stopped)
+
+
+def with_checkpoints(spark: SparkSession) -> None:
+    """Boosting cuts its lineage every ten trees where the context has a checkpoint folder."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def train_boosted_trees(train: DataFrame, val: DataFrame, label="label", params=None, seed=42) -> BoostedTrees:
+    """Gradient-boosted trees with class weights, cut to the prefix of least validation loss.
+
+    Growth goes on while one of the last `patience` trees was the best, to at most `max_iter`. The library
+    grows a fixed number, so rounds double it; a longer ensemble begins with the shorter one, and so the
+    result does not depend on the rounds. Both inputs carry `features`.
     """
     p = DEFAULT_PARAMS | (params or {})
+    with_checkpoints(train.sparkSession)
     weight = class_weight(train, label).first()["weight"] or 1.0
-    rows = train.select("features", label, F.lit(False).alias("_held")).unionByName(
-        val.select("features", label, F.lit(True).alias("_held"))
-    ).withColumns(
-        {"_label": F.col(label).cast("double"), "_w": F.when(F.col(label) == 1, weight).otherwise(1.0)}
-    )
-    return GBTClassifier(
-        featuresCol="features", labelCol="_label", weightCol="_w", validationIndicatorCol="_held",
-        maxIter=p["max_iter"], maxDepth=p["max_depth"], stepSize=p["step_size"],
-        subsamplingRate=p["subsample"], minInstancesPerNode=p["min_instances"],
-        featureSubsetStrategy=str(p["feature_share"]), seed=seed, cacheNodeIds=False, validationTol=p["tolerance"],
-    ).fit(rows)
+    rows, held = boosting_rows(train, label, weight), boosting_rows(val, label, weight)
+    size = min(p["max_iter"], p["patience"] + FIRST_TREES)
+    while True:
+        found = best_prefix(grow_trees(rows, p, size, seed), held, p["patience"])
+        if found.stopped or size >= p["max_iter"]:
+            return found
+        size = min(p["max_iter"], 2 * size)
 
 
 def score_rows(model, features: DataFrame, out="p_raw") -> DataFrame:
@@ -228,8 +310,17 @@ def decomposition_table(val: DataFrame, test: DataFrame, y="y", p="p") -> DataFr
     return brier_decomposition(long, y, "prob", groups=keys).join(loss, keys)
 
 
-def train_and_score(data: DataFrame, drop: Sequence[str] = (), key="variant_key", label="label", params=None, seed=42, keep=()) -> DataFrame:
-    """Fit on train, stop on val, calibrate on val; predictions for val and test.
+@dataclass
+class FittedScorer:
+    """Features, trees and calibration fitted on one table, with the scores of its val and test rows."""
+
+    features: FeatureModel
+    trees: BoostedTrees
+    predictions: DataFrame = field(repr=False)
+
+
+def fit_scorer(data: DataFrame, drop: Sequence[str] = (), key="variant_key", label="label", params=None, seed=42, keep=()) -> FittedScorer:
+    """Fit on train, choose the prefix on val, calibrate on val.
 
     `data` carries `split`. Columns in `drop` are left out of the model.
     """
@@ -237,13 +328,18 @@ def train_and_score(data: DataFrame, drop: Sequence[str] = (), key="variant_key"
     features = fit_features(data.filter(F.col("split") == "train"), numeric, text)
     ready = cut_lineage(features.transform(data).select(key, "split", *keep, label, "features"))
     rows = {s: ready.filter(F.col("split") == s) for s in ("train", "val")}
-    model = train_boosted_trees(rows["train"], rows["val"], label, params, seed)
-    raw = score_rows(model, ready.filter(F.col("split").isin("val", "test"))).select(
+    trees = train_boosted_trees(rows["train"], rows["val"], label, params, seed)
+    raw = score_rows(trees, ready.filter(F.col("split").isin("val", "test"))).select(
         key, "split", *keep, F.col(label).alias("y_true"), "p_raw"
     )
     raw = cut_lineage(raw)
     iso = fit_isotonic(raw.filter(F.col("split") == "val"), "y_true", "p_raw")
-    return apply_isotonic(iso, raw, "p_raw", "p_calibrated")
+    return FittedScorer(features, trees, apply_isotonic(iso, raw, "p_raw", "p_calibrated"))
+
+
+def train_and_score(data: DataFrame, drop: Sequence[str] = (), **settings) -> DataFrame:
+    """Predictions for val and test of `fit_scorer`."""
+    return fit_scorer(data, drop, **settings).predictions
 
 
 def random_params(seed: int, trial: int) -> dict:
@@ -259,50 +355,98 @@ def random_params(seed: int, trial: int) -> dict:
     }
 
 
-#: Fits of a search that run at the same time; each is distributed by itself.
-TRIALS_AT_ONCE = 4
+#: Fits of a search or a study that run at the same time; each is distributed by itself.
+FITS_AT_ONCE = 8
+#: A rung keeps one in so many trials and gives each so many times the trees.
+HALVING = 2
 
 
-def param_search(data: DataFrame, trials=40, key="variant_key", label="label", seed=42, max_iter=500, keep=()) -> tuple[dict, DataFrame]:
-    """Seeded random search by validation average precision: best parameters and the history.
+def rungs(trials: int, max_trees: int, least: int = 8) -> list[tuple[int, int]]:
+    """(trials, trees) of each rung of successive halving: half of the trials go on with twice the
+    trees, until few are left or `max_trees` is reached. The last rung grows what is allowed."""
+    out = [(trials, min(least, max_trees))]
+    while out[-1][0] > 4 and out[-1][1] < max_trees:
+        out.append((-(-out[-1][0] // HALVING), min(max_trees, out[-1][1] * HALVING)))
+    return out
 
-    Features are prepared once and written, each fit is distributed, and one metric row per
-    trial reaches the driver.
-    """
+
+def search_rows(data: DataFrame, key: str, label: str, keep) -> tuple[DataFrame, DataFrame]:
     numeric, text = model_columns(data, {"split", "family", key, label, *keep})
     features = fit_features(data.filter(F.col("split") == "train"), numeric, text)
-    ready = cut_lineage(features.transform(data.filter(F.col("split").isin("train", "val"))).select(key, "split", label, "features"))
-    train, val = ready.filter(F.col("split") == "train"), ready.filter(F.col("split") == "val")
-
-    def run(trial: int) -> tuple:
-        p = random_params(seed, trial) | {"max_iter": max_iter, "tolerance": 1e-4}
-        scored = score_rows(train_boosted_trees(train, val, label, p, seed), val)
-        m = ranking_metrics(scored, label, "p_raw").first()
-        return (trial, p["max_depth"], p["step_size"], p["min_instances"], p["subsample"], float(p["feature_share"]), m["pr_auc"], m["roc_auc"])
-
-    with ThreadPoolExecutor(TRIALS_AT_ONCE) as pool:
-        history = list(pool.map(run, range(trials)))
-    best = max(history, key=lambda h: (h[6] or 0.0, -h[0]))[0]
-    table = data.sparkSession.createDataFrame(
-        history, "trial int, max_depth int, step_size double, min_instances int, subsample double, feature_share double, val_pr double, val_roc double"
-    )
-    return random_params(seed, best) | {"max_iter": max_iter}, table
+    ready = cut_lineage(features.transform(data.filter(F.col("split").isin("train", "val"))).select("split", label, "features"))
+    weight = class_weight(ready.filter(F.col("split") == "train"), label).first()["weight"] or 1.0
+    train, val = (cut_lineage(boosting_rows(ready.filter(F.col("split") == s), label, weight)) for s in ("train", "val"))
+    return train, val
+
+
+def run_rung(train: DataFrame, val: DataFrame, trials: Sequence[int], n_trees: int, params, patience: int, seed: int) -> dict[int, tuple]:
+    """trial -> (average precision, AUC, best iteration) of its best prefix of `n_trees` trees.
+
+    The fits run side by side, and each writes its validation scores to a folder of its own; the metrics
+    of all of them are one grouped aggregate over these.
+    """
+    path = scratch_path(train.sparkSession, "rung")
+
+    def fit(trial: int) -> tuple[int, int]:
+        found = best_prefix(grow_trees(train, params(trial), n_trees, seed), val, patience)
+        score_rows(found, val).select(F.col("_label").cast("int").alias("y"), "p_raw").write.parquet(f"{path}/trial={trial}")
+        return trial, found.best_iteration
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        best = dict(pool.map(fit, trials))
+    scored = train.sparkSession.read.option("basePath", path).schema("y int, p_raw double, trial int").parquet(path)
+    table = ranking_metrics(scored, "y", "p_raw", ["trial"]).select("trial", "pr_auc", "roc_auc").collect()
+    return {r["trial"]: (r["pr_auc"] or 0.0, r["roc_auc"] or 0.0, best[r["trial"]]) for r in table}
+
+
+def param_search(data: DataFrame, trials=40, key="variant_key", label="label", seed=42, max_iter=500, search_trees=64, keep=(), prune=True) -> tuple[dict, DataFrame]:
+    """Seeded random search by validation average precision with successive halving: best parameters
+    and the history, one row for each trial with its last rung.
+
+    All trials grow a few trees; the better half of a rung (ties to the smaller trial) goes on with
+    twice as many, to `search_trees`. A longer ensemble begins with the shorter one, so going on and growing
+    anew give the same trees. Without `prune` every trial grows `search_trees` at once. Features are prepared
+    and written once, and one metric row of each trial reaches the driver. The best parameters carry
+    `max_iter` for a fit with patience.
+    """
+    with_checkpoints(data.sparkSession)
+    train, val = search_rows(data, key, label, keep)
+    plan = rungs(trials, search_trees) if prune else [(trials, search_trees)]
+    left, last = list(range(trials)), {}
+    for rung, (n, n_trees) in enumerate(plan):
+        left = left[:n]
+        found = run_rung(train, val, left, n_trees, lambda t: DEFAULT_PARAMS | random_params(seed, t), DEFAULT_PARAMS["patience"], seed)
+        last |= {t: (rung, n_trees, *m) for t, m in found.items()}
+        left.sort(key=lambda t: (-last[t][2], t))
+    columns = ("max_depth", "step_size", "min_instances", "subsample", "feature_share")
+    rows = [(t, *[random_params(seed, t)[c] for c in columns], *last[t]) for t in sorted(last)]
+    history = data.sparkSession.createDataFrame(
+        rows, "trial int, max_depth int, step_size double, min_instances int, subsample double, feature_share double, "
+        "rung int, n_trees int, val_pr double, val_roc double, best_iteration int")
+    return random_params(seed, left[0]) | {"max_iter": max_iter}, history
+
+
+def side_by_side(fits: Sequence[Callable[[], DataFrame]]) -> list[DataFrame]:
+    """Results of independent fits that run at the same time, in order."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(lambda fit: fit(), fits))
 
 
 def feature_ablation(data: DataFrame, groups: dict[str, Sequence[str]], replicates=200, params=None, seed=42, key="variant_key", keep=()) -> DataFrame:
     """Retrain without each group; test metrics, change from the full model, paired interval."""
-    full = cut_lineage(train_and_score(data, params=params, seed=seed, key=key, keep=keep).filter(F.col("split") == "test"))
+    present = {name: found for name, columns in groups.items() if (found := [c for c in columns if c in data.columns])}
+
+    def scores(drop: Sequence[str]) -> DataFrame:
+        return cut_lineage(train_and_score(data, drop, params=params, seed=seed, key=key, keep=keep).filter(F.col("split") == "test"))
+
+    full, *cuts = side_by_side([lambda drop=drop: scores(drop) for drop in ([], *present.values())])
     out = None
-    for name, columns in groups.items():
-        present = [c for c in columns if c in data.columns]
-        if not present:
-            continue
-        cut = cut_lineage(train_and_score(data, present, params=params, seed=seed, key=key, keep=keep).filter(F.col("split") == "test"))
+    for (name, columns), cut in zip(present.items(), cuts):
         pair = full.select(key, F.col("y_true").alias("y"), F.col("p_calibrated").alias("p_a")).join(
             cut.select(key, F.col("p_calibrated").alias("p_b")), key
         )
         rows = paired_bootstrap_delta(pair, replicates=replicates, seed=seed).select(
-            F.lit(name).alias("removed"), F.lit(len(present)).alias("n_removed"), "metric",
+            F.lit(name).alias("removed"), F.lit(len(columns)).alias("n_removed"), "metric",
             F.col("estimate_a").alias("full"), F.col("estimate_b").alias("without"), "delta", "ci_lo", "ci_hi", "p_value",
         )
         out = rows if out is None else out.unionByName(rows)
@@ -312,30 +456,29 @@ def feature_ablation(data: DataFrame, groups: dict[str, Sequence[str]], replicat
 def single_group_models(data: DataFrame, groups: dict[str, Sequence[str]], params=None, seed=42, key="variant_key", label="label", keep=()) -> DataFrame:
     """Train on one group of columns only; test metrics per group."""
     numeric, text = model_columns(data, {"split", "family", key, label, *keep})
-    out = None
-    for name, columns in groups.items():
-        if not any(c in data.columns for c in columns):
-            continue
-        others = [c for c in (*numeric, *text) if c not in columns]
-        preds = train_and_score(data, others, params=params, seed=seed, key=key, keep=keep)
-        rows = ranking_metrics(preds.filter(F.col("split") == "test"), "y_true", "p_raw").select(
-            F.lit(name).alias("feature_group"), "n", "n_pos", "roc_auc", "pr_auc"
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    names = [name for name, columns in groups.items() if any(c in data.columns for c in columns)]
+
+    def scores(name: str) -> DataFrame:
+        others = [c for c in (*numeric, *text) if c not in groups[name]]
+        preds = train_and_score(data, others, params=params, seed=seed, key=key, keep=keep).filter(F.col("split") == "test")
+        return cut_lineage(preds.select(F.lit(name).alias("feature_group"), "y_true", "p_raw"))
+
+    both = reduce(DataFrame.unionByName, side_by_side([lambda name=name: scores(name) for name in names]))
+    return ranking_metrics(both, "y_true", "p_raw", ["feature_group"]).select("feature_group", "n", "n_pos", "roc_auc", "pr_auc")
 
 
 def learning_curve(data: DataFrame, fractions=(0.10, 0.25, 0.50, 0.75, 1.00), group="family", params=None, seed=42, key="variant_key", keep=()) -> DataFrame:
     """Metrics on val and test after training on a seeded share of the train groups."""
     rest = data.filter(F.col("split") != "train")
     train = data.filter(F.col("split") == "train")
-    out = None
-    for f in fractions:
+
+    def scores(f: float) -> DataFrame:
         part = train if f >= 1.0 else group_subsample(train, group, f, seed).select(*train.columns)
         preds = train_and_score(part.unionByName(rest), params=params, seed=seed, key=key, keep=keep)
-        rows = ranking_metrics(preds, "y_true", "p_raw", ["split"]).withColumn("fraction", F.lit(float(f)))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        return cut_lineage(preds.select(F.lit(float(f)).alias("fraction"), "split", "y_true", "p_raw"))
+
+    both = reduce(DataFrame.unionByName, side_by_side([lambda f=f: scores(f) for f in fractions]))
+    return ranking_metrics(both, "y_true", "p_raw", ["split", "fraction"])
 
 
 def score_versions(model, features: FeatureModel, versions: dict[str, DataFrame], label="label") -> DataFrame:
