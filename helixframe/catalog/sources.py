@@ -17,7 +17,7 @@ from helixframe.functions.variants import is_common, log_af
 from helixframe.operators import cleaning, dedup, structure
 from helixframe.operators.profiling import af_summary
 from helixframe.session import scratch_path
-from helixframe.sources import readers, writers
+from helixframe.sources import blockgzip, readers, writers
 
 C = F.col
 
@@ -68,29 +68,70 @@ def _(t):
 REC = "cast(o_orderkey % 22 + 1 as string) || chr(9) || cast(o_orderkey * 3 + 1 as string) || chr(9) || 'rs' || cast(o_custkey as string) || chr(9) || substr('ACGT', cast(o_custkey % 4 as int) + 1, 1) || chr(9) || {alts} || chr(9) || '50' || chr(9) || 'PASS' || chr(9) || {info}"
 
 
-@query("scan_vcf", f"""SELECT cast(o_orderkey % 22 + 1 AS VARCHAR) || ':' || cast(o_orderkey * 3 + 1 AS VARCHAR) || ':' || substr('ACGT', cast(c % 4 AS INT) + 1, 1) || ':' || upper(alt) AS variant_key, allele,
+VCF_SQL = f"""SELECT cast(o_orderkey % 22 + 1 AS VARCHAR) || ':' || cast(o_orderkey * 3 + 1 AS VARCHAR) || ':' || substr('ACGT', cast(c % 4 AS INT) + 1, 1) || ':' || upper(alt) AS variant_key, allele,
       {info_alt_sql('AF')} AS "AF", {R(POPMAX_SQL)} AS "AF_popmax", {info_one_sql('AN')} AS "AN", {info_alt_sql('AC')} AS "AC", {R(f'log10(coalesce({info_alt_sql("AF")}, 0) + 1e-8)')} AS "log_AF", coalesce({info_alt_sql('AF')} > 1e-2, false) AS is_common
-    FROM {RECORDS_SQL} r JOIN (SELECT o_orderkey, o_custkey c FROM orders) USING (o_orderkey)""")
-def _(t):
+    FROM {RECORDS_SQL} r JOIN (SELECT o_orderkey, o_custkey c FROM orders) USING (o_orderkey)"""
+
+
+def vcf_lines(t):
     lines = t.orders.selectExpr("'chr' || " + REC.format(alts=ALTS, info=INFO) + " as value")
     header = t.spark.range(1).select(F.lit("##fileformat=VCFv4.2").alias("value")).union(
         t.spark.range(1).select(F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO")))
-    return rounded(readers.read_vcf(t.spark, as_lines(t, header.union(lines), "vcf")))
+    return header.union(lines)
 
 
-@query("scan_annotation_pruned", f"""SELECT variant_key, {aa_sql('aaref')} ref_aa, {aa_sql('aaalt')} alt_aa, try_cast({token_sql('cons_text')} AS DOUBLE) AS "phyloP100way_vertebrate",
-      nullif(regexp_extract(upper({token_sql('ss_text')}), '([HEC])', 1), '') ss, coalesce({token_sql('domain_text')} <> '', false) pfam_domain, NULL::DOUBLE AS "GERP++_RS"
-    FROM @ann WHERE variant_key IN (SELECT variant_key FROM @af)""")
+@query("scan_vcf", VCF_SQL)
+def _(t):
+    return rounded(readers.read_vcf(t.spark, as_lines(t, vcf_lines(t), "vcf")))
+
+
+@query("scan_vcf_blocks", VCF_SQL)
 def _(t):
+    path = scratch_path(t.spark, "vcf")
+    blockgzip.write_block_gzip(vcf_lines(t), path, header=False)
+    return rounded(readers.read_vcf(t.spark, path, fmt="blockgzip"))
+
+
+ANNOTATION_SQL = f"""SELECT variant_key, {aa_sql('aaref')} ref_aa, {aa_sql('aaalt')} alt_aa, try_cast({token_sql('cons_text')} AS DOUBLE) AS "phyloP100way_vertebrate",
+      nullif(regexp_extract(upper({token_sql('ss_text')}), '([HEC])', 1), '') ss, coalesce({token_sql('domain_text')} <> '', false) pfam_domain, NULL::DOUBLE AS "GERP++_RS"
+    FROM @annall WHERE variant_key IN (SELECT variant_key FROM @af)"""
+
+
+def annotation_text(t):
     parts = F.split("variant_key", ":")
-    raw = t.ann.select(
+    return t.annall.select(
         F.concat(F.lit("chr"), parts[0]).alias("#chr"), parts[1].alias("pos(1-based)"), parts[2].alias("ref"), F.lower(parts[3]).alias("alt"),
         "aaref", "aaalt", C("cons_text").alias("phyloP100way_vertebrate"), C("ss_text").alias("PSIPRED_pred"), C("domain_text").alias("Interpro_domain"),
         C("rid").alias("unused_1"), C("packed").alias("unused_2"))
-    out = readers.read_annotation(t.spark, as_text(t, raw, "annotation"), keys=t.af)
+
+
+def annotation_features(out):
     return out.select("variant_key", "ref_aa", "alt_aa", "phyloP100way_vertebrate", C("secondary_structure_prediction").alias("ss"), "pfam_domain", "GERP++_RS")
 
 
+@query("scan_annotation_pruned", ANNOTATION_SQL)
+def _(t):
+    return annotation_features(readers.read_annotation(t.spark, as_text(t, annotation_text(t), "annotation"), keys=t.af))
+
+
+#: Compressed bytes of a range in these queries, so that the files of the small tables are read by several tasks.
+RANGE_BYTES = 1 << 17
+
+
+@query("scan_annotation_blocks", ANNOTATION_SQL)
+def _(t):
+    path = scratch_path(t.spark, "annotation")
+    blockgzip.write_block_gzip(annotation_text(t), path)
+    return annotation_features(readers.read_annotation(t.spark, path, "blockgzip", keys=t.af, split_bytes=RANGE_BYTES))
+
+
+@query("scan_label_blocks", "SELECT " + ", ".join(f'nullif("{c}", \'\') AS "{c}"' for c in LAB_COLS) + " FROM @lab")
+def _(t):
+    path = scratch_path(t.spark, "labels")
+    blockgzip.write_block_gzip(t.lab.select(*LAB_COLS), path)
+    return blockgzip.read_block_gzip(t.spark, path, split_bytes=RANGE_BYTES)
+
+
 @query("scan_gene_constraint", """SELECT gene, "pLI", oe_lof_upper, mis_z FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY oe_lof_upper NULLS LAST, "pLI", mis_z NULLS FIRST) rn
     FROM (SELECT 'N' || cast(s_nationkey AS VARCHAR) gene, s_acctbal / 10000e0 AS "pLI", case when s_suppkey % 5 = 0 then null else cast(s_suppkey % 13 AS DOUBLE) / 10 end oe_lof_upper, case when s_suppkey % 6 = 0 then null else cast(s_suppkey % 9 as double) end mis_z FROM supplier)) WHERE rn = 1""")
 def _(t):

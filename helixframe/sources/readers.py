@@ -1,8 +1,8 @@
 """Readers. Text sources are read as strings and cast; nothing is inferred.
 
-Block-gzip files are plain gzip streams, but Spark chooses the codec by extension: stage them
-as `.gz`. A gzip file is one task, so large inputs should be converted to Parquet once
-(`writers.write_parquet(..., partition_by=["chr"])`) and read from there.
+Block-gzip files (`fmt="blockgzip"`) are read by byte ranges, one file by many tasks; a plain gzip file is
+one task. Tables that are read often should be converted to Parquet once
+(`writers.write_parquet(..., partition_by=["chr"])`).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from helixframe.functions import text as X
 from helixframe.functions import variants as V
 from helixframe.functions.residues import norm_aa
 from helixframe.operators.dedup import most_constrained
+from helixframe.sources import blockgzip
 
 
 def string_schema(names: Sequence[str]) -> T.StructType:
@@ -157,8 +158,8 @@ def parse_vcf(lines: DataFrame, column="value") -> DataFrame:
     ).filter(F.col("variant_key").isNotNull())
 
 
-def read_vcf(spark, path, keys: DataFrame | None = None) -> DataFrame:
-    rows = parse_vcf(spark.read.text(path))
+def read_vcf(spark, path, keys: DataFrame | None = None, fmt="text") -> DataFrame:
+    rows = parse_vcf(blockgzip.read_block_lines(spark, path) if fmt == "blockgzip" else spark.read.text(path))
     return rows if keys is None else rows.join(keys.select("variant_key"), "variant_key", "left_semi")
 
 
@@ -191,14 +192,20 @@ def standardize_annotation(df: DataFrame, keys: DataFrame | None = None, aliases
     )
 
 
-def read_annotation(spark, path, fmt="csv", sep="\t", keys=None) -> DataFrame:
-    raw = spark.read.parquet(path) if fmt == "parquet" else read_delimited(spark, path, sep=sep)
+def read_annotation(spark, path, fmt="csv", sep="\t", keys=None, split_bytes=blockgzip.SPLIT_BYTES) -> DataFrame:
+    """Keyed features of a wide table. Of block-gzip text only the columns in use are cut."""
+    if fmt == "blockgzip":
+        names = blockgzip.read_block_gzip(spark, path, sep=sep).columns
+        used = sorted({c for c in resolve_columns(names, ANNOTATION_ALIASES).values() if c})
+        raw = blockgzip.read_block_gzip(spark, path, used, sep, split_bytes)
+    else:
+        raw = spark.read.parquet(path) if fmt == "parquet" else read_delimited(spark, path, sep=sep)
     return standardize_annotation(raw, keys)
 
 
-def read_gene_constraint(spark, path, sep="\t") -> DataFrame:
+def read_gene_constraint(spark, path, sep="\t", fmt="csv") -> DataFrame:
     """Gene and its constraint metrics, one row per gene."""
-    raw = read_delimited(spark, path, sep=sep)
+    raw = blockgzip.read_block_gzip(spark, path, sep=sep) if fmt == "blockgzip" else read_delimited(spark, path, sep=sep)
     have = [c for c in K.CONSTRAINT_COLUMNS if c in raw.columns]
     rows = raw.select("gene", *[X.to_number(F.col(c)).alias(c) for c in have])
     return most_constrained(rows, have)
