@@ -20,6 +20,8 @@ Shingle hashes have 64 bits, sets are compared by 48 of them.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -495,12 +497,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     dropped = cut_lineage(placed.join(keepers, "root").where(~other).select("doc_id", "tid").distinct())
     twice = cut_lineage(placed.groupBy("doc_id", "tid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "tid"))
 
+    taken = {c.lower() for c in docs.columns}
+    key_id, key_text = (next(n for i in itertools.count() if (n := f"_{c}{i}") not in taken) for c in ("id", "tid"))
+
     def matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        side = keys.select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"))
+        side = keys.select(F.col("doc_id").alias(key_id), F.col("tid").alias(key_text))
         if keys.count() <= PICK_ROWS:
             side = F.broadcast(side)
-        text_hash = F.xxhash64(rows["text"].cast("string"))
-        return rows.join(side, rows["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (text_hash == F.col("_tid")), how)
+        text_hash = F.xxhash64(F.col("text").cast("string"))
+        return rows.join(side, F.col("doc_id").cast("bigint").eqNullSafe(F.col(key_id)) & (text_hash == F.col(key_text)), how)
 
     kept = matching(docs, dropped, "left_anti")
     if twice.isEmpty():
