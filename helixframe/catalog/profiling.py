@@ -269,12 +269,21 @@ def _(t):
     return rounded(profiling.pivot_flag_by_class(t.var, "has_domain"))
 
 
-@query("spearman_table", " UNION ALL ".join(
-    f"SELECT '{c}' partner, count(*) n, {R('corr(rx, ry)', 7)} spearman_rho FROM (SELECT rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 rx, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 ry FROM (SELECT s, {e} x FROM @pred) WHERE s IS NOT NULL AND x IS NOT NULL)"
-    for c, e in (("cons", "cons"), ("p", "p"), ("stars", "cast(review_stars as double)"))))
+#: The third partner is a weak one, so that its p-value is not zero: the score and a cycle of the rows.
+SPEARMAN = (("cons", "cons"), ("p", "p"), ("stars", "cast(review_stars as double)"))
+# the tail of the t density by Simpson's rule over 40 units, far beyond which it is nothing at these numbers of rows
+STUDENT_SQL = """(SELECT partner, n, spearman_rho, exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(pi() * v) * 2 * (4e1 / 4e4) / 3
+      * sum((CASE WHEN k = 0 OR k = 40000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + (t + k * 1e-3) * (t + k * 1e-3) / v, -(v + 1) / 2)) p_value
+    FROM (SELECT *, cast(n - 2 AS DOUBLE) v, abs(spearman_rho) * sqrt((n - 2) / (1 - spearman_rho * spearman_rho)) t FROM {src}), (SELECT unnest(range(40001)) k) GROUP BY partner, n, spearman_rho, v, t)"""
+RHO_SQL = "(" + " UNION ALL ".join(
+    f"SELECT '{c}' partner, count(*) n, corr(rx, ry) spearman_rho FROM (SELECT rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 rx, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 ry FROM (SELECT s, {e} x FROM @pred) WHERE s IS NOT NULL AND x IS NOT NULL)"
+    for c, e in SPEARMAN) + ")"
+
+
+@query("spearman_table", f"SELECT partner, n, {R('spearman_rho', 7)} spearman_rho, {R('p_value', 6)} p_value FROM {STUDENT_SQL.format(src=RHO_SQL)}")
 def _(t):
     from helixframe.operators.comparison import spearman_table
 
     rows = t.pred.select("s", "cons", "p", C("review_stars").cast("double").alias("stars"))
     out = spearman_table(rows, "s", ["cons", "p", "stars"])
-    return out.withColumn("spearman_rho", F.round("spearman_rho", 7) + F.lit(0.0))
+    return out.withColumns({"spearman_rho": F.round("spearman_rho", 7) + F.lit(0.0), "p_value": F.round("p_value", 6) + F.lit(0.0)})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from helixframe.constants import CLASS_NAMES, Z_95
 from helixframe.functions.residues import aa_class
-from helixframe.functions.scores import two_sided_normal
+from helixframe.functions.scores import two_sided_normal, two_sided_student
 from helixframe.operators.metrics import guarded_ranking, ranking_metrics, rate
 from helixframe.operators.ordered import exact_quantiles, mid_ranks, ordinal_ranks, running_sums
 from helixframe.operators.resampling import bootstrap_metrics, paired_bootstrap_delta
@@ -339,7 +339,8 @@ def errors_by_quintile(df, value, y="y", p="p", parts=5) -> DataFrame:
 
 
 def spearman_table(df: DataFrame, score: str, partners: Sequence[str], min_rows=100) -> DataFrame:
-    """Spearman rho of one score with many columns over pairwise complete rows."""
+    """Spearman rho of one score with many columns over pairwise complete rows, with its two-sided
+    p-value (Student's t with n - 2 degrees of freedom)."""
     shaped = df.select(F.col(score).cast("double").alias("_s"), *[F.col(c).cast("double").alias(c) for c in partners])
     long = shaped.unpivot(["_s"], list(partners), "partner", "value").filter(
         F.col("_s").isNotNull() & F.col("value").isNotNull()
@@ -365,6 +366,6 @@ def spearman_table(df: DataFrame, score: str, partners: Sequence[str], min_rows=
         F.sum(w * F.col("rx") ** 2).alias("xx"),
         F.sum(w * F.col("ry") ** 2).alias("yy"),
     )
-    return sums.filter(F.col("n") >= min_rows).select(
-        "partner", "n", F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("spearman_rho")
-    )
+    rho = F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
+    out = sums.filter(F.col("n") >= min_rows).select("partner", "n", F.least(F.greatest(rho, F.lit(-1.0)), F.lit(1.0)).alias("spearman_rho"))
+    return out.withColumn("p_value", two_sided_student(F.col("spearman_rho") * F.col("spearman_rho"), F.col("n") - 2))

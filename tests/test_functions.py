@@ -120,3 +120,37 @@ def test_llr(spark):
     df = spark.createDataFrame([(0.5, 0.25), (0.0, 0.5)], "r double, a double")
     got = [r[0] for r in df.select(residues.llr(F.col("r"), F.col("a"))).collect()]
     assert math.isclose(got[0], math.log(0.5)) and math.isclose(got[1], math.log(0.5) - math.log(1e-12))
+
+
+def student_tail(t, n):
+    """Two-sided tail by the finite series for whole degrees of freedom."""
+    angle = math.atan(t / math.sqrt(n))
+    c, s = math.cos(angle), math.sin(angle)
+    if n % 2:
+        term = total = c
+        for k in range(3, n - 1, 2):
+            term *= c * c * (k - 1) / k
+            total += term
+        return 1 - 2 / math.pi * (angle + (s * total if n > 1 else 0.0))
+    term = total = 1.0
+    for k in range(2, n - 1, 2):
+        term *= c * c * (k - 1) / k
+        total += term
+    return 1 - s * total
+
+
+def test_student_tail(spark):
+    from helixframe.functions.scores import two_sided_student
+
+    rows = [(float(t), n) for n in (1, 2, 3, 4, 5, 10, 17, 50, 99, 100, 301, 1000, 5000, 60001) for t in (0.0, 1e-6, 0.01, 0.3, 1.0, 1.9, 2.5, 4.0, 6.0, 30.0)]
+    df = spark.createDataFrame(rows, "t double, n long")
+    got = df.select("t", "n", two_sided_student(F.col("t") ** 2 / (F.col("n") + F.col("t") ** 2), F.col("n")).alias("p")).collect()
+    assert max(abs(r.p - student_tail(r.t, r.n)) for r in got) < 1e-11
+    # tabulated: 5 % points of two-sided tests
+    table = {1: 12.706204736, 5: 2.570581836, 10: 2.228138852, 30: 2.042272456, 120: 1.979930405}
+    df = spark.createDataFrame([(t, n) for n, t in table.items()], "t double, n long")
+    assert all(abs(r[0] - 0.05) < 1e-9 for r in df.select(two_sided_student(F.col("t") ** 2 / (F.col("n") + F.col("t") ** 2), F.col("n"))).collect())
+    odd = spark.createDataFrame([(None, 5), (0.5, 0), (0.5, None), (1.5, 4), (0.0, 4), (1.0, 4)], "s double, n long")
+    assert [r[0] for r in odd.coalesce(1).select(two_sided_student(F.col("s"), F.col("n"))).collect()] == [None, None, None, None, 1.0, 0.0]
+    many = spark.createDataFrame([(1e-10, 10**10)], "s double, n long").select(two_sided_student(F.col("s"), F.col("n"))).first()[0]
+    assert abs(many - math.erfc(math.sqrt(0.5))) < 1e-9
