@@ -8,45 +8,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.operators.profiling import af_summary
+from helixframe.session import cut_lineage
+from helixframe.streaming.store import RANGES, KeyedStore
 
 
 def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The stored result, or an empty table before the first run."""
-    reader = spark.read.schema(schema).option("recursiveFileLookup", True)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return reader.parquet(path) if exists else spark.createDataFrame([], schema)
+    return KeyedStore(spark, path, schema, "").read()
 
 
 def incremental_enrich(
-    wanted: DataFrame, path: str, schema: str, resolve: Callable[[DataFrame], DataFrame],
-    key="variant_key", batch: str | None = None,
+    wanted: DataFrame, path: str, schema: str, resolve: Callable[[DataFrame], DataFrame], key="variant_key", ranges=RANGES,
 ) -> DataFrame:
     """Resolve only keys missing from the store, append them, return the rows of all wanted keys.
 
     `resolve` returns one row per key it could answer, with NULL fields when the answer is
     "nothing"; those rows are stored and not asked for again. Keys it does not return count as
-    failed and are retried by the next call. Nothing stored is ever overwritten: a call appends
-    the rows of missing keys only, so a repeated batch changes nothing. A named batch has a folder
-    of its own.
+    failed and are retried by the next call. A null key is a key like others. Only the hash ranges of the
+    wanted keys are read, and nothing stored is overwritten: a repeated batch changes nothing.
     """
-    spark = wanted.sparkSession
-    store = read_store(spark, path, schema)
-    misses = wanted.select(key).distinct().join(store.select(key), key, "left_anti")
-    fresh = resolve(misses).select(*store.columns)
-    fresh.write.mode("append").parquet(path if batch is None else f"{path}/batch_{batch}")
-    found = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
-    return wanted.join(found, key, "left")
+    store = KeyedStore(wanted.sparkSession, path, schema, key, ranges)
+    state = store.manifest()
+    keys = cut_lineage(wanted.select(key).distinct())
+    among = store.ranges_of(keys, state)
+    stored = store.read(among, state).select(F.col(key).alias("_stored"))
+    misses = keys.join(stored, F.col(key).eqNullSafe(F.col("_stored")), "left_anti")
+    store.append(resolve(misses))
+    found = store.read(among).withColumnRenamed(key, "_stored")
+    return wanted.join(found, F.col(key).eqNullSafe(F.col("_stored")), "left").drop("_stored")
 
 
 def stream_enrich(source: DataFrame, path: str, schema: str, resolve, checkpoint: str, key="variant_key"):
     """The same work over a stream of keys, draining what is available.
 
-    Each micro-batch appends to its own folder; a replayed one finds its keys stored.
+    A micro-batch that is replayed finds its keys stored; one that broke before its commit left nothing.
     """
 
     def each(frame: DataFrame, batch_id: int) -> None:
-        incremental_enrich(frame, path, schema, resolve, key, str(batch_id))
+        incremental_enrich(frame, path, schema, resolve, key)
 
     query = (
         source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -151,8 +151,7 @@ def test_quantile_of_one_value(spark):
     assert (r.n, r.q0, r.q1, r.q2) == (1, 5.0, 5.0, 5.0)
 
 
-@pytest.mark.parametrize("batch", [None, "7"])
-def test_replayed_batch_changes_nothing(spark, batch):
+def test_replayed_batch_changes_nothing(spark):
     path, schema = scratch_path(spark, "store"), "k bigint, v string"
 
     def resolve(misses):
@@ -160,7 +159,7 @@ def test_replayed_batch_changes_nothing(spark, batch):
 
     wanted = spark.range(10).withColumnRenamed("id", "k")
     for _ in range(3):
-        out = incremental.incremental_enrich(wanted, path, schema, resolve, "k", batch)
+        out = incremental.incremental_enrich(wanted, path, schema, resolve, "k")
         assert out.filter("v is not null").count() == 10
         assert incremental.read_store(spark, path, schema).count() == 10
 
