@@ -152,21 +152,22 @@ def class_weight(df: DataFrame, label="label") -> DataFrame:
     ).withColumn("weight", F.try_divide(F.col("n_neg").cast("double"), F.col("n_pos")))
 
 
-DEFAULT_PARAMS = {"max_depth": 5, "step_size": 0.1, "subsample": 0.8, "max_iter": 500, "min_instances": 1, "feature_share": "all", "patience": 80}
+DEFAULT_PARAMS = {"max_depth": 5, "step_size": 0.1, "subsample": 0.8, "max_iter": 500, "min_instances": 1, "feature_share": "all", "patience": 80, "tolerance": 1e-6}
 #: Trees of the first round of growth, beyond the patience.
 FIRST_TREES = 80
 #: Training rows of a task. Each level of a tree is a job, so a small table is not dealt over many tasks.
 ROWS_PER_TASK = 50_000
 
 
-def stopped_at(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+def stopped_at(losses: Sequence[float], patience: int, tolerance: float = 0.0) -> tuple[int, bool]:
     """(number of trees of the best prefix, whether `patience` trees after it brought no better one).
 
-    Later trees than that do not count, even where the loss falls again: growth would have stopped.
+    Better is lower by more than `tolerance`, so that a loss which creeps towards its limit ends. Later
+    trees than that do not count, even where the loss falls again: growth would have stopped.
     """
     best = 0
     for i, loss in enumerate(losses):
-        if loss < losses[best]:
+        if loss < losses[best] - tolerance:
             best = i
         elif i - best >= patience:
             return best + 1, True
@@ -225,10 +226,10 @@ def grow_trees(rows: DataFrame, params: dict, n_trees: int, seed: int) -> GBTCla
         seed=seed, cacheNodeIds=False).fit(rows)
 
 
-def best_prefix(model: GBTClassificationModel, val: DataFrame, patience: int) -> BoostedTrees:
+def best_prefix(model: GBTClassificationModel, val: DataFrame, params: dict) -> BoostedTrees:
     """Loss of every prefix on the validation rows in one pass; the model is cut to the best."""
     losses = list(model.evaluateEachIteration(val))
-    best, stopped = stopped_at(losses, patience)
+    best, stopped = stopped_at(losses, params["patience"], params["tolerance"])
     return BoostedTrees(prefix(model, best), losses, best, stopped)
 
 
@@ -251,7 +252,7 @@ def train_boosted_trees(train: DataFrame, val: DataFrame, label="label", params=
     rows, held = boosting_rows(train, label, weight), boosting_rows(val, label, weight)
     size = min(p["max_iter"], p["patience"] + FIRST_TREES)
     while True:
-        found = best_prefix(grow_trees(rows, p, size, seed), held, p["patience"])
+        found = best_prefix(grow_trees(rows, p, size, seed), held, p)
         if found.stopped or size >= p["max_iter"]:
             return found
         size = min(p["max_iter"], 2 * size)
@@ -379,7 +380,7 @@ def search_rows(data: DataFrame, key: str, label: str, keep) -> tuple[DataFrame,
     return train, val
 
 
-def run_rung(train: DataFrame, val: DataFrame, trials: Sequence[int], n_trees: int, params, patience: int, seed: int) -> dict[int, tuple]:
+def run_rung(train: DataFrame, val: DataFrame, trials: Sequence[int], n_trees: int, params, seed: int) -> dict[int, tuple]:
     """trial -> (average precision, AUC, best iteration) of its best prefix of `n_trees` trees.
 
     The fits run side by side, and each writes its validation scores to a folder of its own; the metrics
@@ -388,7 +389,7 @@ def run_rung(train: DataFrame, val: DataFrame, trials: Sequence[int], n_trees: i
     path = scratch_path(train.sparkSession, "rung")
 
     def fit(trial: int) -> tuple[int, int]:
-        found = best_prefix(grow_trees(train, params(trial), n_trees, seed), val, patience)
+        found = best_prefix(grow_trees(train, params(trial), n_trees, seed), val, params(trial))
         score_rows(found, val).select(F.col("_label").cast("int").alias("y"), "p_raw").write.parquet(f"{path}/trial={trial}")
         return trial, found.best_iteration
 
@@ -415,7 +416,7 @@ def param_search(data: DataFrame, trials=40, key="variant_key", label="label", s
     left, last = list(range(trials)), {}
     for rung, (n, n_trees) in enumerate(plan):
         left = left[:n]
-        found = run_rung(train, val, left, n_trees, lambda t: DEFAULT_PARAMS | random_params(seed, t), DEFAULT_PARAMS["patience"], seed)
+        found = run_rung(train, val, left, n_trees, lambda t: DEFAULT_PARAMS | random_params(seed, t), seed)
         last |= {t: (rung, n_trees, *m) for t, m in found.items()}
         left.sort(key=lambda t: (-last[t][2], t))
     columns = ("max_depth", "step_size", "min_instances", "subsample", "feature_share")
