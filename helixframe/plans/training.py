@@ -12,12 +12,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.constants import NON_MODEL_COLUMNS
 from helixframe.functions.scores import finite
+from helixframe.operators.isotonic import apply_isotonic, fit_isotonic
 from helixframe.operators.metrics import brier_decomposition, brier_logloss, ranking_metrics, score_cells
 from helixframe.operators.ordered import column_quantiles
 from helixframe.operators.profiling import numeric_columns
@@ -263,20 +263,6 @@ def score_rows(model, features: DataFrame, out="p_raw") -> DataFrame:
     return scored.drop("rawPrediction", "probability", "prediction", "features")
 
 
-def fit_isotonic(df: DataFrame, y="y", p="p"):
-    """Monotone calibration, fitted on distinct scores weighted by their row counts."""
-    cells = score_cells(df, y, p).select(
-        F.col("score"), (F.col("pos") / (F.col("pos") + F.col("neg"))).alias("label"),
-        (F.col("pos") + F.col("neg")).cast("double").alias("weight"),
-    )
-    return IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(cells)
-
-
-def apply_isotonic(model, df: DataFrame, p="p", out="p_calibrated") -> DataFrame:
-    shaped = df.withColumn(model.getFeaturesCol(), F.col(p).cast("double"))
-    return model.transform(shaped).withColumnRenamed("prediction", out).drop(model.getFeaturesCol())
-
-
 def fit_platt(df: DataFrame, y="y", p="p"):
     """One-feature logistic regression with unit L2 strength, fitted on weighted score cells."""
     cells = score_cells(df, y, p).select(
