@@ -206,46 +206,66 @@ def _(t):
     return rounded(resampling.paired_bootstrap_delta(rows, score_a="p", score_b="p2", groups=["split"], replicates=REPS, alternative="greater"), 7)
 
 
-def permutation_sql(src: str, y: str, p: str, key: str, reps: int, seed=42) -> str:
+#: Depth of the splitting tree in SQL: enough for 1,024 distinct scores.
+DEAL_DEPTH = 10
+
+
+def permutation_sql(src: str, y: str, p: str, reps: int, seed=42) -> str:
+    """The positives of every node of a binary tree over the distinct scores are split by hypergeometric draws,
+    level by level; masses come from log-gamma."""
     prime = resampling.PRIME
 
     def hexed(expr, start):
         return f"cast(('0x' || substr({expr}, {start}, 8)) AS BIGINT) % {prime}"
 
     coef = ", ".join(f"{hexed('md5(k)', s)} c{i}" for i, s in enumerate((1, 9, 17, 25))) + f", {hexed(chr(109) + 'd5(k || ' + repr(':e') + ')', 1)} c4"
-    return f"""WITH r AS MATERIALIZED (SELECT {y} yy, rank() OVER (ORDER BY {p}) + (count(*) OVER (PARTITION BY {p}) - 1) / 2e0 rk, {hexed(f'md5({key})', 1)} h1, {hexed(f'md5({key})', 9)} h2 FROM {src} WHERE {p} IS NOT NULL),
-      tot AS (SELECT count(*) n, cast(sum(yy) AS BIGINT) m, sum(rk) FILTER (yy = 1) obs FROM r),
-      coef AS (SELECT rep, {coef} FROM (SELECT rep, '{seed}:' || cast(rep AS VARCHAR) k FROM (SELECT unnest(range({reps})) rep))),
-      lim AS (SELECT greatest(0, m / n - 6 * sqrt(m / n * (1 - m / n) / n)) * {prime} lo, least(1, m / n + 6 * sqrt(m / n * (1 - m / n) / n)) * {prime} hi FROM (SELECT cast(n AS DOUBLE) n, cast(m AS DOUBLE) m FROM tot)),
-      v AS NOT MATERIALIZED (SELECT rep, rk, h1, h2, ((((((c0 * h1 + c1) % {prime}) * h1 + c2) % {prime}) * h1 + c3) % {prime} + (c4 * h2) % {prime}) % {prime} u FROM r, coef),
-      far AS (SELECT rep, sum(rk) rs, count(*) k FROM v, lim WHERE u < lo GROUP BY rep),
-      near AS (SELECT rep, rk, row_number() OVER (PARTITION BY rep ORDER BY u, h1, h2) pl FROM v, lim WHERE u BETWEEN lo AND hi),
-      s AS (SELECT near.rep, any_value(far.rs) + coalesce(sum(near.rk) FILTER (pl <= m - k), 0) rs FROM near JOIN far USING (rep), tot GROUP BY near.rep)
-    SELECT {R('any_value((obs - m * (m + 1) / 2e0) / (m * (n - m)))')} auc, {R('avg((rs - m * (m + 1) / 2e0) / (m * (n - m)))')} null_mean, {R('avg(CASE WHEN rs >= obs THEN 1 ELSE 0 END)')} p_value, count(*) n_permutations, any_value(n) n, any_value(m) n_pos FROM s, tot"""
+    ways = "lgamma({a} + 1) - lgamma({b} + 1) - lgamma({a} - {b} + 1)"
+    parts = [f"""WITH c AS MATERIALIZED (SELECT v, count(*) n, cast(sum(yy) AS BIGINT) pos, row_number() OVER (ORDER BY v) - 1 i, cast(sum(count(*)) OVER (ORDER BY v) AS BIGINT) upto
+        FROM (SELECT {p} v, {y} yy FROM {src} WHERE {p} IS NOT NULL AND {y} IS NOT NULL) GROUP BY v),
+      tot AS MATERIALIZED (SELECT cast(sum(n) AS BIGINT) n, cast(sum(pos) AS BIGINT) m, count(*) d, sum(pos * (upto - n + (n + 1) / 2e0)) obs FROM c),
+      pre AS MATERIALIZED (SELECT i, upto - n ahead FROM c UNION ALL SELECT d, n FROM tot),
+      coef AS MATERIALIZED (SELECT rep, {coef} FROM (SELECT rep, '{seed}:' || cast(rep AS VARCHAR) k FROM (SELECT unnest(range({reps})) rep))),
+      l0 AS (SELECT rep, 0::BIGINT k, m FROM coef, tot)"""]
+    for d in range(DEAL_DEPTH):
+        parts.append(f"""
+      n{d} AS MATERIALIZED (SELECT k, b.ahead - a.ahead nl, e.ahead - b.ahead nr, {hexed(f"md5(cast({1 << d} + k AS VARCHAR))", 1)} h1, {hexed(f"md5(cast({1 << d} + k AS VARCHAR))", 9)} h2
+        FROM (SELECT unnest(range({1 << d})) k), tot JOIN pre a ON a.i = (k * d) >> {d} JOIN pre b ON b.i = ((2 * k + 1) * d) >> {d + 1} JOIN pre e ON e.i = ((k + 1) * d) >> {d}),
+      s{d} AS MATERIALIZED (SELECT rep, l.k, m, nl, nr, (((((((c0 * h1 + c1) % {prime}) * h1 + c2) % {prime}) * h1 + c3) % {prime} + (c4 * h2) % {prime}) % {prime} + 5e-1) / {prime} u
+        FROM l{d} l JOIN n{d} USING (k) JOIN coef USING (rep) WHERE nl > 0 AND nr > 0 AND m > 0),
+      w{d} AS (SELECT k, m, nl, nr, m * nl / cast(nl + nr AS DOUBLE) mu, sqrt(greatest(0, m * nl / cast(nl + nr AS DOUBLE) * nr / (nl + nr) * (nl + nr - m) / greatest(nl + nr - 1, 1))) sd FROM (SELECT DISTINCT k, m, nl, nr FROM s{d})),
+      p{d} AS (SELECT k, m, x, exp({ways.format(a='nl', b='x')} + {ways.format(a='nr', b='(m - x)')} - ({ways.format(a='(nl + nr)', b='m')})) q
+        FROM (SELECT *, unnest(range(cast(greatest(0, m - nr, floor(mu - 8 * sd - 12)) AS BIGINT), cast(least(m, nl, ceil(mu + 8 * sd + 12)) AS BIGINT) + 1)) x FROM w{d})),
+      f{d} AS MATERIALIZED (SELECT k, m, x, sum(q) OVER (PARTITION BY k, m ORDER BY x) / sum(q) OVER (PARTITION BY k, m) c FROM p{d}),
+      g{d} AS (SELECT s.rep, s.k, s.m, f.x FROM s{d} s ASOF JOIN f{d} f ON s.k = f.k AND s.m = f.m AND s.u <= f.c),
+      l{d + 1} AS MATERIALIZED (SELECT rep, 2 * k k, x m FROM g{d} UNION ALL SELECT rep, 2 * k + 1, m - x FROM g{d}
+        UNION ALL SELECT rep, CASE WHEN nl > 0 THEN 2 * k ELSE 2 * k + 1 END, m FROM l{d} JOIN n{d} USING (k) WHERE (nl = 0 OR nr = 0) AND m > 0)""")
+    return ",".join(parts) + f""",
+      r AS (SELECT rep, sum(l.m * (c.upto - c.n + (c.n + 1) / 2e0)) rs FROM l{DEAL_DEPTH} l, tot JOIN c ON c.i = (l.k * tot.d) >> {DEAL_DEPTH} GROUP BY rep)
+    SELECT {R('any_value((obs - m * (m + 1) / 2e0) / (m * (n - m)))')} auc, {R('avg((rs - m * (m + 1) / 2e0) / (m * (n - m)))')} null_mean, {R('avg(CASE WHEN rs >= obs THEN 1 ELSE 0 END)')} p_value, count(*) n_permutations, any_value(n) n, any_value(m) n_pos FROM r, tot"""
 
 
 # a nearly uninformative score, so that the p-value is not trivially zero
-WEAK = "(SELECT *, cast((l_partkey * 7 + l_orderkey * 13) % 501 as double) + (CASE WHEN l_returnflag = 'R' AND l_suppkey % 50 = 0 THEN 60 ELSE 0 END) AS weak, {rid} AS rk_key, {y} AS yv FROM lineitem)"
-from helixframe.catalog.base import RID, Y  # noqa: E402
+WEAK = "(SELECT *, cast((l_partkey * 7 + l_orderkey * 13) % 501 as double) + (CASE WHEN l_returnflag = 'R' AND l_suppkey % 50 = 0 THEN 60 ELSE 0 END) AS weak, {y} AS yv FROM lineitem)"
+from helixframe.catalog.base import Y  # noqa: E402
 
 
-@query("permutation_auc_test", permutation_sql(WEAK.format(rid=RID, y=Y), "yv", "weak", "rk_key", PERMUTATIONS))
+@query("permutation_auc_test", permutation_sql(WEAK.format(y=Y), "yv", "weak", PERMUTATIONS))
 def _(t):
-    rows = t.lineitem.selectExpr(f"{RID} as key", f"{Y} as y", "cast((l_partkey * 7 + l_orderkey * 13) % 501 as double) + (case when l_returnflag = 'R' and l_suppkey % 50 = 0 then 60 else 0 end) as p")
+    rows = t.lineitem.selectExpr(f"{Y} as y", "cast((l_partkey * 7 + l_orderkey * 13) % 501 as double) + (case when l_returnflag = 'R' and l_suppkey % 50 = 0 then 60 else 0 end) as p")
     return rounded(resampling.permutation_auc_test(rows, replicates=PERMUTATIONS))
 
 
 def significance_sql(slices: dict[str, str]) -> str:
     arms = []
     for name, condition in slices.items():
-        src = f"(SELECT * FROM {WEAK.format(rid=RID, y=Y)} WHERE {condition})"
-        arms.append(f"""SELECT '{name}' AS slice, t.*, b.* FROM ({permutation_sql(src, 'yv', 'weak', 'rk_key', PERMUTATIONS)}) t,
-          (SELECT {R('quantile_cont(roc_auc, 0.025)', 7)} ci_lo, {R('quantile_cont(roc_auc, 0.975)', 7)} ci_hi, count(*) n_boot FROM {boot_sql(src, 'yv', {'p': 'weak'})}) b""")
+        src = f"(SELECT * FROM {WEAK.format(y=Y)} WHERE {condition})"
+        arms.append(f"""SELECT '{name}' AS slice, t.*, b.* FROM ({permutation_sql(src, 'yv', 'weak', PERMUTATIONS)}) t,
+          (SELECT {R('quantile_cont(roc_auc, 0.025)', 6)} ci_lo, {R('quantile_cont(roc_auc, 0.975)', 6)} ci_hi, count(*) n_boot FROM {boot_sql(src, 'yv', {'p': 'weak'})}) b""")
     return " UNION ALL ".join(arms)
 
 
 @query("auc_significance", significance_sql({"full": "true", "holdout": "l_partkey % 3 = 0"}))
 def _(t):
-    rows = t.lineitem.selectExpr(f"{RID} as key", f"{Y} as y", "cast((l_partkey * 7 + l_orderkey * 13) % 501 as double) + (case when l_returnflag = 'R' and l_suppkey % 50 = 0 then 60 else 0 end) as p", "l_partkey % 3 = 0 as holdout")
+    rows = t.lineitem.selectExpr(f"{Y} as y", "cast((l_partkey * 7 + l_orderkey * 13) % 501 as double) + (case when l_returnflag = 'R' and l_suppkey % 50 = 0 then 60 else 0 end) as p", "l_partkey % 3 = 0 as holdout")
     out = rounded(resampling.auc_significance(rows, {"full": True, "holdout": C("holdout")}, replicates=PERMUTATIONS, draws=REPS))
-    return out.withColumns({c: F.round(c, 7) + F.lit(0.0) for c in ("ci_lo", "ci_hi")})
+    return out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("ci_lo", "ci_hi")})

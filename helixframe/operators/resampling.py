@@ -21,8 +21,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.functions.scores import clip_prob
-from helixframe.operators.metrics import matthews, ranking_metrics, rate
-from helixframe.operators.ordered import block_cuts, mid_ranks, with_block
+from helixframe.operators.metrics import matthews, ranking_metrics, rate, score_cells
+from helixframe.operators.ordered import block_cuts, running_sums, with_block
 from helixframe.session import cut_lineage
 
 PRIME = 2**31 - 1
@@ -341,75 +341,119 @@ def paired_bootstrap_delta(
 
 # ---- permutation ----------------------------------------------------------------------------
 
-def _rank_sums(rows: DataFrame, coef: np.ndarray, names: np.ndarray, m: int, low: int, high: int) -> DataFrame:
-    """Rank sum of the first m rows in each replicate's hash order; replicates whose m-th row is not
-    between `low` and `high` are left out."""
-    schema = "rep int, u bigint, h1 bigint, h2 bigint, cnt bigint, rk double"
-
-    def scan(batches):
-        count = np.zeros(len(coef), dtype=np.int64)
-        total = np.zeros(len(coef))
+#: Distinct scores that a task deals positives to, and tasks that share a small table's replicates.
+DEAL_CELLS = 4096
+DEAL_TASKS = 32
+#: Standard deviations of a split that are tabulated; the uniform numbers have 31 bits and reach 6.3 of them.
+REACH = 7
+
+
+def split_counts(left: int, right: int, m: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """How many of m positives fall among the `left` of left + right rows: inverse of the hypergeometric
+    distribution at u, one for each replicate. The masses follow from the ratios of neighbours."""
+    if left == 0 or right == 0:
+        return m if right == 0 else np.zeros_like(m)
+    total = left + right
+    mean = m * (left / total)
+    sd = np.sqrt(np.maximum(mean * (right / total) * ((total - m) / max(total - 1, 1)), 0.0))
+    low = np.maximum(np.maximum(0, m - right), np.floor(mean - REACH * sd - 10).astype(np.int64))
+    high = np.minimum(np.minimum(m, left), np.ceil(mean + REACH * sd + 10).astype(np.int64))
+    k = (low[:, None] + np.arange(int((high - low).max(initial=0)))[None, :]).astype(np.float64)
+    held = m[:, None].astype(np.float64)
+    ratio = np.maximum(left - k, 0) * np.maximum(held - k, 0) / ((k + 1) * np.maximum(right - held + k + 1, 1))
+    ratio[k >= high[:, None]] = 0.0
+    mass = np.cumprod(np.concatenate([np.ones((len(m), 1)), ratio], axis=1), axis=1)
+    below = np.cumsum(mass, axis=1)
+    return low + (below < (u * below[:, -1])[:, None]).sum(axis=1)
+
+
+def node_start(k: int, depth: int, cells: int) -> int:
+    """First cell of the k-th node of a depth of the splitting tree."""
+    return k * cells >> depth
+
+
+def deal(node: tuple[int, int], stop: int, cells: int, before, m: np.ndarray, coef: np.ndarray):
+    """Splits m positives (one number for each replicate) from a node (depth, k) down to depth `stop`, or to single cells;
+    yields ((depth, k), positives). `before(i)` is the number of rows ahead of cell i. A node's draw depends
+    on the replicate and the node only, so the outcome does not depend on where the tree is cut."""
+    open_nodes = [(node, m)]
+    while open_nodes:
+        (depth, k), m = open_nodes.pop()
+        low, high = node_start(k, depth, cells), node_start(k + 1, depth, cells)
+        if low == high:
+            continue
+        if depth == stop or high - low == 1:
+            yield (depth, k), m
+            continue
+        middle = node_start(2 * k + 1, depth + 1, cells)
+        digest = hashlib.md5(str((1 << depth) + k).encode()).hexdigest()
+        h1, h2 = (np.array([int(digest[i:i + 8], 16) % PRIME]) for i in (0, 8))
+        left = split_counts(before(middle) - before(low), before(high) - before(middle), m, (uniform_ints(h1, h2, coef)[0] + 0.5) / PRIME)
+        open_nodes += [((depth + 1, 2 * k), left), ((depth + 1, 2 * k + 1), m - left)]
+
+
+def permuted_rank_sums(cells: DataFrame, n_cells: int, m: int, replicates: int, seed: int) -> DataFrame:
+    """rep and the rank sum of m positives that are dealt to the cells (i, n, n_before, mid), one row for each
+    replicate.
+
+    A binary tree over the cells in order of score deals the positives: those of a node are split between
+    its halves by a hypergeometric draw. The tree is cut into blocks of DEAL_CELLS cells; a first pass
+    deals to blocks, a second inside them, so the cost is scores x replicates, not rows x replicates. Only
+    block sizes reach the driver, one number for DEAL_CELLS scores.
+    """
+    depth = max(0, math.ceil(math.log2(max(1, n_cells) / DEAL_CELLS)))
+    blocks = 1 << depth
+    chunks = max(1, DEAL_TASKS // blocks)
+    coef = coefficients(seed, replicates)
+    block = F.floor(((F.col("i") + 1) * blocks - 1) / F.lit(n_cells)).cast("bigint") if blocks > 1 else F.lit(0).cast("bigint")
+    placed = cells.withColumn("block", block)
+    firsts = {r["block"]: r["first"] for r in placed.groupBy("block").agg(F.min("n_before").alias("first")).collect()} if blocks > 1 else {0: 0}
+    starts = [0, *[firsts.get(b) for b in range(1, blocks)]]
+
+    def to_blocks(batches):
+        # rows ahead of a node that begins a block; what is asked for are starts of blocks and the end
+        ends = {node_start(b, depth, n_cells): s for b, s in enumerate(starts) if s is not None}
         for pdf in batches:
-            h1, h2 = pdf["h1"].to_numpy(np.int64), pdf["h2"].to_numpy(np.int64)
-            rk = pdf["rk"].to_numpy(float)
-            step = max(1, DRAWS_AT_ONCE // max(1, len(pdf)))
-            for lo in range(0, len(coef), step):
-                v = uniform_ints(h1, h2, coef[lo : lo + step])
-                sure = v < low
-                count[lo : lo + step] += sure.sum(0)
-                total[lo : lo + step] += rk @ sure
-                i, r = np.nonzero((v >= low) & (v <= high))
-                yield pd.DataFrame(
-                    {"rep": names[r + lo], "u": v[i, r], "h1": h1[i], "h2": h2[i], "cnt": 1, "rk": rk[i]}
-                )
-        yield pd.DataFrame({"rep": names, "u": -1, "h1": -1, "h2": -1, "cnt": count, "rk": total})
-
-    parts = rows.mapInPandas(scan, schema)
-    sure = F.col("u") < 0
-    base = W.partitionBy("rep")
-    order = base.orderBy(F.col("u"), "h1", "h2").rowsBetween(W.unboundedPreceding, 0)
-    marked = parts.withColumns(
-        {"below": F.sum(F.when(sure, F.col("cnt")).otherwise(0)).over(base),
-         "place": F.sum(F.when(sure, 0).otherwise(1)).over(order)}
-    )
-    taken = sure | (F.col("place") <= F.lit(m) - F.col("below"))
-    return marked.groupBy("rep").agg(
-        F.sum(F.when(taken, F.col("cnt"))).alias("positives"),
-        F.sum(F.when(taken, F.col("rk"))).alias("rank_sum"),
-    ).filter(F.col("positives") == m)
-
-
-def permutation_auc_test(
-    df, y="y", score="p", key="key", replicates=10_000, seed=42, sigmas=4.5
-) -> DataFrame:
+            for chunk in pdf["id"]:
+                reps = np.arange(chunk, replicates, tasks)
+                for (d, k), got in deal((0, 0), depth, n_cells, lambda i: ends.get(i, n_rows), np.full(len(reps), m), coef[reps]):
+                    yield pd.DataFrame({"block": k << (depth - d), "chunk": reps % chunks, "rep": reps, "m": got})
+
+    def inside(key, part: pd.DataFrame, dealt: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(dealt):
+            return pd.DataFrame({"rep": pd.Series(dtype="int64"), "rank_sum": pd.Series(dtype="float64")})
+        part = part.sort_values("i")
+        first, ahead, mid = int(part["i"].iloc[0]), np.append(part["n_before"], part["n_before"].iloc[-1] + part["n"].iloc[-1]), part["mid"].to_numpy()
+        reps, total = dealt["rep"].to_numpy(), np.zeros(len(dealt))
+        for (d, k), got in deal((depth, int(key[0])), 1 << 62, n_cells, lambda i: int(ahead[i - first]), dealt["m"].to_numpy(np.int64), coef[reps]):
+            total += got * mid[node_start(k, d, n_cells) - first]
+        return pd.DataFrame({"rep": reps, "rank_sum": total})
+
+    n_rows = int(cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    tasks = min(DEAL_TASKS, max(1, replicates))
+    dealt = cells.sparkSession.range(0, tasks, 1, tasks).mapInPandas(to_blocks, "block bigint, chunk bigint, rep bigint, m bigint")
+    spread = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
+    sums = spread.groupBy("block", "chunk").cogroup(dealt.groupBy("block", "chunk")).applyInPandas(inside, "rep bigint, rank_sum double")
+    return sums.groupBy("rep").agg(F.sum("rank_sum").alias("rank_sum"))
+
+
+def permutation_auc_test(df, y="y", score="p", replicates=10_000, seed=42) -> DataFrame:
     """One-sided label-permutation test of AUC > 0.5, one row.
 
-    In every replicate the rows are put in a hash order and the first n_pos become the positives.
-    Rows are never replicated: each task returns, per replicate, the count and rank sum safely
-    below the expected cut and only the few rows inside a narrow window around it; the exact cut
-    is then found inside that window. The few replicates whose cut falls outside the window are
-    run again without one, so `n_permutations` always equals `replicates`.
+    A permutation of the labels matters only by how many positives each distinct score gets, so these
+    counts are drawn, exactly as often as shuffled labels would give them (see `permuted_rank_sums`).
     """
     present = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull())
-    ranked = mid_ranks(present.select(key, y, score), score, out="rk")
-    stats = ranked.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.col(y).cast("bigint")), F.lit(0)).alias("m"),
-        F.sum(F.when(F.col(y) == 1, F.col("rk"))).alias("s"),
-    ).first()
+    counted = score_cells(present, y, score).select("score", (F.col("pos") + F.col("neg")).alias("n"), "pos", F.lit(1).cast("bigint").alias("one"))
+    ranked = running_sums(counted, "score", ["n", "one"])
+    cells = cut_lineage(ranked.select(
+        F.col("one_before").cast("bigint").alias("i"), "n", F.col("n_before").cast("bigint").alias("n_before"), "pos",
+        (F.col("n_before") + (F.col("n") + 1) / 2).cast("double").alias("mid")))
+    stats = cells.agg(
+        F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("pos"), F.lit(0)).alias("m"),
+        F.sum(F.col("pos") * F.col("mid")).alias("s")).first()
     n, m, observed = stats["n"], stats["m"], stats["s"]
-    q = m / n if n else 0.0
-    coef = coefficients(seed, replicates)
-    rows = cut_lineage(ranked.select(F.col("rk").cast("double").alias("rk"), F.col(key).cast("string").alias("k")).withColumns(
-        cell_hash(F.col("k"))
-    ).select("rk", "h1", "h2"))
-    half = sigmas * math.sqrt(max(n * q * (1 - q), 1.0)) / max(n, 1)
-    low, high = int(max(0.0, q - half) * PRIME), int(min(1.0, q + half) * PRIME) + 1
-    per_rep = cut_lineage(_rank_sums(rows, coef, np.arange(replicates), m, low, high))
-    done = {r["rep"] for r in per_rep.select("rep").collect()}  # one number per replicate
-    again = np.array([r for r in range(replicates) if r not in done])
-    if again.size and n:
-        per_rep = per_rep.unionByName(_rank_sums(rows, coef[again], again, m, 0, PRIME))
+    per_rep = permuted_rank_sums(cells, stats["cells"], m, replicates, seed)
     scale = float(m) * float(n - m)
     shift = m * (m + 1) / 2.0
     auc = (observed - shift) / scale if scale else None
@@ -424,14 +468,14 @@ def permutation_auc_test(
 
 
 def auc_significance(
-    df, slices: dict[str, object], y="y", score="p", key="key", replicates=10_000, draws=1000, seed=42, ci=0.95
+    df, slices: dict[str, object], y="y", score="p", replicates=10_000, draws=1000, seed=42, ci=0.95
 ) -> DataFrame:
     """Permutation test and bootstrap interval of the AUC for each slice (condition, or True for all
     rows): one row per slice."""
     out = None
     for name, condition in slices.items():
         rows = df if condition is True else df.filter(condition)
-        test = permutation_auc_test(rows, y, score, key, replicates, seed)
+        test = permutation_auc_test(rows, y, score, replicates, seed)
         reps = replicate_metrics(rows, y, {"p": score}, (), draws, seed)
         low = (1.0 - ci) / 2.0
         interval = reps.agg(

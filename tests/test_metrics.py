@@ -176,13 +176,54 @@ def test_poisson_of_a_large_tie_is_exact():
     assert (resampling.poisson_draws(np.array([n]), u)[0] == want).all()
 
 
-@pytest.mark.parametrize("sigmas", [4.5, 0.2, 0.0])
-def test_every_permutation_counts(data, sigmas):
-    df = data[0]
-    row = resampling.permutation_auc_test(df, replicates=200, sigmas=sigmas).first()
-    assert row.n_permutations == 200
-    full = resampling.permutation_auc_test(df, replicates=200, sigmas=50.0).first()
-    assert (row.p_value, round(row.null_mean, 12)) == (full.p_value, round(full.null_mean, 12))
+@pytest.mark.parametrize("left, right, m", [(5, 7, 4), (1, 9, 10), (30, 1, 3), (1000, 3000, 700), (200_000, 300_000, 90_000), (3, 10**7, 500)])
+def test_split_is_the_inverse_of_the_hypergeometric_distribution(left, right, m):
+    from math import comb, lgamma
+
+    u = np.array([1e-9, 0.01, 0.2, 0.5, 0.77, 0.999, 1 - 1e-9])
+    low, high = max(0, m - right), min(m, left)
+    if left + right < 100:
+        mass = np.array([comb(left, k) * comb(right, m - k) for k in range(low, high + 1)], dtype=float)
+    else:
+        def ways(a, b):
+            return lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+
+        center = m * left // (left + right)
+        low, high = max(low, center - 4000), min(high, center + 4000)
+        mass = np.exp([ways(left, k) + ways(right, m - k) - ways(left + right, m) for k in range(low, high + 1)])
+    want = low + np.searchsorted(np.cumsum(mass) / mass.sum(), u)
+    assert (resampling.split_counts(left, right, np.full(len(u), m), u) == want).all()
+
+
+def test_permutations_do_not_depend_on_blocks_and_equal_shuffled_labels(data, monkeypatch):
+    df, y, p, _ = data
+    whole = resampling.permutation_auc_test(df, replicates=2000).first()
+    monkeypatch.setattr(resampling, "DEAL_CELLS", 16)
+    monkeypatch.setattr(resampling, "DEAL_TASKS", 3)
+    cut = resampling.permutation_auc_test(df, replicates=2000).first()
+    assert whole.n_permutations == cut.n_permutations == 2000
+    assert (whole.p_value, round(whole.null_mean, 12)) == (cut.p_value, round(cut.null_mean, 12))
+    assert abs(whole.null_mean - 0.5) < 4 * 0.3 / np.sqrt(len(y) * 2000 / 8)
+
+
+def test_null_distribution_equals_that_of_shuffled_rows(spark):
+    rng = np.random.default_rng(8)
+    p, y = rng.integers(0, 7, 40) / 7.0, (rng.random(40) < 0.3).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)], "p double, y int")
+    order = np.argsort(p, kind="stable")
+    mid = np.empty(40)
+    for v in np.unique(p):
+        mid[p == v] = np.flatnonzero(p[order] == v).mean() + 1
+    shuffled = np.array([mid[rng.permutation(40)[:y.sum()]].sum() for _ in range(20000)])
+    counts = df.groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect()
+    ahead = np.cumsum([0] + [r.n for r in counts])
+    rows = [(i, r.n, int(ahead[i]), float(ahead[i] + (r.n + 1) / 2)) for i, r in enumerate(counts)]
+    cells = spark.createDataFrame(rows, "i bigint, n bigint, n_before bigint, mid double")
+    dealt = np.array([r.rank_sum for r in resampling.permuted_rank_sums(cells, len(rows), int(y.sum()), 20000, 1).collect()])
+    assert len(dealt) == 20000 and abs(dealt.mean() - shuffled.mean()) < 5 * shuffled.std() / 100
+    assert np.isclose(dealt.std(), shuffled.std(), rtol=0.05)
+    for q in (1, 10, 50, 90, 99):
+        assert abs((dealt <= np.percentile(shuffled, q)).mean() - (shuffled <= np.percentile(shuffled, q)).mean()) < 0.02
 
 
 def test_close_scores_draw_on_their_own(spark):
