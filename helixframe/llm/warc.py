@@ -5,18 +5,21 @@ Writing: Spark's text writer with the record separator as line separator makes p
 is a `response`, the others are `revisit` records that refer to it.
 
 Reading: Spark's text reader cuts files into byte ranges and, with the version line as line
-separator, hands every task the places where a record may begin, payload text included. A task
-turns each place into a link to its successor (place + header + Content-Length + separator) and
-shortens the links to the first place beyond its byte range. Pointer jumping from the start of
-each file over these links finds the entry of each range, and a pass within each range the
-records; a version line inside a payload is never reached and is dropped.
+separator, hands every task the places where a record may begin, payload text included. A first
+pass looks at headers only: a task turns each place into a link to its successor (place + header +
+Content-Length + separator) and shortens the links to the first place beyond its byte range. Pointer
+jumping from the start of each file over these links finds the entry of each range. A second pass
+reads each range from its entry, one record after the other; a version line inside a payload is
+bytes of that record, so forged records cost no more than other text.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +33,8 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 STAMP = "2000-01-01T00:00:00Z"
 _M = len(VERSION)
 
-PARTS = "kind int, file string, block bigint, place bigint, next bigint, exit bigint, complete boolean"
+PARTS = "kind int, file string, block bigint, place bigint, exit bigint"
+SPAN = "file string, block bigint, place bigint, next bigint, complete boolean"
 RECORD = ("record_type string, record_id string, target_uri string, refers_to string, payload_bytes bigint, "
           "payload_digest string, payload binary")
 
@@ -146,80 +150,77 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("value").cast("binary").alias("line"))
 
 
-def _walk(batches):
-    for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))
-
-
-def _scan(keep: bool):
-    """Rows of kind 0: a candidate and its record; 1: a candidate's links; 2: bytes of a block."""
-
-    def run(batches):
-        schema = pa.schema([
-            ("kind", pa.int32()), ("file", pa.string()), ("block", pa.int64()), ("place", pa.int64()), ("next", pa.int64()),
-            ("exit", pa.int64()), ("complete", pa.bool_()), ("record_type", pa.string()), ("record_id", pa.string()),
-            ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()),
-            ("payload_digest", pa.string()), ("payload", pa.binary())])
-        none = (None,) * 7
-        out, held = [], 0
-        current, place, links, waiting = None, 0, {}, []
-
-        def close():
-            for at, item in waiting:
-                out.append((0, *current, at, at + item.consumed + _M, None, False, *item.row()))
-            exits = {}
-            for at in sorted(links, reverse=True):
-                exits[at] = exits.get(links[at], links[at])
-                out.append((1, *current, at, links[at], exits[at], None, *none))
-            out.append((2, *current, None, place, None, None, *none))
-
-        def flush():
-            rows = [pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)]
-            return pa.RecordBatch.from_arrays(rows, schema=schema)
+#: Links that go to Spark in one batch.
+LINK_ROWS = 1 << 16
+
+
+def _consumed(line: bytes) -> int | None:
+    """Bytes from a place to the end of the record that begins there, or None if none does."""
+    head, found, _ = line.partition(b"\r\n\r\n")
+    if not found:
+        return None
+    for item in head.split(b"\r\n"):
+        name, colon, value = item.partition(b":")
+        if colon and name.strip().lower() == b"content-length":
+            value = value.strip()
+            return len(head) + 4 + int(value) + 4 if value.isdigit() and len(value) < 19 else None
+    return None
+
+
+def _exits(places: np.ndarray, nexts: np.ndarray) -> np.ndarray:
+    """Where each place's chain leaves the range: links are followed while they meet a place, in doubling steps."""
+    at = np.searchsorted(places, nexts)
+    inside = (at < places.size) & (places[np.minimum(at, places.size - 1)] == nexts) if places.size else np.zeros(0, bool)
+    follow = np.where(inside, at, np.arange(places.size))
+    while True:
+        further = follow[follow]
+        if (further == follow).all():
+            return nexts[follow]
+        follow = further
+
+
+def _links(batches):
+    """Rows of kind 1: a candidate and where its chain leaves the range; 2: bytes of a range. Two numbers of
+    each candidate are held."""
+    current, place, places, nexts = None, 0, array("q"), array("q")
+
+    def rows(kind, at, out):
+        n = len(at)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(n, kind, np.int32)), pa.array([current[0]] * n, pa.string()), pa.array([current[1]] * n, pa.int64()),
+            pa.array(at, pa.int64()), pa.array(out, pa.int64())], names=["kind", "file", "block", "place", "exit"])
+
+    def close():
+        at = np.array(places, dtype=np.int64)
+        out = _exits(at, np.array(nexts, dtype=np.int64))
+        for low in range(0, len(at), LINK_ROWS):
+            yield rows(1, at[low:low + LINK_ROWS], out[low:low + LINK_ROWS])
+        yield rows(2, [0], [place])
 
-        for file, block, scalar in _walk(batches):
+    for batch in batches:
+        for file, block, scalar in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             line = scalar.as_py() or b""
             if (file, block) != current:
                 if current is not None:
-                    close()
-                current, place, links, waiting = (file, block), 0, {}, []
-            still = []
-            for at, item in waiting:
-                item.feed(VERSION.encode() + line)
-                if item.left:
-                    still.append((at, item))
-                else:
-                    out.append((0, *current, at, at + item.consumed + _M, None, True, *item.row()))
-            waiting = still
+                    yield from close()
+                current, place, places, nexts = (file, block), 0, array("q"), array("q")
             if block or place:  # what stands before the first version line of a file is no record
-                item = _Open(line, keep)
-                if item.valid:
-                    links[place] = place + item.consumed + _M
-                    if item.left:
-                        waiting.append((place, item))
-                    else:
-                        out.append((0, *current, place, links[place], None, True, *item.row()))
+                size = _consumed(line)
+                if size is not None:
+                    places.append(place)
+                    nexts.append(place + size + _M)
             place += len(line) + _M
-            held += len(line)
-            if len(out) >= 4096 or (keep and held > 1 << 24):
-                if out:
-                    yield flush()
-                out, held = [], 0
-        if current is not None:
-            close()
-        if out:
-            yield flush()
+    if current is not None:
+        yield from close()
 
-    return run
 
-
-def _reached(blocks: DataFrame, links: DataFrame) -> DataFrame:
-    """(file, block, place) of the records on the chain from each file's start."""
+def _entries(blocks: DataFrame, links: DataFrame) -> DataFrame:
+    """(file, block, entry): the first place of each range that is on the chain from its file's start."""
     order = Window.partitionBy("file").orderBy("block")
-    blocks = cut_lineage(blocks.withColumn("base", F.sum("next").over(order) - F.col("next"))
+    blocks = cut_lineage(blocks.withColumn("base", F.sum("exit").over(order) - F.col("exit"))
                          .select("file", "block", "base", F.count(F.lit(1)).over(Window.partitionBy("file")).alias("n")))
     jumps = cut_lineage(links.join(blocks, ["file", "block"]).select(
-        "file", "block", (F.col("base") + F.col("place")).alias("at"), (F.col("base") + F.col("exit")).alias("to")))
+        "file", "block", "base", (F.col("base") + F.col("place")).alias("at"), (F.col("base") + F.col("exit")).alias("to")))
     widest = blocks.agg(F.max("n")).first()[0] or 0
     reach = blocks.select("file", F.lit(_M).cast("bigint").alias("at")).distinct()
     hops = jumps.select("file", "at", "to")
@@ -230,23 +231,73 @@ def _reached(blocks: DataFrame, links: DataFrame) -> DataFrame:
         if step + 1 < rounds:
             onward = hops.select("file", F.col("at").alias("to"), F.col("to").alias("beyond"))
             hops = cut_lineage(hops.join(onward, ["file", "to"]).select("file", "at", F.col("beyond").alias("to")))
-    entries = jumps.join(reach, ["file", "at"], "left_semi").select("file", "block", "at")
-    inside = links.join(blocks, ["file", "block"]).select("file", "block", "base", "place", "next")
+    return jumps.join(reach, ["file", "at"], "left_semi").select("file", "block", (F.col("at") - F.col("base")).alias("entry"))
 
-    def follow(key, left, right):
-        import pandas as pd
 
-        after = dict(zip(left["place"].tolist(), left["next"].tolist()))
-        found = []
-        if len(left) and len(right):
-            at = int(right["at"].iloc[0] - left["base"].iloc[0])
-            while at in after:
-                found.append(at)
-                at = after[at]
-        return pd.DataFrame({"file": key[0], "block": key[1], "place": pd.Series(found, dtype="int64")})
+def _placed(batches):
+    """The lines with their place in the range."""
+    current, place = None, 0
+    for batch in batches:
+        files, starts, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+        places = []
+        for file, block, line in zip(files, starts, rows):
+            if (file, block) != current:
+                current, place = (file, block), 0
+            places.append(place)
+            place += len(line.as_buffer()) + _M
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], names=["file", "block", "line", "place"])
 
-    return inside.groupBy("file", "block").cogroup(entries.groupBy("file", "block")).applyInPandas(
-        follow, "file string, block bigint, place bigint")
+
+def _records(keep: bool):
+    """The records of each range from its entry on. One record is open at a time; the last one of a range may be
+    incomplete."""
+
+    def run(batches):
+        schema = pa.schema([
+            ("file", pa.string()), ("block", pa.int64()), ("place", pa.int64()), ("next", pa.int64()), ("complete", pa.bool_()),
+            ("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()),
+            ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+        out, held, current, want, item, at = [], 0, None, None, None, 0
+
+        def done(complete: bool):
+            out.append((*current, at, at + item.consumed + _M, complete, *item.row()))
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 3, 4)]
+            for file, block, place, entry, scalar in zip(*columns, batch.column(2)):
+                if (file, block) != current:
+                    if item is not None:
+                        done(False)
+                    current, want, item = (file, block), entry, None
+                if item is not None:
+                    item.feed(VERSION.encode() + (scalar.as_py() or b""))
+                elif place == want:
+                    item, at = _Open(scalar.as_py() or b"", keep), place
+                    if not item.valid:
+                        item = None
+                        continue
+                else:
+                    continue
+                if not item.left:
+                    done(True)
+                    held += item.size
+                    want, item = at + item.consumed + _M, None
+                    if len(out) >= 4096 or (keep and held > 1 << 24):
+                        yield flush()
+                        out, held = [], 0
+        if item is not None:
+            done(False)
+        if out:
+            yield flush()
+
+    return run
+
+
+#: Ranges whose entries may be broadcast (about 200 bytes each).
+ENTRY_ROWS = 300_000
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -258,34 +309,25 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
     """
     fields = "record_type record_id target_uri refers_to payload_bytes payload_digest payload".split()
     lines = _lines(spark, path)
-    parts = cut_lineage(lines.mapInArrow(_scan(payload), f"{PARTS}, {RECORD}"))
-    found = parts.where("kind = 0")
-    links = parts.where("kind = 1").select("file", "block", "place", "next", "exit")
-    blocks = parts.where("kind = 2").select("file", "block", "next")
-    reached = cut_lineage(_reached(blocks, links))
-    rejected = cut_lineage(links.join(reached, ["file", "block", "place"], "left_anti").select("file", "block", "place"))
-    kept = found.join(rejected, ["file", "block", "place"], "left_anti")
-    whole = kept.where("complete").select(*fields)
-    torn = cut_lineage(kept.where("not complete").select("file", "block", "place", "next"))
+    parts = cut_lineage(lines.mapInArrow(_links, PARTS))
+    links = parts.where("kind = 1").select("file", "block", "place", "exit")
+    blocks = parts.where("kind = 2").select("file", "block", "exit")
+    entries = cut_lineage(_entries(blocks, links))
+    placed = lines.mapInArrow(_placed, "file string, block bigint, line binary, place bigint")
+    if entries.count() <= ENTRY_ROWS:
+        met = placed.join(F.broadcast(entries), ["file", "block"])
+    else:  # the lines of a range stay together, in order
+        met = placed.join(entries, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "place")
+    found = cut_lineage(met.select("file", "block", "line", "place", "entry").mapInArrow(_records(payload), f"{SPAN}, {RECORD}"))
+    whole = found.where("complete").select(*fields)
+    torn = cut_lineage(found.where("not complete").select("file", "block", "place", "next"))
     if torn.isEmpty():
         return whole
-    return whole.union(_mend(lines, blocks, torn, payload).select(*fields))
-
+    return whole.union(_mend(placed, blocks, torn, payload).select(*fields))
 
-def _mend(lines: DataFrame, blocks: DataFrame, torn: DataFrame, keep: bool) -> DataFrame:
-    """Records that cross a block's end and hold a version line: at most one for each block."""
 
-    def placed(batches):
-        current, place = None, 0
-        for batch in batches:
-            files, starts, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            places = []
-            for file, block, line in zip(files, starts, rows):
-                if (file, block) != current:
-                    current, place = (file, block), 0
-                places.append(place)
-                place += len(line.as_buffer()) + _M
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], names=["file", "block", "line", "place"])
+def _mend(placed: DataFrame, blocks: DataFrame, torn: DataFrame, keep: bool) -> DataFrame:
+    """Records that cross a block's end: at most one for each block."""
 
     def join(key, rows):
         import pandas as pd
@@ -295,9 +337,8 @@ def _mend(lines: DataFrame, blocks: DataFrame, torn: DataFrame, keep: bool) -> D
         return pd.DataFrame([item.row()], columns="record_type record_id target_uri refers_to payload_bytes payload_digest payload".split())
 
     order = Window.partitionBy("file").orderBy("block")
-    bases = blocks.withColumn("base", F.sum("next").over(order) - F.col("next")).select("file", "block", "base")
-    rows = (lines.mapInArrow(placed, "file string, block bigint, line binary, place bigint").join(bases, ["file", "block"])
-            .select("file", "line", (F.col("base") + F.col("place")).alias("at")))
+    bases = blocks.withColumn("base", F.sum("exit").over(order) - F.col("exit")).select("file", "block", "base")
+    rows = placed.join(bases, ["file", "block"]).select("file", "line", (F.col("base") + F.col("place")).alias("at"))
     spans = torn.join(bases, ["file", "block"]).select(
         "file", (F.col("base") + F.col("place")).alias("low"), (F.col("base") + F.col("next")).alias("high"))
     near = rows.join(spans, (rows.file == spans.file) & (rows["at"] >= spans.low) & (rows["at"] < spans.high)).select(

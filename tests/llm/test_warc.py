@@ -58,3 +58,65 @@ def test_empty_table(spark):
     path = tempfile.mkdtemp(prefix="spark-") + "/w"
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+def forged(megabytes):
+    """Version lines with headers of large lengths, as the text of one page."""
+    one = warc.VERSION + "WARC-Type: response\r\nContent-Length: 900000000\r\n\r\nx\r\n\r\n"
+    return one * (megabytes * (1 << 20) // len(one))
+
+
+def batches_of(text):
+    import pyarrow as pa
+
+    lines = text.encode().split(warc.VERSION.encode())
+    for low in range(0, len(lines), 1000):
+        part = lines[low:low + 1000]
+        yield pa.RecordBatch.from_pydict({"file": pa.array(["f"] * len(part)), "block": pa.array([0] * len(part), pa.int64()), "line": pa.array(part, pa.binary())})
+
+
+def test_forged_records_cost_linear_time_and_bounded_memory():
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    payload = forged(20)
+    block = warc.HTTP_HEAD + payload
+    text = warc.VERSION + f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n" + block + warc.END
+
+    def read():
+        links = [b for b in warc._links(batches_of(text))]
+        places = sum(b.num_rows for b in links)
+
+        def met():
+            for b in warc._placed(batches_of(text)):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([warc._M] * b.num_rows, pa.int64())], names=["file", "block", "line", "place", "entry"])
+
+        return places, [b for b in warc._records(False)(met())]
+
+    start = time.perf_counter()
+    places, found = read()
+    took = time.perf_counter() - start
+    assert places > 250_000 and took < 30
+    rows = [r for b in found for r in b.to_pylist()]
+    assert len(rows) == 1 and rows[0]["payload_bytes"] == len(payload) and rows[0]["complete"]
+    assert rows[0]["payload_digest"] == base64.b32encode(hashlib.sha1(payload.encode()).digest()).decode()
+    tracemalloc.start()
+    read()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
+
+
+def test_forged_records_in_a_table(spark):
+    rows = [(1, "u", forged(1)), (2, "v", "plain"), (3, "w", forged(1) + "end"), (4, "v", "plain")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = tempfile.mkdtemp(prefix="spark-") + "/w"
+    warc.write_archives(df, path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        assert result(warc.read_archives(spark, path)) == expected(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
