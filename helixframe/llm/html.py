@@ -54,15 +54,19 @@ PLAIN_WORDS = frozenset(
 #: Elements that no name marks: those that hold the main text, headings and paragraphs.
 UNMARKED = frozenset("html body main article h1 h2 h3 h4 h5 h6 p".split())
 
-#: Different pages of a layout from which on repeated text counts as template.
+#: Pages are dealt to so many kinds by hash; text counts as template if pages of this many kinds repeat it.
+PAGE_KINDS = 63
 LEAST_PAGES = 8
 #: Tokens of a class from which on it can be a template.
 LEAST_TOKENS = 3
 #: Share of a layout's pages that a class needs to be a template, and share of a class's pages that
 #: its order and slot must exceed.
 LEAST_SHARE = 0.5
-#: Bits of each of the two hashes that a page adds to a vector: sums fit 64 bits up to 33 million pages.
+#: Bits of each of the two hashes that a page adds to a vector. A task's sums fit 64 bits, those of all pages
+#: are decimals.
 VECTOR_BITS = 38
+#: Tokens that a task holds before it sends what it has summed.
+HELD_TOKENS = 100_000
 
 
 def _key(label: str) -> int:
@@ -324,17 +328,18 @@ def token_classes(pages: DataFrame) -> DataFrame:
     """(host, layout, classes): the tokens of each class of equal vectors with enough tokens and
     pages, the most common class first.
 
-    Tasks send one row per host, layout and token, not one per page. Only tokens that a large share
-    of a layout's pages hold are gathered, so the classes are bounded by the tokens of its pages.
-    Copies of a page weigh as much as they occur, but count as one page for text.
+    Tasks send one row per host, layout and token (again for each HELD_TOKENS of them), not one per page, and
+    all of it adds up: counts, sums, the bits of the kinds of pages, the smallest and largest page hash. Only
+    tokens that a large share of a layout's pages hold are gathered, so the classes are bounded by the
+    tokens of its pages. Copies of a page weigh as much as they occur, but are one kind of page for text.
     """
-    schema = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("token", pa.int64()), ("pages", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
-                        ("markup", pa.bool_()), ("some", pa.list_(pa.int64()))])
+    schema = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("token", pa.int64()), ("markup", pa.bool_()), ("pages", pa.int64()), ("low", pa.int64()),
+                        ("high", pa.int64()), ("kinds", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
     mask = (1 << VECTOR_BITS) - 1
 
     def run(batches):
+        seen: dict[tuple, list] = {}
         for batch in batches:
-            seen: dict[tuple, list] = {}
             for host, layout, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 html = html.as_py() or ""
                 counts = Counter(page_tokens(html))
@@ -344,18 +349,21 @@ def token_classes(pages: DataFrame) -> DataFrame:
                 counts[-1, True] = 1  # the page itself
                 marks = {n: xxhash.xxh3_128_intdigest(f"{page}:{n}") for n in set(counts.values())}
                 for (key, markup), n in counts.items():
-                    held = seen.setdefault((host, layout, key), [0, 0, 0, markup, []])
+                    held = seen.setdefault((host, layout, key, markup), [0, 0, 0, 0, page, page])
                     held[0] += 1
                     held[1] += marks[n] & mask
                     held[2] += marks[n] >> VECTOR_BITS & mask
-                    if len(held[4]) < LEAST_PAGES and page not in held[4]:
-                        held[4].append(page)
-            yield from _rows([(*unit, *held) for unit, held in seen.items()], schema)
-
-    found = pages.mapInArrow(run, "host string, layout bigint, token bigint, pages bigint, low bigint, high bigint, markup boolean, some array<bigint>")
+                    held[3] |= 1 << page % PAGE_KINDS
+                    held[4], held[5] = min(held[4], page), max(held[5], page)
+            if len(seen) > HELD_TOKENS:
+                yield from _rows([(*unit, *held) for unit, held in seen.items()], schema)
+                seen = {}
+        yield from _rows([(*unit, *held) for unit, held in seen.items()], schema)
+
+    found = pages.mapInArrow(run, "host string, layout bigint, token bigint, markup boolean, pages bigint, low bigint, high bigint, kinds bigint, first bigint, last bigint")
     found = cut_lineage(found.groupBy("host", "layout", "token").agg(
-        *(F.sum(c).alias(c) for c in ("pages", "low", "high")), F.max("markup").alias("markup"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("some")))).alias("different")))
+        F.max("markup").alias("markup"), F.sum("pages").alias("pages"), *(F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in ("low", "high")),
+        F.when(F.min("first") == F.max("last"), 1).otherwise(F.greatest(F.lit(2), F.bit_count(F.bit_or("kinds")))).alias("different")))
     sizes = found.where("token = -1").select("host", "layout", F.col("pages").alias("all"))
     # text counts only where many pages repeat it
     common = found.where("token >= 0").join(sizes, ["host", "layout"]).where(

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from helixframe.llm import html
 from helixframe.llm.html import main_text
 
@@ -116,3 +118,21 @@ def test_articles_in_comments_do_not_hide_the_body():
     assert main_text(f"<body><p>x</p><article><p>a</p>{comments}</article></body>") == "a"
     assert main_text("<body><nav>m</nav><div class='modal'><article><p>a</p></article></div></body>") == "a"
     assert main_text("<body><aside><article>teaser</article></aside></body>") == ""
+
+
+def test_vectors_of_very_many_pages_add_up(spark, monkeypatch):
+    """Sums beyond a bigint, and a task that sends its tokens in several parts."""
+    from helixframe.llm import html as module
+
+    pages = spark.createDataFrame(
+        [(i, "http://big/", f"<body><div><p>Head</p></div><section>{'text ' * 3}{i}</section><ul><li>x</li></ul></body>") for i in range(40)],
+        "page_id long, url string, html string").select(module.host_of(F.col("url")).alias("host"), F.lit(1).cast("long").alias("layout"), "html")
+    whole = module.token_classes(pages).collect()
+    monkeypatch.setattr(module, "HELD_TOKENS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert module.token_classes(pages.coalesce(1)).collect() == whole and len(whole) == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    top = spark.range(1000).select(F.lit((1 << 63) - 1).alias("low")).agg(F.sum(F.col("low").cast("decimal(20,0)"))).first()[0]
+    assert int(top) == 1000 * ((1 << 63) - 1)
