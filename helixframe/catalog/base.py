@@ -139,6 +139,7 @@ ROLES: dict[str, tuple[str, dict[str, str], str | None]] = {
 # the same rows without gaps, for operators that read a whole table
 ROLES["annall"] = (*ROLES["ann"][:2], None)
 ROLES["afall"] = (*ROLES["af"][:2], None)
+ROLES["geneall"] = (*ROLES["gene"][:2], None)
 
 
 def role_sql(name: str) -> str:

@@ -43,9 +43,9 @@ def first_sql(c: str, usable: str) -> str:
 
 
 @query("collapse_transcripts", f"""SELECT variant_key, {first_sql('cons', 'cons IS NOT NULL')}, {first_sql('note', "note IS NOT NULL AND trim(note) <> ''")},
-    {first_sql('aaref', "aaref IS NOT NULL AND trim(aaref) <> ''")}, bool_or(coalesce(flag, false)) flag FROM @ann GROUP BY variant_key""")
+    {first_sql('aaref', "aaref IS NOT NULL AND trim(aaref) <> ''")}, bool_or(coalesce(flag, false)) flag FROM @annall GROUP BY variant_key""")
 def _(t):
-    rows = t.ann.select("variant_key", "o1", "rid", "cons", "note", "aaref", "flag")
+    rows = t.annall.select("variant_key", "o1", "rid", "cons", "note", "aaref", "flag")
     return dedup.collapse_transcripts(rows, ["o1", "rid"], any_true=["flag"])
 
 

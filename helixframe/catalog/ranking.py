@@ -59,15 +59,15 @@ def _(t):
     return attributions.topk_global(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", 25, "o_orderkey")
 
 
-@query("sort_nulls_last", "SELECT gene, oe_lof_upper, \"pLI\" FROM @gene ORDER BY oe_lof_upper NULLS LAST, \"pLI\" DESC NULLS LAST, gene")
+@query("sort_nulls_last", "SELECT gene, oe_lof_upper, \"pLI\" FROM @geneall ORDER BY oe_lof_upper NULLS LAST, \"pLI\" DESC NULLS LAST, gene")
 def _(t):
-    return t.gene.select("gene", "oe_lof_upper", "pLI").orderBy(
+    return t.geneall.select("gene", "oe_lof_upper", "pLI").orderBy(
         C("oe_lof_upper").asc_nulls_last(), C("pLI").desc_nulls_last(), "gene")
 
 
-@query("union_by_name", """SELECT DISTINCT variant_key, cons, "AC" FROM (SELECT variant_key, cons, NULL AS "AC" FROM @ann UNION ALL SELECT variant_key, NULL, "AC" FROM @af)""")
+@query("union_by_name", """SELECT DISTINCT variant_key, cons, "AC" FROM (SELECT variant_key, cons, NULL AS "AC" FROM @annall UNION ALL SELECT variant_key, NULL, "AC" FROM @afall)""")
 def _(t):
-    return splitting.union_by_name(t.ann.select("variant_key", "cons"), t.af.select("AC", "variant_key")).dropDuplicates()
+    return splitting.union_by_name(t.annall.select("variant_key", "cons"), t.afall.select("AC", "variant_key")).dropDuplicates()
 
 
 @query("expand_slices", "SELECT key, 'full' AS slice FROM @pred UNION ALL SELECT key, 'holdout' FROM @pred WHERE family_holdout UNION ALL SELECT key, 'scored' FROM @pred WHERE s IS NOT NULL")
