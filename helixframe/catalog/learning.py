@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from helixframe.catalog.base import R, query, rounded
 from helixframe.catalog.evaluation import CLIP, brier_sql
-from helixframe.operators import metrics
+from helixframe.operators import attributions, metrics
 from helixframe.operators.ordered import running_sums
-from helixframe.plans import training
+from helixframe.plans import explain, training
 from helixframe.session import cut_lineage
 
 C = F.col
@@ -276,3 +276,35 @@ def _(t):
     out = training.score_versions(fit.trees, fit.features, versions)
     best = [best_auc(rows, "label").withColumn("version", F.lit(name)) for name, rows in versions.items()]
     return out.join(best[0].unionByName(best[1]), "version").select("version", "n", "n_pos", near().alias("auc_near_best"))
+
+
+# attributions of a fitted model: they add up for every row, and the measure that decides a row leads it
+@query("tree_attributions", f"""SELECT variant_key, split, label AS y_true, true AS adds_up, CASE WHEN known <> 1 THEN 'num__quantity' END AS leading, CASE known WHEN 0 THEN -1 WHEN 2 THEN 1 END AS direction
+    FROM {MODEL_ROWS} WHERE split <> 'train'""")
+def _(t):
+    fit = training.fit_scorer(modelling(t), keep=CARRIED, params=SMALL_FIT)
+    rows, names = explained_rows(t, fit)
+    total = sum((C(f"`{n}`") for n in names), C("base"))
+    tops = attributions.top_features(names, 1)[0]
+    decided = C("known") != 1
+    return rows.select(
+        "variant_key", "split", C("label").alias("y_true"), (F.abs(total - C("log_odds")) < 1e-6).alias("adds_up"),
+        F.when(decided, tops["feature"]).alias("leading"), F.when(decided, F.signum(tops["value"]).cast("int")).alias("direction"))
+
+
+@query("tree_attribution_ranking", "SELECT 1 AS rank, 'num__quantity' AS feature, true AS positive")
+def _(t):
+    fit = training.fit_scorer(modelling(t), keep=CARRIED, params=SMALL_FIT)
+    rows, names = explained_rows(t, fit)
+    ranked = attributions.attribution_ranking(rows, names)
+    return ranked.filter("rank = 1").select("rank", "feature", (C("mean_abs") > 0).alias("positive"))
+
+
+#: A short fit: attributions hold for any ensemble.
+SMALL_FIT = {"max_iter": 30, "max_depth": 4}
+
+
+def explained_rows(t, fit):
+    held = fit.features.transform(modelling(t).filter("split <> 'train'"))
+    names = fit.features.manifest()
+    return cut_lineage(explain.attributions(fit.trees.model, held, names, ["variant_key", "split", "known", "label"])), names
