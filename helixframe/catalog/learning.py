@@ -292,14 +292,6 @@ def _(t):
         F.when(decided, tops["feature"]).alias("leading"), F.when(decided, F.signum(tops["value"]).cast("int")).alias("direction"))
 
 
-@query("tree_attribution_ranking", "SELECT 1 AS rank, 'num__quantity' AS feature, true AS positive")
-def _(t):
-    fit = training.fit_scorer(modelling(t), keep=CARRIED, params=SMALL_FIT)
-    rows, names = explained_rows(t, fit)
-    ranked = attributions.attribution_ranking(rows, names)
-    return ranked.filter("rank = 1").select("rank", "feature", (C("mean_abs") > 0).alias("positive"))
-
-
 #: A short fit: attributions hold for any ensemble.
 SMALL_FIT = {"max_iter": 30, "max_depth": 4}
 
