@@ -44,7 +44,7 @@ def delong_test(df, y="y", score_a="p_a", score_b="p_b", groups=(), with_pvalue=
                  F.col(score_a).cast("double").alias("a"), F.col(score_b).cast("double").alias("b"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    both = cells
+    both = cells = cut_lineage(cells)  # three passes over the cells, one over the rows
     for name in ("a", "b"):
         place = _placements(cells, name, name, groups).withColumnsRenamed({g: f"_g{i}" for i, g in enumerate(groups)})
         on = F.col(name) == F.col(f"_{name}")
@@ -345,7 +345,7 @@ def spearman_table(df: DataFrame, score: str, partners: Sequence[str], min_rows=
     long = shaped.unpivot(["_s"], list(partners), "partner", "value").filter(
         F.col("_s").isNotNull() & F.col("value").isNotNull()
     )
-    cells = long.groupBy("partner", "_s", "value").agg(F.count(F.lit(1)).alias("n"))
+    cells = cut_lineage(long.groupBy("partner", "_s", "value").agg(F.count(F.lit(1)).alias("n")))
 
     def ranks(column, out):
         per = cells.groupBy("partner", F.col(column).alias(f"_{out}")).agg(F.sum("n").alias("n"))
