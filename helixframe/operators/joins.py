@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from helixframe.constants import AF_EPSILON, CONSTRAINT_COLUMNS
 from helixframe.operators.dedup import keep_first
 from helixframe.operators.ordered import medians_wide
+from helixframe.session import cut_lineage
 
 AF_DEFAULTS = {"AF": 0.0, "AF_popmax": 0.0, "log_AF": math.log10(AF_EPSILON), "is_common": False}
 
@@ -216,72 +217,109 @@ def gene_lookup_from_rows(train, columns: Sequence[str], order: Sequence[str], g
     )
 
 
-def count_within_radius(points, radius=5.0, structure="structure_id", key="pos") -> DataFrame:
-    """Neighbours of every point within `radius`, per structure.
+#: Point pairs of two nodes up to which the points are compared; larger pairs of nodes are split.
+NODE_PAIRS = 1024
+#: Levels of the octree below cells of side `radius`; nodes of the last are compared by points at any size.
+DEEPEST = 12
 
-    Points sharing a coordinate collapse first. Space is cut into cells of side `radius`, each
-    made of eight octants of half that side. Two points of one octant are always neighbours, so
-    they are counted from the octant total and never paired. Other pairs meet once: a point
-    probes the later octants of its own cell and half of the adjacent cells, by equality on a
-    packed cell number, and a match counts for both ends.
 
-    A point sends about 16 probes, which size estimates do not see; the hint keeps the planner
-    from broadcasting or hashing them: a sort-merge join spills, and AQE splits its dense cells.
-    """
-    stride, half = 1 << 20, 1 << 19
-    place = {c: F.floor(F.col(c) / radius) for c in "xyz"}
-    cell = sum_packed([place[c] + half for c in "xyz"], stride)
-    upper = [((F.col(c) - place[c] * radius) >= radius / 2).cast("int") for c in "xyz"]
-    spots = (
-        points.groupBy(structure, "x", "y", "z").agg(F.count(F.lit(1)).alias("k"))
-        .withColumns({"cell": cell, "octant": upper[0] * 4 + upper[1] * 2 + upper[2]})
-    )
-    totals = spots.groupBy(structure, "cell", "octant").agg(F.sum("k").alias("same"))
-    whole = 8  # slot under which a point is found by its neighbouring cells
-    steps = [
-        (i * stride + j) * stride + k
-        for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)
-    ]
-
-    def probe(step, slot):
-        return F.struct(F.lit(step).cast("bigint").alias("step"), slot.alias("slot"))
-
-    outside = F.array(*[probe(s, F.lit(whole)) for s in steps])
-    inside = F.transform(
-        F.filter(F.array(*[F.lit(o) for o in range(8)]), lambda o: o > F.col("octant")), lambda o: probe(0, o)
-    )
-    probes = spots.select(
-        structure, "x", "y", "z", "k", "cell", F.inline(F.concat(outside, inside))
-    ).select(structure, "x", "y", "z", "k", (F.col("cell") + F.col("step")).alias("cell"), "slot")
-    found = spots.select(
-        structure, "cell", F.col("k").alias("ok"), *[F.col(c).alias(f"o{c}") for c in "xyz"],
-        F.explode(F.array(F.col("octant"), F.lit(whole))).alias("slot"),
-    )
-    distance = sum(((F.col(c) - F.col(f"o{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-    ends = F.array(
-        F.struct(*[F.col(c).alias(c) for c in "xyz"], F.col("ok").alias("n")),
-        F.struct(*[F.col(f"o{c}").alias(c) for c in "xyz"], F.col("k").alias("n")),
-    )
-    across = (
-        probes.join(found.hint("merge"), [structure, "cell", "slot"])
-        .filter(distance <= radius * radius)
-        .select(structure, F.inline(ends))
-        .groupBy(structure, "x", "y", "z")
-        .agg(F.sum("n").alias("across"))
-    )
-    per_spot = (
-        spots.join(totals, [structure, "cell", "octant"])
-        .join(across, [structure, "x", "y", "z"], "left")
-        .select(structure, "x", "y", "z", (F.col("same") + F.coalesce("across", F.lit(0))).alias("n"))
-    )
-    return points.join(per_spot, [structure, "x", "y", "z"]).select(
-        structure, key, (F.col("n") - 1).alias("neighbors")
-    )
+def _node(radius: float, level: int):
+    """Cell numbers of a point at a level, along each axis: cells of side radius / 2**level."""
+    side = radius / (1 << level)
+    return [F.floor(F.col(c) / F.lit(side)).cast("bigint") for c in "xyz"]
 
 
-def sum_packed(parts, stride: int):
-    """Digits in base `stride` as one bigint."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out * stride + p
-    return out
+def count_within_radius(points, radius=5.0, structure="structure_id", key="pos") -> DataFrame:
+    """Neighbours of every point within `radius`, per structure; points without a coordinate are left out.
+
+    Points sharing a coordinate collapse first. Space is a linear octree: cells of side `radius`, halved
+    from level to level, with the number of points of each node. Pairs of nodes are settled from these
+    numbers where the cubes lie wholly inside the radius or wholly beyond it; of the others those of few
+    points are compared by points, and only the rest is split into children. So dense regions cost
+    what lies near the surface of the sphere, not all their pairs. Levels are built only while such
+    pairs exist.
+    """
+    spots = cut_lineage(points.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).groupBy(
+        F.col(structure).alias("s"), "x", "y", "z").agg(F.count(F.lit(1)).alias("k")))
+    axes = ["i", "j", "l"]
+
+    def at_level(level: int) -> DataFrame:
+        return spots.select("s", "x", "y", "z", "k", *[c.alias(n) for c, n in zip(_node(radius, level), axes)])
+
+    def nodes_at(level: int) -> DataFrame:
+        return at_level(level).groupBy("s", *axes).agg(F.sum("k").alias("k"), F.count(F.lit(1)).alias("n"))
+
+    def named(rows: DataFrame, mark: str) -> DataFrame:
+        return rows.select(*[F.col(c).alias(f"{mark}{c}") for c in ("s", *axes, "k", "n")])
+
+    def first_pairs(nodes: DataFrame) -> DataFrame:
+        """Every node with itself and with the half of its neighbours that comes later."""
+        steps = F.array(*[
+            F.struct(*[F.lit(v).cast("bigint").alias(f"d{n}") for v, n in zip(step, axes)])
+            for step in ((i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)) if step >= (0, 0, 0)])
+        probes = named(nodes, "a_").select("*", F.inline(steps)).select(
+            "*", *[(F.col(f"a_{n}") + F.col(f"d{n}")).alias(f"t{n}") for n in axes])
+        right = named(nodes, "b_")
+        return probes.join(right, (F.col("a_s") == F.col("b_s")) & (F.col("ti") == F.col("b_i")) & (F.col("tj") == F.col("b_j")) & (F.col("tl") == F.col("b_l"))).select(
+            *[f"{m}{c}" for m in ("a_", "b_") for c in ("s", *axes, "k", "n")])
+
+    def child_pairs(pairs: DataFrame, level: int) -> DataFrame:
+        """The pairs of children of pairs of the level above, each pair of nodes once."""
+        nodes = cut_lineage(nodes_at(level))
+        up = [F.floor(F.col(n) / 2).cast("bigint").alias(f"u{n}") for n in axes]
+
+        def below(mark: str) -> DataFrame:
+            return nodes.select(*[F.col(c).alias(f"{mark}{c}") for c in ("s", *axes, "k", "n")], *[u.alias(f"{mark}u{n}") for u, n in zip(up, axes)])
+
+        wanted = pairs.select("a_s", *[F.col(f"{m}{n}").alias(f"p{m}{n}") for m in ("a_", "b_") for n in axes])
+        one = wanted.join(below("a_").withColumnRenamed("a_s", "s1"), (F.col("a_s") == F.col("s1")) & (F.col("pa_i") == F.col("a_ui")) & (F.col("pa_j") == F.col("a_uj")) & (F.col("pa_l") == F.col("a_ul")))
+        two = one.join(below("b_"), (F.col("a_s") == F.col("b_s")) & (F.col("pb_i") == F.col("b_ui")) & (F.col("pb_j") == F.col("b_uj")) & (F.col("pb_l") == F.col("b_ul")))
+        same = F.lit(True)
+        for n in axes:
+            same = same & (F.col(f"pa_{n}") == F.col(f"pb_{n}"))
+        later = F.struct(*[F.col(f"a_{n}").alias(n) for n in axes]) <= F.struct(*[F.col(f"b_{n}").alias(n) for n in axes])
+        return two.filter(~same | later).select(*[f"{m}{c}" for m in ("a_", "b_") for c in ("s", *axes, "k", "n")])
+
+    def both_ends(rows: DataFrame, names: list[str]) -> DataFrame:
+        """What a gives to b and b to a; a pair of one node or point gives once."""
+        same = F.lit(True)
+        for n in names:
+            same = same & (F.col(f"a_{n}") == F.col(f"b_{n}"))
+        to_a = F.struct(*[F.col(f"a_{n}").alias(n) for n in names], F.col("b_k").alias("got"))
+        to_b = F.struct(*[F.col(f"b_{n}").alias(n) for n in names], F.col("a_k").alias("got"))
+        return rows.select(F.col("a_s").alias("s"), F.inline(F.when(same, F.array(to_a)).otherwise(F.array(to_a, to_b))))
+
+    counts = []
+    pairs = first_pairs(cut_lineage(nodes_at(0)))
+    for level in range(DEEPEST + 1):
+        far = F.lit(0).cast("bigint")
+        near = F.lit(0).cast("bigint")
+        for n in axes:
+            gap = F.abs(F.col(f"a_{n}") - F.col(f"b_{n}"))
+            far, near = far + (gap + 1) * (gap + 1), near + F.greatest(gap - 1, F.lit(0)) * F.greatest(gap - 1, F.lit(0))
+        reach = 1 << 2 * level
+        kind = F.when(far < reach, "inside").when(near > reach, "beyond").when(
+            (F.col("a_n") * F.col("b_n") <= NODE_PAIRS) | F.lit(level == DEEPEST), "points").otherwise("split")
+        marked = cut_lineage(pairs.withColumn("kind", kind).filter("kind <> 'beyond'"))
+        here = at_level(level)
+        settled = both_ends(marked.filter("kind = 'inside'"), axes).groupBy("s", *axes).agg(F.sum("got").alias("got"))
+        counts.append(here.join(settled, ["s", *axes]).select("s", "x", "y", "z", "got"))
+        left, right = (here.select(*[F.col(c).alias(f"{m}{c}") for c in ("s", *axes, "x", "y", "z", "k")]) for m in ("a_", "b_"))
+        few = marked.filter("kind = 'points'").select(*[f"{m}{n}" for m in ("a_", "b_") for n in ("s", *axes)])
+        met = few.join(left, ["a_s", *[f"a_{n}" for n in axes]]).join(right, ["b_s", *[f"b_{n}" for n in axes]])
+        apart = F.lit(False)
+        for n in axes:
+            apart = apart | (F.col(f"a_{n}") != F.col(f"b_{n}"))
+        once = apart | (F.struct(*[F.col(f"a_{c}").alias(c) for c in "xyz"]) <= F.struct(*[F.col(f"b_{c}").alias(c) for c in "xyz"]))
+        distance = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in "xyz"), F.lit(0.0))
+        counts.append(both_ends(met.filter(once & (distance <= radius * radius)), ["x", "y", "z"]))
+        rest = marked.filter("kind = 'split'")
+        if rest.isEmpty():
+            break
+        pairs = child_pairs(rest, level + 1)
+    total = counts[0]
+    for more in counts[1:]:
+        total = total.unionByName(more)
+    total = total.groupBy("s", "x", "y", "z").agg(F.sum("got").alias("n")).withColumnsRenamed({c: f"_{c}" for c in "sxyz"} | {"n": "_n"})
+    return points.join(total, (F.col(structure) == F.col("_s")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")) & (F.col("z") == F.col("_z"))).select(
+        structure, key, (F.col("_n") - 1).alias("neighbors"))

@@ -71,6 +71,32 @@ def test_radius_counts_match_brute_force(spark):
     assert [got[i] for i in range(120)] == list((d2 <= 25).sum(1) - 1)
 
 
+def test_radius_counts_of_dense_cells_come_from_node_counts(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    n = 3000
+    pts = np.concatenate([rng.random((n * 9 // 20, 3)) * 4.9, rng.random((n * 9 // 20, 3)) * 4.9 + [5.0, 0, 0], rng.random((n // 10, 3)) * 60 - 30])
+    pts[:5] = pts[0]
+    df = spark.createDataFrame([("s", i, *map(float, p)) for i, p in enumerate(pts)] + [("t", 0, 1.0, 1.0, 1.0), ("t", 1, None, 1.0, 1.0)], "structure_id string, pos int, x double, y double, z double")
+    compared, join = [], joins.count_within_radius
+    keep = joins.cut_lineage
+
+    def watched(rows):
+        written = keep(rows)
+        if "kind" in written.columns:  # points that are compared, of the pairs of nodes of a level
+            few = written.filter("kind = 'points'").agg(F.coalesce(F.sum(F.col("a_n") * F.col("b_n")), F.lit(0))).first()[0]
+            compared.append(few)
+        return written
+
+    monkeypatch.setattr(joins, "cut_lineage", watched)
+    monkeypatch.setattr(joins, "NODE_PAIRS", 64)
+    got = {(r.structure_id, r.pos): r.neighbors for r in join(df).collect()}
+    d2 = ((pts[:, None] - pts[None]) ** 2).sum(-1)
+    want = (d2 <= 25).sum(1) - 1
+    assert got.pop(("t", 0)) == 0 and len(got) == len(pts)
+    assert [got["s", i] for i in range(len(pts))] == list(want)
+    assert len(compared) > 2 and sum(compared) < 0.35 * (n * 0.9) ** 2 / 2
+
+
 def test_position_window(spark):
     df = spark.createDataFrame([("s", 1, 95.0), ("s", 2, 80.0), ("s", 3, 60.0), ("s", 40, 7.0)], "structure_id string, pos int, bfactor double")
     out = {r.pos: r.window_mean for r in structure.position_window_mean(df).collect()}
