@@ -344,6 +344,7 @@ def paired_bootstrap_delta(
 #: Distinct scores that a task deals positives to, and tasks that share a small table's replicates.
 DEAL_CELLS = 4096
 DEAL_TASKS = 32
+DEAL_PARTS = 10_000
 #: Standard deviations of a split that are tabulated; the uniform numbers have 31 bits and reach 6.3 of them.
 REACH = 7
 
@@ -433,7 +434,10 @@ def permuted_rank_sums(cells: DataFrame, n_cells: int, m: int, replicates: int,
     tasks = min(DEAL_TASKS, max(1, replicates))
     dealt = cells.sparkSession.range(0, tasks, 1, tasks).mapInPandas(to_blocks, "block bigint, chunk bigint, rep bigint, m bigint")
     spread = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
-    sums = spread.groupBy("block", "chunk").cogroup(dealt.groupBy("block", "chunk")).applyInPandas(inside, "rep bigint, rank_sum double")
+    # few bytes and much work: a stated number of partitions is not coalesced
+    parts = min(2 * blocks * chunks, DEAL_PARTS)
+    left, right = (rows.repartition(parts, "block", "chunk").groupBy("block", "chunk") for rows in (spread, dealt))
+    sums = left.cogroup(right).applyInPandas(inside, "rep bigint, rank_sum double")
     return sums.groupBy("rep").agg(F.sum("rank_sum").alias("rank_sum"))
 
 
