@@ -52,7 +52,7 @@ RESIDUE_CLASS = (
 )
 CLASS_NAMES = ("polar", "non-polar", "positive", "negative", "aromatic", "special")
 
-# BLOSUM62 (Henikoff & Henikoff 1992), lower triangle with diagonal; the matrix is symmetric.
+# --- Fixed values: BLOSUM62 (Henikoff & Henikoff 1992), lower triangle with diagonal; the matrix is symmetric ---
 BLOSUM62_TRIANGLE = """
 A  4
 R -1  5
@@ -76,7 +76,7 @@ Y -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
 V  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
 """
 
-# Grantham (1974) distances, lower triangle; the diagonal is zero and the matrix symmetric.
+# --- Fixed values: Grantham (1974) distances, lower triangle; the diagonal is zero and the matrix symmetric ---
 GRANTHAM_TRIANGLE = """
 A
 R 112
