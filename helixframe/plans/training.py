@@ -154,7 +154,7 @@ def class_weight(df: DataFrame, label="label") -> DataFrame:
 
 DEFAULT_PARAMS = {"max_depth": 5, "step_size": 0.1, "subsample": 0.8, "max_iter": 500, "min_instances": 1, "feature_share": "all", "patience": 80, "tolerance": 1e-4}
 #: Trees of the first round of growth, beyond the patience.
-FIRST_TREES = 80
+FIRST_TREES = 120
 #: Training rows of a task. Each level of a tree is a job, so a small table is not dealt over many tasks.
 ROWS_PER_TASK = 50_000
 
