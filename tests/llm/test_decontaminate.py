@@ -87,3 +87,30 @@ def test_index_finds_all_within_radius():
     got = set(zip(*(x.tolist() for x in index.search(queries))))
     near = np.bitwise_count(queries[:, None] ^ prints[None, :]) <= dc.RADIUS
     assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(near))}
+
+
+def test_what_the_index_and_the_shared_shingle_leave_to_compare(monkeypatch):
+    """Random prints: the radius leaves a few in a hundred. Texts without a shingle of an item cost no comparison,
+    a planted item only those of the windows around it."""
+    import pyarrow as pa
+
+    from helixframe.llm.words import SPACES, words_of
+
+    rng = np.random.default_rng(1)
+    prints = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    found = dc.HammingIndex(prints).search(rng.integers(0, 2**64, 200, dtype=np.uint64))[0].size
+    assert found / (200 * 400) < 0.05
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [" ".join(rng.choice(vocabulary, 30)) for _ in range(200)]
+    texts = [" ".join(rng.choice(vocabulary, 400)) for _ in range(50)]
+    index, calls, compare = dc.ItemIndex(list(range(200)), items), [], dc.weighted_similarity
+    monkeypatch.setattr(dc, "weighted_similarity", lambda a, b: calls.append(1) or compare(a, b))
+
+    def matches(rows):
+        words = words_of(pa.array(rows), SPACES)
+        return index.matches(words.hashes, words.first)
+
+    assert matches(texts) == [] and len(calls) == 0
+    planted = [f"{texts[0]} {items[5]} {texts[1]}"]
+    assert [m[1] for m in matches(planted)] == [5]
+    assert 0 < len(calls) < 0.1 * 2 * 30 * 200  # of all windows that touch the item with all items
