@@ -57,6 +57,9 @@ def modelling(t):
     )
 
 
+#: Trees of each of the fits of a study at most. A model of the telling measure alone goes on improving for
+#: hundreds of trees, as the rows that it settles are settled ever more surely.
+STUDY = {"max_iter": 200}
 #: Columns of `modelling` that are carried along and never model inputs.
 CARRIED = ["family", "known"]
 
@@ -240,7 +243,7 @@ def test_best(data):
     FROM {GROUP_ROWS}, (SELECT unnest(['roc_auc', 'pr_auc']) metric), (SELECT count(*) n FROM {MODEL_ROWS} WHERE split = 'test') WHERE n > 0""")
 def _(t):
     data = cut_lineage(modelling(t))
-    out = training.feature_ablation(data, GROUPS, replicates=1000, keep=CARRIED)
+    out = training.feature_ablation(data, GROUPS, replicates=1000, params=STUDY, keep=CARRIED)
     return out.join(F.broadcast(test_best(data))).select(
         "removed", "n_removed", "metric", ((C("metric") == "pr_auc") | near("full")).alias("full_near_best"),
         ((C("ci_lo") <= C("delta")) & (C("delta") <= C("ci_hi"))).alias("interval_holds_delta"), (C("delta") > 5e-2).alias("loses"),
@@ -250,7 +253,7 @@ def _(t):
 @query("single_group_models", f"""SELECT feature_group, count(*) n, cast(sum(label) AS BIGINT) n_pos, feature_group = '{TELLING}' AS near_best, feature_group <> '{TELLING}' AS near_chance FROM {MODEL_ROWS}, {GROUP_ROWS} WHERE split = 'test' GROUP BY feature_group""")
 def _(t):
     data = cut_lineage(modelling(t))
-    out = training.single_group_models(data, GROUPS, keep=CARRIED)
+    out = training.single_group_models(data, GROUPS, params=STUDY, keep=CARRIED)
     return out.join(F.broadcast(test_best(data))).select(
         "feature_group", "n", "n_pos", near().alias("near_best"), (F.abs(C("roc_auc") - 0.5) < 2 * NEAR).alias("near_chance"))
 
@@ -262,7 +265,7 @@ FRACTIONS = (0.10, 0.25, 0.50, 0.75, 1.00)
     WHERE split <> 'train' GROUP BY ALL""")
 def _(t):
     data = cut_lineage(modelling(t))
-    out = training.learning_curve(data, FRACTIONS, keep=CARRIED)
+    out = training.learning_curve(data, FRACTIONS, params=STUDY, keep=CARRIED)
     return out.join(F.broadcast(best_auc(data, "label", ["split"])), "split").select("split", "fraction", "n", "n_pos", near().alias("auc_near_best"))
 
 
