@@ -60,13 +60,14 @@ def test_fit_does_not_depend_on_the_rounds_of_growth(rows, monkeypatch):
     assert a.best_iteration == training.stopped_at(a.losses, 5, training.DEFAULT_PARAMS["tolerance"])[0]
 
 
-def test_best_of_a_pruned_search_is_that_of_the_whole_one(rows):
+def test_best_of_a_pruned_search_is_that_of_the_whole_one(rows, monkeypatch):
     flat = rows.select("variant_key", "split", "label", *[vector_to_array("features")[i].alias(f"x{i}") for i in range(3)])
-    best, history = training.param_search(flat, trials=6, search_trees=16)
-    whole, every = training.param_search(flat, trials=6, search_trees=16, prune=False)
+    whole, every = training.param_search(flat, trials=6, search_trees=6, prune=False)
+    monkeypatch.setattr(training, "rungs", lambda trials, most: [(trials, 3), (3, most)])
+    best, history = training.param_search(flat, trials=6, search_trees=6)
     assert best == whole
     last = {r.trial: (r.rung, r.n_trees) for r in history.collect()}
-    assert sorted(last.values()) == [(0, 8)] * 3 + [(1, 16)] * 3
-    assert {r.trial: r.n_trees for r in every.collect()} == {i: 16 for i in range(6)}
+    assert sorted(last.values()) == [(0, 3)] * 3 + [(1, 6)] * 3
+    assert {r.trial: r.n_trees for r in every.collect()} == {i: 6 for i in range(6)}
     scores = {r.trial: r.val_pr for r in every.collect()}
     assert all(np.isclose(r.val_pr, scores[r.trial]) for r in history.collect() if r.rung == 1)
