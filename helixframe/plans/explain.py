@@ -92,13 +92,19 @@ def explainer(model, spark) -> Explainer:
     model.save(path)
     rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").select(
         "treeID", "id", "prediction", F.col("impurityStats")[0].alias("weight"), F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
-        F.col("split.featureIndex").alias("feature"), F.try_element_at("split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold"),
+        F.col("split.featureIndex").alias("feature"), F.col("split.leftCategoriesOrThreshold").alias("cut"),
         F.col("split.numCategories").alias("categories")).collect()
     trees: dict[int, dict[int, dict]] = {}
     for r in rows:
-        if r["left"] >= 0 and r["categories"] != -1:
-            raise ValueError("splits on category indices are not supported; encode categories as columns")
-        trees.setdefault(r["treeID"], {})[r["id"]] = r.asDict()
+        node = r.asDict()
+        if r["left"] >= 0:
+            if r["categories"] > 2:
+                raise ValueError("splits on category indices are not supported; encode categories as columns")
+            # a split of a two-valued column (0 or 1) lists the values that go left
+            node["threshold"] = r["cut"][0] if r["categories"] < 0 else 0.5
+            if r["categories"] == 2 and 0.0 not in r["cut"]:
+                node["left"], node["right"] = node["right"], node["left"]
+        trees.setdefault(r["treeID"], {})[r["id"]] = node
     leaves = [leaf for i, weight in enumerate(model.treeWeights) for leaf in tree_leaves(trees[i], 2.0 * weight)]
     base = sum(leaf.value * float(np.prod(leaf.share)) for leaf in leaves)
     return Explainer([leaf for leaf in leaves if len(leaf.features)], base)

@@ -70,3 +70,16 @@ def test_attributions_add_up_to_the_log_odds(spark):
     assert max(size, key=size.get) == "a" and size["d"] < size["a"] / 3
     scored = {r.i: r.p_raw for r in training.score_rows(fit, df).collect()}
     assert max(abs(1 / (1 + np.exp(-r.log_odds)) - scored[r.i]) for r in rows) < 1e-9
+
+
+def test_one_hot_columns(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"k{i}", ("train", "val")[i % 3 == 0], "abc"[i % 3] if i % 7 else None, float(v), int(rng.random() < (0.9 if i % 3 == 1 else 0.2))) for i, v in enumerate(rng.random(300))]
+    df = spark.createDataFrame(rows, "variant_key string, split string, c string, x double, label int")
+    model = training.fit_features(df.filter("split = 'train'"), ["x"], ["c"])
+    ready = model.transform(df)
+    fit = training.train_boosted_trees(ready.filter("split = 'train'"), ready.filter("split = 'val'"), params={"max_iter": 6, "max_depth": 3})
+    out = explain.attributions(fit.model, ready, model.manifest(), ["variant_key"]).collect()
+    assert max(abs(r.base + sum(r[n] for n in model.manifest()) - r.log_odds) for r in out) < 1e-9
+    size = {n: np.mean([abs(r[n]) for r in out]) for n in model.manifest()}
+    assert max(size, key=size.get).startswith("cat__c_")
