@@ -71,3 +71,24 @@ def test_best_of_a_pruned_search_is_that_of_the_whole_one(rows, monkeypatch):
     assert {r.trial: r.n_trees for r in every.collect()} == {i: 6 for i in range(6)}
     scores = {r.trial: r.val_pr for r in every.collect()}
     assert all(np.isclose(r.val_pr, scores[r.trial]) for r in history.collect() if r.rung == 1)
+
+
+def test_cells_hold_every_row_and_the_model_takes_the_features_themselves(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 6, 4000), np.round(rng.random(4000), 2), rng.integers(0, 2, 4000)]).astype(float)
+    y = (rng.random(4000) < 0.2 + 0.1 * x[:, 0]).astype(int)
+    df = spark.createDataFrame([(Vectors.dense(v.tolist()), int(label)) for v, label in zip(x, y)], ["features", "label"])
+    edges = training.bin_edges(df)
+    assert edges[0] == [0.5, 1.5, 2.5, 3.5, 4.5] and edges[2] == [0.5] and 20 < len(edges[1]) < training.BINS
+    held = training.boosting_cells(df, edges, "label", 3.0, False)
+    assert held.count() < 1000 and held.agg(F.sum("_n")).first()[0] == 4000  # rows of equal bins are one cell
+    weights = {r[0]: r[1] for r in held.groupBy("_label").agg(F.sum("_w")).collect()}
+    assert np.isclose(weights[1.0], 3.0 * y.sum()) and np.isclose(weights[0.0], (1 - y).sum())
+    rows = training.boosting_cells(df, edges, "label", 3.0, True)
+    assert rows.count() == 4000  # a small table keeps an instance for each row
+    monkeypatch.setattr(training, "FINE_SHARE", 400)
+    cut = training.boosting_cells(df, edges, "label", 3.0, True)
+    assert cut.count() < 1500 and cut.agg(F.max("_n")).first()[0] <= 10 and np.isclose(cut.agg(F.sum("_n")).first()[0], 4000)
+    model = training.grow_trees(cut, training.DEFAULT_PARAMS | {"max_depth": 3}, 6, 1)
+    lost = training.on_values(model, edges).evaluateEachIteration(training.boosting_rows(df, "label", 3.0))
+    assert np.allclose(lost, model.evaluateEachIteration(held))  # every row goes the way of its cell
