@@ -92,3 +92,31 @@ def test_cells_hold_every_row_and_the_model_takes_the_features_themselves(spark,
     model = training.grow_trees(cut, training.DEFAULT_PARAMS | {"max_depth": 3}, 6, 1)
     lost = training.on_values(model, edges).evaluateEachIteration(training.boosting_rows(df, "label", 3.0))
     assert np.allclose(lost, model.evaluateEachIteration(held))  # every row goes the way of its cell
+
+
+def test_fits_of_a_study_share_one_preparation(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    a, b, c = rng.integers(0, 9, 1500), rng.integers(0, 5, 1500), rng.integers(0, 3, 1500)
+    y = (rng.random(1500) < 0.1 + 0.08 * a + 0.02 * b).astype(int)
+    rows = [(f"k{i}", ("train", "train", "val", "test")[i % 4], float(p), float(q), f"c{r}", int(v)) for i, (p, q, r, v) in enumerate(zip(a, b, c, y))]
+    data = spark.createDataFrame(rows, "variant_key string, split string, a double, b double, c string, label int")
+    params = {"max_depth": 2, "max_iter": 4}
+    prepared = training.prepare_rows(data)
+    for drop in ([], ["a"], ["b", "c"]):  # the same fit as from the table without the columns
+        shared, alone = ({r.variant_key: r.p_raw for r in f.predictions.collect()} for f in (
+            training.fit_prepared(prepared, drop, params=params), training.fit_scorer(data, drop, params=params)))
+        assert shared.keys() == alone.keys() and len(shared) == 750 and all(np.isclose(shared[k], alone[k]) for k in shared)
+    fitted = []
+    real = training.fit_features
+    monkeypatch.setattr(training, "fit_features", lambda *args: fitted.append(1) or real(*args))
+    table = training.single_group_models(data, {"a": ("a",), "c": ("c",)}, params=params).collect()
+    assert len(fitted) == 1 and {r.feature_group for r in table} == {"a", "c"} and all(r.n == 375 for r in table)
+
+
+def test_a_search_reads_cells(spark):
+    x = [i % 10 for i in range(3000)]
+    flat = spark.createDataFrame(
+        [(f"k{i}", "train" if i % 3 else "val", float(v), int((i * 7919) % 100 < 10 * v)) for i, v in enumerate(x)],
+        "variant_key string, split string, x double, label int")
+    train, val = training.search_rows(flat, "variant_key", "label", ())
+    assert train.count() == 2000 and val.count() <= 20 and val.agg(F.sum("_n")).first()[0] == 1000
