@@ -28,6 +28,8 @@ BLOCK_BYTES = 1 << 16
 #: Text of a block when writing; a block of incompressible text still fits BLOCK_BYTES.
 BLOCK_TEXT = 0xFF00
 SPLIT_BYTES = 32 << 20
+#: Ranges beyond which larger ones are read, up to SPLIT_BYTES each, as every range costs a task its start.
+MANY_RANGES = 512
 CHUNK_BYTES = 8 << 20
 
 
@@ -139,6 +141,11 @@ def range_text(file, start: int, end: int, size: int, chunk: int = CHUNK_BYTES)
         yield data
 
 
+def range_bytes(asked: int, total: int) -> int:
+    """Bytes of a range: as asked, more where that would be very many ranges."""
+    return max(asked, min(SPLIT_BYTES, total // MANY_RANGES))
+
+
 def cut_columns(text: bytes, names: list[str], wanted: list[str], sep: str) -> pa.Table:
     """The wanted columns of whole lines, as strings; empty and missing cells are null. The others are
     skipped by the parser."""
@@ -204,7 +211,8 @@ class BlockGzipReader(DataSourceReader):
     def __init__(self, source: BlockGzipSource, wanted: list[str]):
         options = source.options
         self.wanted, self.sep, self.lines = wanted, options.get("sep", "\t"), options.get("lines") == "true"
-        self.split, self.files = int(options.get("splitBytes", SPLIT_BYTES)), source.files()
+        self.files = source.files()
+        self.split = range_bytes(int(options.get("splitBytes", SPLIT_BYTES)), sum(size for _, size in self.files))
         self.names = [] if self.lines else source.header(self.files[0][0])
         lost = [] if self.lines else [n for n in wanted if n not in self.names]
         if lost:
@@ -234,7 +242,8 @@ class BlockGzipReader(DataSourceReader):
 
 def read_block_gzip(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = "\t", split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Named string columns of delimited block-gzip text; empty cells are null. Without `columns`, all of
-    the header. A folder whose files differ in their header raises."""
+    the header. A folder whose files differ in their header raises. Large folders are read in ranges of more
+    than `split_bytes`."""
     spark.dataSource.register(BlockGzipSource)
     reader = spark.read.format("blockgzip").option("sep", sep).option("splitBytes", split_bytes)
     if columns is not None:

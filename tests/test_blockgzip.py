@@ -68,3 +68,14 @@ def test_lines_of_other_widths_and_other_headers(spark, tmp_path):
     (tmp_path / "c.gz").write_bytes(gzip.compress(b"x\ty\n" * 50000))
     with pytest.raises(Exception, match="(?i)block"):
         bg.read_block_gzip(spark, str(tmp_path / "c.gz"), ["x"], split_bytes=64).collect()
+
+
+def test_ranges_grow_with_the_bytes_once_they_are_many(spark, tmp_path, monkeypatch):
+    assert bg.range_bytes(1 << 17, 10 << 20) == 1 << 17
+    assert bg.range_bytes(1 << 17, 2 << 30) == 4 << 20 and bg.range_bytes(1 << 17, 1 << 40) == bg.SPLIT_BYTES
+    assert bg.range_bytes(64 << 20, 1 << 40) == 64 << 20
+    monkeypatch.setattr(bg, "MANY_RANGES", 4)
+    bg.write_block_gzip(spark.range(40_000).selectExpr("md5(cast(id as string)) as a", "id as b").coalesce(1), str(tmp_path / "t"))
+    source = bg.BlockGzipSource({"path": str(tmp_path / "t"), "splitBytes": "1000"})
+    parts = source.reader(source.schema()).partitions()
+    assert 4 <= len(parts) <= 5 and parts[0].start == 0 and parts[-1].end == parts[-1].size
