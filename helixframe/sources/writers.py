@@ -12,8 +12,11 @@ from helixframe.session import cut_lineage
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), mode="overwrite") -> None:
-    """Table snapshot. Sorting inside partitions lets position lookups skip row groups."""
-    out = df.sortWithinPartitions(*sort_by) if sort_by else df
+    """Table snapshot. Sorting inside partitions lets position lookups skip row groups.
+
+    The folders' columns lead the order: the writer needs rows in it, and would sort anew by them alone.
+    """
+    out = df.sortWithinPartitions(*partition_by, *sort_by) if sort_by else df
     writer = out.write.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
