@@ -14,6 +14,7 @@ from helixframe.catalog.scalars import CLASS_CASE
 from helixframe.functions.families import strata_family
 from helixframe.functions.scores import ERFC_STEP, ERFC_TERMS
 from helixframe.operators import attributions, comparison, metrics, resampling, splitting
+from helixframe.session import cut_lineage
 
 C = F.col
 
@@ -55,7 +56,7 @@ SWEEP = ranking_sql("(SELECT alpha, y, (1e0 - alpha) * r1 + alpha * r2 fused FRO
 def _(t):
     rows = t.pred.filter("split = 'val'").withColumn("_s2", -C("s"))
     ranked = comparison.rank_neutral(comparison.rank_neutral(rows, "p", "key", "r1"), "_s2", "key", "r2")
-    out = comparison.fusion_sweep(ranked)
+    out = comparison.fusion_sweep(cut_lineage(ranked.select("y", "r1", "r2")))
     return out.withColumns({c: F.round(c, 8) + F.lit(0.0) for c in ("roc_auc", "pr_auc")})
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from helixframe.constants import CLASS_NAMES, Z_95
 from helixframe.functions.residues import aa_class
 from helixframe.functions.scores import two_sided_normal, two_sided_student
-from helixframe.operators.metrics import guarded_ranking, ranking_metrics, rate
+from helixframe.operators.metrics import guarded_ranking, ranking_in_blocks, ranking_metrics, rate
 from helixframe.operators.ordered import exact_quantiles, mid_ranks, ordinal_ranks, running_sums
 from helixframe.operators.resampling import bootstrap_metrics, paired_bootstrap_delta
 from helixframe.session import cut_lineage
@@ -160,13 +160,14 @@ def alpha_grid(steps=41):
 
 
 def fusion_sweep(ranked: DataFrame, y="y", first="r1", second="r2", alphas=None) -> DataFrame:
-    """AUC and average precision of the fused rank for each alpha."""
+    """AUC and average precision of the fused rank for each alpha. `ranked` is read several times and should
+    be a written table."""
     alphas = alpha_grid() if alphas is None else alphas
     grid = F.explode(F.array(*[F.lit(a) for a in alphas])).alias("alpha")
     rows = ranked.select(y, first, second, grid).select(
         "alpha", y, fuse(F.col(first), F.col(second), F.col("alpha")).alias("fused")
     )
-    return ranking_metrics(rows, y, "fused", ["alpha"])
+    return ranking_in_blocks(rows, y, "fused", ["alpha"])
 
 
 def best_alpha(sweep: DataFrame) -> DataFrame:

@@ -242,3 +242,18 @@ def test_normal_tail(spark):
     assert np.allclose(got, want, rtol=1e-12, atol=0)
     odd = spark.createDataFrame([(None,), (float("nan"),)], "z double").select(two_sided_normal(F.col("z"))).collect()
     assert [r[0] for r in odd] == [None, None]
+
+
+def test_ranking_in_blocks_deals_rows_once(spark):
+    rng = np.random.default_rng(9)
+    p = np.where(rng.random(6000) < 0.3, 0.5, np.round(rng.random(6000), 3))
+    rows = [(int(i % 2), float(v), int(rng.random() < v)) for i, v in enumerate(p)] + [(0, None, 1), (1, 0.2, None)]
+    df = spark.createDataFrame(rows, "g int, p double, y int").cache()
+    want = {r.g: r for r in metrics.ranking_metrics(df, groups=["g"]).collect()}
+    found = metrics.ranking_in_blocks(df, groups=["g"], limit=200)
+    for r in found.collect():
+        w = want[r.g]
+        assert (r.n, r.n_pos) == (w.n, w.n_pos) and np.isclose(r.roc_auc, w.roc_auc) and np.isclose(r.pr_auc, w.pr_auc)
+    one = metrics.ranking_in_blocks(df, limit=200).first()
+    assert np.isclose(one.roc_auc, metrics.ranking_metrics(df).first().roc_auc)
+    assert len(want) == 2
