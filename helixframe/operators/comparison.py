@@ -163,11 +163,12 @@ def fusion_sweep(ranked: DataFrame, y="y", first="r1", second="r2", alphas=None)
     """AUC and average precision of the fused rank for each alpha. `ranked` is read several times and should
     be a written table."""
     alphas = alpha_grid() if alphas is None else alphas
-    grid = F.explode(F.array(*[F.lit(a) for a in alphas])).alias("alpha")
-    rows = ranked.select(y, first, second, grid).select(
-        "alpha", y, fuse(F.col(first), F.col(second), F.col("alpha")).alias("fused")
+    weights = F.array(*[F.lit(float(a)) for a in alphas])
+    rows = ranked.select(y, first, second, F.posexplode(weights).alias("_at", "alpha")).select(
+        "_at", y, fuse(F.col(first), F.col(second), F.col("alpha")).alias("fused")
     )
-    return ranking_in_blocks(rows, y, "fused", ["alpha"])
+    found = ranking_in_blocks(rows, y, "fused", ["_at"])  # a double as a group would be dealt again for its zeros
+    return found.select(F.get(weights, F.col("_at")).alias("alpha"), "n", "n_pos", "roc_auc", "pr_auc")
 
 
 def best_alpha(sweep: DataFrame) -> DataFrame:
