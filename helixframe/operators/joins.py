@@ -5,14 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from helixframe.constants import AF_EPSILON, CONSTRAINT_COLUMNS
 from helixframe.operators.dedup import keep_first
 from helixframe.operators.ordered import medians_wide
-from helixframe.session import cut_lineage
+from helixframe.session import cut_lineage, small_side
 
 AF_DEFAULTS = {"AF": 0.0, "AF_popmax": 0.0, "log_AF": math.log10(AF_EPSILON), "is_common": False}
 
@@ -217,6 +221,10 @@ def gene_lookup_from_rows(train, columns: Sequence[str], order: Sequence[str], g
     )
 
 
+#: Rows of a structure up to which it is worked on as one group; the points of larger ones go through an octree.
+STRUCTURE_ROWS = 2048
+#: Points that are compared at a time with those near them.
+POINTS_AT_ONCE = 128
 #: Point pairs of two nodes up to which the points are compared; larger pairs of nodes are split.
 NODE_PAIRS = 1024
 #: Levels of the octree below cells of side `radius`; nodes of the last are compared by points at any size.
@@ -229,9 +237,59 @@ def _node(radius: float, level: int):
     return [F.floor(F.col(c) / F.lit(side)).cast("bigint") for c in "xyz"]
 
 
+def by_size(rows: DataFrame, group: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups of at most STRUCTURE_ROWS rows, and those of larger groups (None if there are none)."""
+    sizes = rows.groupBy(F.col(group).alias("_large")).agg(F.count(F.lit(1)).alias("n"))
+    large = small_side(sizes.filter((F.col("n") > STRUCTURE_ROWS) & F.col("_large").isNotNull()).select("_large"))
+    if large.isEmpty():
+        return rows, None
+    same = F.col(group) == F.col("_large")
+    return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
+
+
+def near_in_groups(points: DataFrame, radius=5.0, structure="structure_id") -> DataFrame:
+    """All columns and `neighbors` of the points of small structures, each compared in one task.
+
+    Points in the order of x meet those within `radius` along x only. A point without a finite coordinate has NULL.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y, z = (pc.cast(table.column(c), pa.float64()).to_numpy().astype(float) for c in "xyz")
+        finite = np.isfinite(x) & np.isfinite(y) & np.isfinite(z)
+        order = np.flatnonzero(finite)
+        order = order[np.argsort(x[order], kind="stable")]
+        x, y, z = x[order], y[order], z[order]
+        reach = radius + 1e-9 * (radius + np.abs(x).max(initial=0.0))
+        got = np.zeros(table.num_rows, dtype=np.int64)
+        for low in range(0, len(order), POINTS_AT_ONCE):
+            part = slice(low, low + POINTS_AT_ONCE)
+            near = slice(np.searchsorted(x, x[part][0] - reach), np.searchsorted(x, x[part][-1] + reach, "right"))
+            distance = (x[part, None] - x[None, near]) ** 2 + (y[part, None] - y[None, near]) ** 2 + (z[part, None] - z[None, near]) ** 2
+            got[order[part]] = np.count_nonzero(distance <= radius * radius, axis=1) - 1
+        return table.append_column("neighbors", pa.array(got, mask=~finite))
+
+    schema = StructType([*points.schema.fields, StructField("neighbors", LongType())])
+    return points.groupBy(structure).applyInArrow(run, schema)
+
+
 def count_within_radius(points, radius=5.0, structure="structure_id", key="pos") -> DataFrame:
     """Neighbours of every point within `radius`, per structure; points without a coordinate are left out.
 
+    Structures of at most STRUCTURE_ROWS points are dealt once and compared in a task each, larger ones
+    go through an octree.
+    """
+    known = points.select(structure, key, "x", "y", "z").filter(
+        F.col(structure).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+    small, large = by_size(known, structure)
+    out = near_in_groups(small, radius, structure).filter(F.col("neighbors").isNotNull())
+    if large is not None:
+        out = out.unionByName(near_by_octree(large, radius, structure))
+    return out.select(structure, key, "neighbors")
+
+
+def near_by_octree(points: DataFrame, radius=5.0, structure="structure_id") -> DataFrame:
+    """All columns and `neighbors` of points with coordinates, in structures of any size.
+
     Points sharing a coordinate collapse first. Space is a linear octree: cells of side `radius`, halved
     from level to level, with the number of points of each node. Pairs of nodes are settled from these
     numbers where the cubes lie wholly inside the radius or wholly beyond it; of the others those of few
@@ -322,4 +380,4 @@ def count_within_radius(points, radius=5.0, structure="structure_id", key="pos")
         total = total.unionByName(more)
     total = total.groupBy("s", "x", "y", "z").agg(F.sum("got").alias("n")).withColumnsRenamed({c: f"_{c}" for c in "sxyz"} | {"n": "_n"})
     return points.join(total, (F.col(structure) == F.col("_s")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")) & (F.col("z") == F.col("_z"))).select(
-        structure, key, (F.col("_n") - 1).alias("neighbors"))
+        *[points[c] for c in points.columns], (F.col("_n") - 1).alias("neighbors"))

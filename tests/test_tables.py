@@ -237,3 +237,9 @@ def test_dead_columns_and_stratified_fallback(spark):
     for k in (1, 5, 100, 250, 900):
         got = splitting.stratified_sample(few, k, "key").groupBy("label").count().collect()
         assert {r[0]: r[1] for r in got} == {0: min(k, 250), 1: min(k, 250)}
+
+
+def test_small_structures_are_dealt_once(spark):
+    df = spark.createDataFrame([("s", i, float(i), 0.0, 0.0, 1.0) for i in range(20)], "structure_id string, pos int, x double, y double, z double, bfactor double")
+    for out in (joins.count_within_radius(df),):
+        assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
