@@ -6,24 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixframe.operators.joins import count_within_radius
+from helixframe.operators.joins import by_size, count_within_radius
 
 
-def position_window_mean(df: DataFrame, value="bfactor", pos="pos", structure="structure_id", reach=5, out="window_mean") -> DataFrame:
-    """Mean over residues whose position lies within `reach`; gaps in numbering are allowed.
+def _mean_in_groups(df: DataFrame, value, pos, structure, reach, out) -> DataFrame:
+    """Means of small structures, by a window over each."""
+    near = W.partitionBy(structure).orderBy(pos).rangeBetween(-reach, reach)
+    return df.withColumn(out, F.avg(value).over(near))
 
-    Runs as an aggregate per (structure, position) first, so repeated positions collapse, and as
-    `2*reach+1` shifted copies joined by equality, so a huge structure is not one window.
-    """
+
+def _mean_by_shifts(df: DataFrame, value, pos, structure, reach, out) -> DataFrame:
+    """Means of structures of any size, none of which is one window: an aggregate per (structure, position),
+    so that repeated positions collapse, and `2*reach+1` shifted copies of it joined by equality."""
     spots = df.groupBy(structure, pos).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     shifts = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
     near = spots.select(structure, "_s", "_n", F.col(pos).alias("_p"), shifts.alias("_d")).select(
         structure, (F.col("_p") + F.col("_d")).alias(pos), "_s", "_n"
     )
-    means = near.groupBy(structure, pos).agg((F.sum("_s") / F.sum("_n")).alias(out))
+    means = near.groupBy(structure, pos).agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias(out))
     return df.join(means, [structure, pos])
 
 
+def position_window_mean(df: DataFrame, value="bfactor", pos="pos", structure="structure_id", reach=5, out="window_mean") -> DataFrame:
+    """Mean over residues whose position lies within `reach`; gaps in numbering are allowed.
+
+    Rows without a structure or position are left out. Small structures are dealt once and are a window
+    each; only structures of more rows are copied.
+    """
+    known = df.filter(F.col(structure).isNotNull() & F.col(pos).isNotNull())
+    small, large = by_size(known, structure)
+    means = _mean_in_groups(small, value, pos, structure, reach, out)
+    return means if large is None else means.unionByName(_mean_by_shifts(large, value, pos, structure, reach, out))
+
+
 def structure_features(atoms: DataFrame, radius=5.0) -> DataFrame:
     """Confidence, windowed confidence and neighbour count for each residue."""
     ca = atoms.select("structure_id", "pos", "x", "y", "z", "bfactor")

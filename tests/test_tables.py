@@ -241,5 +241,5 @@ def test_dead_columns_and_stratified_fallback(spark):
 
 def test_small_structures_are_dealt_once(spark):
     df = spark.createDataFrame([("s", i, float(i), 0.0, 0.0, 1.0) for i in range(20)], "structure_id string, pos int, x double, y double, z double, bfactor double")
-    for out in (joins.count_within_radius(df),):
+    for out in (structure.position_window_mean(df), joins.count_within_radius(df)):
         assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
