@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixframe.operators.joins import by_size, count_within_radius
+from helixframe.operators.joins import by_size, near_by_octree, near_in_groups
 
 
 def _mean_in_groups(df: DataFrame, value, pos, structure, reach, out) -> DataFrame:
@@ -40,8 +40,19 @@ def position_window_mean(df: DataFrame, value="bfactor", pos="pos", structure="s
 
 
 def structure_features(atoms: DataFrame, radius=5.0) -> DataFrame:
-    """Confidence, windowed confidence and neighbour count for each residue."""
-    ca = atoms.select("structure_id", "pos", "x", "y", "z", "bfactor")
-    windowed = position_window_mean(ca).select("structure_id", "pos", "bfactor", "window_mean")
-    near = count_within_radius(ca, radius)
-    return windowed.join(near, ["structure_id", "pos"], "left")
+    """Confidence, windowed confidence and neighbour count for each residue, one row for each row of `atoms`
+    with a structure and a position; the count is NULL without coordinates.
+
+    Rows of small structures are dealt once, for the window and the neighbours.
+    """
+    ca = atoms.select("structure_id", "pos", "x", "y", "z", "bfactor").filter(F.col("structure_id").isNotNull() & F.col("pos").isNotNull())
+    small, large = by_size(ca, "structure_id")
+    window = ("bfactor", "pos", "structure_id", 5, "window_mean")
+    out = near_in_groups(_mean_in_groups(small, *window), radius)
+    if large is not None:
+        windowed = _mean_by_shifts(large, *window)
+        # as near_in_groups has it: no count without a finite coordinate
+        known = sum((F.col(c).cast("double") * 0 for c in "xyz"), F.lit(0.0)) == 0
+        out = out.unionByName(near_by_octree(windowed.filter(known), radius)).unionByName(
+            windowed.filter(~F.coalesce(known, F.lit(False))).withColumn("neighbors", F.lit(None).cast("bigint")))
+    return out.select("structure_id", "pos", "bfactor", "window_mean", "neighbors")

@@ -239,7 +239,31 @@ def test_dead_columns_and_stratified_fallback(spark):
         assert {r[0]: r[1] for r in got} == {0: min(k, 250), 1: min(k, 250)}
 
 
+def test_structures_of_any_size_keep_one_row_for_each_atom(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(s, int(p), *map(float, xyz), float(b)) for s, n in (("a", 40), ("b", 300)) for p, xyz, b in
+            zip(rng.integers(0, 60, n), np.round(rng.random((n, 3)) * 14, 1), rng.integers(0, 90, n))]
+    rows += [rows[0], rows[0], rows[50], rows[50], ("a", 3, None, 1.0, 1.0, 5.0), ("b", 9, 1.0, float("nan"), 1.0, 7.0), (None, 1, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "structure_id string, pos int, x double, y double, z double, bfactor double")
+
+    def want(s, p, x, y, z, b):
+        mates = [r for r in rows if r[0] == s]
+        mean = np.mean([r[5] for r in mates if abs(r[1] - p) <= 5])
+        near = None if x is None or np.isnan(y) else sum((x - r[2]) ** 2 + (y - r[3]) ** 2 + (z - r[4]) ** 2 <= 25 for r in mates if r[2] is not None) - 1
+        return s, p, b, round(float(mean), 8), near
+
+    expect = sorted(map(str, (want(*r) for r in rows if r[0])))
+    for most in (2048, 100, 1):  # all structures small, one large, all large
+        monkeypatch.setattr(joins, "STRUCTURE_ROWS", most)
+        got = structure.structure_features(df).collect()
+        assert sorted(str((r[0], r[1], r[2], round(r[3], 8), r[4])) for r in got) == expect
+        means = structure.position_window_mean(df).collect()
+        assert sorted(round(r.window_mean, 8) for r in means) == sorted(round(r[3], 8) for r in got)
+        counts = joins.count_within_radius(df).collect()
+        assert sorted((r[0], r[1], r[2]) for r in counts) == sorted((r[0], r[1], r[4]) for r in got if r[4] is not None)
+
+
 def test_small_structures_are_dealt_once(spark):
     df = spark.createDataFrame([("s", i, float(i), 0.0, 0.0, 1.0) for i in range(20)], "structure_id string, pos int, x double, y double, z double, bfactor double")
-    for out in (structure.position_window_mean(df), joins.count_within_radius(df)):
+    for out in (structure.structure_features(df), structure.position_window_mean(df), joins.count_within_radius(df)):
         assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
