@@ -168,11 +168,16 @@ def _(t):
     return readers.read_keys(t.spark, path)
 
 
+#: Rows of a file of compressed JSON, which one task reads.
+JSON_ROWS = 1_000_000
+
+
 @query("scan_annotation_json", f"SELECT variant_key, len(recs) n_records, json_extract_string(recs[1], '$.transcript_id') first_transcript, cast(json_extract_string(recs[2], '$.protein_start') AS INTEGER) second_start FROM {RECS_SQL} WHERE recs IS NOT NULL")
 def _(t):
     path = scratch_path(t.spark, "json")
     rows = t.lineitem.selectExpr(f"{RID} as k", f"{JSON} as j").filter("j is not null")
-    rows.select(F.concat(F.lit('{"variant_key":"'), "k", F.lit('","transcript_consequences":'), "j", F.lit("}")).alias("value")).write.text(path)
+    rows.select(F.concat(F.lit('{"variant_key":"'), "k", F.lit('","transcript_consequences":'), "j", F.lit("}")).alias("value")).write.option(
+        "compression", "gzip").option("maxRecordsPerFile", JSON_ROWS).text(path)
     tc = C("transcript_consequences")
     return readers.read_annotation_json(t.spark, path).select(
         "variant_key", F.size(tc).cast("bigint").alias("n_records"), F.get(tc, F.lit(0))["transcript_id"].alias("first_transcript"), F.get(tc, F.lit(1))["protein_start"].alias("second_start"))

@@ -231,3 +231,21 @@ def test_folder_of_different_headers_raises(spark, tmp_path):
         readers.read_delimited(spark, str(tmp_path)).collect()
     (tmp_path / "b.tsv").write_text("x\ty\n3\t4\n")
     assert readers.read_delimited(spark, str(tmp_path)).count() == 2
+
+
+def written(spark, name):
+    """Files of the last scratch folder of that name."""
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    last = max((d for d in os.listdir(root) if d.startswith(f"{name}-")), key=lambda d: os.path.getmtime(f"{root}/{d}"))
+    return [f"{root}/{last}/{f}" for f in os.listdir(f"{root}/{last}") if f.startswith("part-")]
+
+
+def test_json_lines_are_written_compressed_in_small_files(spark, entry, monkeypatch):
+    import gzip
+
+    from helixframe.catalog import sources
+
+    monkeypatch.setattr(sources, "JSON_ROWS", 500)
+    n = entry.queries()["scan_annotation_json"](spark, SF).count()
+    lines = [len(gzip.open(f, "rt").readlines()) for f in written(spark, "json")]
+    assert sum(lines) == n > 500 and max(lines) <= 500
