@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.catalog.base import R, query, rounded
-from helixframe.session import scratch_path
+from helixframe.session import plan_bytes, scratch_path
 from helixframe.sources.readers import standardize_af_table
 from helixframe.streaming import incremental
 
@@ -13,6 +13,18 @@ C = F.col
 SCHEMA = "k bigint, status string, value double"
 
 
+#: Bytes of a given table for each file of a stream that is made of it.
+FILE_BYTES = 32 << 20
+
+
+def stream_of(t, table: str, rows, name: str):
+    """Rows of a given table as a stream of files, half of them in a batch. A larger table makes more files, so
+    that no task deals or reads more."""
+    path, files = scratch_path(t.spark, name), max(4, -(-plan_bytes(getattr(t, table)) // FILE_BYTES))
+    rows.repartition(files).write.parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(path)
+
+
 def resolver(t):
     """Answers from orders: every tenth key fails, customers divisible by seven resolve to nothing."""
     table = t.orders.selectExpr("o_orderkey as k", "o_custkey", "o_orderstatus", "o_totalprice")
@@ -38,18 +50,15 @@ def _(t):
 
 @query("stream_enrich", """SELECT count(*) n, count(DISTINCT o_orderkey) n_keys FROM orders WHERE o_orderkey % 10 <> 3 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 def _(t):
-    path, source = scratch_path(t.spark, "store"), scratch_path(t.spark, "keys")
-    t.lineitem.select(C("l_orderkey").alias("k")).repartition(4).write.parquet(source)
-    stream = t.spark.readStream.schema("k bigint").option("maxFilesPerTrigger", 2).parquet(source)
+    path = scratch_path(t.spark, "store")
+    stream = stream_of(t, "lineitem", t.lineitem.select(C("l_orderkey").alias("k")), "keys")
     incremental.stream_enrich(stream, path, SCHEMA, resolver(t), scratch_path(t.spark, "progress"), "k")
     return incremental.read_store(t.spark, path, SCHEMA).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("n_keys"))
 
 
 @query("stream_ingest_stats", f"""SELECT cast(count(*) AS BIGINT) total, count(*) FILTER ("AF" > 1e-2) common, count(*) FILTER ("AF" <= 1e-2) rare, {R('avg("AF")')} mean_af FROM @afall""")
 def _(t):
-    source, out, stats = (scratch_path(t.spark, n) for n in ("afin", "afout", "afstats"))
-    raw = t.afall.select("variant_key", "AF", "AN", "AC")
-    raw.repartition(4).write.parquet(source)
-    stream = t.spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    out, stats = (scratch_path(t.spark, n) for n in ("afout", "afstats"))
+    stream = stream_of(t, "lineitem", t.afall.select("variant_key", "AF", "AN", "AC"), "afin")
     incremental.stream_ingest(stream, out, stats, scratch_path(t.spark, "progress"), standardize_af_table)
     return rounded(incremental.ingest_totals(t.spark, stats))

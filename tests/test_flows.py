@@ -249,3 +249,14 @@ def test_json_lines_are_written_compressed_in_small_files(spark, entry, monkeypa
     n = entry.queries()["scan_annotation_json"](spark, SF).count()
     lines = [len(gzip.open(f, "rt").readlines()) for f in written(spark, "json")]
     assert sum(lines) == n > 500 and max(lines) <= 500
+
+
+@pytest.mark.parametrize("name, folder", [("stream_ingest_stats", "afin"), ("stream_enrich", "keys")])
+def test_files_of_a_stream_grow_with_the_table(spark, entry, monkeypatch, name, folder):
+    from helixframe.catalog import incremental
+
+    expect = [tuple(r) for r in entry.queries()[name](spark, SF).collect()]
+    assert len(written(spark, folder)) == 4
+    monkeypatch.setattr(incremental, "FILE_BYTES", 1 << 13)
+    assert [tuple(r) for r in entry.queries()[name](spark, SF).collect()] == expect
+    assert len(written(spark, folder)) > 8
