@@ -27,7 +27,7 @@ def as_text(t, df, name: str, header=True, sep="\t", ext=".gz") -> str:
     path = scratch_path(t.spark, name)
     df.select(*[C(f"`{c}`").cast("string").alias(c) for c in df.columns]).write.option("sep", sep).option(
         "header", header).option("emptyValue", "").option("quote", "\u0000").option(
-        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("compression", "gzip").csv(path)
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").csv(path)
     return path
 
 

@@ -32,7 +32,7 @@ def norm_allele(c: Column) -> Column:
 def norm_chrom(c: Column) -> Column:
     """Bare chromosome name; NULL for missing tokens and numbers outside 1..22."""
     text = F.trim(c.cast("string"))
-    body = F.upper(F.regexp_replace(text, r"^[cC][hH][rR]", ""))
+    body = F.upper(F.when(F.lower(F.substring(text, 1, 3)) == "chr", F.substring(text, 4, 1 << 30)).otherwise(text))
     number = body.try_cast("bigint")
     return (
         F.when(text.isNull() | (text == "") | F.upper(text).isin(*CHROM_NULL_TOKENS), F.lit(None))
@@ -57,7 +57,7 @@ def norm_chrom_external(c: Column) -> Column:
 def first_token(c: Column) -> Column:
     """First ';' then ',' token of a packed cell, NULL for missing spellings."""
     text = F.trim(c.cast("string"))
-    head = F.trim(F.split(F.trim(F.split(text, ";")[0]), ",")[0])
+    head = F.trim(F.substring_index(F.trim(F.substring_index(text, ";", 1)), ",", 1))
     keep = ~text.isin(*CELL_NULL_TOKENS) & ~head.isin(*CELL_NULL_TOKENS)
     return F.when(keep, head)
 

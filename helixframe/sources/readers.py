@@ -172,11 +172,13 @@ def standardize_annotation(df: DataFrame, keys: DataFrame | None = None, aliases
         raise ValueError(f"annotation table lacks key columns: {missing}")
     col = {n: F.col(f"`{c}`") if c else F.lit(None).cast("string") for n, c in at.items()}
     used = sorted({c for c in at.values() if c})
-    key = V.variant_key(
-        X.norm_chrom(col["chr"]), X.as_numeric(col["pos"]).cast("bigint"),
-        F.upper(X.first_token(col["ref"])), F.upper(X.first_token(col["alt"])),
-    )
-    rows = df.select(*[F.col(f"`{c}`") for c in used], key.alias("variant_key"))
+    parts = {
+        "_chr": X.norm_chrom(col["chr"]), "_pos": X.as_numeric(col["pos"]).cast("bigint"),
+        "_ref": F.upper(X.first_token(col["ref"])), "_alt": F.upper(X.first_token(col["alt"])),
+    }
+    # the parts are columns first, so that the key reads each of them as often as it likes
+    rows = df.select(*[F.col(f"`{c}`") for c in used], *[e.alias(n) for n, e in parts.items()])
+    rows = rows.select(*[F.col(f"`{c}`") for c in used], V.variant_key(*[F.col(n) for n in parts]).alias("variant_key"))
     rows = rows.filter(F.col("variant_key").isNotNull())
     if keys is not None:
         rows = rows.join(keys.select("variant_key"), "variant_key", "left_semi")

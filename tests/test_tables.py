@@ -267,3 +267,15 @@ def test_small_structures_are_dealt_once(spark):
     df = spark.createDataFrame([("s", i, float(i), 0.0, 0.0, 1.0) for i in range(20)], "structure_id string, pos int, x double, y double, z double, bfactor double")
     for out in (structure.structure_features(df), structure.position_window_mean(df), joins.count_within_radius(df)):
         assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_key_parts_of_annotation_are_columns_first(spark):
+    from helixframe.sources.readers import standardize_annotation
+
+    rows = [("CHR7", " 5.0;9", "a,c", "t;."), ("chrchr1", "5", "A", "G"), ("ch", "5", "A", "G"), ("chr", "5", "A", "G"), (" cHrX ", "6;", "c ;g", " t,"), ("chr23", "7", "A", "."), ("chr1", ";5", "A", "G"), ("chr25", "5", "A", "G"), (None, "5", "A", "G")]
+    df = spark.createDataFrame(rows, "`#chr` string, `pos(1-based)` string, ref string, alt string")
+    out = standardize_annotation(df)
+    assert sorted(r.variant_key for r in out.select("variant_key").collect()) == ["7:5:A:T", "CH:5:A:G", "CHR1:5:A:G", "X:6:C:T"]
+    plan = out.select("variant_key")._jdf.queryExecution().optimizedPlan().toString()
+    project = next(line for line in plan.splitlines() if "AS variant_key" in line)
+    assert "regexp_replace" not in plan and "split(" not in plan and project.count("substring_index") == 0
