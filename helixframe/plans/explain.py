@@ -9,7 +9,7 @@ own saved node table; rows stay where they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from math import factorial
 
@@ -24,6 +24,8 @@ from helixframe.session import scratch_path
 
 #: Rows that look up their patterns at a time.
 ROWS_AT_ONCE = 4096
+#: Bytes of the tables of all leaves up to which a task keeps them; larger ones are made anew for each lookup.
+TABLE_BYTES = 64 << 20
 
 
 @dataclass
@@ -59,14 +61,26 @@ class Explainer:
     leaves: list[Leaf]
     base: float
 
+    def tables(self) -> Iterable[np.ndarray]:
+        """The table of each leaf."""
+        if sum(len(leaf.features) << len(leaf.features) for leaf in self.leaves) * 8 > TABLE_BYTES:
+            return (leaf.table() for leaf in self.leaves)
+        if "_tables" not in self.__dict__:
+            self._tables = [leaf.table() for leaf in self.leaves]
+        return self._tables
+
     def __call__(self, rows: np.ndarray) -> np.ndarray:
         """(rows x features) attributions to the log-odds."""
-        out = np.zeros(rows.shape)
-        for leaf in self.leaves:
-            held = rows[:, leaf.features]
-            pattern = ((held > leaf.low) & (held <= leaf.high)) @ (1 << np.arange(len(leaf.features)))
-            out[:, leaf.features] += leaf.table()[pattern]  # a path names each feature once
-        return out
+        columns = np.ascontiguousarray(rows.T)
+        out = np.zeros(columns.shape)
+        for leaf, table in zip(self.leaves, self.tables()):
+            pattern = np.zeros(columns.shape[1], dtype=np.int64)
+            for j, (i, low, high) in enumerate(zip(leaf.features, leaf.low, leaf.high)):
+                met = ((columns[i] > low) & (columns[i] <= high)).astype(np.int64)
+                pattern += met << j
+            for j, i in enumerate(leaf.features):  # a path names each feature once
+                out[i] += table[:, j].take(pattern)
+        return out.T
 
 
 def tree_leaves(nodes: dict[int, dict], scale: float) -> Iterator[Leaf]:

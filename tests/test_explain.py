@@ -83,3 +83,16 @@ def test_one_hot_columns(spark):
     assert max(abs(r.base + sum(r[n] for n in model.manifest()) - r.log_odds) for r in out) < 1e-9
     size = {n: np.mean([abs(r[n]) for r in out]) for n in model.manifest()}
     assert max(size, key=size.get).startswith("cat__c_")
+
+
+def test_tables_of_leaves_are_made_once_for_all_rows(monkeypatch):
+    nodes = random_tree(np.random.default_rng(5), 4, 4)
+    leaves = [leaf for leaf in explain.tree_leaves(nodes, 1.0) if len(leaf.features)]
+    made, table = [], explain.Leaf.table
+    monkeypatch.setattr(explain.Leaf, "table", lambda leaf: made.append(1) or table(leaf))
+    rows = np.random.default_rng(6).random((50, 4))
+    kept = explain.Explainer(leaves, 0.0)
+    first = [kept(rows[low:low + 10]) for low in range(0, 50, 10)]
+    assert len(made) == len(leaves)
+    monkeypatch.setattr(explain, "TABLE_BYTES", 0)  # too large to keep
+    assert np.array_equal(np.concatenate(first), explain.Explainer(leaves, 0.0)(rows))
