@@ -47,10 +47,7 @@ def merged(t):
     af = by_position(t.af).select("variant_key", "AF", "AF_AFR", "AN", "AC", "o1", "rid")
     freq = af.select("variant_key", "AF", C("AF_AFR").alias("AF_popmax"), "AN", "AC", log_af(C("AF")).alias("log_AF"),
                      is_common(C("AF")).alias("is_common"), "o1", "rid")
-    from helixframe.operators.dedup import keep_first
-
-    one = keep_first(freq, ["variant_key"], ["o1", "rid"]).drop("o1", "rid")
-    return dataset.merge_sources(keyed, ann, one, ["o1", "rid"], [C("a1"), C("a2")]).withColumn("variant_key", C("full_key"))
+    return dataset.merge_sources(keyed, ann, freq, ["o1", "rid"], ["a1", "a2"], ["o1", "rid"]).withColumn("variant_key", C("full_key"))
 
 
 @query("split_summary", f"""WITH m AS MATERIALIZED (SELECT * FROM {MERGED_SQL}) SELECT split, count(*) n_rows, count(DISTINCT family) n_groups, count(*) FILTER (label = 1) n_pos, count(*) FILTER (label = 0) n_neg, {R('avg(label)')} ratio

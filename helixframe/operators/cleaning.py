@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from helixframe import constants as K
 from helixframe.functions import text as T
 from helixframe.functions.variants import canonical_variant, variant_key
+from helixframe.session import computed_once
 
 
 def require_columns(df: DataFrame, names: Sequence[str], table: str = "table") -> DataFrame:
@@ -76,14 +77,15 @@ def standardize_rows(df: DataFrame) -> DataFrame:
         preferred = T.norm_allele(_or_null(df, first))
         return F.when(preferred != "", preferred).otherwise(T.norm_allele(_or_null(df, second)))
 
-    return df.withColumns(
+    return computed_once(
+        df,
         {
             "chr": T.norm_chrom(F.col("Chromosome")),
             "pos": pos.cast("bigint"),
             "ref": allele("ReferenceAlleleVCF", "ReferenceAllele"),
             "alt": allele("AlternateAlleleVCF", "AlternateAllele"),
             "gene": F.trim(F.coalesce(F.col("GeneSymbol"), F.lit(""))),
-        }
+        },
     )
 
 

@@ -8,13 +8,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+UNORDERED_TYPES = ("map", "variant", "interval")
+
+
+def _ordered(kind) -> bool:
+    name = kind.typeName()
+    if name == "array":
+        return _ordered(kind.elementType)
+    return all(_ordered(f.dataType) for f in kind.fields) if name == "struct" else name not in UNORDERED_TYPES
+
+
+def _first_row(df: DataFrame, keys: Sequence[str], order: Sequence, **more) -> DataFrame:
+    """Keys, the aggregates in `more` and the columns of the first row.
+
+    One struct with the order in front is compared and kept, so no column is carried twice; rows that
+    the order leaves equal are told apart by their other columns. Types without an order (maps)
+    cannot be in it and stay outside.
+    """
+    place = [(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)]
+    inside = {o: f"_o{i}" for i, o in enumerate(order) if isinstance(o, str)}
+    rest = [f.name for f in df.schema.fields if f.name not in keys]
+    if all(_ordered(df.schema[c].dataType) for c in rest):
+        first = F.min(F.struct(*place, *[c for c in rest if c not in inside]))
+    else:
+        first, inside = F.min_by(F.struct(*rest), F.struct(*place)), {}
+    picked = df.groupBy(*keys).agg(first.alias("_row"), *[e.alias(name) for name, e in more.items()])
+    return picked.select(*keys, *more, *[F.col("_row")[inside.get(c, c)].alias(c) for c in rest])
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """First row per key. An aggregate, not a window, so one hot key never fills one task."""
-    ranked = [o if not isinstance(o, str) else F.col(o) for o in order]
-    rest = [c for c in df.columns if c not in keys]
-    place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(ranked)])
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), place).alias("_row"))
-    return picked.select(*keys, "_row.*").select(*df.columns)
+    return _first_row(df, keys, order).select(*df.columns)
 
 
 def dedup_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -41,20 +65,8 @@ def drop_conflicting_keys(df: DataFrame, key="variant_key", label="label") -> Da
 
 def resolve_keys(df: DataFrame, order: Sequence, key="variant_key", label="label") -> DataFrame:
     """Drop conflicting keys and keep the first row of the others, in a single shuffle."""
-    ranked = [o if not isinstance(o, str) else F.col(o) for o in order]
-    rest = [c for c in df.columns if c != key]
-    place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(ranked)])
-    return (
-        df.groupBy(key)
-        .agg(
-            F.min(label).alias("_low"),
-            F.max(label).alias("_high"),
-            F.min_by(F.struct(*rest), place).alias("_row"),
-        )
-        .filter(F.col("_low").eqNullSafe(F.col("_high")))
-        .select(key, "_row.*")
-        .select(*df.columns)
-    )
+    firsts = _first_row(df, [key], order, _low=F.min(label), _high=F.max(label))
+    return firsts.filter(F.col("_low").eqNullSafe(F.col("_high"))).select(*df.columns)
 
 
 def most_constrained(df: DataFrame, tiebreak: Sequence[str], gene="gene", bound="oe_lof_upper"):

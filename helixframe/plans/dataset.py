@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from helixframe import constants as K
 from helixframe.functions.families import gene_family
 from helixframe.operators import cleaning, dedup, joins, profiling, splitting
-from helixframe.session import cut_lineage
+from helixframe.session import computed_once, cut_lineage
 
 
 def merge_sources(labels, annotation, freq, order: Sequence, annotation_order: Sequence = (), freq_order: Sequence = ()) -> DataFrame:
@@ -23,9 +23,10 @@ def merge_sources(labels, annotation, freq, order: Sequence, annotation_order: S
     resolved = dedup.resolve_keys(labels, order)
     merged = joins.join_inner_validated(resolved, annotation, order=annotation_order, drop=K.ID_COLUMNS[1:8], validate=False)
     keep = [c for c in ("variant_key", "AF", "AF_popmax", "AN", "AC", "log_AF", "is_common") if c in freq.columns]
-    table = freq.select(*keep)
-    table = dedup.keep_first(table, ["variant_key"], freq_order or [c for c in keep if c != "variant_key"])
-    out = joins.join_left_defaults(merged, table)
+    order = list(freq_order) or [c for c in keep if c != "variant_key"]
+    if all(isinstance(o, str) for o in order):
+        freq = freq.select(*dict.fromkeys([*keep, *order]))
+    out = joins.join_left_defaults(merged, dedup.keep_first(freq, ["variant_key"], order).select(*keep))
     out = cut_lineage(out.withColumn("has_annotation", F.lit(True)))
     if out.isEmpty():
         raise ValueError("no labelled key is annotated")
@@ -33,7 +34,7 @@ def merge_sources(labels, annotation, freq, order: Sequence, annotation_order: S
 
 
 def split_by_family(df: DataFrame, gene="gene", seed=42, **ratios) -> DataFrame:
-    tagged = df.withColumn("family", gene_family(F.col(gene)))
+    tagged = computed_once(df, {"family": gene_family(F.col(gene))})
     return splitting.group_split(tagged, "family", seed=seed, **ratios)
 
 
