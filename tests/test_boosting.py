@@ -52,3 +52,10 @@ def test_jobs_of_a_fit_do_not_grow_with_its_trees(cells, spark):
         return found
 
     assert 0 < jobs(30) <= jobs(3) + 2
+
+
+def test_values_up_to_sixty_four_are_told_apart(spark):
+    rows = spark.createDataFrame([(Vectors.dense([float(i % 56), float(i)]),) for i in range(560)], ["features"])
+    few, many = training.bin_edges(rows)
+    assert few == [i + 0.5 for i in range(55)]  # quantiles would put values that decide the label in one bin with others
+    assert len(many) == training.BINS - 1
