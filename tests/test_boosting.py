@@ -59,3 +59,16 @@ def test_values_up_to_sixty_four_are_told_apart(spark):
     few, many = training.bin_edges(rows)
     assert few == [i + 0.5 for i in range(55)]  # quantiles would put values that decide the label in one bin with others
     assert len(many) == training.BINS - 1
+
+
+def test_a_curve_scores_cells_instead_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(f"k{i}", ("train", "train", "val", "test")[i % 4], f"f{i % 9}", float(v), int(rng.random() < 0.1 + 0.08 * v)) for i, v in enumerate(rng.integers(0, 9, 1200))]
+    data = spark.createDataFrame(rows, "variant_key string, split string, family string, x double, label int")
+    params = {"max_depth": 2, "max_iter": 3}
+    alone = training.ranking_metrics(training.train_and_score(data, params=params, keep=["family"]), "y_true", "p_raw", ["split"]).collect()
+    monkeypatch.setattr(training, "score_rows", lambda *args: pytest.fail("a row was scored"))
+    curve = training.learning_curve(data, [0.5, 1.0], params=params, keep=["family"]).collect()
+    assert {(r.split, r.fraction, r.n) for r in curve} == {(s, f, 300) for s in ("val", "test") for f in (0.5, 1.0)}
+    whole = {r.split: r for r in curve if r.fraction == 1.0}
+    assert all(np.isclose(r.roc_auc, whole[r.split].roc_auc) and np.isclose(r.pr_auc, whole[r.split].pr_auc) for r in alone)
