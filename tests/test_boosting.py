@@ -72,3 +72,19 @@ def test_a_curve_scores_cells_instead_of_rows(spark, monkeypatch):
     assert {(r.split, r.fraction, r.n) for r in curve} == {(s, f, 300) for s in ("val", "test") for f in (0.5, 1.0)}
     whole = {r.split: r for r in curve if r.fraction == 1.0}
     assert all(np.isclose(r.roc_auc, whole[r.split].roc_auc) and np.isclose(r.pr_auc, whole[r.split].pr_auc) for r in alone)
+
+
+def test_an_ablation_scores_cells_and_counts_their_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 9, 1200), rng.integers(0, 4, 1200)
+    rows = [(f"k{i % 900}", ("train", "train", "val", "test")[i % 4], float(v), float(w), int(rng.random() < 0.1 + 0.08 * v)) for i, (v, w) in enumerate(zip(a, b))]
+    data = spark.createDataFrame(rows, "variant_key string, split string, a double, b double, label int")
+    params = {"max_depth": 2, "max_iter": 3}
+    test = training.train_and_score(data, params=params).filter("split = 'test'")
+    alone = training.ranking_metrics(test, "y_true", "p_calibrated").first()
+    monkeypatch.setattr(training, "score_rows", lambda *args: pytest.fail("a row was scored"))
+    out = {(r.removed, r.metric): r for r in training.feature_ablation(data, {"a": ["a"], "b": ["b"]}, replicates=40, params=params).collect()}
+    # a repeated key is no other row: keys are not joined
+    assert alone.n == 300 and np.isclose(out["a", "roc_auc"].full, alone.roc_auc) and np.isclose(out["b", "pr_auc"].full, alone.pr_auc)
+    assert out["a", "roc_auc"].delta > 0.1 > abs(out["b", "roc_auc"].delta)
+    assert all(r.ci_lo <= r.delta <= r.ci_hi for r in out.values())
